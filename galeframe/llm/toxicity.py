@@ -15,13 +15,13 @@ from pyspark.sql import functions as F
 from galeframe.llm.common import durable, fold, text
 
 _WORD = re.compile(r"\w+")
-STEM = 5
+STEMS = (4, 5)
 
 
 def hashed_terms(word: str, bits: int) -> tuple[int, ...]:
-    """Buckets of a word and, where it is longer than STEM letters, of its stem."""
-    own = zlib.crc32(word.encode()) & ((1 << bits) - 1)
-    return (own,) if len(word) <= STEM else (own, zlib.crc32(b"^" + word[:STEM].encode()) & ((1 << bits) - 1))
+    """Buckets of a word and of its longer stems: languages that compound and inflect rarely repeat a whole word."""
+    parts = [word.encode(), *(b"^" + word[:n].encode() for n in STEMS if len(word) > n)]
+    return tuple(zlib.crc32(p) & ((1 << bits) - 1) for p in parts)
 
 
 @dataclass
@@ -80,14 +80,14 @@ def train(rows: list[tuple[list[int], int]], buckets: np.ndarray, bits: int, fac
 
 def fit(
     docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 20_000,
-    bits: int = 20, kept: int = 4096, least_chi2: float = 30.0, factors: int = 8, steps: int = 600, seed: int = 7,
+    bits: int = 20, kept: int = 4096, least_chi2: float = 12.0, factors: int = 8, steps: int = 600, seed: int = 7,
 ) -> FactorizationMachine:
     """Learn from at most ``sample_rows`` labelled rows, those whose ids hash lowest.
 
     The sample's size is the bound of what is broadcast (ids and labels) and of
     what the driver trains on. Chi-squared against the label keeps at most
     ``kept`` of the 2^bits buckets, above ``least_chi2`` (about a chance of
-    1e-7), so that the noise of long texts doesn't add up. Rows with a null
+    5e-4), so that the noise of long texts doesn't add up. Rows with a null
     label or id, labels without a document and documents without a label are
     not used; a document labelled twice counts twice. Without usable rows the model is its
     bias alone, below one half.
