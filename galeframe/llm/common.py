@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -55,24 +55,24 @@ def by_bytes(batches: Iterator[pa.RecordBatch], col: str, limit: int) -> Iterato
             yield batch.slice(start)
 
 
-def salted_rank(df: DataFrame, keys: list[str], order: list[Column], salt: Column, out: str, buckets: int) -> DataFrame:
-    """A gapless rank from 0 within ``keys``, without bringing a key's rows into one task.
+def salted_prefix(df: DataFrame, keys: list[str], order: list[Column], value: Column, salt: Column, out: str, buckets: int) -> DataFrame:
+    """The sum of ``value`` (a long) over a key's earlier rows, without bringing a key's rows into one task.
 
-    Rows of a key are dealt over ``buckets`` by ``salt`` (a hash), numbered
-    within each (key, bucket), and shifted by the counts of the key's earlier
-    buckets: a table of one row per (key, bucket).
+    ``keys`` hold no nulls. Rows of a key are dealt over ``buckets`` by
+    ``salt``; sums run within each (key, bucket) and are shifted by the totals
+    of the key's earlier buckets, a table of one row per (key, bucket). With a
+    value of 1 it is a gapless rank from 0.
     """
-    from pyspark.sql import Window
-
-    df = df.withColumn("_bucket", F.pmod(salt, F.lit(buckets)))
     part = [*keys, "_bucket"]
-    ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*part).orderBy(*order)).cast("long") - 1)
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counts = df.groupBy(*part).agg(F.count("*").alias("_n"))
-    shift = counts.select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(part)],
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
-    )
-    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(part)]
-    joined = ranked.join(shift, same, "left").withColumn(out, F.col("_rank") + F.col("_before"))
-    return joined.drop("_bucket", "_rank", "_before", *[f"_k{i}" for i in range(len(part))])
+    df = df.withColumn("_bucket", F.pmod(salt, F.lit(buckets)).cast("int")).withColumn("_value", value.cast("long"))
+    totals = df.groupBy(*part).agg(F.sum("_value").alias("_total"))
+    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    shift = totals.select(*part, F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_before"))
+    within = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = df.withColumn("_within", F.coalesce(F.sum("_value").over(within), F.lit(0)))
+    return summed.join(shift, part).withColumn(out, F.col("_within") + F.col("_before")).drop("_bucket", "_value", "_within", "_before")
+
+
+def buckets_for(rows: int, each: int = 20_000) -> int:
+    """So many buckets that even a key with all rows has about ``each`` in a bucket."""
+    return max(16, -(-rows // each))

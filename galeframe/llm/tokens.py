@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 
@@ -26,6 +27,11 @@ def safe_units(whole: str) -> list[str]:
     return _BOUNDARY.split(whole) if _ODD_SPACE.search(whole) else _UNIT.findall(whole)
 
 
+def visible_units(whole: str) -> list[str]:
+    """The same pieces without plain white space around them, for vocabularies that drop it."""
+    return [u.strip(" \t\n\r") for u in _BOUNDARY.split(whole)] if _ODD_SPACE.search(whole) else whole.split()
+
+
 class UnitEncoder:
     """Encodes units in batches balanced by bytes and remembers the short ones, ``entries`` at most."""
 
@@ -47,13 +53,16 @@ class UnitEncoder:
         return out
 
     def __call__(self, units: list[str]) -> list:
-        got = list(map(self.known.get, units))
-        if None in got:
-            fresh = self._encode(list({u for u, g in zip(units, got, strict=True) if g is None}))
-            got = [fresh[u] if g is None else g for u, g in zip(units, got, strict=True)]
-            if len(self.known) + len(fresh) > self.entries:
-                self.known.clear()
-            self.known.update((u, g) for u, g in fresh.items() if len(u) <= 48)
+        distinct = set(units)
+        fresh = distinct.difference(self.known)
+        if len(self.known) + len(fresh) > self.entries:
+            self.known.clear()
+            fresh = distinct
+        self.known.update(self._encode(list(fresh)))
+        got = list(map(self.known.__getitem__, units))
+        for u in fresh:
+            if len(u) > 48:
+                del self.known[u]
         return got
 
 
@@ -63,13 +72,14 @@ _ENCODERS: dict = {}
 def encoder(key: str, vocabulary: str, of, entries: int, batch_bytes: int) -> UnitEncoder:
     """One encoder for each worker process and use, so that its memory outlives a task."""
     if key not in _ENCODERS:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         _ENCODERS[key] = UnitEncoder(vocabulary, of, entries, batch_bytes)
     return _ENCODERS[key]
 
 
 def token_counts(
     docs: DataFrame, tokenizer_json: str, id_col: str = "doc_id", text_col: str = "text",
-    batch_bytes: int = 1 << 20, cache_entries: int = 1 << 19,
+    batch_bytes: int = 1 << 21, cache_entries: int = 1 << 20,
 ) -> DataFrame:
     """(id, n_bytes, n_tokens) for every row; the vocabulary file is read by the driver and broadcast (about 2 MB).
 
