@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galeframe.llm import fingerprints, licenses, media, mixing, packing, sharding, tokens, toxicity
+from galeframe.llm import fingerprints, jaccard, licenses, media, mixing, packing, sharding, tokens, toxicity
 from galeframe.llm.common import fold, read
 
 
@@ -23,6 +23,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_sizes(mixing.mix(read(spark, sf_dir, "documents"))).withColumnRenamed("_id", "doc_id")
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similarity_join(read(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -75,5 +79,5 @@ select doc_id, license, cast(arg_max(unit, {{'a': dice, 'b': -unit}}) as integer
 from m where dice >= 0.8 group by doc_id, license
 """
 
-QUERIES = {f.__name__: f for f in (op2_fingerprints, op3_mixing, op5_packing, op6_sharding, op7_toxicity, op8_licenses, op9_token_counts, op10_media)}
+QUERIES = {f.__name__: f for f in (op2_fingerprints, op3_mixing, op4_jaccard_join, op5_packing, op6_sharding, op7_toxicity, op8_licenses, op9_token_counts, op10_media)}
 SQL = {"op8_licenses": LICENSES_SQL}
