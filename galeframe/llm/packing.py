@@ -26,11 +26,11 @@ def id_bytes(encoding) -> bytes:
 
 def token_pieces(
     docs: DataFrame, tokenizer_json: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text",
-    batch_bytes: int = 1 << 21, cache_entries: int = 1 << 20,
+    lower: bool = True, batch_bytes: int = 1 << 21, cache_entries: int = 1 << 20,
 ) -> DataFrame:
     """(_id, piece, start, length, ids_crc32): each text's token ids and ``end_id``, cut into pieces of ``capacity``.
 
-    A null or empty text is ``end_id`` alone. Repeated rows are packed as often as they come.
+    ``lower``: the vocabulary lower-cases its input. A null or empty text is ``end_id`` alone. Repeated rows are packed as often as they come.
     """
     spark = docs.sparkSession
     with open(tokenizer_json, encoding="utf-8") as f:
@@ -38,7 +38,7 @@ def token_pieces(
     end = np.array([end_id], "<u4").tobytes()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(f"ids {tokenizer_json}", vocabulary.value, id_bytes, cache_entries, batch_bytes)
+        encode = encoder(f"ids {tokenizer_json}", vocabulary.value, id_bytes, cache_entries, batch_bytes, lower)
         for batch in by_bytes(batches, "_text", batch_bytes):
             units, ends = [], []
             for t in batch.column(1).to_pylist():

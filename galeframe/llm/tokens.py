@@ -13,34 +13,61 @@ from pyspark.sql import functions as F
 from galeframe.llm.common import by_bytes, text
 
 #: White space other than blank, tab, line feed and carriage return, by anyone's definition.
-_ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -​    ⁠　﻿]")
+_ODD_SPACE = [chr(c) for c in (0x0B, 0x0C, 0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF)]
 _UNIT = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
 _BOUNDARY = re.compile("(?<=[^\\s᠎​⁠﻿])(?=[ \t\n\r])")
 
 
+def _odd(whole: str) -> bool:
+    return any(c in whole for c in (_ODD_SPACE[:6] if whole.isascii() else _ODD_SPACE))
+
+
 def safe_units(whole: str) -> list[str]:
     """Cut a text before each run of plain white space that follows a visible character.
 
     No pre-tokenizer of the public vocabularies matches across such a place,
     so the pieces' tokens, one after the other, are those of the whole.
     """
-    return _BOUNDARY.split(whole) if _ODD_SPACE.search(whole) else _UNIT.findall(whole)
+    return _BOUNDARY.split(whole) if _odd(whole) else _UNIT.findall(whole)
 
 
 def visible_units(whole: str) -> list[str]:
     """The same pieces without plain white space around them, for vocabularies that drop it."""
-    return [u.strip(" \t\n\r") for u in _BOUNDARY.split(whole)] if _ODD_SPACE.search(whole) else whole.split()
+    return [u.strip(" \t\n\r") for u in _BOUNDARY.split(whole)] if _odd(whole) else whole.split()
 
 
 class UnitEncoder:
-    """Encodes units in batches balanced by bytes and remembers the short ones, ``entries`` at most."""
+    """Encodes units in batches balanced by bytes and remembers the short ones, ``entries`` at most.
+
+    A unit that ends in a Latin letter and closing marks is encoded as the part
+    up to the letter and the marks, between which every pre-tokenizer of the
+    public vocabularies cuts. ``lower``: the vocabulary lower-cases, so ASCII
+    parts are looked up in lower case.
+    """
 
-    def __init__(self, vocabulary: str, of, entries: int, batch_bytes: int) -> None:
+    def __init__(self, vocabulary: str, of, entries: int, batch_bytes: int, lower: bool = False) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.of, self.entries, self.batch_bytes = Tokenizer.from_str(vocabulary), of, entries, batch_bytes
+        self.tokenizer, self.of, self.entries, self.batch_bytes, self.lower = Tokenizer.from_str(vocabulary), of, entries, batch_bytes, lower
         self.known: dict = {}
 
+    def _learn(self, fresh: set[str]) -> None:
+        parts, need = [], set()
+        for u in fresh:
+            body = u.rstrip(".,;:!?")
+            if len(body) == len(u) or not body or not (body[-1].isalpha() and body[-1] < "\u0250"):
+                body = u
+            key = body.lower() if self.lower and body.isascii() and "<" not in body else body
+            parts.append((u, key, u[len(body) :]))
+            need.add(key)
+            need.add(u[len(body) :])
+        got = self._encode(list(need.difference(self.known)))
+        known = self.known
+        for u, key, marks in parts:
+            value = got[key] if key in got else known[key]
+            known[u] = value + (got[marks] if marks in got else known[marks]) if marks else value
+        known.update((u, g) for u, g in got.items() if len(u) <= 48)
+
     def _encode(self, units: list[str]) -> dict:
         out, batch, total = {}, [], 0
         for u in [*units, None]:
@@ -58,7 +85,7 @@ class UnitEncoder:
         if len(self.known) + len(fresh) > self.entries:
             self.known.clear()
             fresh = distinct
-        self.known.update(self._encode(list(fresh)))
+        self._learn(fresh)
         got = list(map(self.known.__getitem__, units))
         for u in fresh:
             if len(u) > 48:
@@ -69,11 +96,11 @@ class UnitEncoder:
 _ENCODERS: dict = {}
 
 
-def encoder(key: str, vocabulary: str, of, entries: int, batch_bytes: int) -> UnitEncoder:
+def encoder(key: str, vocabulary: str, of, entries: int, batch_bytes: int, lower: bool = False) -> UnitEncoder:
     """One encoder for each worker process and use, so that its memory outlives a task."""
     if key not in _ENCODERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        _ENCODERS[key] = UnitEncoder(vocabulary, of, entries, batch_bytes)
+        _ENCODERS[key] = UnitEncoder(vocabulary, of, entries, batch_bytes, lower)
     return _ENCODERS[key]
 
 
