@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galeframe.llm import fingerprints, jaccard, licenses, media, mixing, packing, sharding, tokens, toxicity
+from galeframe.llm import fingerprints, jaccard, licenses, lm, media, mixing, packing, sharding, tokens, toxicity
 from galeframe.llm.common import fold, read
 
 
@@ -15,6 +15,11 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm.lm_scores(read(spark, sf_dir, "documents"), fold("doc_id") != 1)
+    return scored.select("doc_id", (fold("doc_id") == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_probe(read(spark, sf_dir, "documents"))
 
@@ -79,5 +84,5 @@ select doc_id, license, cast(arg_max(unit, {{'a': dice, 'b': -unit}}) as integer
 from m where dice >= 0.8 group by doc_id, license
 """
 
-QUERIES = {f.__name__: f for f in (op2_fingerprints, op3_mixing, op4_jaccard_join, op5_packing, op6_sharding, op7_toxicity, op8_licenses, op9_token_counts, op10_media)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_fingerprints, op3_mixing, op4_jaccard_join, op5_packing, op6_sharding, op7_toxicity, op8_licenses, op9_token_counts, op10_media)}
 SQL = {"op8_licenses": LICENSES_SQL}
