@@ -20,7 +20,7 @@ from galeframe.llm.common import durable, read
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that score under 0.5; learns from the labels of the stage's own documents outside the held-out fold."""
     model = toxicity.held_out_fit(docs, read(spark, sf_dir, "labels"))
-    return toxicity.toxicity_scores(docs, model, keep=docs.columns).where(F.col("score") < 0.5).drop("score")
+    return toxicity.toxicity_scores(docs, model, keep=docs.columns, out_col="_toxicity").where("_toxicity < 0.5").drop("_toxicity")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -117,8 +117,8 @@ def fit(
     return train(rows, buckets, bits, factors, steps, seed)
 
 
-def toxicity_scores(docs: DataFrame, model: FactorizationMachine, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` (the id alone by default) and score (0 to 1) for every row, from its whole text.
+def toxicity_scores(docs: DataFrame, model: FactorizationMachine, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, out_col: str = "score") -> DataFrame:
+    """``keep`` (the id alone by default) and ``out_col`` (0 to 1) for every row, from its whole text.
 
     The model has at most ``kept`` weights, which bounds what is broadcast. A
     null or empty text, or one without a kept term, scores the model's bias;
@@ -151,7 +151,7 @@ def toxicity_scores(docs: DataFrame, model: FactorizationMachine, id_col: str =
 
     rows = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(keep)], text(text_col).alias("_text"))
     schema = ", ".join(f"_c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)) + ", _score double"
-    return rows.mapInArrow(score, schema).toDF(*keep, "score")
+    return rows.mapInArrow(score, schema).toDF(*keep, out_col)
 
 
 def held_out_fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **more) -> FactorizationMachine:
