@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from galeframe.plans import scalar
+from galeframe.plans import relational, scalar
 
-MODULES = (scalar,)
+MODULES = (scalar, relational)
 
 
 def queries() -> dict:

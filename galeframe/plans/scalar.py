@@ -27,7 +27,7 @@ def r6(x: Column) -> Column:
 
 def whole(x: Column) -> Column:
     """Rounded so that 359.9999999999 is 0."""
-    return r6(geo.norm360(units.round_to(x, 9)))
+    return geo.norm360(r6(x))
 
 
 @query(f"""with {d.OBS}, u as (select event_id, tws, case event_id % 4 when 0 then 'kn' when 1 then 'kmh' when 2 then 'mph' else 'ms' end as unit,
@@ -56,7 +56,7 @@ x as (select *, sin((1 - f) * dr) / sin(dr) as a, sin(f * dr) / sin(dr) as b fro
 y as (select *, a * cos(radians(lat)) * cos(radians(lon)) + b * cos(radians(48.5e0)) * cos(radians(-5e0)) as x1,
  a * cos(radians(lat)) * sin(radians(lon)) + b * cos(radians(48.5e0)) * sin(radians(-5e0)) as y1, a * sin(radians(lat)) + b * sin(radians(48.5e0)) as z1 from x)
 select event_id, {d.r6(d.norm("twd * 3 - 500e0"))} as a360, {d.r6("(" + d.norm("lon * 3 + 180e0") + " - 180e0)")} as lon180, round({_D} * 1e3) / 1e3 as metres, {d.r6(_D + " / 1852e0")} as nm,
-{d.r6(d.norm("round(" + d.bearing("lat", "lon", "48.5e0", "-5e0") + " * 1e9) / 1e9"))} as bearing, {d.r6(d.dest_lat("lat", "tws * 1852e0", "twd"))} as to_lat, {d.r6(d.dest_lon("lat", "lon", "tws * 1852e0", "twd"))} as to_lon,
+{d.norm(d.r6(d.bearing("lat", "lon", "48.5e0", "-5e0")))} as bearing, {d.r6(d.dest_lat("lat", "tws * 1852e0", "twd"))} as to_lat, {d.r6(d.dest_lon("lat", "lon", "tws * 1852e0", "twd"))} as to_lon,
 {d.r6("degrees(atan2(z1, sqrt(x1 * x1 + y1 * y1)))")} as mid_lat, {d.r6("(" + d.norm("degrees(atan2(y1, x1)) + 180e0") + " - 180e0)")} as mid_lon,
 round(abs(asin(sin({d.dist("10e0", "20e0", "lat", "lon")} / 6371000e0) * sin(radians({d.bearing("10e0", "20e0", "lat", "lon")}) - radians({d.bearing("10e0", "20e0", "48.5e0", "-5e0")}))) * 6371000e0) * 1e3) / 1e3 as xtd from y""")
 def H10_H15_geodesy(spark: SparkSession, sf: str) -> DataFrame:
@@ -78,8 +78,8 @@ _MIX = "((twd - tws * 9) % 360e0)"
 w as (select *, -tws * sin(radians(twd)) as u, -tws * cos(radians(twd)) as v from n)
 select event_id, {d.r6("(tws * 9 + k2 * 0.25e0 + 360e0) % 360e0")} as mixed, {d.r6(d.fold(d.norm("tws * 9 - twd")))} as twa, cast((event_id % 1440 + 720) % 1440 as integer) as rotated,
 {d.r6("u")} as u, {d.r6("v")} as v, {d.r6("case when sqrt(u*u+v*v) < 1e-6 then 0e0 else sqrt(u*u+v*v) end")} as speed,
-{d.r6("case when tws < 1e-6 then 0e0 else " + d.norm("round((270e0 - degrees(atan2(v, u))) * 1e9) / 1e9") + " end")} as direction,
-{d.r6("sqrt(u*u+v*v) / (1852e0 / 3600e0)")} as knots, {d.r6(d.norm("round(degrees(atan2(-u, -v)) * 1e9) / 1e9"))} as twd2 from w""")
+{("case when tws < 1e-6 then 0e0 else " + d.norm(d.r6("270e0 - degrees(atan2(v, u))")) + " end")} as direction,
+{d.r6("sqrt(u*u+v*v) / (1852e0 / 3600e0)")} as knots, {d.norm(d.r6("degrees(atan2(-u, -v))"))} as twd2 from w""")
 def H16_H22_wind_angles(spark: SparkSession, sf: str) -> DataFrame:
     o = tables.obs(spark, sf)
     u, v = wind.to_uv(c("tws"), c("twd"))
