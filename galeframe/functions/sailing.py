@@ -50,6 +50,21 @@ def polar_speed(tws: Column, twa: Column) -> Column:
     return F.when((tws <= CALM_KTS) | (angle <= STALL_DEG) | (s < 0.05), F.lit(0.0)).otherwise(s)
 
 
+def polar_speed_extrapolated(tws: Column, twa: Column) -> Column:
+    """Bilinear beyond the table's ends as within, angles from 30 degrees; no rule for calms."""
+    angle = F.greatest(F.abs(twa), F.lit(30.0))
+    flat = F.array(*[F.lit(x) for row in SPEEDS for x in row])
+
+    def place(axis: tuple[float, ...], x: Column) -> tuple[Column, Column]:
+        a = F.array(*[F.lit(v) for v in axis])
+        at = clamp(F.size(F.filter(a, lambda v: v <= x)) - 1, 0, len(axis) - 2)
+        return at, (x - F.get(a, at)) / (F.get(a, at + 1) - F.get(a, at))
+
+    (i, f), (j, g) = place(TWS, tws), place(TWA, angle)
+    cell = lambda di, dj: F.get(flat, (i + di) * len(TWA) + j + dj)
+    return (cell(0, 0) * (1 - g) + cell(0, 1) * g) * (1 - f) + (cell(1, 0) * (1 - g) + cell(1, 1) * g) * f
+
+
 def maneuver(heading: Column, new_heading: Column, twd: Column) -> Column:
     a, b = signed(norm360(heading - twd)), signed(norm360(new_heading - twd))
     same = (a * b >= 0) | (F.abs(a) < 1) | (F.abs(b) < 1)

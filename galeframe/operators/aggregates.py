@@ -37,9 +37,10 @@ def passage_summary(track: DataFrame, keys: list[str]) -> DataFrame:
     """Shares of the points of sail (percent), mean and greatest wind, sea and heel of each route."""
     t = track.withColumns({"_w": sailing.wave_height(F.col("tws")), "_p": sailing.wave_period(F.col("tws")), "_h": sailing.heel(F.col("tws"), F.col("twa")), "_pos": sailing.point_of_sail(F.col("twa"), True)})
     share = lambda n: round_to(F.count_if(F.col("_pos") == n) / F.count("*") * 100, 1).alias(n)
+    mean = lambda x, digits: round_to(round_to(F.avg(x), 9), digits)  # noqa: E731  a sum's order doesn't move a tie
     return t.groupBy(*keys).agg(
-        *[share(n) for n in ("close_hauled", "close_reach", "beam_reach", "broad_reach", "downwind")], round_to(F.avg("tws"), 1).alias("avg_wind"), F.max("tws").alias("max_wind"),
-        round_to(F.avg("_w"), 2).alias("avg_wave"), F.max("_w").alias("max_wave"), round_to(F.avg("_p"), 1).alias("avg_period"), F.max("_h").alias("max_heel"),
+        *[share(n) for n in ("close_hauled", "close_reach", "beam_reach", "broad_reach", "downwind")], mean("tws", 1).alias("avg_wind"), F.max("tws").alias("max_wind"),
+        mean("_w", 2).alias("avg_wave"), F.max("_w").alias("max_wave"), mean("_p", 1).alias("avg_period"), F.max("_h").alias("max_heel"),
     )
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from galeframe.plans import relational, scalar
+from galeframe.plans import physics, relational, scalar, search
 
-MODULES = (scalar, relational)
+MODULES = (scalar, relational, search, physics)
 
 
 def queries() -> dict:

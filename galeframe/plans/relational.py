@@ -349,9 +349,6 @@ def G04_closed_ring(spark: SparkSession, sf: str) -> DataFrame:
     p = tables.track(spark, sf).groupBy("route_id").agg(F.sort_array(F.collect_list("idx")).alias("l"))
     return p.select("route_id", F.concat("l", F.reverse("l")).alias("ring"))
 
-
-
-
 @query("""with l as (select cast(a.range as integer) as lat, cast(b.range as integer) as lon, cast(h.range as integer) as hour from range(-80, 81, 20) a, range(-180, 180, 30) b, range(0, 97, 24) h),
 s as (select lat, lon, hour, unnest([{'y': 50 + 3 * sin(hour * pi() / 48), 'x': -55 + hour / 24e0 * 7.5e0, 't': 1, 'k': 14e0, 'w': 80e0, 'r': 25}, {'y': 52 + 2.5e0 * cos(hour * pi() / 60), 'x': -155 + hour / 24e0 * 6.5e0, 't': 1, 'k': 14e0, 'w': 80e0, 'r': 25},
  {'y': 32 + sin(hour * pi() / 96), 'x': -42 + 1.5e0 * cos(hour * pi() / 72), 't': -1, 'k': 7.5e0, 'w': 140e0, 'r': 30}, {'y': 36 + 1.2e0 * cos(hour * pi() / 96), 'x': -140 + 2 * sin(hour * pi() / 80), 't': -1, 'k': 8.5e0, 'w': 160e0, 'r': 35}]) as p from l),
