@@ -69,7 +69,7 @@ def points_in_polygons(points: DataFrame, edges: DataFrame, keys: list[str], cel
     the edges of its band only.
     """
     band = lambda y: F.floor(y / cell).cast("int")
-    e = edges.withColumn("_band", F.explode(F.sequence(band(F.least("y1", "y2")), band(F.greatest("y1", "y2")))))
+    e = edges.select("poly_id", "x1", "y1", "x2", "y2").withColumn("_band", F.explode(F.sequence(band(F.least("y1", "y2")), band(F.greatest("y1", "y2")))))
     p = points.withColumn("_band", band(F.col(lat)))
     x, y = F.col(lon), F.col(lat)
     crosses = ((F.col("y1") > y) != (F.col("y2") > y)) & (x < (F.col("x2") - F.col("x1")) * (y - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1"))

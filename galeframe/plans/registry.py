@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from galeframe.plans import physics, relational, scalar, search
+from galeframe.plans import physics, relational, scalar, search, sources
 
-MODULES = (scalar, relational, search, physics)
+MODULES = (scalar, relational, search, physics, sources)
 
 
 def queries() -> dict:
