@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from galeframe.plans import physics, relational, scalar, search, sources
+from galeframe.plans import display, physics, relational, scalar, search, sources
 
-MODULES = (scalar, relational, search, physics, sources)
+MODULES = (scalar, relational, search, physics, sources, display)
 
 
 def queries() -> dict:
