@@ -49,21 +49,24 @@ def train(rows: list[tuple[list[int], int]], buckets: np.ndarray, bits: int, fac
     fm.v[n] = 0
     if not n or not len(rows):
         return fm
-    width = max(1, max(len(r[0]) for r in rows))
-    active = np.full((len(rows), width), n)
-    for i, r in enumerate(rows):
-        active[i, : len(r[0])] = r[0]
+    size = np.array([len(r[0]) for r in rows])
+    flat, first = np.concatenate([np.array(r[0], np.int64) for r in rows]), np.cumsum(size) - size
     m = [np.zeros(()), np.zeros_like(fm.w), np.zeros_like(fm.v)]
     q = [np.zeros(()), np.zeros_like(fm.w), np.zeros_like(fm.v)]
     for step in range(1, steps + 1):
         pick = rng.integers(0, len(rows), min(512, len(rows)))
-        a = active[pick]
+        k = size[pick]
+        row = np.repeat(np.arange(len(pick)), k)  # of each active place of the batch
+        a = flat[np.arange(k.sum()) + np.repeat(first[pick] - np.cumsum(k) + k, k)]
+        by_row = lambda x: np.bincount(row, x, len(pick))  # noqa: B023, E731
+        by_place = lambda x: np.bincount(a, x, n + 1)  # noqa: B023, E731
         vs = fm.v[a]
-        s = vs.sum(1)
-        err = (1 / (1 + np.exp(-np.clip(fm.raw(a), -30, 30))) - y[pick]) / len(pick)
-        gw, gv = np.zeros_like(fm.w), np.zeros_like(fm.v)
-        np.add.at(gw, a, err[:, None])
-        np.add.at(gv, a, err[:, None, None] * (s[:, None, :] - vs))
+        s = np.stack([by_row(vs[:, f]) for f in range(factors)], 1)
+        raw = fm.bias + by_row(fm.w[a]) + 0.5 * ((s * s).sum(1) - by_row((vs * vs).sum(1)))
+        err = (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - y[pick]) / len(pick)
+        e = err[row]
+        gw = by_place(e)
+        gv = np.stack([by_place(e * (s[row, f] - vs[:, f])) for f in range(factors)], 1)
         grads = [err.sum(), gw + 1e-5 * fm.w, gv + 1e-5 * fm.v]
         for k, g in enumerate(grads):
             m[k], q[k] = 0.9 * m[k] + 0.1 * g, 0.999 * q[k] + 0.001 * g * g

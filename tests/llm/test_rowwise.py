@@ -185,13 +185,14 @@ def test_sharding_cuts_a_hot_group(spark):
 
 
 def test_toxicity_on_held_out_rows(spark, sf):
-    y = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf.replace('0.001', '0.01')}/labels.parquet").collect()}
-    rows = [r for r in queries.op7_toxicity(spark, sf.replace("0.001", "0.01")).collect() if r["held_out"] and r["doc_id"] in y]
+    sf = sf.replace("0.001", "0.1")  # some 800 held-out rows
+    y = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rows = [r for r in queries.op7_toxicity(spark, sf).collect() if r["held_out"] and r["doc_id"] in y]
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows)
     right = sum(r["predicted"] == y[r["doc_id"]] for r in rows)
-    assert right / len(rows) > 0.93
-    pos, neg = [r["score"] for r in rows if y[r["doc_id"]]], [r["score"] for r in rows if not y[r["doc_id"]]]
-    assert np.mean([[p > n for n in neg] for p in pos]) > 0.85
+    assert right / len(rows) > 0.95
+    pos, neg = np.array([r["score"] for r in rows if y[r["doc_id"]]]), np.array([r["score"] for r in rows if not y[r["doc_id"]]])
+    assert np.mean((pos[:, None] > neg) + 0.5 * (pos[:, None] == neg)) > 0.9
 
 
 def test_toxicity_learns_a_pair_that_no_sum_separates():
