@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from galeframe.llm.common import by_bytes, durable, text
+from galeframe.llm.common import by_bytes, durable, partitions, text
 
 _WORD = re.compile(r"\w+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -22,6 +22,8 @@ BANDS, ROWS = 25, 5
 HASHES = 128
 #: Rounds of leaders in large buckets, and the nodes of a bucket whose pairs are all compared; beyond it, prefixes find them.
 ROUNDS, SMALL = 3, 8
+#: All pairs inside a class are compared block by block: a block's nodes, the blocks that nodes alone ask for, and its shingles.
+BLOCK_NODES, BLOCKS, BLOCK_SHINGLES = 128, 64, 1 << 18
 
 
 def _coefficients() -> tuple[np.ndarray, np.ndarray]:
@@ -261,16 +263,108 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def overlaps(x: list[np.ndarray], y: list[np.ndarray] | None = None, width: int = 4096) -> np.ndarray:
+    """The number of shingles that each set of ``x`` shares with each of ``y`` (None: with the others of ``x``; the diagonal is then meaningless)."""
+    u = np.concatenate(x)
+    if y is None:
+        known, count = np.unique(u, return_counts=True)
+        known, sides = known[count > 1], [x]
+    else:
+        known, sides = np.intersect1d(u, np.concatenate(y)), [x, y]
+    placed = []
+    for side in sides:
+        all_of, owner = np.concatenate(side), np.repeat(np.arange(len(side)), [len(s) for s in side])
+        at = np.searchsorted(known, all_of)
+        hit = np.flatnonzero(known[np.minimum(at, len(known) - 1)] == all_of) if len(known) else np.zeros(0, np.int64)
+        hit = hit[np.argsort(at[hit], kind="stable")]
+        placed.append((at[hit], owner[hit], len(side)))
+    out = np.zeros((len(x), len(sides[-1])))
+    for start in range(0, len(known), width):
+        dense = []
+        for at, owner, n in placed:
+            lo, hi = np.searchsorted(at, [start, start + width])
+            d = np.zeros((n, min(width, len(known) - start)), np.float32)
+            d[owner[lo:hi], at[lo:hi] - start] = 1
+            dense.append(d)
+        out += dense[0] @ dense[-1].T
+    return out
+
+
+def class_blocks(named: DataFrame, sets: DataFrame) -> DataFrame:
+    """(held, other): pairs of blocks of a class, so that every two nodes of a class with pairs not yet linked are in one pair of blocks; other is null where a block is met with itself.
+
+    ``named``: (node, label, n_links, size), n_links counted from verified
+    links. Classes whose pairs are all linked already are left out if they
+    fit one block. Blocks are dealt by a hash of the node, and met as on a circle, so that a
+    block is sent to half of the others. A row is a block: at most about
+    ``BLOCK_SHINGLES`` hashes, or one set.
+    """
+    sizes = named.groupBy("label").agg(F.count("*").alias("m"), F.sum("size").alias("total"), F.sum("n_links").alias("ends"))
+    k = F.greatest(F.ceil(F.col("total") / BLOCK_SHINGLES), F.least(F.ceil(F.col("m") / BLOCK_NODES), F.lit(BLOCKS)))
+    sizes = sizes.withColumn("k", F.least(k, F.col("m")).cast("int"))
+    large = sizes.where("k > 1").select("label", "k")  # at most one for each BLOCK_NODES nodes or BLOCK_SHINGLES hashes
+    dealt = named.select("node", "label").join(F.broadcast(large), "label", "left")
+    small = dealt.where("k is null").drop("k").join(sizes.where("k = 1 and ends < m * (m - 1)").select("label", "k"), "label")
+    dealt = dealt.where("k is not null").select("node", "label", "k").unionByName(small.select("node", "label", "k"))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("k")).cast("int")).join(sets, "node")
+    blocks = durable(dealt.groupBy("label", "k", "block").agg(F.collect_list(F.struct("node", "shingles")).alias("held")))
+    gap = F.explode(F.expr("sequence(1, k div 2)"))
+    sent = blocks.where("k > 1").select("label", "k", "block", "held", gap.alias("gap")).where("gap * 2 < k or block < gap")
+    sent = sent.select("label", ((F.col("block") + F.col("gap")) % F.col("k")).alias("block"), F.col("held").alias("other"))
+    met = blocks.select("label", "block", "held").join(sent, ["label", "block"]).select("held", "other")
+    return blocks.select("held", F.lit(None).cast(blocks.schema["held"].dataType).alias("other")).unionByName(met)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[tuple]:
+    """(nodes of the rows, nodes of the columns, Jaccard similarities, links) for each pair of blocks."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            held, other = (batch.column(c)[i].as_py() for c in (0, 1))
+            ids = [np.array([r["node"] for r in side], np.int64) for side in (held, other or held)]
+            x = [np.frombuffer(r["shingles"], np.uint64) for r in held]
+            y = x if other is None else [np.frombuffer(r["shingles"], np.uint64) for r in other]
+            both = overlaps(x, None if other is None else y)
+            sim = both / (np.array([[len(s)] for s in x]) + np.array([len(s) for s in y]) - both)
+            linked = sim >= threshold
+            if other is None:
+                np.fill_diagonal(linked, False)
+            yield ids[0], ids[1], sim, linked, other is None
+
+
+def class_degrees(blocks: DataFrame, threshold: float) -> DataFrame:
+    """(node, n_links): with how many nodes of its class each node of ``class_blocks`` reaches the threshold."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x, y, _, linked, itself in _blocks(batches, threshold):
+            node, n = (x, linked.sum(1)) if itself else (np.concatenate([x, y]), np.concatenate([linked.sum(1), linked.sum(0)]))
+            yield pa.RecordBatch.from_arrays([pa.array(node[n > 0]), pa.array(n[n > 0].astype(np.int64))], ["node", "n_links"])
+
+    return blocks.mapInArrow(count, "node long, n_links long").groupBy("node").agg(F.sum("n_links").alias("n_links"))
+
+
+def class_links(blocks: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, jaccard): the pairs that ``class_degrees`` counts."""
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x, y, sim, linked, itself in _blocks(batches, threshold):
+            i, j = np.nonzero(np.triu(linked) if itself else linked)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x[i], y[j])), pa.array(np.maximum(x[i], y[j])), pa.array(sim[i, j])], ["a", "b", "jaccard"])
+
+    return blocks.mapInArrow(pairs, "a long, b long, jaccard double")
+
+
 def near_duplicates(
-    docs: DataFrame, threshold: float = 0.8, width: int = 5, tolerance: float = 1e-5, id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, threshold: float = 0.8, width: int = 5, tolerance: float = 1e-5, id_col: str = "doc_id", text_col: str = "text", count: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """Classes of texts linked by a Jaccard similarity of at least ``threshold`` over runs of ``width`` words.
 
     Returns the rows (_row, id, _id, _key, class_id, class_row, copies,
     n_links), one for each of ``docs``, and the links between representatives
     (a, b, jaccard). class_id: the least id of the class. copies: rows with
-    the same shingle set. n_links: verified links of that set's representative
-    to other representatives.
+    the same shingle set. n_links: to how many other representatives that set's
+    representative is linked, all pairs of a class counted; the links are all
+    of these pairs. Without ``count`` both keep to the links that the classes
+    were found by.
 
     Rows with equal sets count as one node. Buckets of MinHash bands (a pair
     of similarity s meets with probability 1 - (1 - s^5)^25) are not expanded
@@ -321,6 +415,12 @@ def near_duplicates(
     label = components(links)
 
     degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
+    if count:  # pairs inside a class that no step above had to compare
+        named = durable(label.join(degree, "node").join(sets.select("node", (F.length("shingles") / 8).cast("long").alias("size")), "node"))
+        blocks = class_blocks(named, sets).repartition(partitions(docs.sparkSession))
+        whole = class_degrees(blocks, threshold).withColumnRenamed("n_links", "all_links")
+        degree = named.select("node", "n_links").join(whole, "node", "left").select("node", F.coalesce("all_links", "n_links").alias("n_links"))
+        links = links.unionByName(class_links(blocks, threshold)).dropDuplicates(["a", "b"])
     linked = label.join(degree, "node").join(found.nodes.select("node", "rep_id"), "node")
     lowest = linked.groupBy("label").agg(F.min("rep_id").alias("class_id"))
     classes = linked.join(lowest, "label").select("node", "label", "class_id", "n_links")
@@ -339,7 +439,7 @@ def similarity_join(docs: DataFrame, id_col: str = "doc_id", **more) -> DataFram
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
     """``docs`` with one row of each class, the one with the least id (null last)."""
-    rows, _ = near_duplicates(docs, id_col=id_col, text_col=text_col, **more)
+    rows, _ = near_duplicates(docs, id_col=id_col, text_col=text_col, count=False, **more)
     stay = rows.groupBy("class_row").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_row", "_id", "_key")).alias("r")).select("r._id", "r._key")
     keyed = docs.select(*docs.columns, *[c.alias(n) for c, n in zip(text_key(text_col, id_col), ("_keep_id", "_keep_key"), strict=True)])
     stay = stay.select(F.col("_id").alias("_keep_id"), F.col("_key").alias("_keep_key"))

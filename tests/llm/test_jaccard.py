@@ -132,3 +132,37 @@ def test_a_group_that_drifted_apart(spark):
     got = {r["doc_id"]: r["class_id"] for r in jaccard.similarity_join(docs).collect()}
     same_classes([got[i] for i in range(len(texts))], brute(texts)[0])
     assert len(set(got.values())) > 10
+
+
+def degrees(texts, pairs):
+    """Each text's number of linked unlike sets."""
+    n = defaultdict(int)
+    for pair in pairs:
+        for s in pair:
+            n[s] += 1
+    return [n[frozenset(shingles(t))] for t in texts]
+
+
+def test_links_are_those_of_all_pairs(spark, monkeypatch):
+    """n_links and the links of near copies, of copies that drifted apart, and of small classes, in one block of nodes and in many."""
+    rng = random.Random(6)
+    base = words(150, 12).split()
+    drifted = []
+    for k in range(60):
+        w = list(base)
+        for _ in range(rng.randint(0, 10)):
+            w[rng.randrange(len(w))] = f"edit{k}x{rng.randrange(999)}"
+        drifted.append(" ".join(w))
+    texts = near_copies(250, 500, 1, 21) + drifted + [t for k in range(20) for t in near_copies(3, 80, 2, 50 + k)] + [words(90, 700 + i) for i in range(20)]
+    texts += texts[:5]
+    want, pairs = brute(texts)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for nodes, hashes in ((128, 1 << 18), (1000, 1 << 13)):
+        monkeypatch.setattr(jaccard, "BLOCK_NODES", nodes)
+        monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", hashes)
+        got = {r["doc_id"]: r for r in jaccard.similarity_join(rows).collect()}
+        assert [got[i]["n_links"] for i in range(len(texts))] == degrees(texts, pairs)
+        same_classes([got[i]["class_id"] for i in range(len(texts))], want)
+    _, links = jaccard.near_duplicates(rows)
+    links = links.collect()
+    assert len({(r["a"], r["b"]) for r in links}) == len(links) == len(pairs) and all(r["jaccard"] >= 0.8 for r in links)
