@@ -1,9 +1,11 @@
 """The solver's answers, the polar's shape, and polar files."""
 
+import hashlib
 import math
 
+import numpy as np
 from galeframe.operators import polars
-from galeframe.physics import boats, solver
+from galeframe.physics import boats, forces, solver
 from galeframe.plans import physics
 from pyspark.sql import functions as F
 
@@ -30,6 +32,19 @@ def test_model_version_is_stable(spark):
     assert a == b and len(a) == 12
 
 
+def test_model_fingerprint_is_that_of_plain_python(spark):
+    """The digits from a plain loop over the formulas with numbers; the formulas are compared with SQL in I28_I33_I39."""
+    lines = []
+    for name, (_, values) in boats.PRESETS.items():
+        b = dict(zip(boats.FIELDS, map(float, values), strict=True))
+        for k in range(1, 9):
+            h = forces.hydro(forces.Arrays, b, np.float64(k * 0.6), np.radians(k * 3.0), np.float64(b["mass"] * 0.3))
+            r, m = (math.floor(float(h[x]) * 1e3 + 0.5) / 1e3 for x in ("r_total", "righting"))
+            lines.append(f"{name}|{k}|{r:.3f}|{m:.3f}")
+    want = hashlib.sha256("|".join(sorted(lines)).encode()).hexdigest()[:12]
+    assert [tuple(r) for r in physics.QUERIES["D25_model_fingerprint"](spark, "").collect()] == [(want,)]
+
+
 def test_polar_texts(spark):
     texts = {
         1: "! note\nTWA\\TWS\t6\t8\n45\t4.5\t5.0\n90\t5.5\t\n",
