@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from galeframe.llm.common import text
+from galeframe.llm.common import durable, text
 
 #: Grant and notice sentences of common public licences.
 TEMPLATES: dict[str, str] = {
@@ -28,6 +32,12 @@ TEMPLATES: dict[str, str] = {
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
 
+_MIT = TEMPLATES["MIT-notice"] + """, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_TEXTS = Path(__file__).parent / "texts"
+#: Whole licences, read with the package on the driver. ``TEMPLATES`` stays as the SQL has it.
+FULL_TEXTS: dict[str, str] = {"MIT-text": _MIT} | {f"{k}-text": (_TEXTS / f"{v}.txt").read_text() for k, v in (("Apache-2.0", "Apache-2.0"), ("GPL-3.0", "GPL-3"), ("LGPL-3.0", "LGPL-3"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0"))}
+
 
 def words(col: Column) -> Column:
     """Lower-case runs of ASCII letters and digits. Every other character separates."""
@@ -71,3 +81,45 @@ def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least:
     scored = scored.withColumn("dice", 2.0 * F.col("both") / (F.col("n") + F.col("t"))).where(F.col("dice") >= least)
     best = scored.groupBy("_id", "license").agg(F.max_by("_pos", F.struct("dice", -F.col("_pos"))).alias("unit"), F.max("dice").alias("dice"))
     return best.withColumnRenamed("_id", id_col)
+
+
+def license_spans(docs: DataFrame, templates: dict[str, str] | None = None, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, license, unit, start, dice): as ``license_scan``, and with runs of words anywhere in the text (unit -2, from word ``start``).
+
+    A run has as many words as the template and takes no notice of lines, so
+    that wrapped notices, sentences inside paragraphs and whole licences inside longer
+    texts are found. Runs start at every word for templates of up to 80
+    words, else at every 40th part of the template's length, which costs at most
+    an 80th of Dice beside the best start. Ties go to lines and whole texts. ``templates``: by
+    default ``TEMPLATES`` and ``FULL_TEXTS``.
+
+    A run that reaches ``least`` holds least / (2 - least) of the template's
+    bigrams, thus one of any third of them: rows without a word of those with
+    the longest words are dropped first, rows with too few of the bigrams next.
+    """
+    templates = TEMPLATES | FULL_TEXTS if templates is None else templates
+    spark, share, table, wanted = docs.sparkSession, least / (2 - least), [], set()
+    for name, body in templates.items():
+        ws = re.findall("[a-z0-9]+", body.lower())
+        grams = sorted(set(zip(ws, ws[1:], strict=False)), key=lambda g: (-max(map(len, g)), g))
+        if grams:
+            wanted |= {max(g, key=len) for g in grams[: math.floor(len(grams) * (1 - share) + 1e-9) + 1]}
+            table += [(name, " ".join(g), len(grams), len(ws) - 1, 1 if len(ws) <= 80 else (len(ws) - 1) // 40) for g in grams]
+    table = spark.createDataFrame(table, "license string, gram string, t long, span int, stride int")
+    found = license_scan(docs, templates, least, id_col, text_col).select(F.col(id_col).alias("_id"), "license", "unit", F.lit(None).cast("int").alias("start"), "dice")
+    rows = docs.select(F.col(id_col).alias("_id"), words(text(text_col)).alias("_words"))
+    rows = rows.where(F.arrays_overlap("_words", F.array(*map(F.lit, sorted(wanted))))).where(F.size("_words") > 1)
+    after = F.slice("_words", 2, F.size("_words") - 1)
+    rows = durable(rows.select(F.monotonically_increasing_id().alias("_row"), "_id", F.zip_with(F.slice("_words", 1, F.size("_words") - 1), after, lambda a, b: F.concat_ws(" ", a, b)).alias("_grams")))
+    hits = rows.select("_row", F.posexplode("_grams").alias("p", "gram")).join(F.broadcast(table), "gram")
+    enough = hits.groupBy("_row", "license", "t").agg(F.count_distinct("gram").alias("both")).where(F.col("both") >= F.col("t") * share - 1e-9)
+    hits = hits.join(enough.select("_row", "license"), ["_row", "license"])
+    first = F.greatest(F.ceil((F.col("p") - F.col("span") + 1) / F.col("stride")), F.lit(0)).cast("int")
+    runs = hits.withColumn("k", F.explode(F.sequence(first, F.floor(F.col("p") / F.col("stride")).cast("int"))))
+    runs = runs.groupBy("_row", "license", "t", "span", (F.col("k") * F.col("stride")).alias("start")).agg(F.count_distinct("gram").alias("both"))
+    runs = runs.where(F.col("both") >= F.col("t") * share - 1e-9).join(rows, "_row")
+    n = F.size(F.array_distinct(F.slice("_grams", F.col("start") + 1, F.col("span"))))
+    runs = runs.select("_id", "license", F.lit(-2).alias("unit"), "start", (2.0 * F.col("both") / (n + F.col("t"))).alias("dice")).where(F.col("dice") >= least)
+    order = F.struct("dice", F.col("unit") >= -1, -F.coalesce("start", "unit"))
+    best = found.unionByName(runs).groupBy("_id", "license").agg(F.max_by(F.struct("unit", "start", "dice"), order).alias("b"))
+    return best.select(F.col("_id").alias(id_col), "license", "b.unit", "b.start", "b.dice")

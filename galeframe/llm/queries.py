@@ -51,6 +51,11 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(read(spark, sf_dir, "documents"))
 
 
+def op8_license_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What ``op8_licenses`` and its SQL leave out: runs of words anywhere, and whole licences."""
+    return licenses.license_spans(read(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = tokens.token_counts(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
     return counted.withColumn("over_limit", F.col("n_tokens") > 512)
@@ -84,5 +89,5 @@ select doc_id, license, cast(arg_max(unit, {{'a': dice, 'b': -unit}}) as integer
 from m where dice >= 0.8 group by doc_id, license
 """
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_fingerprints, op3_mixing, op4_jaccard_join, op5_packing, op6_sharding, op7_toxicity, op8_licenses, op9_token_counts, op10_media)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_fingerprints, op3_mixing, op4_jaccard_join, op5_packing, op6_sharding, op7_toxicity, op8_licenses, op8_license_spans, op9_token_counts, op10_media)}
 SQL = {"op8_licenses": LICENSES_SQL}

@@ -212,6 +212,23 @@ def test_toxicity_odd_rows(spark):
     assert toxicity.toxicity_scores(odd(spark), none).where("score < 0.6").count() == odd(spark).count()
 
 
+def test_license_spans(spark):
+    """Wrapped notices, sentences inside longer lines and whole licences in longer texts: lines and whole texts miss them."""
+    wrap = lambda t, n: "\n".join(" ".join(t.split()[i : i + n]) for i in range(0, len(t.split()), n))
+    prose = [words(300, 90 + i) for i in range(12)]
+    wrapped = [(k, f"{prose[0]}\n{wrap(licenses.TEMPLATES[k], 8)}\n{prose[1]}") for k in ("MIT-notice", "GPL-3.0-notice", "BSD-3-Clause", "ISC")]
+    inline = [("CC-BY-NC-4.0", f"{prose[2]} licensed under CC BY-NC 4.0. {prose[3]}"), ("Unlicense", f"{prose[4]} {licenses.TEMPLATES['Unlicense']} {prose[5]}")]
+    full = [(k, f"{prose[6]}\n\n{t}\n{prose[7]}") for k, t in licenses.FULL_TEXTS.items()]
+    cases = [*wrapped, *inline, *full]
+    rows = spark.createDataFrame([*[(i, t) for i, (_, t) in enumerate(cases)], (100, None), (101, prose[8]), (102, "Released under the MIT License.")], "doc_id long, text string")
+    before = {(r["doc_id"], r["license"]) for r in licenses.license_scan(rows).collect()}
+    got = {(r["doc_id"], r["license"]): r for r in licenses.license_spans(rows).collect()}
+    for i, (k, t) in enumerate(cases):
+        assert (i, k) not in before and got[(i, k)]["unit"] == -2 and got[(i, k)]["dice"] >= (0.97 if k in licenses.FULL_TEXTS else 1.0), k
+    assert got[(102, "MIT")]["unit"] == -1 and before <= set(got) and not {100, 101} & {i for i, _ in got}
+    assert licenses.license_spans(odd(spark)).count() == 0 and licenses.license_spans(empty(spark)).count() == 0
+
+
 def test_licenses(spark):
     rows = [(1, "Some prose here.\nReleased under the MIT License.\nMore prose."), (2, None), (3, ""), (4, "licensed under the apache license version 2.0"), (5, "a prose text about a licence"), (4, "x"), (6, "Released under the MIT License.\n" * 400)]
     got = {(r["doc_id"], r["license"]): (r["unit"], r["dice"]) for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
