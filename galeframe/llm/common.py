@@ -17,27 +17,41 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage: ``df`` is computed once, written as Parquet to the cluster's shared folder, and read again.
+    """Cut the lineage: ``df`` is computed once, written as Parquet to the cluster's shared folder, and read again."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A folder of this session under ``spark.checkpoint.dir``, which driver and executors share.
 
-    The folder is the session's ``spark.checkpoint.dir``; a temporary one is
-    used only where the session names none (tests on one machine).
+    A session without that setting gets a temporary folder if its executors
+    are threads of the driver; on a cluster it is an error, as executors would
+    write where the driver can't read.
     """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
+    return context.getCheckpointDir()
+
+
+def column(name: str) -> Column:
+    """The top-level column of this name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def text(col: str = "text") -> Column:
     """The text column, null read as empty."""
-    return F.coalesce(F.col(col).cast("string"), F.lit(""))
+    return F.coalesce(column(col).cast("string"), F.lit(""))
 
 
 def fold(id_col: str, folds: int = 5) -> Column:
     """crc32 of the id as text, modulo folds; a null id reads as the empty text (fold 0)."""
-    return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(folds)).cast("int")
+    return F.pmod(F.crc32(F.coalesce(column(id_col).cast("string"), F.lit(""))), F.lit(folds)).cast("int")
 
 
 def partitions(spark: SparkSession) -> int:

@@ -7,6 +7,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,14 +15,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from galeframe.llm.common import by_bytes, durable, partitions, text
+from galeframe.llm.common import by_bytes, column, durable, partitions, text
 
 _WORD = re.compile(r"\w+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 BANDS, ROWS = 25, 5
 HASHES = 128
-#: Rounds of leaders in large buckets, and the nodes of a bucket whose pairs are all compared; beyond it, prefixes find them.
-ROUNDS, SMALL = 3, 8
+#: Buckets that hold several classes are compared block by block: a block's nodes at most, about; BLOCK_SHINGLES bounds it too.
+BUCKET_NODES = 256
 #: All pairs inside a class are compared block by block: a block's nodes, the blocks that nodes alone ask for, and its shingles.
 BLOCK_NODES, BLOCKS, BLOCK_SHINGLES = 128, 64, 1 << 18
 
@@ -81,7 +82,8 @@ def minhash(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (best >> np.uint64(32)).astype("<u4")
 
 
-def least_matches(threshold: float, tolerance: float, steps: list[int]) -> list[int]:
+@lru_cache(maxsize=64)
+def least_matches(threshold: float, tolerance: float, steps: tuple[int, ...]) -> list[int]:
     """For each number n of compared values, the least number m of matches that keeps a pair.
 
     With a uniform prior on the similarity s, its posterior after m of n
@@ -102,14 +104,21 @@ def least_matches(threshold: float, tolerance: float, steps: list[int]) -> list[
 
 @dataclass
 class Nodes:
-    """members: (_row, _id, _key, node), one for each row; nodes: (node, _id, _key, rep_id, copies, sig), one for each distinct shingle set."""
+    """members: (_row, id, _id, _key, _rest, node), one for each row; nodes: (node, _id, _key, rep_id, copies, sig), one for each distinct shingle set."""
 
     members: DataFrame
     nodes: DataFrame
 
 
 def text_key(text_col: str, id_col: str) -> list[Column]:
-    return [F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("_id"), F.xxhash64(text(text_col)).alias("_key")]
+    return [F.coalesce(column(id_col).cast("string"), F.lit("")).alias("_id"), F.xxhash64(text(text_col)).alias("_key")]
+
+
+def rest_key(docs: DataFrame, id_col: str, text_col: str) -> Column:
+    """A hash of a row's other columns, which tells rows of one id and text apart."""
+    others = [f for f in docs.schema.fields if f.name not in (id_col, text_col)]
+    values = [F.to_json(F.struct(column(f.name).alias("v"))) if "map<" in f.dataType.simpleString() else column(f.name) for f in others]
+    return F.xxhash64(F.lit(0), *values).alias("_rest")
 
 
 def nodes(docs: DataFrame, id_col: str, text_col: str, width: int) -> Nodes:
@@ -118,19 +127,19 @@ def nodes(docs: DataFrame, id_col: str, text_col: str, width: int) -> Nodes:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, (a, b) = Shingler(width), _coefficients()
         for batch in by_bytes(batches, "_text", 1 << 21):
-            sets = shingle(batch.column(4).to_pylist())
+            sets = shingle(batch.column(5).to_pylist())
             digest = [np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), "<i8") for s in sets]
             sig = [minhash(s, a, b).tobytes() for s in sets]
             more = [pa.array([int(d[0]) for d in digest], pa.int64()), pa.array([int(d[1]) for d in digest], pa.int64()), pa.array(sig, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *more], ["_row", "id", "_id", "_key", "d1", "d2", "sig"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], *more], ["_row", "id", "_id", "_key", "_rest", "d1", "d2", "sig"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("id"), *text_key(text_col, id_col), text(text_col).alias("_text"))
-    signed = durable(rows.mapInArrow(sign, f"_row long, id {kind}, _id string, _key long, d1 long, d2 long, sig binary"))
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), column(id_col).alias("id"), *text_key(text_col, id_col), rest_key(docs, id_col, text_col), text(text_col).alias("_text"))
+    signed = durable(rows.mapInArrow(sign, f"_row long, id {kind}, _id string, _key long, _rest long, d1 long, d2 long, sig binary"))
     groups = signed.groupBy("d1", "d2").agg(F.min("_row").alias("node"), F.min("id").alias("rep_id"), F.count("*").alias("copies"))
-    members = signed.select("_row", "id", "_id", "_key", "d1", "d2").join(groups.select("d1", "d2", "node"), ["d1", "d2"])
+    members = signed.select("_row", "id", "_id", "_key", "_rest", "d1", "d2").join(groups.select("d1", "d2", "node"), ["d1", "d2"])
     first = signed.select(F.col("_row").alias("node"), "_id", "_key", "sig").join(groups.select("node", "rep_id", "copies"), "node")
-    return Nodes(members.select("_row", "id", "_id", "_key", "node"), durable(first))
+    return Nodes(members.select("_row", "id", "_id", "_key", "_rest", "node"), durable(first))
 
 
 def buckets(n: DataFrame) -> DataFrame:
@@ -151,94 +160,117 @@ def buckets(n: DataFrame) -> DataFrame:
     return all_bands.join(shared, "bucket")
 
 
-def star_pairs(b: DataFrame, turn: int, apart: bool = False) -> DataFrame:
-    """Each bucket's nodes with one of them, chosen by a hash of bucket and node; ``apart``: only where their labels differ."""
-    to = ["node", "label"] if apart else ["node"]
-    lead = b.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("bucket", "node", F.lit(turn)).alias("h"), *to)).alias("lead"))
-    pairs = b.join(lead.select("bucket", *[F.col(f"lead.{c}").alias(f"lead_{c}") for c in to]), "bucket").where(F.col("node") != F.col("lead_node"))
-    if apart:
-        pairs = pairs.where(F.col("label") != F.col("lead_label"))
+def star_pairs(b: DataFrame) -> DataFrame:
+    """Each bucket's nodes with one of them, chosen by a hash of bucket and node."""
+    lead = b.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("bucket", "node").alias("h"), "node")).alias("lead"))
+    pairs = b.join(lead.select("bucket", F.col("lead.node").alias("lead_node")), "bucket").where(F.col("node") != F.col("lead_node"))
     return pairs.select(F.least("node", "lead_node").alias("a"), F.greatest("node", "lead_node").alias("b")).distinct()
 
 
 def mixed_buckets(met: DataFrame, label: DataFrame) -> DataFrame:
-    """(bucket, node, label, n) of the buckets whose n nodes aren't all of one class."""
+    """(bucket, node, label, main) of the buckets whose nodes aren't all of one class; main: the class of most of them."""
     named = met.join(label, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
-    mixed = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo != hi").select("bucket", "n")
+    sizes = named.groupBy("bucket", "label").agg(F.count("*").alias("m"))
+    mixed = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.count("*").alias("k")).where("k > 1").select("bucket", "main")
     return named.join(mixed, "bucket")
 
 
-def prefix_pairs(large: DataFrame, sets: DataFrame, threshold: float, sample_nodes: int = 512, sample_each: int = 4096) -> DataFrame:
-    """(a, b): every pair of nodes of different classes in ``large`` whose sets can reach the threshold, by prefix filtering.
+def bucket_blocks(mixed: DataFrame, sig: DataFrame, sets: DataFrame) -> DataFrame:
+    """(seek, other): pairs of blocks of a bucket, so that every two of its nodes of different classes are in one; other is null where a block is met with itself.
 
-    Under any one order of all shingles, two sets of similarity t share one of
-    their first n - ceil(t n) + 1. Rare ones come first, as a sample of nodes
-    counts them: an edited copy's own edits come before what all copies have,
-    so that copies that drifted apart have too little left where they meet. The sample (at most ``sample_nodes``
-    sets, at most ``sample_each`` of their lowest hashes: 16 MB) moves the
-    order only, never the result. One of a pair is outside the class that most
-    nodes of its bucket belong to; only those search, all others are searched.
+    One of two nodes of different classes is outside the bucket's main class:
+    blocks of those seek, and are met among themselves as on a circle and with
+    the blocks of the main class, which aren't met with each other. So what is
+    sent grows with the nodes times those outside the main class. A bucket may
+    have any number of blocks.
     """
-    sizes = large.groupBy("bucket", "label").agg(F.count("*").alias("m"))
-    main = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("m", "label")).alias("main"))
-    who = large.join(main, "bucket").groupBy("node", "label").agg(F.max((F.col("label") != F.col("main")).cast("int")).alias("seeks"))
-    nodes = durable(who.join(sets, "node"))
-    drawn = nodes.select("shingles", F.xxhash64("node").alias("h")).orderBy("h").limit(sample_nodes).select(F.expr(f"substring(shingles, 1, {8 * sample_each})").alias("s")).collect()
-    common, count = np.unique(np.concatenate([np.frombuffer(r["s"], np.uint64) for r in drawn]), return_counts=True)
-    shared = large.sparkSession.sparkContext.broadcast((common[count > 1], count[count > 1]))
-
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, count = shared.value
+    sides = mixed.join(sets.select("node", "size"), "node").withColumn("seeks", F.col("label") != F.col("main"))
+    sizes = sides.groupBy("bucket").agg(*[F.sum(F.when(F.col("seeks") == s, v)).alias(n) for n, s, v in (("s", True, F.lit(1)), ("s_size", True, F.col("size")), ("t", False, F.lit(1)), ("t_size", False, F.col("size")))])
+    ks, kt = (F.least(F.greatest(F.ceil(F.col(c) / BUCKET_NODES), F.ceil(F.col(f"{c}_size") / BLOCK_SHINGLES)), F.col(c)).cast("int").alias(n) for c, n in (("s", "ks"), ("t", "kt")))
+    dealt = sides.join(sizes.select("bucket", ks, kt), "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("seeks"), F.col("ks")).otherwise(F.col("kt"))).cast("int"))
+    dealt = dealt.drop("size").join(sig.select("node", "sig"), "node").join(sets, "node")
+    blocks = durable(dealt.groupBy("bucket", "ks", "kt", "seeks", "block").agg(F.collect_list(F.struct("node", "label", "sig", "shingles")).alias("held")))
+    seek, main = blocks.where("seeks"), blocks.where("not seeks").select("bucket", "block", F.col("held").alias("other"))
+    gap = F.explode(F.expr("sequence(1, ks div 2)"))
+    sent = seek.where("ks > 1").select("bucket", "ks", "block", "held", gap.alias("gap")).where("gap * 2 < ks or block < gap")
+    sent = sent.select("bucket", ((F.col("block") + F.col("gap")) % F.col("ks")).alias("block"), F.col("held").alias("other"))
+    among = seek.select("bucket", "block", "held").join(sent, ["bucket", "block"]).select("held", "other")
+    across = seek.select("bucket", "held", F.explode(F.expr("sequence(0, kt - 1)")).alias("block")).join(main, ["bucket", "block"]).select("held", "other")
+    return seek.select("held", F.lit(None).cast(blocks.schema["held"].dataType).alias("other")).unionByName(among).unionByName(across)
+
+
+def pruned_places(x: np.ndarray, y: np.ndarray, alive: tuple[np.ndarray, np.ndarray], threshold: float, tolerance: float, step: int = 16) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs (place in x, place in y), those that the comparison of their signatures, ``step`` values at a time, doesn't rule out."""
+    (i, j), matches = alive, np.zeros(len(alive[0]), np.int64)
+    steps = tuple(range(step, HASHES + 1, step))
+    for at, least in zip(steps, least_matches(threshold, tolerance, steps), strict=True):
+        for low in range(0, len(i), 1 << 18):
+            part = slice(low, low + (1 << 18))
+            matches[part] += (x[i[part], at - step : at] == y[j[part], at - step : at]).sum(1)
+        keep = matches >= least
+        i, j, matches = i[keep], j[keep], matches[keep]
+    return i, j
+
+
+def class_bridges(blocks: DataFrame, threshold: float, tolerance: float) -> DataFrame:
+    """(a, b, jaccard, la, lb): links between nodes of different classes, as many as bring a pair of blocks' classes together.
+
+    A pair of blocks gives one link fewer than it has classes at most, however
+    many of its pairs are linked: pairs whose classes are together already are
+    left to the count of links inside a class.
+    """
+
+    def bridge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            token, row, size, place = [], [], [], []
-            for i, s in enumerate(batch.column(3).to_pylist()):
-                u = np.frombuffer(s, np.uint64)
-                at = np.minimum(np.searchsorted(common, u), max(len(common) - 1, 0))
-                rank = np.where(common[at] == u, count[at], 0) if len(common) else np.zeros(len(u), np.int64)
-                keep = np.lexsort((u, rank))[: len(u) - math.ceil(threshold * len(u) - 1e-9) + 1]
-                token.append(u[keep].view(np.int64))
-                row.append(np.full(len(keep), i))
-                size.append(np.full(len(keep), len(u)))
-                place.append(np.arange(len(keep)))
-            if token:
-                own = pa.array(np.concatenate(row))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token)), *[batch.column(k).take(own) for k in range(3)], pa.array(np.concatenate(size), pa.int64()), pa.array(np.concatenate(place), pa.int64())], ["token", "node", "label", "seeks", "size", "place"])
-
-    rows = nodes.select("node", "label", "seeks", "shingles").mapInArrow(prefixes, "token long, node long, label long, seeks int, size long, place long")
-    rows = durable(rows)
-    x = rows.where("seeks = 1").select("token", F.col("node").alias("x"), F.col("label").alias("xl"), F.col("size").alias("xn"), F.col("place").alias("xp"))
-    y = rows.select("token", F.col("node").alias("y"), F.col("label").alias("yl"), F.col("size").alias("yn"), F.col("place").alias("yp"))
-    # at the first shingle they share, what is left of either set must reach the overlap that the threshold asks for
-    left = F.least(F.col("xn") - F.col("xp"), F.col("yn") - F.col("yp"))
-    fit = (F.col("xl") != F.col("yl")) & (left >= (F.col("xn") + F.col("yn")) * (threshold / (1 + threshold)) - 1e-6)
-    return x.join(y, "token").where(fit).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+            for k in range(batch.num_rows):
+                held, other = (batch.column(c)[k].as_py() for c in (0, 1))
+                x, itself = held, other is None
+                y = held if itself else other
+                sx, sy = (np.frombuffer(b"".join(r["sig"] for r in side), "<u4").reshape(-1, HASHES) for side in (x, y))
+                lx, ly = (np.array([r["label"] for r in side], np.int64) for side in (x, y))
+                i, j = pruned_places(sx, sy, np.nonzero(np.triu(lx[:, None] != ly, 1) if itself else lx[:, None] != ly), threshold, tolerance)
+                root: dict[int, int] = {}
+
+                def find(v: int, root: dict[int, int] = root) -> int:
+                    while (up := root.get(v, v)) != v:
+                        v = up
+                    return v
+
+                out = []
+                for a, b in zip(i.tolist(), j.tolist(), strict=True):
+                    p, q = find(int(lx[a])), find(int(ly[b]))
+                    if p != q and (s := jaccard(x[a]["shingles"], y[b]["shingles"])) >= threshold:
+                        root[max(p, q)] = min(p, q)
+                        u, v = (x[a], y[b]) if x[a]["node"] < y[b]["node"] else (y[b], x[a])
+                        out.append((u["node"], v["node"], s, u["label"], v["label"]))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["a", "b", "jaccard", "la", "lb"])
+
+    return blocks.mapInArrow(bridge, "a long, b long, jaccard double, la long, lb long")
+
+
+def jaccard(x: bytes, y: bytes) -> float:
+    """Of two sorted sets of hashes."""
+    u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    both = len(np.intersect1d(u, v, assume_unique=True))
+    return both / (len(u) + len(v) - both)
 
 
 def verified(pairs: DataFrame, n: DataFrame, sets: DataFrame, threshold: float, tolerance: float) -> DataFrame:
     """(a, b, jaccard) of the pairs that reach the threshold: pruned by their signatures step by step, then compared by their sets."""
-    steps = list(range(16, HASHES + 1, 16))
-    least = least_matches(threshold, tolerance, steps)
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u4").reshape(-1, HASHES) for k in (2, 3))
-            alive, matches, done = np.arange(len(x)), np.zeros(len(x), np.int64), 0
-            for step, m in zip(steps, least, strict=True):  # pairs that fall behind aren't compared further
-                matches[alive] += (x[alive, done:step] == y[alive, done:step]).sum(1)
-                alive, done = alive[matches[alive] >= m], step
-            yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(alive)) for k in (0, 1)], ["a", "b"])
+            all_of = np.arange(len(x))
+            alive = pa.array(pruned_places(x, y, (all_of, all_of), threshold, tolerance)[0])
+            yield pa.RecordBatch.from_arrays([batch.column(k).take(alive) for k in (0, 1)], ["a", "b"])
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, out = [], [], []
-            for i, j, x, y in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(u, v, assume_unique=True))
-                if (s := both / (len(u) + len(v) - both)) >= threshold:
-                    a.append(i)
-                    b.append(j)
-                    out.append(s)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(out, pa.float64())], ["a", "b", "jaccard"])
+            s = np.array([jaccard(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)])
+            reach = pa.array(np.flatnonzero(s >= threshold))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(reach) for k in (0, 1)), pa.array(s).take(reach)], ["a", "b", "jaccard"])
 
     def beside(p: DataFrame, table: DataFrame, col: str) -> DataFrame:
         p = p.join(table.select(F.col("node").alias("a"), F.col(col).alias("x")), "a")
@@ -249,17 +281,28 @@ def verified(pairs: DataFrame, n: DataFrame, sets: DataFrame, threshold: float,
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label): the least node of each node's connected component; hooking to the least neighbour, then jumping to the label's label."""
-    both = durable(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = durable(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
+    """(node, label): for each node one node of its connected component, the same for all of the component.
+
+    Each round hooks every vertex to the neighbour (or itself) that hashes
+    lowest in this round, jumps from there to that one's own hook, and
+    contracts: the next round's edges join what is left, without loops and
+    repeats, so that rounds shrink, chains of links too.
+    """
+    labels, left, turn = None, edges.select("a", "b"), 0
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("m"))
-        hooked = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
-        jump = labels.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
-        moved = hooked.join(jump, F.col("label") == F.col("_n"), "left").select("node", "old", F.least("label", F.coalesce("_l", "label")).alias("label"))
-        moved = durable(moved)
-        labels = moved.select("node", "label")
-        if moved.where("old != label").limit(1).count() == 0:
+        order = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("h"), F.col(c).alias("v"))  # noqa: B023, E731
+        both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        hook = both.groupBy("a").agg(F.min(order("b")).alias("m")).select(F.col("a").alias("node"), F.least(order("a"), F.col("m"))["v"].alias("to"))
+        hook = durable(hook)
+        hook = hook.join(hook.select(F.col("node").alias("to"), F.col("to").alias("further")), "to").select("node", F.col("further").alias("to"))
+        if labels is None:
+            labels = hook.withColumnRenamed("to", "label")
+        else:
+            labels = labels.join(hook.select(F.col("node").alias("label"), "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+        ends = [hook.select(F.col("node").alias(c), F.col("to").alias(f"to_{c}")) for c in "ab"]
+        left = left.join(ends[0], "a").join(ends[1], "b").where("to_a != to_b").select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct()
+        left, labels, turn = durable(left), durable(labels), turn + 1
+        if left.isEmpty():
             return labels
 
 
@@ -306,7 +349,7 @@ def class_blocks(named: DataFrame, sets: DataFrame) -> DataFrame:
     dealt = named.select("node", "label").join(F.broadcast(large), "label", "left")
     small = dealt.where("k is null").drop("k").join(sizes.where("k = 1 and ends < m * (m - 1)").select("label", "k"), "label")
     dealt = dealt.where("k is not null").select("node", "label", "k").unionByName(small.select("node", "label", "k"))
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("k")).cast("int")).join(sets, "node")
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("k")).cast("int")).join(sets.select("node", "shingles"), "node")
     blocks = durable(dealt.groupBy("label", "k", "block").agg(F.collect_list(F.struct("node", "shingles")).alias("held")))
     gap = F.explode(F.expr("sequence(1, k div 2)"))
     sent = blocks.where("k > 1").select("label", "k", "block", "held", gap.alias("gap")).where("gap * 2 < k or block < gap")
@@ -358,7 +401,7 @@ def near_duplicates(
 ) -> tuple[DataFrame, DataFrame]:
     """Classes of texts linked by a Jaccard similarity of at least ``threshold`` over runs of ``width`` words.
 
-    Returns the rows (_row, id, _id, _key, class_id, class_row, copies,
+    Returns the rows (_row, id, _id, _key, _rest, class_id, class_row, copies,
     n_links), one for each of ``docs``, and the links between representatives
     (a, b, jaccard). class_id: the least id of the class. copies: rows with
     the same shingle set. n_links: to how many other representatives that set's
@@ -369,10 +412,11 @@ def near_duplicates(
     Rows with equal sets count as one node. Buckets of MinHash bands (a pair
     of similarity s meets with probability 1 - (1 - s^5)^25) are not expanded
     into all pairs: first, each bucket's nodes are compared with one of them,
-    another in each of the 25 bands; large buckets that links haven't brought
-    into one class do so with other leaders. What is still in several classes
-    is compared pair by pair in buckets of 8 nodes at most, and by exact
-    prefix filtering in larger ones, so that no two linked texts stay apart.
+    another in each of the 25 bands. Buckets that links haven't brought into
+    one class are then compared block by block, nodes outside the bucket's
+    main class with all others; signatures are compared and sets verified
+    where the blocks are, and only links that join classes leave them. So no
+    two linked texts that share a bucket stay apart.
 
     Null and empty texts have the set of an empty text and are copies of each
     other; texts without words agree only where equal; repeated rows are
@@ -385,38 +429,27 @@ def near_duplicates(
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(width)
         for batch in by_bytes(batches, "_text", 1 << 21):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle(batch.column(1).to_pylist())], pa.binary())], ["node", "shingles"])
+            found = shingle(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in found], pa.binary()), pa.array([len(s) for s in found], pa.int64())], ["node", "shingles", "size"])
 
     wanted = met.select("node").distinct().join(found.nodes.select("node", "_id", "_key"), "node")
     whole = docs.select(*text_key(text_col, id_col), text(text_col).alias("_text")).join(wanted, ["_id", "_key"]).dropDuplicates(["_id", "_key"])
-    sets = durable(whole.select("node", "_text").mapInArrow(shingles, "node long, shingles binary"))
+    sets = durable(whole.select("node", "_text").mapInArrow(shingles, "node long, shingles binary, size long"))
 
-    links = durable(verified(star_pairs(met, 0), found.nodes, sets, threshold, tolerance))
+    links = durable(verified(star_pairs(met), found.nodes, sets, threshold, tolerance))
     label = components(links)
-    for turn in range(1, ROUNDS):  # large buckets of several classes: other leaders
-        large = mixed_buckets(met, label).where(F.col("n") > SMALL)
-        large = durable(large)
-        if large.isEmpty():
-            break
-        more = verified(star_pairs(large, turn, apart=True), found.nodes, sets, threshold, tolerance)
-        links = durable(links.unionByName(more).dropDuplicates(["a", "b"]))
-        label = components(links)
     mixed = durable(mixed_buckets(met, label))
-    few = mixed.where(F.col("n") <= SMALL)
-    other = few.select("bucket", F.col("node").alias("other"), F.col("label").alias("other_label"))
-    apart = few.join(other, "bucket").where((F.col("node") < F.col("other")) & (F.col("label") != F.col("other_label")))
-    apart = apart.select(F.col("node").alias("a"), F.col("other").alias("b"))
-    large = mixed.where(F.col("n") > SMALL)
-    if not large.isEmpty():
-        apart = apart.unionByName(prefix_pairs(large, sets, threshold))
-    apart = durable(apart.distinct()).join(star_pairs(met, 0), ["a", "b"], "left_anti")
-    more = verified(apart, found.nodes, sets, threshold, tolerance)
-    links = durable(links.unionByName(more).dropDuplicates(["a", "b"]))
-    label = components(links)
+    if not mixed.isEmpty():
+        bridges = durable(class_bridges(bucket_blocks(mixed, found.nodes, sets).repartition(partitions(docs.sparkSession)), threshold, tolerance))
+        merged = components(bridges.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("to"))
+        links = links.unionByName(bridges.select("a", "b", "jaccard")).dropDuplicates(["a", "b"])
+        ends = [bridges.select(F.col(c).alias("node"), F.col(f"l{c}").alias("label")) for c in "ab"]
+        named = label.unionByName(ends[0]).unionByName(ends[1]).distinct()
+        label = durable(named.join(merged, "label", "left").select("node", F.coalesce("to", "label").alias("label")))
 
     degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
     if count:  # pairs inside a class that no step above had to compare
-        named = durable(label.join(degree, "node").join(sets.select("node", (F.length("shingles") / 8).cast("long").alias("size")), "node"))
+        named = durable(label.join(degree, "node").join(sets.select("node", "size"), "node"))
         blocks = class_blocks(named, sets).repartition(partitions(docs.sparkSession))
         whole = class_degrees(blocks, threshold).withColumnRenamed("n_links", "all_links")
         degree = named.select("node", "n_links").join(whole, "node", "left").select("node", F.coalesce("all_links", "n_links").alias("n_links"))
@@ -427,7 +460,7 @@ def near_duplicates(
     classes = found.nodes.select("node", "rep_id", "copies").join(classes, "node", "left").select(
         "node", "copies", F.coalesce("label", "node").alias("class_row"), F.when(F.col("label").isNull(), F.col("rep_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
     )
-    rows = found.members.join(classes, "node").select("_row", "id", "_id", "_key", "class_id", "class_row", "copies", "n_links")
+    rows = found.members.join(classes, "node").select("_row", "id", "_id", "_key", "_rest", "class_id", "class_row", "copies", "n_links")
     return rows, links
 
 
@@ -438,9 +471,10 @@ def similarity_join(docs: DataFrame, id_col: str = "doc_id", **more) -> DataFram
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
-    """``docs`` with one row of each class, the one with the least id (null last)."""
+    """``docs`` with one row of each class, the one with the least id (null last); of rows with one id and text, the one whose other columns hash lowest."""
     rows, _ = near_duplicates(docs, id_col=id_col, text_col=text_col, count=False, **more)
-    stay = rows.groupBy("class_row").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_row", "_id", "_key")).alias("r")).select("r._id", "r._key")
-    keyed = docs.select(*docs.columns, *[c.alias(n) for c, n in zip(text_key(text_col, id_col), ("_keep_id", "_keep_key"), strict=True)])
-    stay = stay.select(F.col("_id").alias("_keep_id"), F.col("_key").alias("_keep_key"))
-    return keyed.join(stay, ["_keep_id", "_keep_key"], "left_semi").dropDuplicates(["_keep_id", "_keep_key"]).drop("_keep_id", "_keep_key")
+    key = ["_id", "_key", "_rest"]
+    stay = rows.groupBy("class_row").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", *key)).alias("r")).select(*[F.col(f"r.{k}") for k in key])
+    whole = docs.select(F.struct(*[column(c) for c in docs.columns]).alias("doc"), *text_key(text_col, id_col), rest_key(docs, id_col, text_col))
+    kept = whole.join(stay, key, "left_semi").dropDuplicates(key)
+    return kept.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])

@@ -100,7 +100,7 @@ def test_odd_rows(spark):
 
 
 def test_pruning_keeps_what_can_still_reach_the_threshold():
-    steps = [16, 64, 128]
+    steps = (16, 64, 128)
     least = jaccard.least_matches(0.8, 1e-5, steps)
     for n, m in zip(steps, least, strict=True):
         tail = lambda k: sum(math.comb(n + 1, i) * 0.8**i * 0.2 ** (n + 1 - i) for i in range(k + 1))
