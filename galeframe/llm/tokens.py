@@ -6,20 +6,21 @@ import os
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from galeframe.llm.common import by_bytes, text
+from galeframe.llm.common import by_bytes, column, text
 
 #: White space other than blank, tab, line feed and carriage return, by anyone's definition.
-_ODD_SPACE = [chr(c) for c in (0x0B, 0x0C, 0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF)]
+ODD_SPACE = [chr(c) for c in (0x0B, 0x0C, 0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF)]
 _UNIT = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
 _BOUNDARY = re.compile("(?<=[^\\s᠎​⁠﻿])(?=[ \t\n\r])")
 
 
 def _odd(whole: str) -> bool:
-    return any(c in whole for c in (_ODD_SPACE[:6] if whole.isascii() else _ODD_SPACE))
+    return any(c in whole for c in (ODD_SPACE[:6] if whole.isascii() else ODD_SPACE))
 
 
 def safe_units(whole: str) -> list[str]:
@@ -36,13 +37,20 @@ def visible_units(whole: str) -> list[str]:
     return [u.strip(" \t\n\r") for u in _BOUNDARY.split(whole)] if _odd(whole) else whole.split()
 
 
+#: Letters that every vocabulary's pre-tokenizer keeps together, that NFC leaves alone and that have one lower-case letter: Latin up to Extended-B without the capital dotted I.
+_PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
+#: Marks that end a unit: between a plain letter and these every pre-tokenizer cuts. Not among them: apostrophes, which begin contractions, and the characters of special tokens.
+_MARKS = ".,;:!?&#*%$)]}+=-_/@~^\""
+
+
 class UnitEncoder:
     """Encodes units in batches balanced by bytes and remembers the short ones, ``entries`` at most.
 
-    A unit that ends in a Latin letter and closing marks is encoded as the part
-    up to the letter and the marks, between which every pre-tokenizer of the
-    public vocabularies cuts. ``lower``: the vocabulary lower-cases, so ASCII
-    parts are looked up in lower case.
+    A unit that ends in a plain letter and closing marks is encoded as the part
+    up to the letter and the marks. ``lower``: the vocabulary lower-cases and
+    drops white space, so words of plain letters are looked up in lower case
+    and many are encoded as one text, whose ids are cut after the tokens that
+    end words.
     """
 
     def __init__(self, vocabulary: str, of, entries: int, batch_bytes: int, lower: bool = False) -> None:
@@ -50,21 +58,31 @@ class UnitEncoder:
 
         self.tokenizer, self.of, self.entries, self.batch_bytes, self.lower = Tokenizer.from_str(vocabulary), of, entries, batch_bytes, lower
         self.known: dict = {}
+        self.ends = None
+        if lower:
+            tokens = self.tokenizer.get_vocab()
+            self.ends = np.zeros(max(tokens.values()) + 1, bool)
+            self.ends[[i for t, i in tokens.items() if t.endswith("</w>")]] = True
 
     def _learn(self, fresh: set[str]) -> None:
-        parts, need = [], set()
+        parts, need, words = [], set(), set()
         for u in fresh:
-            body = u.rstrip(".,;:!?")
-            if len(body) == len(u) or not body or not (body[-1].isalpha() and body[-1] < "\u0250"):
+            body = u.rstrip(_MARKS)
+            if not body or not _PLAIN.fullmatch(body[-1]):
                 body = u
-            key = body.lower() if self.lower and body.isascii() and "<" not in body else body
-            parts.append((u, key, u[len(body) :]))
-            need.add(key)
-            need.add(u[len(body) :])
-        got = self._encode(list(need.difference(self.known)))
+            if self.lower and _PLAIN.fullmatch(body):
+                body = body.lower()
+                words.add(body)
+            else:
+                need.add(body)
+            marks = u[len(body) :]
+            parts.append((u, body, marks))
+            need.add(marks)
         known = self.known
-        for u, key, marks in parts:
-            value = got[key] if key in got else known[key]
+        got = self._encode(list(need.difference(known)))
+        got.update(self._encode_words(list(words.difference(known))))
+        for u, body, marks in parts:
+            value = got[body] if body in got else known[body]
             known[u] = value + (got[marks] if marks in got else known[marks]) if marks else value
         known.update((u, g) for u, g in got.items() if len(u) <= 48)
 
@@ -72,13 +90,26 @@ class UnitEncoder:
         out, batch, total = {}, [], 0
         for u in [*units, None]:
             if batch and (u is None or total + len(u) > self.batch_bytes):
-                out.update(zip(batch, map(self.of, self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)), strict=True))
+                ids = (e.ids for e in self.tokenizer.encode_batch_fast(batch, add_special_tokens=False))
+                out.update(zip(batch, map(self.of, ids), strict=True))
                 batch, total = [], 0
             if u is not None:
                 batch.append(u)
                 total += len(u)
         return out
 
+    def _encode_words(self, words: list[str], each: int = 500) -> dict:
+        out = {}
+        for at in range(0, len(words), each):
+            some = words[at : at + each]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, np.int64)
+            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(cuts) == len(some) and cuts[-1] == len(ids):
+                out.update((w, self.of(ids[i:j])) for w, i, j in zip(some, [0, *cuts], cuts, strict=False))
+            else:
+                out.update(self._encode(some))
+        return out
+
     def __call__(self, units: list[str]) -> list:
         distinct = set(units)
         fresh = distinct.difference(self.known)
@@ -135,5 +166,5 @@ def token_counts(
             yield pa.RecordBatch.from_arrays([ids, size, pa.array(out, pa.int64())], ["_id", "n_bytes", "n_tokens"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("_id"), F.octet_length(text(text_col)).cast("long").alias("n_bytes"), text(text_col).alias("_text"))
+    rows = docs.select(column(id_col).alias("_id"), F.octet_length(text(text_col)).cast("long").alias("n_bytes"), text(text_col).alias("_text"))
     return rows.mapInArrow(count, f"_id {kind}, n_bytes long, n_tokens long").withColumnRenamed("_id", id_col)

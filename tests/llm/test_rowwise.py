@@ -1,10 +1,12 @@
 """Token counts, media, toxicity, licences, sharding and packing against brute force, on the small tables and on odd rows."""
 
 import hashlib
+import random
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from galeframe.llm import licenses, media, packing, queries, sharding, tokens, toxicity
@@ -90,30 +92,56 @@ def test_packing_of_odd_rows(spark):
     assert packing.pack_documents(empty(spark), pub.path("word_bpe_49k.json")).count() == 0
 
 
-def test_best_fit_is_best_fit_decreasing():
+def best_fit_decreasing(lengths, capacity):
+    gaps = []
+    for n in sorted(lengths, reverse=True):
+        fits = [g for g in gaps if g >= n]
+        if fits:
+            gaps.remove(min(fits))
+            gaps.append(min(fits) - n)
+        else:
+            gaps.append(capacity - n)
+    return len(gaps)
+
+
+def test_bulk_best_fit_is_near_best_fit_decreasing(spark):
     rng = np.random.default_rng(3)
-    for _ in range(30):
-        lengths = rng.integers(1, 41, rng.integers(1, 200)).tolist()
-        gaps = []
-        for n in sorted(lengths, reverse=True):
-            fits = [g for g in gaps if g >= n]
-            if fits:
-                gaps.remove(min(fits))
-                gaps.append(min(fits) - n)
-            else:
-                gaps.append(40 - n)
-        runs = packing.best_fit(Counter(lengths), 40)
-        placed = defaultdict(list)
-        for length, _rank, n, first, each, offset in runs:
-            for i in range(n):
-                placed[first + i // each].append((offset + i % each * length, length))
+    for high, n, capacity in ((41, 150, 40), (400, 300, 1000), (3, 200, 40), (700, 120, 1000)):
+        lengths = rng.integers(1, high, n).tolist()
+        runs = packing.best_fit(spark.createDataFrame(list(Counter(lengths).items()), "length long, n long"), capacity).collect()
+        placed, ranks = defaultdict(list), defaultdict(list)
+        for r in runs:
+            for i in range(r["n"] * r["each"]):
+                placed[r["sequence"] + i // r["each"]].append((capacity - r["gap"] + i % r["each"] * r["length"], r["length"]))
+                ranks[r["length"]].append(r["rank"] + i)
+        assert {k: sorted(v) for k, v in ranks.items()} == {k: list(range(c)) for k, c in Counter(lengths).items()}
         for parts in placed.values():
             at = 0
             for offset, length in sorted(parts):
                 assert offset == at
                 at += length
-            assert at <= 40
-        assert sorted(40 - sum(p[1] for p in parts) for parts in placed.values()) == sorted(gaps)
+            assert at <= capacity
+        assert sorted(placed) == list(range(len(placed)))
+        assert len(placed) <= best_fit_decreasing(lengths, capacity) + 1
+
+
+def test_ids_of_all_latin_letters():
+    """Words of all letters up to U+024F with marks, contractions, special strings and odd spaces: ids as the library gives them."""
+    rng = random.Random(3)
+    letters = [chr(c) for c in range(0x41, 0x250) if chr(c).isalpha()] + list("\u0130\u0130\u03a3\u03c2\ufb01\u6f22\u04390123")
+    marks = list(".,;:!?&#*%$)]}+=-_/@~^\"'")
+    word = lambda: "".join(rng.choices(letters, k=rng.randint(0, 6))) + "".join(rng.choices(marks, k=rng.choice([0, 0, 1, 2, 4]))) + rng.choice(["", "'s", "\u0301", "<|endoftext|>", ""])
+    texts = [" ".join(word() for _ in range(rng.randint(0, 12))) + rng.choice(["", " ", "\t x", "\u0085"]) for _ in range(8000)] + ["\u0130.", "", "  "]
+    for name, lower in (("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)):
+        encode = tokens.UnitEncoder(open(pub.path(name)).read(), packing.id_bytes if lower else len, 1 << 20, 1 << 16, lower)
+        for at in range(0, len(texts), 1000):
+            some = texts[at : at + 1000]
+            want = [e.ids for e in whole(name).encode_batch(some, add_special_tokens=False)]
+            if lower:
+                ids, ends = packing.ids_of(packing.words_of(pa.array(some)), encode)
+                assert [p.tolist() for p in np.split(ids, ends)[:-1]] == want
+            else:
+                assert [sum(encode(tokens.safe_units(t))) for t in some] == list(map(len, want))
 
 
 def test_media_round_trip(spark, sf, docs):
