@@ -168,10 +168,13 @@ def star_pairs(b: DataFrame) -> DataFrame:
 
 
 def mixed_buckets(met: DataFrame, label: DataFrame) -> DataFrame:
-    """(bucket, node, label, main) of the buckets whose nodes aren't all of one class; main: the class of most of them."""
+    """(bucket, node, label, main) of the buckets whose nodes aren't all of one class; main: the class of most of them.
+
+    The one pair of a bucket of two nodes was compared as that of its leader.
+    """
     named = met.join(label, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
     sizes = named.groupBy("bucket", "label").agg(F.count("*").alias("m"))
-    mixed = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.count("*").alias("k")).where("k > 1").select("bucket", "main")
+    mixed = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.count("*").alias("k"), F.sum("m").alias("n")).where("k > 1 and n > 2").select("bucket", "main")
     return named.join(mixed, "bucket")
 
 
