@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from galeframe.llm.common import durable, text
+from galeframe.llm.common import by_bytes, column, durable, text
 
 END = b""  # no word is empty
 CLASSES, EACH, TAILS = 64, 64, 64
@@ -23,9 +23,19 @@ LONGEST = 64  # bytes of a word of the broadcast head
 LOG10 = float(np.log(10))
 
 
-def words(whole: str) -> list[bytes]:
-    """Runs of characters other than ASCII white space, A-Z in lower case."""
-    return whole.encode().lower().split()
+def coded(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(distinct words, place of each word of all texts among them, number of words of each text).
+
+    Words are runs of characters other than ASCII white space, A-Z in lower case.
+    """
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    flat = split.flatten().dictionary_encode()
+    distinct, at, ends = flat.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist(), flat.indices.to_numpy(), split.offsets.to_numpy()
+    ends = ends - ends[0]
+    if b"" in distinct:  # beside white space at an end of a text
+        keep = at != distinct.index(b"")
+        at, ends = at[keep], np.concatenate([[0], np.cumsum(keep)])[ends]
+    return distinct, at, np.diff(ends)
 
 
 def tail_class(word: bytes) -> int:
@@ -33,26 +43,37 @@ def tail_class(word: bytes) -> int:
     return zlib.crc32(word[-3:]) % TAILS
 
 
-def word_counts(docs: DataFrame, learn: Column, text_col: str = "text", flush: int = 400_000) -> DataFrame:
-    """(token, cls, train, total) over all rows: occurrences where ``learn`` holds, and all; the end of a text is the empty token."""
+def word_counts(docs: DataFrame, learn: Column, text_col: str = "text", batch_bytes: int = 1 << 22, flush: int = 1 << 20) -> DataFrame:
+    """(token, cls, train, total) over all rows: occurrences where ``learn`` holds, and all; the end of a text is the empty token.
+
+    A task sums its slices' counts whenever they have ``flush`` rows.
+    """
+    names = ["token", "train", "total"]
+
+    def merged(parts: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(parts).group_by("token").aggregate([("train", "sum"), ("total", "sum")]).select(["token", "train_sum", "total_sum"]).rename_columns(names)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> pa.RecordBatch:
-            keys = list(set(train) | set(rest))
-            n = [train[k] for k in keys]
-            total = [a + rest[k] for a, k in zip(n, keys, strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([tail_class(k) for k in keys], pa.int32()), pa.array(n, pa.int64()), pa.array(total, pa.int64())], ["token", "cls", "train", "total"])
-
-        train, rest = Counter(), Counter()
-        for batch in batches:
-            for learns, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = train if learns else rest
-                own.update(words(t))
-                own[END] += 1
-                if len(train) + len(rest) > flush:
+            t = merged(parts)
+            cls = pa.array([tail_class(k) for k in t.column("token").to_pylist()], pa.int32())
+            return pa.RecordBatch.from_arrays([t.column("token").combine_chunks(), cls, t.column("train").combine_chunks(), t.column("total").combine_chunks()], ["token", "cls", "train", "total"])
+
+        parts: list[pa.Table] = []
+        for batch in by_bytes(batches, "_text", batch_bytes):
+            distinct, at, size = coded(batch.column(1))
+            learns = batch.column(0).to_numpy(zero_copy_only=False).astype(bool)
+            train, total = np.bincount(at[np.repeat(learns, size)], minlength=len(distinct)), np.bincount(at, minlength=len(distinct))
+            used = np.flatnonzero(total)
+            tokens = pa.array([*(distinct[i] for i in used), END], pa.binary())
+            parts.append(pa.table([tokens, pa.array(np.append(train[used], learns.sum()), pa.int64()), pa.array(np.append(total[used], len(learns)), pa.int64())], names))
+            if sum(p.num_rows for p in parts) > flush:
+                parts = [merged(parts)]
+                if parts[0].num_rows > flush // 2:
                     yield out()
-                    train, rest = Counter(), Counter()
-        yield out()
+                    parts = []
+        if parts:
+            yield out()
 
     rows = docs.select(learn.alias("_learn"), text(text_col).alias("_text"))
     return rows.mapInArrow(count, "token binary, cls int, train long, total long").groupBy("token", "cls").agg(F.sum("train").alias("train"), F.sum("total").alias("total"))
@@ -154,66 +175,79 @@ def run_window(p: dict, x: np.ndarray, start: np.ndarray, h: np.ndarray, keep: b
     return (out, h, parts) if keep else (out, h)
 
 
-def by_class(y: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(class, rows whose target is one of its words)."""
+def by_class(y: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """(order of the targets by class, (class, from, to) in that order for the classes whose words have outputs)."""
     cls = np.where(y < WORDS, y // EACH, CLASSES)
     order = np.argsort(cls, kind="stable")
-    ends = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-    for k in range(CLASSES):
-        if ends[k] < ends[k + 1]:
-            yield k, order[ends[k] : ends[k + 1]]
+    ends = np.searchsorted(cls[order], np.arange(CLASSES + 1)).tolist()
+    return order, [(k, ends[k], ends[k + 1]) for k in range(CLASSES) if ends[k] < ends[k + 1]]
 
 
 def target_logs(p: dict, h: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Natural log probability of each target: of its class, and of the word within the class where it has an output of its own."""
     cls = np.where(y < WORDS, y // EACH, CLASSES + y - WORDS)
-    a = h @ p["Wc"] + p["bc"]
+    a = h @ p["Wc"]
+    a += p["bc"]
     a -= a.max(1, keepdims=True)
-    out = a[np.arange(len(y)), cls] - np.log(np.exp(a).sum(1))
-    for k, rows in by_class(y):
-        b = h[rows] @ p["Wi"][k] + p["bi"][k]
+    out = a[np.arange(len(y)), cls] - np.log(np.exp(a, out=a.copy()).sum(1))
+    order, parts = by_class(y)
+    hs, ys, inner = h[order], y[order], np.zeros(len(y), out.dtype)
+    for k, i, j in parts:
+        b = hs[i:j] @ p["Wi"][k]
+        b += p["bi"][k]
         b -= b.max(1, keepdims=True)
-        out[rows] += b[np.arange(len(rows)), y[rows] - k * EACH] - np.log(np.exp(b).sum(1))
+        inner[i:j] = b[np.arange(j - i), ys[i:j] - k * EACH]
+        inner[i:j] -= np.log(np.exp(b, out=b).sum(1))
+    out[order] += inner
     return out
 
 
-def gradients(p: dict, x: np.ndarray, y: np.ndarray, start: np.ndarray, real: np.ndarray, h: np.ndarray):
-    """Mean loss gradients of a window, backpropagated to its first input and no further, and the state after it."""
+def gradients(p: dict, x: np.ndarray, y: np.ndarray, start: np.ndarray, h: np.ndarray):
+    """Mean loss gradients of a window, backpropagated to its first input and no further, and the state after it; that of E as (rows, values)."""
     states, last, parts = run_window(p, x, start, h, keep=True)
-    flat, yy, mask = states.reshape(-1, HIDDEN), y.ravel(), real.ravel().astype(np.float32)
-    scale = mask / max(1.0, mask.sum())
-    g = {k: np.zeros(s, np.float32) for k, s in SHAPES.items()}
-    cls = np.where(yy < WORDS, yy // EACH, CLASSES + yy - WORDS)
-    a = flat @ p["Wc"] + p["bc"]
-    a = np.exp(a - a.max(1, keepdims=True))
-    a /= a.sum(1, keepdims=True)
-    a[np.arange(len(yy)), cls] -= 1
-    a *= scale[:, None]
-    g["Wc"], g["bc"] = flat.T @ a, a.sum(0)
+    flat, yy = states.reshape(-1, HIDDEN), y.ravel()
+    n = len(yy)
+    scale, every = flat.dtype.type(1 / n), np.arange(n)
+    a = flat @ p["Wc"]
+    a += p["bc"]
+    a -= a.max(1, keepdims=True)
+    np.exp(a, out=a)
+    a *= scale / a.sum(1, keepdims=True)
+    a[every, np.where(yy < WORDS, yy // EACH, CLASSES + yy - WORDS)] -= scale
+    g = {"Wc": flat.T @ a, "bc": a.sum(0), "Wi": np.zeros_like(p["Wi"]), "bi": np.zeros_like(p["bi"]), "U": np.zeros_like(p["U"])}
     d = a @ p["Wc"].T
-    for k, rows in by_class(yy):
-        f = flat[rows]
-        b = f @ p["Wi"][k] + p["bi"][k]
-        b = np.exp(b - b.max(1, keepdims=True))
-        b /= b.sum(1, keepdims=True)
-        b[np.arange(len(rows)), yy[rows] - k * EACH] -= 1
-        b *= scale[rows, None]
-        g["Wi"][k], g["bi"][k] = f.T @ b, b.sum(0)
-        d[rows] += b @ p["Wi"][k].T
+    order, classes = by_class(yy)
+    fs, ys, ds = flat[order], yy[order], np.zeros_like(flat)
+    for k, i, j in classes:
+        b = fs[i:j] @ p["Wi"][k]
+        b += p["bi"][k]
+        b -= b.max(1, keepdims=True)
+        np.exp(b, out=b)
+        b *= scale / b.sum(1, keepdims=True)
+        b[np.arange(j - i), ys[i:j] - k * EACH] -= scale
+        g["Wi"][k], g["bi"][k] = fs[i:j].T @ b, b.sum(0)
+        ds[i:j] = b @ p["Wi"][k].T
+    d[order] += ds
     d, dh = d.reshape(states.shape), np.zeros_like(h)
-    gates = np.empty((*x.shape, 3 * HIDDEN), np.float32)
+    gates = np.empty((*x.shape, 3 * HIDDEN), flat.dtype)
     for t in reversed(range(len(x))):
-        before, un, r, z, n = parts[t]
-        dh = dh + d[t]
-        dn = dh * (1 - z) * (1 - n * n)
-        dz = dh * (before - n) * z * (1 - z)
-        dr = dn * un * r * (1 - r)
-        gates[t] = np.concatenate([dr, dz, dn], 1)
-        du = np.concatenate([dr, dz, dn * r], 1)
+        before, un, r, z, new = parts[t]
+        dh += d[t]
+        dn = dh * (1 - z)
+        dn *= 1 - new * new
+        gate = gates[t]
+        gate[:, :HIDDEN] = dn * un * r * (1 - r)
+        gate[:, HIDDEN : 2 * HIDDEN] = dh * (before - new) * z * (1 - z)
+        gate[:, 2 * HIDDEN :] = dn
+        du = gate.copy()
+        du[:, 2 * HIDDEN :] *= r
         g["U"] += before.T @ du
         dh = dh * z + du @ p["U"].T
-        dh[start[t]] = 0
-    np.add.at(g["E"], x.ravel(), gates.reshape(-1, 3 * HIDDEN))
+        if start[t].any():
+            dh[start[t]] = 0
+    order = np.argsort(x.ravel(), kind="stable")
+    rows, first = np.unique(x.ravel()[order], return_index=True)
+    g["E"] = (rows, np.add.reduceat(gates.reshape(-1, 3 * HIDDEN)[order], first, axis=0))
     return g, last
 
 
@@ -250,29 +284,43 @@ def inputs(y: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x, start
 
 
-def train_shard(p: dict, texts: list[np.ndarray], epochs: int, rate: float, window: int = 32, width: int = 64) -> dict:
-    """Adam over the shard's texts in ``width`` lanes, ``window`` steps at a time, the state carried on."""
+def train_shard(p: dict, texts: list[np.ndarray], rate: float, epochs: int = 1, window: int = 16, width: int = 128, longest: int = 1024) -> dict:
+    """Adam over the shard's texts in ``width`` lanes, ``window`` steps at a time, the state carried on; lanes that have ended are dropped.
+
+    Texts of over ``longest`` words are cut, so that the lanes end together;
+    all parts are trained on. Rows of E move with the windows that use them.
+    """
     p = {k: v.copy() for k, v in p.items()}
     if not texts:
         return p
-    y, doc, _ = grid(texts, width)
+    texts = [t[at : at + longest] for t in texts for at in range(0, len(t), longest)]
+    y, doc, size = grid(texts, width)
     x, start = inputs(y, doc)
+    ends = sorted({*size.tolist(), *range(0, len(y), window)})  # a window has the same lanes throughout
     m, v, step = {k: np.zeros_like(a) for k, a in p.items()}, {k: np.zeros_like(a) for k, a in p.items()}, 0
-    total = epochs * -(-len(y) // window)
+    total = epochs * len(ends)
     for _ in range(epochs):
         h = np.zeros((y.shape[1], HIDDEN), np.float32)
-        for at in range(0, len(y), window):
-            part = slice(at, at + window)
-            g, h = gradients(p, x[part], y[part], start[part], doc[part] >= 0, h)
+        for at, to in zip(ends, ends[1:], strict=False):
+            n = int((size > at).sum())
+            g, h = gradients(p, x[at:to, :n], y[at:to, :n], start[at:to, :n], h[:n])
             step += 1
-            norm = float(np.sqrt(sum((a * a).sum() for a in g.values())))
+            norm = float(np.sqrt(sum(float(np.vdot(a, a)) for a in (b[1] if k == "E" else b for k, b in g.items()))))
             shrink = np.float32(min(1.0, 1.0 / (norm + 1e-9)))
             lr = np.float32(rate * (1 - 0.9 * step / total) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step))
             for k, a in g.items():
-                a *= shrink
-                m[k] += np.float32(0.1) * (a - m[k])
-                v[k] += np.float32(0.001) * (a * a - v[k])
-                p[k] -= lr * m[k] / (np.sqrt(v[k]) + np.float32(1e-7))
+                at_rows, a = a if k == "E" else (slice(None), a)
+                a = a * shrink
+                mk, vk = m[k][at_rows], v[k][at_rows]
+                mk += np.float32(0.1) * (a - mk)
+                vk += np.float32(0.001) * (a * a - vk)
+                move = np.sqrt(vk)
+                move += np.float32(1e-7)
+                np.divide(mk, move, out=move)
+                move *= lr
+                p[k][at_rows] -= move
+                if k == "E":
+                    m[k][at_rows], v[k][at_rows] = mk, vk
     return p
 
 
@@ -289,16 +337,16 @@ def unpack(data: bytes) -> dict:
     return out
 
 
-def token_ids(lex: Lexicon, known: dict[bytes, int], toks: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """(places in the head or -1, model ids with the end, words outside the head)."""
-    at = np.fromiter(map(known.get, toks, repeat(-1)), np.int32, len(toks))
-    ids = np.zeros(len(toks) + 1, np.int32)
-    ids[:-1] = lex.model_id[at]
-    out = np.flatnonzero(at < 0)
-    tails = [toks[i] for i in out]
-    if tails:
-        ids[out] = [WORDS + tail_class(t) for t in tails]
-    return at, ids, tails
+def token_ids(lex: Lexicon, known: dict[bytes, int], texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(distinct words, their places in the head or -1, place of each word among them, number of words of each text, model ids of each text with its end)."""
+    distinct, at, size = coded(texts)
+    head = np.fromiter(map(known.get, distinct, repeat(-1)), np.int64, len(distinct))
+    model = lex.model_id[head].astype(np.int32)
+    far = np.flatnonzero(head < 0)
+    model[far] = [WORDS + tail_class(distinct[i]) for i in far]
+    ids = np.zeros(len(at) + len(size), np.int32)  # ends are 0
+    ids[np.arange(len(at)) + np.repeat(np.arange(len(size)), size)] = model[at]
+    return distinct, head, at, size, np.split(ids, np.cumsum(size + 1)[:-1])
 
 
 _KNOWN: list = []
@@ -312,33 +360,29 @@ def places(shared) -> tuple[Lexicon, dict[bytes, int]]:
     return lex, _KNOWN[1]
 
 
-def fit(docs: DataFrame, lex: Lexicon, shared, learn: Column, id_col: str, text_col: str, base_tokens: int, share: float, shard_tokens: int, rounds: int, seed: int) -> dict:
-    """Parallel stochastic gradient descent: in each round every shard trains on its part of the texts from the mean of the round before.
+def fit(docs: DataFrame, lex: Lexicon, shared, learn: Column, id_col: str, text_col: str, shard_tokens: int, rounds: int, seed: int) -> dict:
+    """Parallel stochastic gradient descent over all training texts: in each round every shard trains on its part of them from the mean of the round before.
 
-    Trains on about ``base_tokens`` and a further ``share`` of all training
-    tokens, as whole texts drawn by a hash of the id: the sample grows with
-    the corpus, and so does the number of shards, of ``shard_tokens`` each. A
+    Every training text takes part once. Texts are dealt by a hash of id and
+    text to rounds and, within a round, to shards of about ``shard_tokens`` of
+    all rounds together, so that the number of shards grows with the corpus. A
     shard is a task; models are averaged by groups of 16 until 16 are left.
     """
     p = fresh(lex, seed)
     if not lex.total:
         return p
-    wanted = min(1.0, share + base_tokens / lex.total)
-    sample = lex.total * wanted
-    shards = max(1, round(sample / shard_tokens))
-    epochs = int(np.clip(round(base_tokens / sample), 1, 3))
-    h = F.xxhash64(id_col, text(text_col), F.lit(seed))
-    unit = F.pmod(h, F.lit(1 << 30)) / F.lit(float(1 << 30))
+    shards = max(1, round(lex.total / shard_tokens))
+    h = F.xxhash64(column(id_col), text(text_col), F.lit(seed))
     key = F.xxhash64(h)
-    rows = docs.where(learn & (unit < wanted)).select(F.pmod(key, F.lit(shards)).alias("shard"), F.pmod(F.shiftright(key, 40), F.lit(rounds)).cast("int").alias("turn"), text(text_col).alias("_text"))
+    rows = docs.where(learn).select(F.pmod(key, F.lit(shards)).alias("shard"), F.pmod(F.shiftright(key, 40), F.lit(rounds)).cast("int").alias("turn"), text(text_col).alias("_text"))
     spark = docs.sparkSession
     for turn in range(rounds):
         given = spark.sparkContext.broadcast(pack(p))
 
         def learn_shard(table: pa.Table) -> pa.Table:
             lex, known = places(shared)
-            texts = [token_ids(lex, known, words(t))[1] for t in sorted(table.column("_text").to_pylist())]
-            got = train_shard(unpack(given.value), texts, epochs, 0.01)
+            texts = [ids for part in table.sort_by("_text").column("_text").chunks for ids in token_ids(lex, known, part)[4]]
+            got = train_shard(unpack(given.value), texts, 0.01)
             return pa.table({"shard": table.column("shard")[:1].combine_chunks(), "weight": pa.array([float(sum(map(len, texts)))]), "model": pa.array([pack(got)], pa.binary())})
 
         def mean(table: pa.Table) -> pa.Table:
@@ -378,8 +422,8 @@ def score_texts(p: dict, texts: list[np.ndarray], width: int = 256, window: int
 
 
 def lm_scores(
-    docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", head: int = 1 << 18, base_tokens: int = 1_500_000, share: float = 1 / 64,
-    shard_tokens: int = 2_000_000, rounds: int = 2, chunk_tokens: int = 1_500_000, seed: int = 5,
+    docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", head: int = 1 << 18,
+    shard_tokens: int = 2_000_000, rounds: int = 2, batch_bytes: int = 1 << 23, seed: int = 5,
 ) -> DataFrame:
     """(id, n_tokens, n_known, train_tokens, base_score, score) for every row; ``learn`` says which rows the counts and the model learn from.
 
@@ -387,7 +431,8 @@ def lm_scores(
     word is given by its class and its place in the class, or, beyond the
     ``WORDS`` commonest, by its ending's class and its share among the
     training words of that class, where one more stands for all unseen ones.
-    Counts of all words are kept. The ``head`` commonest of at most 64 bytes
+    Counts of all words are kept, and the model trains on every text of
+    ``learn`` once. The ``head`` commonest of at most 64 bytes
     (thus 16 MB) are broadcast; the counts of others are joined by word, where
     none is frequent.
 
@@ -400,46 +445,35 @@ def lm_scores(
     counts = durable(word_counts(docs, learn, text_col))
     lex = lexicon(counts, head)
     shared = spark.sparkContext.broadcast(lex)
-    model = spark.sparkContext.broadcast(pack(fit(docs, lex, shared, learn, id_col, text_col, base_tokens, share, shard_tokens, rounds, seed)))
+    model = spark.sparkContext.broadcast(pack(fit(docs, lex, shared, learn, id_col, text_col, shard_tokens, rounds, seed)))
     names = ["row", "_id", "own", "token", "n", "n_tokens", "n_known", "base", "score"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex, known = places(shared)
         p = unpack(model.value)
         base = np.log10(lex.train + 0.5) - lex.log_base
-        seen = lex.train > 0
-
-        def out() -> pa.RecordBatch:
-            logs = score_texts(p, texts) / LOG10 + np.array([f[2] for f in facts])
-            k, m = len(keys), len(tails)
-            nothing = [pa.array([0] * m, pa.int64()), pa.array([0] * m, pa.int64()), pa.array([0.0] * m, pa.float64()), pa.array([0.0] * m, pa.float64())]
-            mine = [pa.array([f[0] for f in facts], pa.int64()), pa.array([f[3] for f in facts], pa.int64()), pa.array([f[1] for f in facts], pa.float64()), pa.array(logs, pa.float64())]
-            kind = batch.schema.field("_id").type
-            return pa.RecordBatch.from_arrays([
-                pa.array([r for r, _ in keys] + [t[0] for t in tails], pa.int64()), pa.array([i for _, i in keys] + [None] * m, kind), pa.array([True] * k + [False] * m),
-                pa.array([str(r).encode() for r, _ in keys] + [t[1] for t in tails], pa.binary()), pa.array([0] * k + [t[2] for t in tails], pa.int64()),
-                *(pa.concat_arrays([a, b]) for a, b in zip(mine, nothing, strict=True)),
+        seen = (lex.train > 0).astype(np.int64)
+        for batch in by_bytes(batches, "_text", batch_bytes):
+            distinct, head, at, size, texts = token_ids(lex, known, batch.column(2))
+            doc, near = np.repeat(np.arange(len(size)), size), head >= 0
+            by_text = lambda values: np.bincount(doc, weights=values[at], minlength=len(size))  # noqa: B023, E731
+            tail = np.array([0 if n else tail_class(w) for w, n in zip(distinct, near, strict=True)], np.int64)
+            base_sum = by_text(np.where(near, base[head], -lex.log_base)) + base[0]
+            extra = by_text(np.where(near, lex.extra[head], -lex.tail_log[tail]))
+            n_known = by_text(np.where(near, seen[head], 0)).astype(np.int64) + seen[0]
+            logs = score_texts(p, texts) / LOG10 + extra
+            far = ~near[at]
+            pair, n = np.unique(doc[far] * len(distinct) + at[far], return_counts=True)
+            row = batch.column(0).to_numpy()
+            mine, m = np.zeros(len(pair), np.int64), len(pair)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.concatenate([row, row[pair // max(len(distinct), 1)]])), pa.concat_arrays([batch.column(1), pa.nulls(m, batch.column(1).type)]), pa.array([True] * len(row) + [False] * m),
+                pa.array([*(str(r).encode() for r in row.tolist()), *(distinct[i] for i in (pair % max(len(distinct), 1)).tolist())], pa.binary()), pa.array(np.concatenate([np.zeros(len(row), np.int64), n])),
+                pa.array(np.concatenate([size + 1, mine])), pa.array(np.concatenate([n_known, mine])), pa.array(np.concatenate([base_sum, mine])), pa.array(np.concatenate([logs, mine])),
             ], names)
 
-        keys, texts, facts, tails, size = [], [], [], [], 0
-        for batch in batches:
-            for row, key, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                at, ids, far = token_ids(lex, known, words(t))
-                near = at[at >= 0]
-                lost = -float(lex.tail_log[ids[:-1][at < 0] - WORDS].sum()) if far else 0.0
-                facts.append((len(ids), float(base[near].sum() + base[0] - len(far) * lex.log_base), float(lex.extra[near].sum()) + lost, int(seen[near].sum()) + int(seen[0])))
-                tails += [(row, w, n) for w, n in Counter(far).items()]
-                keys.append((row, key))
-                texts.append(ids)
-                size += len(ids)
-                if size >= chunk_tokens:
-                    yield out()
-                    keys, texts, facts, tails, size = [], [], [], [], 0
-        if keys:
-            yield out()
-
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("_id"), text(text_col).alias("_text"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), column(id_col).alias("_id"), text(text_col).alias("_text"))
     scored = rows.mapInArrow(score, f"row long, _id {kind}, own boolean, token binary, n long, n_tokens long, n_known long, base double, score double")
     # a text's own row has a token of its own, matches nothing, and is dealt evenly
     known = scored.join(counts.select("token", F.lit(False).alias("own"), "train"), ["token", "own"], "left")
