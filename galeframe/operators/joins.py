@@ -55,25 +55,71 @@ def bracket(left: DataFrame, right: DataFrame, at: Column, axis: str, width: flo
     return q.join(ends, "_b").where(inside).withColumn("frac", (F.col("_at") - F.col(low)) / (F.col(high) - F.col(low))).drop("_b", "_at", "_last")
 
 
-def nearest(left: DataFrame, right: DataFrame, keys: list[str], distance: Column, order: list[Column], take: list[str]) -> DataFrame:
-    """For each left row, the right row of the same keys with the least distance, ties by ``order``; by min_by, without a sort."""
-    best = left.join(right, keys).groupBy(*left.columns).agg(F.min_by(F.struct(*take), F.struct(distance.alias("d"), *[o.alias(f"o{i}") for i, o in enumerate(order)])).alias("_n"))
-    return best.select(*left.columns, "_n.*")
+def nearest(left: DataFrame, right: DataFrame, keys: list[str], at: str, right_at: str, take: list[str]) -> DataFrame:
+    """Each left row with ``take`` of the right row of the same keys whose place on a numeric axis is nearest; ties go to the least ``take``, null where there is none.
+
+    Both sides are sorted together by key and place; a left row looks at the
+    last right row before it and the first after it. Nothing is paired, and
+    repeated left rows stay.
+    """
+    spots = right.groupBy(*keys, F.col(right_at).alias("_at")).agg(F.min(F.struct(*take)).alias("_right"))
+    both = left.select(*keys, F.col(at).alias("_at"), F.struct(*left.columns).alias("_left"), F.lit(None).cast(spots.schema["_right"].dataType).alias("_right"))
+    both = both.unionByName(spots.withColumn("_left", F.lit(None).cast(both.schema["_left"].dataType)))
+    w = Window.partitionBy(*keys).orderBy("_at", F.col("_left").isNotNull())
+    here = F.when(F.col("_right").isNotNull(), F.struct("_at", "_right"))
+    both = both.withColumns({"_before": F.last(here, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_after": F.first(here, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))})
+    far = lambda side: F.when(F.col(side).isNotNull(), F.struct(F.abs(F.col("_at") - F.col(f"{side}._at")).alias("d"), F.col(f"{side}._right").alias("r")))
+    return both.where(F.col("_left").isNotNull()).withColumn("_n", F.least(far("_before"), far("_after"))).select("_left.*", "_n.r.*")
+
+
+#: Cells begin off round numbers, so that vertices and points don't lie on their borders.
+CELL_SHIFT = 0.0137004137
 
 
-def points_in_polygons(points: DataFrame, edges: DataFrame, keys: list[str], cell: float = 10.0, lat: str = "lat", lon: str = "lon") -> DataFrame:
-    """(keys, poly_id) for every polygon that holds a point, by the even-odd rule along the parallel to the east.
+def _cell(x: Column, cell: float) -> Column:
+    return F.floor((x - CELL_SHIFT) / cell).cast("int")
 
-    Points and edges meet by band of latitude: an edge is listed under the
-    bands it spans, a point under its own, so that a point is compared with
-    the edges of its band only.
+
+def polygon_index(edges: DataFrame, cell: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """(edges by cell, (poly_id, _i, _j) of the cells whose north-east corner a polygon holds) for ``points_in_polygons``.
+
+    An edge is listed under the cells that its bounds touch. Where the edges
+    of a polygon meet the parallel of a row of corners, it holds the corners
+    between the first and second meeting, the third and fourth, and so on.
+    """
+    e = edges.select("poly_id", "x1", "y1", "x2", "y2")
+    span = lambda a, b: F.sequence(_cell(F.least(a, b), cell), _cell(F.greatest(a, b), cell))
+    listed = e.withColumn("_i", F.explode(span("y1", "y2"))).withColumn("_j", F.explode(span("x1", "x2")))
+    row = e.withColumn("_i", F.explode(F.sequence(_cell(F.least("y1", "y2"), cell) - 1, _cell(F.greatest("y1", "y2"), cell))))
+    top = (F.col("_i") + 1) * F.lit(cell) + CELL_SHIFT
+    row = row.where((F.col("y1") > top) != (F.col("y2") > top)).select("poly_id", "_i", ((F.col("x2") - F.col("x1")) * (top - F.col("y1")) / F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0)) + F.col("x1")).alias("x"))
+    w = Window.partitionBy("poly_id", "_i").orderBy("x")
+    between = row.withColumns({"n": F.row_number().over(w), "to": F.lead("x").over(w)}).where("n % 2 = 1")
+    first, last = F.ceil((F.col("x") - CELL_SHIFT) / cell).cast("int") - 1, F.ceil((F.col("to") - CELL_SHIFT) / cell).cast("int") - 2
+    held = between.where(first <= last).select("poly_id", "_i", F.explode(F.sequence(first, last)).alias("_j"))
+    return listed, held
+
+
+def points_in_polygons(points: DataFrame, edges: DataFrame, keys: list[str], cell: float = 1.0, lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """(keys, poly_id) for every polygon that holds a point, by the even-odd rule.
+
+    Points, edges and polygons meet by cell. From a point one goes east to the
+    cell's border and along it to the north-east corner; each edge on the way
+    changes sides, and whether the corner is inside is known. So a point is
+    compared with the edges of its own cell only, and one in a cell without
+    edges with none.
     """
-    band = lambda y: F.floor(y / cell).cast("int")
-    e = edges.select("poly_id", "x1", "y1", "x2", "y2").withColumn("_band", F.explode(F.sequence(band(F.least("y1", "y2")), band(F.greatest("y1", "y2")))))
-    p = points.withColumn("_band", band(F.col(lat)))
+    listed, held = polygon_index(edges, cell)
     x, y = F.col(lon), F.col(lat)
-    crosses = ((F.col("y1") > y) != (F.col("y2") > y)) & (x < (F.col("x2") - F.col("x1")) * (y - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1"))
-    return p.join(e, "_band").where(crosses).groupBy(*keys, "poly_id").agg(F.count("*").alias("_n")).where("_n % 2 = 1").drop("_n")
+    p = points.withColumns({"_i": _cell(y, cell), "_j": _cell(x, cell)})
+    right, top = (F.col("_j") + 1) * F.lit(cell) + CELL_SHIFT, (F.col("_i") + 1) * F.lit(cell) + CELL_SHIFT
+    met = (F.col("x2") - F.col("x1")) * (y - F.col("y1")) / F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0)) + F.col("x1")
+    east = ((F.col("y1") > y) != (F.col("y2") > y)) & (x < met) & (met <= right)
+    level = (F.col("y2") - F.col("y1")) * (right - F.col("x1")) / F.nullif(F.col("x2") - F.col("x1"), F.lit(0.0)) + F.col("y1")
+    north = ((F.col("x1") > right) != (F.col("x2") > right)) & (y < level) & (level <= top)
+    passed = p.join(listed, ["_i", "_j"]).select(*keys, "poly_id", (F.when(east, 1).otherwise(0) + F.when(north, 1).otherwise(0)).alias("_n"))
+    corner = p.join(held, ["_i", "_j"]).select(*keys, "poly_id", F.lit(1).alias("_n"))
+    return passed.unionByName(corner).groupBy(*keys, "poly_id").agg(F.sum("_n").alias("_n")).where("_n % 2 = 1").drop("_n")
 
 
 def nearest_on_sphere(queries: DataFrame, sources: DataFrame, cell: float = 1.0) -> DataFrame:

@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from galeframe.functions import geo, sailing
 from galeframe.functions.units import clamp
+from galeframe.operators import sail
 from galeframe.operators.common import durable, shared_folder
 from galeframe.operators.joins import points_in_polygons
 
@@ -111,33 +116,30 @@ def prune(candidates: DataFrame, cfg: Config) -> DataFrame:
     return c.withColumn("idx", (F.row_number().over(route.orderBy(*order)) - 1).cast("int")).select(*candidates.columns, "idx")
 
 
-def expand(frontier: DataFrame, wind: Wind, cfg: Config) -> DataFrame:
+def expand(frontier: DataFrame, cfg: Config) -> DataFrame:
     """Candidates of the next step: every node sails a fan of headings about its bearing to the destination.
 
-    The wind is that of the node's place and time. Headings in the no-go zone
-    or too slow are left out; a tack or gybe costs its minutes. ``seq`` is the
-    order: by node, then heading.
+    The wind is that of the node's place and time (wind_tws, wind_twd).
+    Headings in the no-go zone or too slow are left out; a tack or gybe costs
+    its minutes. ``seq`` is the order: by node, then heading. A step's formulas
+    are one function on arrays: as nested column expressions they take longer
+    to compile than to run.
     """
-    tws, twd = wind(F.col("lat"), F.col("lon"), F.col("dep_h") + F.col("step") * F.lit(cfg.step_hours))
-    f = frontier.withColumns({"_to": geo.bearing(F.col("lat"), F.col("lon"), F.col("dest_lat"), F.col("dest_lon")), "_tws": tws, "_twd": twd})
-    fan = F.sequence(F.lit(-cfg.spread_deg), F.lit(cfg.spread_deg), F.lit(cfg.fan_deg))
-    f = f.select("*", F.posexplode(fan).alias("_fan", "_off")).withColumn("_h", geo.norm360(F.col("_to") + F.col("_off")))
-    f = f.withColumn("_twa", geo.angle_between(F.col("_h"), F.col("_twd"))).where(F.col("_twa") >= NO_GO_DEG)
-    f = f.withColumn("_speed", sailing.polar_speed(F.col("_tws"), F.col("_twa"))).where(F.col("_speed") > LEAST_KTS)
-    f = f.withColumn("_man", F.when(F.col("step") == 0, F.lit("none")).otherwise(sailing.maneuver(F.col("heading"), F.col("_h"), F.col("_twd"))))
-    lost = F.when(F.col("_man") == "tack", cfg.tack_minutes * 60.0).when(F.col("_man") == "gybe", cfg.gybe_minutes * 60.0).otherwise(0.0)
-    metres = F.col("_speed") * F.lit(1852.0 / 3600.0) * F.greatest(F.lit(0.1), F.lit(cfg.step_hours * 3600.0) - lost)
-    f = f.withColumn("_m", metres)
-    lat, lon = geo.destination(F.col("lat"), F.col("lon"), F.col("_m"), F.col("_h"))
-    f = f.withColumns({"_lat": lat, "_lon": lon})
-    now = {
-        "step": F.col("step") + 1, "lat": F.col("_lat"), "lon": F.col("_lon"), "dist_m": geo.distance_m(F.col("_lat"), F.col("_lon"), F.col("dest_lat"), F.col("dest_lon")), "heading": F.col("_h"),
-        "tws": F.col("_tws"), "twd": F.col("_twd"), "twa": F.col("_twa"), "speed": F.col("_speed"), "traveled_nm": F.col("traveled_nm") + F.col("_m") / geo.NM_M, "maneuver": F.col("_man"),
-        "tacks": F.col("tacks") + (F.col("_man") == "tack").cast("int"), "gybes": F.col("gybes") + (F.col("_man") == "gybe").cast("int"), "seq": F.col("idx") * 1024 + F.col("_fan"),
-        "from_lat": F.col("lat"), "from_lon": F.col("lon"),
-    }
-    same = [c for c in frontier.columns if c not in now and c not in ("idx", "stop")]
-    return f.select(*same, *[x.alias(k) for k, x in now.items()])
+    read = ("lat", "lon", "dest_lat", "dest_lon", "wind_tws", "wind_twd", "step", "heading", "traveled_nm", "tacks", "gybes", "idx")
+    new = {"seq": "long", "from_lat": "double", "from_lon": "double"}
+    fields = [f for f in frontier.schema.fields if f.name not in ("idx", "stop", "wind_tws", "wind_twd")]
+    schema = StructType([*fields, *[StructField(n, LongType() if t == "long" else DoubleType()) for n, t in new.items()]])
+    offsets = np.arange(-cfg.spread_deg, cfg.spread_deg + 1, cfg.fan_deg, dtype=float)
+
+    def sail_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in read}
+            at, made = sail.fan(node, offsets, cfg.step_hours, cfg.tack_minutes, cfg.gybe_minutes, NO_GO_DEG, LEAST_KTS)
+            taken = batch.take(pa.array(at))
+            own = [pa.array(made[f.name], to_arrow_type(f.dataType)) if f.name in made else taken.column(f.name) for f in schema.fields]
+            yield pa.RecordBatch.from_arrays(own, schema.names)
+
+    return frontier.mapInArrow(sail_on, schema)
 
 
 def off_land(candidates: DataFrame, edges: DataFrame) -> DataFrame:
@@ -154,7 +156,7 @@ def start_nodes(routes: DataFrame, wind: Wind) -> DataFrame:
     b = geo.bearing(F.col("start_lat"), F.col("start_lon"), F.col("dest_lat"), F.col("dest_lon"))
     r = routes.withColumns({"tws": tws, "twd": twd, "heading": b, "dist_m": geo.distance_m(F.col("start_lat"), F.col("start_lon"), F.col("dest_lat"), F.col("dest_lon"))})
     zero = {"speed": 0.0, "traveled_nm": 0.0, "maneuver": "none", "tacks": 0, "gybes": 0, "step": 0, "idx": 0, "stop": False}
-    r = r.withColumns({"lat": F.col("start_lat"), "lon": F.col("start_lon"), "twa": geo.angle_between(F.col("heading"), F.col("twd")), **{k: F.lit(v) for k, v in zero.items()}})
+    r = r.withColumns({"wind_tws": F.col("tws"), "wind_twd": F.col("twd"), "lat": F.col("start_lat"), "lon": F.col("start_lon"), "twa": geo.angle_between(F.col("heading"), F.col("twd")), **{k: F.lit(v) for k, v in zero.items()}})
     return r.withColumn("path", F.array(F.lit(0)))
 
 
@@ -170,7 +172,7 @@ class Found:
 def route_search(routes: DataFrame, wind: Wind, cfg: Config = Config(), land: DataFrame | None = None) -> Found:
     """Searches all ``routes`` (route_id, start_lat, start_lon, dest_lat, dest_lon, dep_h, more columns) together, step by step.
 
-    A step expands, prunes and writes all frontiers, so that the number of
+    A step expands, prunes and writes all frontiers, with the wind where they are, so that the number of
     jobs depends on the longest route and not on the number of routes. A route
     ends at the first step with a node inside the arrival radius, or at its
     time limit; then its nearest node is the result, ``reached`` false. Routes
@@ -186,10 +188,11 @@ def route_search(routes: DataFrame, wind: Wind, cfg: Config = Config(), land: Da
     limit = F.least(F.lit(cfg.max_hours), F.greatest(F.lit(36.0), geo.distance_nm(F.col("start_lat"), F.col("start_lon"), F.col("dest_lat"), F.col("dest_lon")) / 4.0 * 3.0))
     done = 0
     while True:
-        c = expand(front.where(~F.col("stop") & (F.col("step") * F.lit(cfg.step_hours) < limit)), wind, cfg)
+        c = expand(front.where(~F.col("stop") & (F.col("step") * F.lit(cfg.step_hours) < limit)), cfg)
         c = prune(off_land(c, land) if land is not None else c, cfg)
         near = F.max(F.col("dist_m") <= cfg.arrival_m).over(Window.partitionBy("route_id"))
-        c = c.withColumns({"stop": near, "path": F.concat("path", F.array("idx"))}).select(*cols)
+        tws, twd = wind(F.col("lat"), F.col("lon"), F.col("dep_h") + F.col("step") * F.lit(cfg.step_hours))
+        c = c.withColumns({"stop": near, "path": F.concat("path", F.array("idx")), "wind_tws": tws, "wind_twd": twd}).select(*cols)
         front = durable(c, f"{folder}/{done + 1}")
         if front.isEmpty():
             break

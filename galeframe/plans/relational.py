@@ -103,7 +103,7 @@ def C06_nearest_time(spark: SparkSession, sf: str) -> DataFrame:
     e = tables.read(spark, sf, "events")
     m = e.select("user_id", "event_id", F.unix_micros(c("ts").cast("timestamp")).alias("us"))
     s = m.where("event_id % 5 = 0").select("user_id", c("us").alias("sus"), c("event_id").alias("nearest"))
-    return joins.nearest(m, s, ["user_id"], F.abs(c("us") - c("sus")), [c("nearest")], ["nearest"]).select("event_id", "nearest")
+    return joins.nearest(m, s, ["user_id"], "us", "sus", ["nearest"]).where("nearest is not null").select("event_id", "nearest")
 
 
 @query("""with n as (select vec_id as id, embedding[1]::double as x, embedding[2]::double as y, embedding[3]::double as z from embeddings),

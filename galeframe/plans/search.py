@@ -280,6 +280,3 @@ def I42_strategy_matrix(spark: SparkSession, sf: str) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.select("route_id", "strategy", "reached", r6(c("duration_hours")).alias("duration_hours"), r6(c("distance_nm")).alias("distance_nm"))
-
-#: Whole searches: each step's expressions take Spark some 30 s to plan and compile as they are now, so these are kept apart from the registered queries.
-LONG = {k: QUERIES.pop(k) for k in ("I07_route_search", "I15_departure_windows", "I19_ensemble_confidence", "I42_strategy_matrix")}

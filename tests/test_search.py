@@ -58,7 +58,8 @@ def turn(h, n, d):
     return "tack" if (abs(a) + abs(b)) / 2 < 90 else "gybe"
 
 
-def plain(start, dest, tws, twd, cfg):
+def plain(start, dest, tws, twd, cfg, wind=None):
+    wind = wind or (lambda p, hour: (tws, twd))
     front = [{"p": start, "d": distance(start, dest), "h": bearing(start, dest), "nm": 0.0, "root": True}]
     closest, step = front[0], 0
     while True:
@@ -72,6 +73,7 @@ def plain(start, dest, tws, twd, cfg):
             return closest, False
         made = []
         for n in front:
+            tws, twd = wind(n["p"], step * cfg.step_hours)
             for off in range(-cfg.spread_deg, cfg.spread_deg + 1, cfg.fan_deg):
                 h = (bearing(n["p"], dest) + off) % 360
                 v = speed(tws, fold(h - twd))
@@ -116,6 +118,57 @@ def test_search_is_that_of_plain_python(spark):
         assert all(a["distance_nm"] < b["distance_nm"] for a, b in zip(own, own[1:], strict=False))
 
 
+def test_search_in_a_wind_of_place_and_time(spark):
+    cfg = search.Config(step_hours=4.0, max_nodes=25, fan_deg=15)
+    columns = lambda lat, lon, hour: (F.lit(12.0) + 4.0 * F.sin(lat / 3.0 + hour / 20.0), F.lit(180.0) + 60.0 * F.cos(lon / 2.0 + hour / 30.0))
+    numbers = lambda p, hour: (12.0 + 4.0 * math.sin(p[0] / 3.0 + hour / 20.0), 180.0 + 60.0 * math.cos(p[1] / 2.0 + hour / 30.0))
+    found = search.route_search(routes(spark), columns, cfg)
+    got = {r["route_id"]: r for r in search.outcomes(found).collect()}
+    for r in routes(spark).where("route_id < 3").collect():
+        best, reached = plain((r["start_lat"], r["start_lon"]), (r["dest_lat"], r["dest_lon"]), None, None, cfg, numbers)
+        g = got[r["route_id"]]
+        assert g["reached"] == reached and math.isclose(g["duration_hours"], best["step"] * cfg.step_hours)
+        assert math.isclose(g["distance_nm"], best["nm"], rel_tol=1e-9)
+
+
+def test_registered_searches(spark, sf):
+    way = plans.I07_route_search(spark, sf).collect()
+    assert {r["route_id"] for r in way} == set(range(25)) and all(r["twa"] >= 28 for r in way if r["wp"])
+    ranked = plans.I15_departure_windows(spark, sf).collect()
+    for batch in {r["batch"] for r in ranked}:
+        own = sorted((r for r in ranked if r["batch"] == batch), key=lambda r: r["rank"])
+        assert [r["rank"] for r in own] == list(range(1, len(own) + 1)) and all(a["comfort"] >= b["comfort"] for a, b in zip(own, own[1:], strict=False))
+    spread = plans.I19_ensemble_confidence(spark, sf).collect()
+    assert len(spread) == 5 and all(r["members"] == 31 and r["min_hours"] <= r["mean_hours"] <= r["max_hours"] for r in spread)
+    by = {(r["route_id"], r["strategy"]): r for r in plans.I42_strategy_matrix(spark, sf).collect()}
+    assert len(by) == 25
+    field = lambda p, hour: synthetic_wind(spark, p, hour)
+    best, reached = plain((12.0, -45.0), (13.5, -47.0), None, None, search.Config(step_hours=6.0, max_nodes=40, arrival_nm=30.0), field)
+    r = by[0, "spatial_grid"]
+    assert (r["reached"], r["duration_hours"]) == (reached, best["step"] * 6.0) and math.isclose(r["distance_nm"], best["nm"], abs_tol=1e-5)
+
+
+def synthetic_wind(spark, p, hour, known={}):  # noqa: B006
+    """The field at a place, north of the equator and under 30 degrees, far from its systems: trade winds, and what is left of two highs."""
+    if not known:
+        from galeframe.functions import wind
+
+        known["trade"] = lambda lat: (9.5 + 2.0 * math.sin(lat * math.pi / 30.0)) * MS
+        known["systems"] = [(n, *s[2:]) for n, s in enumerate(wind.SYSTEMS)]
+        known["at"] = {}
+        for h in range(0, 60, 6):
+            row = spark.range(1).select(*[f(F.lit(float(h))).alias(f"{i}{k}") for i, s in enumerate(wind.SYSTEMS) for k, f in (("a", s[0]), ("b", s[1]))]).first()
+            known["at"][h] = [(row[f"{i}a"], row[f"{i}b"]) for i in range(len(wind.SYSTEMS))]
+    lat, lon = p
+    u, v = -known["trade"](lat) * math.sin(math.radians(65)), -known["trade"](lat) * math.cos(math.radians(65))
+    for (n, turn, kts, spread, reach), (y, x) in zip(known["systems"], known["at"][round(hour)], strict=True):
+        dy, dx = lat - y, lon - x
+        d = math.hypot(dy, dx)
+        s = kts * math.exp(-d * d / spread) * MS if d < reach else 0.0
+        u, v = u - turn * s * math.sin(math.atan2(dy, dx)), v + turn * s * math.cos(math.atan2(dy, dx))
+    return math.hypot(u, v) / MS, math.degrees(math.atan2(-u, -v)) % 360
+
+
 def test_calm_and_land_end_a_route_early(spark):
     cfg = search.Config(step_hours=6.0, max_nodes=10, fan_deg=30)
     calm = search.route_search(routes(spark), lambda *_: (F.lit(2.0), F.lit(0.0)), cfg)
