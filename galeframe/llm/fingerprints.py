@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from galeframe.llm.common import partitions, text
+from galeframe.llm.common import column, partitions, text
 
 #: Subsets of the lexicon: (bits a term's hash must have at 0, subsets). A subset of b bits keeps a 2^-b share of the lexicon.
 LEVELS = ((2, 10), (4, 10), (6, 10), (9, 7))
@@ -81,10 +82,15 @@ def with_next(df: DataFrame, id_col: str, cols: list[str], buckets: int) -> Data
     the one below, and the lowest range the very first row: two short passes
     over ids tell which. The driver holds one id for each range.
     """
-    shares = [i / buckets for i in range(1, buckets)]
-    cuts = sorted(set(df.agg(F.percentile_approx(id_col, shares, 10 * buckets).alias("c")).first()["c"] or []))
-    at = F.size(F.filter(F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<bigint>"), lambda c: c <= F.col(id_col))) if cuts else F.lit(0)
-    df = df.withColumn("_range", at)
+    kind = df.schema[id_col].dataType
+    if kind.simpleString() == "bigint":
+        shares = [i / buckets for i in range(1, buckets)]
+        cuts = sorted(set(df.agg(F.percentile_approx(id_col, shares, 10 * buckets).alias("c")).first()["c"] or []))
+    else:  # ids that have no percentiles: those of a sample of ``buckets`` rows that hash lowest
+        some = df.where(F.col(id_col).isNotNull()).select(id_col).orderBy(F.xxhash64(id_col), id_col).limit(buckets)
+        cuts = sorted({r[0] for r in some.collect()}, key=lambda v: v.encode() if isinstance(v, str) else v)
+    listed = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<bigint>") if kind.simpleString() == "bigint" else F.array(*map(F.lit, cuts))
+    df = df.withColumn("_range", F.size(F.filter(listed, lambda c: c <= F.col(id_col))) if cuts else F.lit(0))
     tops = {r["_range"]: r["top"] for r in df.groupBy("_range").agg(F.max(id_col).alias("top")).collect()}
     order = sorted(tops, reverse=True)
     guest_of = {tops[below]: above for above, below in zip(order, [*order[1:], *order[:1]], strict=True)} if order else {}
@@ -93,7 +99,7 @@ def with_next(df: DataFrame, id_col: str, cols: list[str], buckets: int) -> Data
     found = F.col(id_col).isNull() if null_guest is not None else F.lit(False)
     if guest_of:
         spark = df.sparkSession
-        table = spark.createDataFrame([(k, v) for k, v in guest_of.items()], "_top long, _to int")  # a row for each range
+        table = spark.createDataFrame(list(guest_of.items()), StructType([StructField("_top", kind), StructField("_to", IntegerType())]))  # a row for each range
         guests = df.where(found | F.col(id_col).isin(list(guest_of))).join(F.broadcast(table), F.col(id_col) == F.col("_top"), "left")
         guests = guests.withColumn("_range", F.coalesce("_to", to)).drop("_top", "_to")
     else:
@@ -111,7 +117,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     empty result; other columns are not read.
     """
     known = lexicon(docs, text_col, low, high)
-    return with_fingerprint(docs.select(F.col(id_col), text(text_col).alias("text")), F.col("text"), known, "fp")
+    return with_fingerprint(docs.select(column(id_col), text(text_col).alias("text")), F.col("text"), known, "fp")
 
 
 def edit_probe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", low: float = 1.386, high: float = 4.606) -> DataFrame:
@@ -122,7 +128,7 @@ def edit_probe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     descending id order.
     """
     known = lexicon(docs, text_col, low, high)
-    own = with_fingerprint(docs.select(F.col(id_col).alias("_id"), text(text_col).alias("t")), F.col("t"), known, "fp")
+    own = with_fingerprint(docs.select(column(id_col).alias("_id"), text(text_col).alias("t")), F.col("t"), known, "fp")
     pairs = with_next(own, "_id", ["t", "fp"], 4 * partitions(docs.sparkSession))
     n = F.length("t")
     half = F.floor(n / 2).cast("int")

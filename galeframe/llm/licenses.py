@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from galeframe.llm.common import durable, text
+from galeframe.llm.common import column, durable, text
 
 #: Grant and notice sentences of common public licences.
 TEMPLATES: dict[str, str] = {
@@ -68,7 +68,7 @@ def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least:
     sizes = [r["t"] for r in known.select("t").collect()]
     share = least / (2 - least)
     fewest, most = min(sizes, default=1) * share, max(sizes, default=0) / share
-    rows = docs.select(F.col(id_col).alias("_id"), F.monotonically_increasing_id().alias("_row"), text(text_col).alias("_text"))
+    rows = docs.select(column(id_col).alias("_id"), F.monotonically_increasing_id().alias("_row"), text(text_col).alias("_text"))
     units = rows.select("_id", "_row", F.posexplode(F.concat(F.array("_text"), F.split("_text", "\n"))).alias("_pos", "_unit"))
     ws = words(F.col("_unit"))
     # a unit of w words, d of them distinct, has at most w - 1 and at least d - 1 distinct bigrams
@@ -106,8 +106,8 @@ def license_spans(docs: DataFrame, templates: dict[str, str] | None = None, leas
             wanted |= {max(g, key=len) for g in grams[: math.floor(len(grams) * (1 - share) + 1e-9) + 1]}
             table += [(name, " ".join(g), len(grams), len(ws) - 1, 1 if len(ws) <= 80 else (len(ws) - 1) // 40) for g in grams]
     table = spark.createDataFrame(table, "license string, gram string, t long, span int, stride int")
-    found = license_scan(docs, templates, least, id_col, text_col).select(F.col(id_col).alias("_id"), "license", "unit", F.lit(None).cast("int").alias("start"), "dice")
-    rows = docs.select(F.col(id_col).alias("_id"), words(text(text_col)).alias("_words"))
+    found = license_scan(docs, templates, least, id_col, text_col).select(column(id_col).alias("_id"), "license", "unit", F.lit(None).cast("int").alias("start"), "dice")
+    rows = docs.select(column(id_col).alias("_id"), words(text(text_col)).alias("_words"))
     rows = rows.where(F.arrays_overlap("_words", F.array(*map(F.lit, sorted(wanted))))).where(F.size("_words") > 1)
     after = F.slice("_words", 2, F.size("_words") - 1)
     rows = durable(rows.select(F.monotonically_increasing_id().alias("_row"), "_id", F.zip_with(F.slice("_words", 1, F.size("_words") - 1), after, lambda a, b: F.concat_ws(" ", a, b)).alias("_grams")))

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from galeframe.llm.common import by_bytes, text
+from galeframe.llm.common import by_bytes, column, text
 
 WIDTH, ROWS, FPS = 64, 64, 25
 CLIP = "struct<clip:int,first_frame:int,frames:int,start_ms:long,end_ms:long,mean_level:double>"
@@ -202,7 +202,7 @@ def store_avi(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(media, pa.binary())], ["_id", "n_bytes", "media"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("_id"), text(text_col).alias("_text"))
+    rows = docs.select(column(id_col).alias("_id"), text(text_col).alias("_text"))
     return rows.mapInArrow(store, f"_id {kind}, n_bytes long, media binary").withColumnRenamed("_id", id_col)
 
 
@@ -243,7 +243,7 @@ def media_features(media: DataFrame, id_col: str = "doc_id", media_col: str = "m
         ("_id", to_arrow_type(kind)), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("n_frames", pa.int32()), ("feature", pa.string()),
         ("clips", pa.list_(pa.struct([("clip", pa.int32()), ("first_frame", pa.int32()), ("frames", pa.int32()), ("start_ms", pa.int64()), ("end_ms", pa.int64()), ("mean_level", pa.float64())]))), ("error", pa.string()),
     ])
-    rows = media.select(F.col(id_col).alias("_id"), F.col(media_col).alias("_media"))
+    rows = media.select(column(id_col).alias("_id"), column(media_col).alias("_media"))
     schema = f"_id {kind.simpleString()}, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_frames int, feature string, clips array<{CLIP}>, error string"
     return rows.mapInArrow(features, schema).withColumnRenamed("_id", id_col)
 

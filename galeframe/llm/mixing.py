@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from galeframe.llm.common import buckets_for, durable, salted_prefix, text
+from galeframe.llm.common import buckets_for, column, durable, salted_prefix, text
 
 SPACE = r"[\x20\x09-\x0D]+"
 ROUNDS = 12
@@ -90,8 +90,8 @@ def mix(
     """
     spark = docs.sparkSession
     rows = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("_id"), F.col(source_col).isNull().cast("int").alias("_none"),
-        F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("_src"), word_count(text(text_col)).alias("size"), *[F.col(c).alias(f"_keep_{c}") for c in keep or []],
+        F.monotonically_increasing_id().alias("row"), column(id_col).alias("_id"), column(source_col).isNull().cast("int").alias("_none"),
+        F.coalesce(column(source_col).cast("string"), F.lit("")).alias("_src"), word_count(text(text_col)).alias("size"), *[column(c).alias(f"_keep_{i}") for i, c in enumerate(keep or [])],
     )
     rows = durable(rows)
     by_source = rows.groupBy("_none", "_src").agg(F.sum("size").alias("s"), F.count("*").alias("n")).collect()
@@ -154,13 +154,14 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     m = mix(docs, id_col=id_col, text_col=text_col, keep=docs.columns, **more)
     spans = m.pieces().groupBy("row").agg(F.sort_array(F.collect_list(F.struct("first", "words", "times"))).alias("spans"))
     kept = m.rows.join(spans, "row").withColumn("time", F.explode(F.sequence(F.lit(1), F.array_max(F.transform("spans", lambda s: s["times"])).cast("int"))))
-    body = F.col(f"_keep_{text_col}")
+    kept_text = f"_keep_{docs.columns.index(text_col)}"
+    body = F.col(kept_text)
     # units: a word and the white space after it; leading white space goes with the first
     lead = F.regexp_extract(body, r"^[\x20\x09-\x0D]*", 0)
     units = F.split(F.substr(body, F.length(lead) + 1), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
     kept = kept.withColumn("units", units).withColumn("mine", F.filter("spans", lambda s: s["times"] >= F.col("time")))
     some = F.array_join(F.flatten(F.transform("mine", lambda s: F.slice("units", (s["first"] + 1).cast("int"), s["words"].cast("int")))), "")
     whole = F.aggregate("mine", F.lit(0).cast("long"), lambda a, s: a + s["words"]) == F.col("size")
-    out = kept.withColumn(f"_keep_{text_col}", F.when(whole, body).otherwise(some))
-    out = out.select(*[F.col(f"_keep_{c}").alias(c) for c in docs.columns])
-    return out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    out = kept.withColumn(kept_text, F.when(whole, body).otherwise(some))
+    out = out.select(*[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(docs.columns)])
+    return out.withColumn("n_chars", F.length(column(text_col)).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from galeframe.llm.common import durable, partitions, text
+from galeframe.llm.common import column, durable, partitions, text
 
 LOW, HIGH = -(1 << 63), (1 << 63) - 1
 
@@ -84,18 +84,19 @@ def ranges(sized: DataFrame, cuts: list[int], rows: int, parts: int) -> tuple[np
 def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", overhead: int = 16, tolerance: float = 0.002) -> DataFrame:
     """(id, size, text_crc32, law, shard, slot, grown_shard) for every row, under the law ``bytes``.
 
-    The order is by hash of the text, then hash of the id, so that equal texts
-    lie side by side and share a shard unless the law needs a cut among them;
-    a group of copies of any size can be cut. size: UTF-8 bytes plus
-    ``overhead``; a null text has no bytes. slot: the place in the shard, from
-    0. Rows with equal ids and texts keep one slot each; a null id sorts by
-    its hash like any other. An empty table gives an empty result.
+    The order is by hash of the text, then hash of the row's number, so that
+    equal texts lie side by side and share a shard unless the law needs a cut
+    among them; a group of copies of any size can be cut, rows that repeat
+    with id and text too, since each has a number of its own, fixed when the
+    sizes are written. size: UTF-8 bytes plus ``overhead``; a null text has no
+    bytes. slot: the place in the shard, from 0. Null ids are like any other.
+    An empty table gives an empty result.
     """
     spark = docs.sparkSession
     step = 1 << 24
-    key = (F.xxhash64(text(text_col)).bitwiseAND(F.lit(-step))).bitwiseOR(F.xxhash64(F.col(id_col)).bitwiseAND(F.lit(step - 1)))
+    key = (F.xxhash64(text(text_col)).bitwiseAND(F.lit(-step))).bitwiseOR(F.xxhash64(F.monotonically_increasing_id()).bitwiseAND(F.lit(step - 1)))
     sized = durable(docs.select(
-        F.col(id_col).alias("_id"), (F.octet_length(text(text_col)).cast("long") + overhead).alias("_size"), F.crc32(text(text_col)).alias("_crc"), key.alias("_key"),
+        column(id_col).alias("_id"), (F.octet_length(text(text_col)).cast("long") + overhead).alias("_size"), F.crc32(text(text_col)).alias("_crc"), key.alias("_key"),
     ))
     whole = sized.agg(F.coalesce(F.sum("_size"), F.lit(0)).alias("bytes"), F.count("*").alias("rows")).first()
     cuts = splitters(sized, whole["bytes"], whole["rows"], shards, tolerance) if whole["rows"] else [HIGH] * (shards - 1)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from galeframe.llm.common import durable, fold, text
+from galeframe.llm.common import column, durable, fold, text
 
 _WORD = re.compile(r"\w+")
 STEMS = (4, 5)
@@ -92,20 +92,24 @@ def fit(
     ``kept`` of the 2^bits buckets, above ``least_chi2`` (about a chance of
     5e-4), so that the noise of long texts doesn't add up. Rows with a null
     label or id, labels without a document and documents without a label are
-    not used; a document labelled twice counts twice. Without usable rows the model is its
+    not used; a document labelled twice counts twice. Of rows that repeat an
+    id in ``docs`` the sample takes each, but no more than ``sample_rows`` in
+    all, those whose texts hash lowest. Without usable rows the model is its
     bias alone, below one half.
     """
-    y = F.col(label_col).cast("int")
-    chosen = labels.where(y.isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_l"), (y > 0).cast("int").alias("_y"))
+    y = column(label_col).cast("int")
+    chosen = labels.where(y.isNotNull() & column(id_col).isNotNull()).select(column(id_col).alias("_l"), (y > 0).cast("int").alias("_y"))
     chosen = chosen.orderBy(F.xxhash64("_l", F.lit(seed)), "_l", "_y").limit(sample_rows)
-    known = docs.select(F.col(id_col).alias("_id"), text(text_col).alias("_text")).join(F.broadcast(chosen), F.col("_id") == F.col("_l"))
+    known = docs.select(column(id_col).alias("_id"), text(text_col).alias("_text")).join(F.broadcast(chosen), F.col("_id") == F.col("_l"))
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [sorted({b for w in set(_WORD.findall(t.lower())) for b in hashed_terms(w, bits)}) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(got, pa.list_(pa.int32())), batch.column(1)], ["terms", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array(got, pa.list_(pa.int32())), batch.column(1), batch.column(2)], ["terms", "y", "h"])
 
-    sample = durable(known.select("_text", "_y").mapInArrow(terms, "terms array<int>, y int").withColumn("row", F.monotonically_increasing_id()))
+    sample = known.select("_text", "_y", F.xxhash64("_id", "_text", F.lit(seed)).alias("_h")).mapInArrow(terms, "terms array<int>, y int, h long")
+    sample = durable(sample.withColumn("row", F.monotonically_increasing_id()))
+    sample = sample.join(sample.select("row").orderBy("h", "y", "row").limit(sample_rows), "row", "left_semi")  # all of them, unless ids repeat
     total = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("p")).first()
     n, p = float(total["n"]), float(total["p"])
     # 2x2 table of a bucket against the label, with a of its df rows positive
@@ -152,7 +156,7 @@ def toxicity_scores(docs: DataFrame, model: FactorizationMachine, id_col: str =
             p = 1 / (1 + np.exp(-np.clip(np.array(raw, float), -500, 500)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p, pa.float64())], [*batch.schema.names[:-1], "_score"])
 
-    rows = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(keep)], text(text_col).alias("_text"))
+    rows = docs.select(*[column(c).alias(f"_c{i}") for i, c in enumerate(keep)], text(text_col).alias("_text"))
     schema = ", ".join(f"_c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)) + ", _score double"
     return rows.mapInArrow(score, schema).toDF(*keep, out_col)
 

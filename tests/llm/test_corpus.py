@@ -53,6 +53,10 @@ def like(a, b):
     return sum(x == y for x, y in some) / len(some)
 
 
+def digits(fp):
+    return f"{fp[0] % (1 << 64):016x}:" + "".join("-" if h is None else f"{h % (1 << 32):08x}" for h in fp[1:])
+
+
 def test_fingerprints_match_plain_python(spark, sf):
     docs = sorted(((r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{sf}/documents.parquet").collect()), reverse=True)
     one, split = i_match([t for _, t in docs])
@@ -65,8 +69,9 @@ def test_fingerprints_match_plain_python(spark, sf):
         r = got[key]
         assert (r["n_chars"], r["edited_sha256"]) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
         fp = one(split[i])
-        assert r["fingerprint"][:16] == f"{fp[0] % (1 << 64):016x}"
+        assert r["fingerprint"] == digits(fp)
         ts = sorted({long_of(xxhash.xxh64_intdigest(w.encode(), 42)) for w in re.split(r"[\W_]+", edited.lower()) if w})
+        assert r["edited_fingerprint"] == digits(one(ts))
         assert r["near_edited"] == pytest.approx(like(fp, one(ts))) and r["near_next"] == pytest.approx(like(fp, one(split[(i + 1) % len(docs)])))
         near.append((r["near_edited"], r["near_next"]))
     assert np.mean([a for a, _ in near]) > 2 * np.mean([b for _, b in near])
@@ -90,6 +95,32 @@ def test_next_row_over_many_ranges(spark):
     assert got == {i: str((i - 1) % 1009) for i in range(1009)}
 
 
+def test_next_row_of_other_ids(spark):
+    rows = spark.createDataFrame([(f"k{i:04d}", str(i)) for i in range(400)] + [(None, "none")], "id string, t string")
+    got = {r["id"]: r["next_t"] for r in fingerprints.with_next(rows, "id", ["t"], 16).collect()}
+    assert got == {f"k{i:04d}": str(i - 1) if i else "none" for i in range(400)} | {None: "399"}
+    assert fingerprints.edit_probe(rows, "id", "t").count() == 401
+
+
+def brute_mix(rows, slots_of, block):
+    """Words taken of each (row, source, size, start), block by block: as often as the slots name the block."""
+    named = Counter((r["_none"], r["_src"], r["block"]) for r in slots_of)
+    return {r["row"]: sum(named[r["_none"], r["_src"], w // block] for w in range(r["start"], r["start"] + r["size"])) for r in rows}
+
+
+def test_words_taken_are_those_of_the_slots(spark, sf):
+    m = mixing.mix(spark.read.parquet(f"{sf}/documents.parquet"))
+    rows, slots = m.rows.collect(), m.slots.collect()
+    want = brute_mix(rows, slots, m.block)
+    by_id = {r["_id"]: want[r["row"]] for r in rows}
+    got = {r["_id"]: r["taken"] for r in mixing.mixed_sizes(m).collect()}
+    assert got == by_id
+    at = {}
+    for r in sorted(rows, key=lambda r: (r["_none"], r["_src"], r["start"], r["size"])):  # documents of a source lie end to end
+        assert r["start"] == at.get((r["_none"], r["_src"]), 0)
+        at[r["_none"], r["_src"]] = r["start"] + r["size"]
+
+
 def test_targets():
     assert mixing.targets([100, 100, 100], (5, 2, 1), 3) == [300 * 5 / 8, 300 * 2 / 8, 300 / 8]
     got = mixing.targets([10, 1000, 1000, 5], (5, 2, 1), 3)
@@ -301,6 +332,17 @@ def test_pipeline_stages(spark, sf):
     assert seqs.where("n != end or n > 4096").count() == 0
 
 
+def test_pipeline_of_clashing_names(spark, sf, tmp_path):
+    """Columns named like the stages' own, and names with dots."""
+    rows = odd(spark).limit(8)
+    for c in ("_toxicity", "_keep_id", "_keep_key", "_rest", "_key", "doc", "a.b", "x`y"):
+        rows = rows.withColumn(c, F.lit(1))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, rows, sf)
+        n = out.count()
+        assert out.columns == rows.columns and (n > 0 or name == "toxicity"), name
+
+
 def test_pipeline_of_odd_and_empty_tables(spark, sf):
     base = spark.createDataFrame([(r[0], r[1], r[2], r[3], r[4]) for r in odd(spark).collect()], "doc_id long, text string, lang string, source string, n_chars long")
     for docs in (base, base.limit(0), base.withColumn("score", F.lit(1)).withColumn("size", F.lit("x"))):

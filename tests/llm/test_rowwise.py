@@ -263,3 +263,66 @@ def test_licenses(spark):
     assert got[(1, "MIT")] == (1, 1.0) and got[(4, "Apache-2.0")] == (-1, 1.0) and (6, "MIT") in got
     assert {k[0] for k in got} == {1, 4, 6}
     assert licenses.license_scan(odd(spark)).count() == 0 and licenses.license_scan(empty(spark)).count() == 0
+
+
+def test_repeated_rows_are_cut_among_shards(spark):
+    """400 rows of one id and text and one other: the law holds though nothing but the row tells them apart."""
+    rows = spark.createDataFrame([(7, "the same words")] * 400 + [(8, "others")], "doc_id long, text string").repartition(3)
+    got = sharding.shard_documents(rows).collect()
+    size = Counter()
+    for r in got:
+        size[r["shard"]] += r["size"]
+    each = 14 + 16
+    assert len(got) == 401 and len(size) == 40 and max(size.values()) - min(size.values()) <= 2 * each
+    for k in size:
+        assert sorted(r["slot"] for r in got if r["shard"] == k) == list(range(sum(r["shard"] == k for r in got)))
+
+
+def brute_chi2(sample, least, kept):
+    """Buckets of the labelled texts that chi-squared keeps, by plain counting."""
+    n, p, df, pos = len(sample), sum(y for _, y in sample), Counter(), Counter()
+    for terms, y in sample:
+        df.update(terms)
+        if y:
+            pos.update(terms)
+    score = {}
+    for b, d in df.items():
+        a = pos[b]
+        if 3 <= d < n:
+            score[b] = n * (a * (n - p) - (d - a) * p) ** 2 / (d * (n - d) * max(p, 0.5) * max(n - p, 0.5))
+    best = sorted((b for b, c in score.items() if c >= least), key=lambda b: (-score[b], b))[:kept]
+    return sorted(best)
+
+
+def test_toxicity_terms_and_scores_by_plain_python(spark, sf, docs):
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r["toxic"] is not None}
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    model = toxicity.held_out_fit(table, spark.read.parquet(f"{sf}/labels.parquet"))
+    terms = lambda t: {b for w in set(toxicity._WORD.findall(t.lower())) for b in toxicity.hashed_terms(w, 20)}
+    sample = [(terms(docs[k]), y) for k, y in labels.items() if k in docs and zlib.crc32(str(k).encode()) % 5]
+    assert model.buckets.tolist() == brute_chi2(sample, 12.0, 4096)
+    place = {int(b): i for i, b in enumerate(model.buckets)}
+    for r in toxicity.toxicity_scores(table, model).collect():
+        at = [place[b] for b in terms(docs[r["doc_id"]]) if b in place]
+        pairs = sum(float(model.v[i] @ model.v[j]) for n, i in enumerate(at) for j in at[:n]) if len(at) < 40 else None
+        if pairs is not None:
+            assert r["score"] == pytest.approx(1 / (1 + np.exp(-(model.bias + model.w[at].sum() + pairs))), rel=1e-6)
+
+
+def test_toxicity_sample_is_bounded_where_ids_repeat(spark):
+    rows = spark.createDataFrame([(1, f"you idiot {i}") for i in range(300)] + [(2, f"good day {i}") for i in range(300)], "doc_id long, text string")
+    marks = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    seen = []
+    whole = toxicity.train
+    try:
+        toxicity.train = lambda rows, *more: seen.append(len(rows)) or whole(rows, *more)
+        toxicity.fit(rows, marks, sample_rows=50)
+    finally:
+        toxicity.train = whole
+    assert seen == [50]
+
+
+def test_licenses_match_their_sql(spark, sf):
+    from tests.compare import difference
+
+    assert difference(queries.op8_licenses(spark, sf), queries.SQL["op8_licenses"], sf) == ""
