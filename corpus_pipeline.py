@@ -14,13 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from galeframe.llm import jaccard, mixing, packing, queries, toxicity
-from galeframe.llm.common import durable, read
+from galeframe.llm.common import read, shared_folder
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that score under 0.5; learns from the labels of the stage's own documents outside the held-out fold."""
     model = toxicity.held_out_fit(docs, read(spark, sf_dir, "labels"))
-    return toxicity.toxicity_scores(docs, model, keep=docs.columns, out_col="_toxicity").where("_toxicity < 0.5").drop("_toxicity")
+    score = "_toxicity" + "_" * max(map(len, docs.columns))  # no column of documents is as long
+    return toxicity.toxicity_scores(docs, model, keep=docs.columns, out_col=score).where(F.col(score) < 0.5).drop(score)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,8 +48,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each result but the last is written as Parquet in the shared folder and read again."""
     docs = read(spark, sf_dir, "documents")
-    durable(spark.range(1))  # sets the shared folder where the session names none
-    shared = spark.sparkContext.getCheckpointDir()
+    shared = shared_folder(spark)
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
