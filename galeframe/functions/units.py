@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Factors of the forecast side (metres a second to ...), and the exact ones of the routing side.
+# Rounded factors (metres a second to knots, kilometres and miles an hour) as forecasts are reported, and the exact knot.
 KNOTS, KMH, MPH = 1.943844, 3.6, 2.236936
 KNOTS_TO_MS = 1852.0 / 3600.0
 FEET_TO_M, POUNDS_TO_KG, MM_PER_INCH, HPA = 0.3048, 0.45359237, 25.4, 100.0

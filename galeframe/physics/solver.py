@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from galeframe.physics.boats import FIELDS
-from galeframe.physics.forces import Arrays, aero, between, hydro
+from galeframe.physics.forces import Arrays, G, aero, hydro
 
 KTS = 1852.0 / 3600.0
 NO_GO, SPINNAKER_FROM, MOST_HEEL = 28.0, 45.0, np.deg2rad(28.0)
@@ -27,18 +27,17 @@ def state(b: dict, row: dict, x: np.ndarray) -> dict:
 
 
 def residuals(b: dict, row: dict, x: np.ndarray) -> np.ndarray:
-    """Surge, sway and roll, scaled by the boat's weight."""
+    """Surge, sway and roll. The units they are accepted in, 2 % of the weight (at least 100 N), 2 degrees, and that force at half the beam (at least 1 m)."""
     s = state(b, row, x)
-    force = np.maximum(b["mass"] * (9.80665 * 0.02), 100.0)
-    moment = force * np.maximum(b["b_max"] * 0.5, 1.0)
+    force = np.maximum(0.02 * G * b["mass"], 100.0)
+    moment = force * np.maximum(0.5 * b["b_max"], 1.0)
     return np.stack([(s["f_x"] - s["r_total"]) / force, (x[:, 2] - s["wanted"]) / np.deg2rad(2.0), (s["m_x"] - s["righting"]) / moment], 1)
 
 
-def first_guess(b: dict, row: dict) -> np.ndarray:
-    wind, angle = row["tws"] * KTS, row["twa"]
-    v = np.minimum(np.maximum(wind * 0.45, 1.5), 1.25 * np.sqrt(9.81 * b["lwl"]))
-    heel = np.where(angle < 60, np.minimum(wind * 1.8, 22.0), np.where(angle < 120, np.minimum(wind * 2.2, 25.0), np.minimum(wind * 0.8, 10.0)))
-    return np.stack([v, np.deg2rad(heel), np.deg2rad(np.where(angle < 90, 3.0, 1.0))], 1)
+def start(row: dict) -> np.ndarray:
+    """Half the wind's speed, upright, without leeway; a root doesn't depend on it."""
+    v = row["tws"] * KTS / 2
+    return np.stack([v, np.zeros_like(v), np.zeros_like(v)], 1)
 
 
 def solve(b: dict, row: dict, steps: int = 200) -> tuple[np.ndarray, np.ndarray]:
@@ -47,7 +46,7 @@ def solve(b: dict, row: dict, steps: int = 200) -> tuple[np.ndarray, np.ndarray]
     A row's damping rises where a step doesn't help and falls where it does;
     rows whose steps or gains become tiny are left alone.
     """
-    x = np.clip(first_guess(b, row), LOW, HIGH)
+    x = np.clip(start(row), LOW, HIGH)
     r = residuals(b, row, x)
     damp, busy = np.full(len(x), 1e-2), np.arange(len(x))
     pick = lambda d, i: {k: v[i] for k, v in d.items()}
