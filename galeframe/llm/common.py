@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -39,6 +42,20 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def one_thread() -> None:
+    """A task has one core: numpy's OpenBLAS, where it is that, is told to use no more; its idle threads would spin on the cores of other tasks."""
+    if not _TOLD:
+        _TOLD.append(True)
+        for path in Path(np.__file__).parent.parent.glob("numpy.libs/*openblas*"):
+            for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+                if (tell := getattr(ctypes.CDLL(str(path)), name, None)) is not None:
+                    tell(ctypes.c_int(1))
+                    break
+
+
+_TOLD: list[bool] = []
+
+
 def column(name: str) -> Column:
     """The top-level column of this name, dots and backticks included."""
     return F.col("`" + name.replace("`", "``") + "`")

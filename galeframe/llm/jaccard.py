@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from galeframe.llm.common import by_bytes, column, durable, partitions, text
+from galeframe.llm.common import by_bytes, column, durable, one_thread, partitions, text
 
 _WORD = re.compile(r"\w+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -363,6 +363,7 @@ def class_blocks(named: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _blocks(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[tuple]:
     """(nodes of the rows, nodes of the columns, Jaccard similarities, links) for each pair of blocks."""
+    one_thread()
     for batch in batches:
         for i in range(batch.num_rows):
             held, other = (batch.column(c)[i].as_py() for c in (0, 1))

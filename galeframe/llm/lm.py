@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from galeframe.llm.common import by_bytes, column, durable, text
+from galeframe.llm.common import by_bytes, column, durable, one_thread, text
 
 END = b""  # no word is empty
 CLASSES, EACH, TAILS = 64, 64, 64
@@ -284,7 +284,7 @@ def inputs(y: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x, start
 
 
-def train_shard(p: dict, texts: list[np.ndarray], rate: float, epochs: int = 1, window: int = 16, width: int = 128, longest: int = 1024) -> dict:
+def train_shard(p: dict, texts: list[np.ndarray], rate: float, epochs: int = 1, window: int = 16, width: int = 256, longest: int = 1024) -> dict:
     """Adam over the shard's texts in ``width`` lanes, ``window`` steps at a time, the state carried on; lanes that have ended are dropped.
 
     Texts of over ``longest`` words are cut, so that the lanes end together;
@@ -380,6 +380,7 @@ def fit(docs: DataFrame, lex: Lexicon, shared, learn: Column, id_col: str, text_
         given = spark.sparkContext.broadcast(pack(p))
 
         def learn_shard(table: pa.Table) -> pa.Table:
+            one_thread()
             lex, known = places(shared)
             texts = [ids for part in table.sort_by("_text").column("_text").chunks for ids in token_ids(lex, known, part)[4]]
             got = train_shard(unpack(given.value), texts, 0.01)
@@ -423,7 +424,7 @@ def score_texts(p: dict, texts: list[np.ndarray], width: int = 256, window: int
 
 def lm_scores(
     docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", head: int = 1 << 18,
-    shard_tokens: int = 2_000_000, rounds: int = 2, batch_bytes: int = 1 << 23, seed: int = 5,
+    shard_tokens: int = 4_000_000, rounds: int = 2, batch_bytes: int = 1 << 23, seed: int = 5,
 ) -> DataFrame:
     """(id, n_tokens, n_known, train_tokens, base_score, score) for every row; ``learn`` says which rows the counts and the model learn from.
 
@@ -449,6 +450,7 @@ def lm_scores(
     names = ["row", "_id", "own", "token", "n", "n_tokens", "n_known", "base", "score"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         lex, known = places(shared)
         p = unpack(model.value)
         base = np.log10(lex.train + 0.5) - lex.log_base
