@@ -61,3 +61,40 @@ def alias_of(x: Column, names: dict[str, str]) -> Column:
     for k, v in names.items():
         out = F.when(F.lower(x) == k, F.lit(v)).otherwise(out)
     return out
+
+
+# The texts of warnings.
+GALE = "Gale Warning: Peak wind %.0f kts (gusts %.0f kts), seas %.1fm forecast around %s UTC"
+CALM = "Low Wind Warning: Extended light airs (<6 kts) for up to %.0f consecutive hours (avg %.1f kts). Motoring likely required."
+NIGHT = "Night Arrival Warning: Estimated arrival at %s UTC (~%02d:%02d local time) in darkness. Harbor entry and coastal navigation in the dark."
+PEAK = "Peak Wind Event: %.0f kts from %03.0f\u00b0"
+
+
+def _whole(x: Column) -> Column:
+    """For %.0f: half to even, as C prints."""
+    return F.bround(x, 0)
+
+
+def gale_warning(tws: Column, gust: Column, wave: Column, t: Column) -> Column:
+    return F.format_string(GALE, _whole(tws), _whole(gust), wave, F.date_format(t, "EEE MMM dd HH:mm"))
+
+
+def calm_warning(hours: Column, mean: Column) -> Column:
+    return F.format_string(CALM, _whole(hours), mean)
+
+
+def night_warning(arrives: Column, local_hour: Column) -> Column:
+    minutes = F.floor(F.round((local_hour - F.floor(local_hour)) * 6000.0) / 100.0)
+    return F.format_string(NIGHT, F.date_format(arrives, "HH:mm"), F.floor(local_hour), minutes)
+
+
+def peak_event(tws: Column, twd: Column) -> Column:
+    return F.format_string(PEAK, _whole(tws), _whole(twd))
+
+
+def shown_date(t: Column) -> Column:
+    return F.date_format(t, "EEE, MMM d")
+
+
+def shown_time(t: Column) -> Column:
+    return F.concat(F.date_format(t, "HH:mm"), F.lit(" UTC"))

@@ -56,3 +56,12 @@ def wind_rose(track: DataFrame, keys: list[str]) -> DataFrame:
 def argmin(df: DataFrame, keys: list[str], order: list[str], take: list[str]) -> DataFrame:
     """The row with the least ``order`` of each key, as a hash aggregation."""
     return df.groupBy(*keys).agg(F.min_by(F.struct(*take), F.struct(*order)).alias("_r")).select(*keys, "_r.*")
+
+
+def current_weather(series: DataFrame, keys: list[str]) -> DataFrame:
+    """The first row of each series (keys, t, speed in m/s, direction, temperature): 20 degrees where it has none."""
+    first = series.groupBy(*keys).agg(F.min_by(F.struct("t", "speed", "direction", "temperature"), "t").alias("r"))
+    return first.select(
+        *keys, F.date_format("r.t", "yyyy-MM-dd'T'HH:mm").alias("time"), round_to(F.coalesce("r.temperature", F.lit(20.0)), 1).alias("temperature"), round_to(F.col("r.speed") * KNOTS, 2).alias("windspeed"),
+        round_to(F.col("r.direction"), 1).alias("winddirection"), F.lit(0).alias("weathercode"), F.lit(1).alias("is_day"),
+    )

@@ -33,6 +33,23 @@ def interpolate(points: DataFrame, grid: DataFrame, spec: dict, keys: list[str],
     return out.withColumn(value, F.when(F.col("_w") >= 1e-6, F.col("_s") / F.col("_w"))).drop("_w", "_s")
 
 
+def interpolate_in_time(points: DataFrame, grid: DataFrame, spec: dict, keys: list[str], hour: str, every: float, last: float, values: list[str]) -> DataFrame:
+    """Values between steps: bilinear at the step before and at the one after, then linear in time; hours outside the steps are clamped.
+
+    ``grid``: (i, j, step, values), steps ``every`` hours from 0 to ``last``.
+    A point meets its four corners at two steps, each with its weight, in one
+    equi-join and one aggregation. A value is null where no corner is there.
+    """
+    at = F.least(F.greatest(F.col(hour), F.lit(0.0)), F.lit(last))
+    low = F.least(F.floor(at / every) * every, F.lit(max(last - every, 0.0)))
+    part = (at - low) / every
+    steps = F.explode(F.array(F.struct(low.alias("step"), (1 - part).alias("p")), F.struct((low + every).alias("step"), part.alias("p")))).alias("_t")
+    p = corner_weights(points, spec).select(*keys, "i", "j", "w", steps).select(*keys, "i", "j", F.col("_t.step").cast("int").alias("step"), (F.col("w") * F.col("_t.p")).alias("w"))
+    hit = p.join(grid.select("i", "j", F.col("step").cast("int").alias("step"), *values), ["i", "j", "step"])
+    some = hit.groupBy(*keys).agg(*[(F.sum(F.col("w") * F.col(v)) / F.nullif(F.sum("w"), F.lit(0.0))).alias(v) for v in values])
+    return points.select(*keys).join(some, keys, "left")
+
+
 def bracket(left: DataFrame, right: DataFrame, at: Column, axis: str, width: float, cols: list[str]) -> DataFrame:
     """The rows of ``right`` before and after a place on a numeric axis, as prev_<col> and next_<col>, clamped at its ends.
 

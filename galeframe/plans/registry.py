@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from galeframe.plans import display, physics, relational, scalar, search, sources
+from galeframe.plans import display, physics, relational, scalar, search, services, sources
 
-MODULES = (scalar, relational, search, physics, sources, display)
+MODULES = (scalar, relational, search, physics, sources, display, services)
 
 
 def queries() -> dict:

@@ -40,3 +40,69 @@ def tasks(cycles: DataFrame, variables: tuple[str, ...] = VARIABLES) -> DataFram
     t = cycles.withColumn("step", F.explode("steps")).withColumn("variable", F.explode(F.array(*map(F.lit, variables)))).withColumn("member", F.explode("members"))
     t = t.where(~((F.col("model") == "icon_global") & (F.col("variable") == "wind_gust") & (F.col("step") == 0)))
     return t.withColumn("zero", (F.col("step") == 0) & (F.col("variable") == "precip_accum")).drop("steps", "members")
+
+
+# How providers call the variables. Index patterns of the GFS family, names of the ECMWF family, folder and file part of ICON and of its ensemble.
+NAMES = {
+    "wind_u_10m": (":UGRD:10 m above ground:", "10u", "u_10m", "U_10M", "u_10m"),
+    "wind_v_10m": (":VGRD:10 m above ground:", "10v", "v_10m", "V_10M", "v_10m"),
+    "wind_gust_10m": (":GUST:surface:", "10fg", "vmax_10m", "VMAX_10M", "vmax_10m"),
+    "mslp": (":PRMSL:mean sea level:", "msl", "pmsl", "PMSL", "ps"),
+    "temp_2m": (":TMP:2 m above ground:", "2t", "t_2m", "T_2M", "t_2m"),
+    "precip_accum": (":APCP:surface:", "tp", "tot_prec", "TOT_PREC", "tot_prec"),
+    "wave_height_sig": (":HTSGW:surface:", "swh", None, None, None),
+}
+# Where files lie below a provider's address, and the ending of their index; {day}, {hour}, {step}, {step3}, {member}, {set} and the variable's {folder}, {part}.
+FILES = {
+    "gfs_0p25": ("gfs.{day}/{hour}/atmos/gfs.t{hour}z.pgrb2.0p25.f{step3}", ".idx", 0),
+    "gefs_0p50": ("gefs.{day}/{hour}/atmos/pgrb2{set}p5/{member}.t{hour}z.pgrb2{set}.0p50.f{step3}", ".idx", 0),
+    "ifs_0p25": ("{day}/{hour}z/ifs/0p25/oper/{day}{hour}0000-{step}h-oper-fc.grib2", ".index", 1),
+    "ifs_ens_0p25": ("{day}/{hour}z/ifs/0p25/enfo/{day}{hour}0000-{step}h-enfo-ef.grib2", ".index", 1),
+    "icon_global": ("{hour}/{folder}/icon_global_icosahedral_single-level_{day}{hour}_{step3}_{part}.grib2.bz2", None, 3),
+    "icon_eps_global": ("{hour}/{folder}/icon-eps_global_icosahedral_single-level_{day}{hour}_{step3}_{part}.grib2.bz2", None, 4),
+}
+
+
+def named(tasks: DataFrame) -> DataFrame:
+    """Adds to tasks (model, cycle, step, variable, member) the file below the provider's address, its index, and what the index calls the variable; null where the provider hasn't it.
+
+    The ensemble's control is gec00, the others gep01 and so on; gusts lie in
+    the second file set.
+    """
+    spark = tasks.sparkSession
+    rows = [(m, v, path, end, n[at] if at < 3 else None, n[2 if at == 3 else 4], n[at]) for m, (path, end, at) in FILES.items() for v, n in NAMES.items() if n[at] is not None]
+    known = spark.createDataFrame(rows, "model string, variable string, _path string, _end string, index_name string, _folder string, _part string")
+    t = tasks.join(F.broadcast(known), ["model", "variable"], "left")  # a row for each model and variable
+    member = F.when(F.col("member") == 0, F.lit("gec00")).otherwise(F.format_string("gep%02d", F.col("member")))
+    parts = {
+        "day": F.date_format("cycle", "yyyyMMdd"), "hour": F.date_format("cycle", "HH"), "step3": F.format_string("%03d", F.col("step")), "step": F.col("step").cast("string"), "member": member,
+        "set": F.when(F.col("variable") == "wind_gust_10m", F.lit("b")).otherwise(F.lit("a")), "folder": F.coalesce("_folder", F.lit("")), "part": F.coalesce("_part", F.lit("")),
+    }
+    path = F.col("_path")
+    for k, v in parts.items():
+        path = F.replace(path, F.lit("{" + k + "}"), v)
+    t = t.withColumn("path", path)
+    return t.withColumn("index_path", F.concat("path", "_end")).drop("_path", "_end", "_folder", "_part")
+
+
+# What is stored of an ensemble's variable, and of its wind.
+STATISTICS = ("mean", "std", "p10", "p50", "p90")
+EXCEEDANCES = ("prob_wind_ge_25kt", "prob_wind_ge_34kt")
+
+
+def array_plan(stores: DataFrame) -> DataFrame:
+    """(store, array_name, source, members) of stores (store, variables, ensemble, wind, keep_members).
+
+    A deterministic variable is one array; an ensemble's are its statistics,
+    and its own name serves the mean, or with ``keep_members`` all members by
+    a dimension more. ``wind``: both components are there, so that the
+    statistics of speed are stored too.
+    """
+    each = stores.select("*", F.explode("variables").alias("v"))
+    plain = each.where("not ensemble").select("store", F.col("v").alias("array_name"), F.col("v").alias("source"), F.lit(False).alias("members"))
+    stat = F.explode(F.array(*map(F.lit, STATISTICS))).alias("s")
+    stats = each.where("ensemble").select("store", "v", stat).select("store", F.concat_ws("_", "v", "s").alias("array_name"), F.concat_ws("_", "v", "s").alias("source"), F.lit(False).alias("members"))
+    mean = each.where("ensemble").select("store", F.col("v").alias("array_name"), F.concat("v", F.lit("_mean")).alias("source"), F.col("keep_members").alias("members"))
+    speeds = F.explode(F.array(*[F.lit(f"wind_speed_{s}") for s in STATISTICS], *map(F.lit, EXCEEDANCES))).alias("array_name")
+    speed = stores.where("ensemble and wind").select("store", speeds).select("store", "array_name", F.col("array_name").alias("source"), F.lit(False).alias("members"))
+    return plain.unionByName(stats).unionByName(mean).unionByName(speed)
