@@ -101,3 +101,23 @@ def as_json(polar: DataFrame, rules: TargetRules = SOLVER_RULES) -> DataFrame:
     each = cell.join(vmg_targets(polar, rules), "tws").agg(F.sort_array(F.collect_list(F.struct("tws", "cells", F.struct("up_twa", "up_kts", "down_twa", "down_kts").alias("targets")))).alias("e"))
     entries = F.transform("e", lambda s: F.struct(s["tws"].cast("string").alias("k"), s["targets"].alias("v")))
     return each.select(F.to_json(F.struct(F.transform("e", lambda s: s["tws"]).alias("tws_list"), F.transform("e", lambda s: s["cells"]).alias("rows"), F.map_from_entries(entries).alias("targets"))).alias("json"))
+
+
+# The columns of the two layouts, and the digits of those of the long one that are numbers.
+LONG = (
+    ("tws_kts", "tws", 1), ("twa_deg", "twa", 1), ("v_boat_kts", "v_boat_kts", 3), ("vmg_kts", "vmg_kts", 3), ("heel_deg", "heel_deg", 2), ("leeway_deg", "leeway_deg", 2), ("sail_set_name", "sail_set_name", None),
+    ("flat", "flat", 2), ("reef", "reef", 2), ("aws_kts", "aws_kts", 2), ("awa_deg", "awa_deg", 2), ("f_x_n", "f_x_n", 1), ("r_total_n", "r_total_n", 1), ("r_viscous_n", "r_viscous_n", 1), ("r_residuary_n", "r_residuary_n", 1),
+    ("r_induced_n", "r_induced_n", 1), ("r_heel_n", "r_heel_n", 1), ("heeling_moment_nm", "heeling_moment_nm", 1), ("righting_moment_nm", "righting_moment_nm", 1), ("converged", "converged", None),
+)
+LONG_HEADER = ",".join(n for n, _, _ in LONG)
+SHORT_HEADER = ",".join(n for n, _, _ in LONG[:9])
+
+
+def long_line() -> Column:
+    """A solved point as a line of 20 fields."""
+    return F.concat_ws(",", *[F.initcap(F.col(c).cast("string")) if c == "converged" else F.col(c) if digits is None else F.format_string(f"%.{digits}f", c) for _, c, digits in LONG])
+
+
+def short_line(tws: Column, twa: Column, speed: Column, vmg: Column) -> Column:
+    """A cell of a table of speeds as a line of 9 fields; the trim isn't known."""
+    return F.concat_ws(",", F.format_string("%.1f", tws), F.format_string("%.1f", twa), F.format_string("%.3f", speed), F.format_string("%.3f", vmg), F.lit("0.00,0.00,Main+Jib,1.00,1.00"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from galeframe import tables
 from galeframe.functions.units import round_to
-from galeframe.operators import grids
+from galeframe.operators import grids, search
 from galeframe.plans import duck as d
 from galeframe.plans.scalar import r6
 from galeframe.sources import catalogue, grib2, index, land, models, requests
@@ -237,14 +237,23 @@ def J04_rendezvous(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("cell", c("t").cast("timestamp_ntz").alias("t"), r6(c("speed")).alias("speed"))
 
 
-@query("""with w as (select event_type, time_bucket(interval '6 hours', ts, timestamp '1970-01-01') as start, value from events) select event_type, start, count(*) as n, round(sum(value) * 1e4) / 1e4 as total from w group by 1, 2""")
+_LATE = "event_id % 50 = 0 and ts < timestamp '2024-01-05'"
+
+
+@query(f"""with e as (select event_type, time_bucket(interval '6 hours', ts, timestamp '1970-01-01') as start, value from events where not ({_LATE}))
+select event_type, start, count(*) as n, round(sum(value) * 1e4) / 1e4 as total from e where start + interval '6 hours' <= (select max(ts) - interval '1 hour' from events) group by 1, 2""")
 def J10_event_windows(spark: SparkSession, sf: str) -> DataFrame:
-    """Six-hour windows of event time; an extension of the engine. Complete mode keeps the last windows, too."""
-    e = tables.read(spark, sf, "events").select("event_type", c("ts").cast("timestamp").alias("t"), "value")
-    w = ingest.windows(e, "event_type")
+    """Six-hour windows of event time over a stream of three deliveries, the last of which is late and dropped; windows come out when the watermark has passed them. An extension of the engine."""
+    e = tables.read(spark, sf, "events").select("event_type", "event_id", c("ts").cast("timestamp").alias("t"), "value")
+    late = F.expr(_LATE.replace("ts <", "cast(t as timestamp_ntz) <").replace("timestamp '", "timestamp_ntz '"))
+    first = c("t") < F.lit("2024-01-20").cast("timestamp")
+    folder = ingest.landing(spark, [e.where(~late & first), e.where(~late & ~first), e.where(late)])
+    w = ingest.to_table(ingest.windows(ingest.stream_of(spark, folder, "*.parquet"), "event_type"))
     return w.select("event_type", c("start").cast("timestamp_ntz").alias("start"), "n", round_to(c("total"), 4).alias("total"))
 
 
 @query(f"with {d.TRACK} select route_id, idx from track where idx % 4 = 0")
 def E13_recorded_steps(spark: SparkSession, sf: str) -> DataFrame:
-    return tables.track(spark, sf).where(c("idx") % 4 == 0).select("route_id", "idx")
+    """Fronts of about every hour of searches with steps of a quarter of an hour."""
+    nodes = tables.track(spark, sf).select("route_id", c("idx").alias("step"), "lat", "lon")
+    return search.waves(search.Found(nodes, nodes, search.Config(step_hours=0.25))).select("route_id", c("step").alias("idx"))

@@ -19,6 +19,14 @@ def stream_of(spark: SparkSession, folder: str, pattern: str, per_trigger: int =
     return spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", per_trigger).parquet(folder)
 
 
+def landing(spark: SparkSession, deliveries: list[DataFrame]) -> str:
+    """A landing folder that got one delivery after the other."""
+    folder = f"{shared_folder(spark)}/landing-{uuid.uuid4().hex}"
+    for d in deliveries:
+        d.write.mode("append").parquet(folder)
+    return folder
+
+
 def complete_steps(arrivals: DataFrame, members: int) -> DataFrame:
     """(step, n, mean, low, high), once for each step, as soon as all its members have arrived.
 
