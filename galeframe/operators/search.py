@@ -60,32 +60,37 @@ def _quadrant() -> Column:
     return F.floor(F.col("heading") / 90.0) % 4
 
 
-def radial_sector(c: DataFrame, cfg: Config) -> tuple[DataFrame, list[Column], int]:
+def _of_route(c: DataFrame, bounded: bool, **values: Column) -> DataFrame:
+    """Adds aggregates of each route: by a window where a route's rows fit a task, else by an aggregation that combines before the shuffle."""
+    if bounded:
+        return c.withColumns({k: v.over(Window.partitionBy("route_id")) for k, v in values.items()})
+    return c.join(c.groupBy("route_id").agg(*[v.alias(k) for k, v in values.items()]), "route_id")
+
+
+def radial_sector(c: DataFrame, cfg: Config, bounded: bool) -> tuple[DataFrame, list[Column], int]:
     """Sectors of the angle seen from the start, between a route's least and greatest."""
     n = min(cfg.max_nodes, 300) if cfg.max_nodes > 0 else 100
-    by_route = Window.partitionBy("route_id")
-    c = c.withColumn("_rel", _relative(F.col("lat"), F.col("lon")))
-    c = c.withColumns({"_low": F.min("_rel").over(by_route), "_high": F.max("_rel").over(by_route)})
+    c = _of_route(c.withColumn("_rel", _relative(F.col("lat"), F.col("lon"))), bounded, _low=F.min("_rel"), _high=F.max("_rel"))
     at = F.floor((F.col("_rel") - F.col("_low")) / F.greatest(F.col("_high") - F.col("_low"), F.lit(0.1)) * n)
     return c.withColumn("_k", clamp(at, 0, n - 1)).drop("_rel", "_low", "_high"), [F.col("_k")], 1
 
 
-def spatial_grid(c: DataFrame, cfg: Config) -> tuple[DataFrame, list[Column], int]:
+def spatial_grid(c: DataFrame, cfg: Config, bounded: bool) -> tuple[DataFrame, list[Column], int]:
     return c, [*_cell(0.75, cfg), _quadrant()], 1
 
 
-def astar_beam(c: DataFrame, cfg: Config) -> tuple[DataFrame, list[Column], int]:
+def astar_beam(c: DataFrame, cfg: Config, bounded: bool) -> tuple[DataFrame, list[Column], int]:
     """Two of each cell; all candidates of a step have sailed equally long, so that the estimate's order is that of the distance left."""
     return c, _cell(0.5, cfg), 2
 
 
-def pareto_envelope(c: DataFrame, cfg: Config) -> tuple[DataFrame, list[Column], int]:
+def pareto_envelope(c: DataFrame, cfg: Config, bounded: bool) -> tuple[DataFrame, list[Column], int]:
     """Bins of the distance off the direct course."""
     off = geo.distance_nm(F.col("start_lat"), F.col("start_lon"), F.col("lat"), F.col("lon")) * F.sin(F.radians(_relative(F.col("lat"), F.col("lon"))))
     return c, [F.floor(off / max(1.5, cfg.reach_nm * 0.8)), _quadrant()], 1
 
 
-def state_space_grid(c: DataFrame, cfg: Config) -> tuple[DataFrame, list[Column], int]:
+def state_space_grid(c: DataFrame, cfg: Config, bounded: bool) -> tuple[DataFrame, list[Column], int]:
     """The grid's cells by tack and by how the boat sails."""
     tack = geo.signed(geo.norm360(F.col("heading") - F.col("twd"))) >= 0
     mode = F.when(F.col("twa") < 60, 0).when(F.col("twa") > 135, 2).otherwise(1)
@@ -96,24 +101,29 @@ def state_space_grid(c: DataFrame, cfg: Config) -> tuple[DataFrame, list[Column]
 STRATEGIES = {f.__name__: f for f in (radial_sector, spatial_grid, astar_beam, pareto_envelope, state_space_grid)}
 
 
-def prune(candidates: DataFrame, cfg: Config) -> DataFrame:
+def prune(candidates: DataFrame, cfg: Config, bounded: bool = True) -> DataFrame:
     """The next frontier of every route, with ``idx``, its order: by cell the nearest to the destination, at most ``max_nodes`` of a route.
 
-    A route has max_nodes times the headings of a fan candidates at most, so a
-    route's rows fit a task whatever the number of routes; all windows share
-    one exchange by route. Up to 20 candidates stay as they are. An unknown
-    strategy is the spatial grid.
+    Up to 20 candidates stay as they are. An unknown strategy is the spatial
+    grid. ``bounded``: a route has max_nodes times the headings of a fan
+    candidates at most, as in a search, so that its rows fit a task and all
+    windows share one exchange by route. Else the best of each cell, then of
+    each route, are cut down before each shuffle, and only ``max_nodes`` rows
+    of a route meet in a task.
     """
-    c, cell, each = STRATEGIES.get(cfg.strategy, spatial_grid)(candidates, cfg)
+    c, cell, each = STRATEGIES.get(cfg.strategy, spatial_grid)(candidates, cfg, bounded)
     names = [f"_k{i}" for i in range(len(cell))]
-    route = Window.partitionBy("route_id")
-    c = c.withColumns(dict(zip(names, cell, strict=True))).withColumn("_n", F.count("*").over(route))
-    few = F.col("_n") <= UNPRUNED
-    c = c.withColumn("_in_cell", F.row_number().over(Window.partitionBy("route_id", *names).orderBy("dist_m", "seq"))).where(few | (F.col("_in_cell") <= each))
+    c = _of_route(c.withColumns(dict(zip(names, cell, strict=True))), bounded, _n=F.count(F.lit(1))).withColumn("_few", F.col("_n") <= UNPRUNED)
+    ranks = [("_in_cell", Window.partitionBy("route_id", *names).orderBy("dist_m", "seq"), each)]
     if cfg.max_nodes > 0:
-        c = c.withColumn("_top", F.row_number().over(route.orderBy("dist_m", "lon", "lat", "seq"))).where(few | (F.col("_top") <= cfg.max_nodes))
-    order = [F.when(few, F.col("seq")).otherwise(F.lit(0)), F.col("lon"), F.col("lat"), F.col("seq")]
-    return c.withColumn("idx", (F.row_number().over(route.orderBy(*order)) - 1).cast("int")).select(*candidates.columns, "idx")
+        ranks.append(("_top", Window.partitionBy("route_id").orderBy("dist_m", "lon", "lat", "seq"), cfg.max_nodes))
+    few, c = (None, c) if bounded else (c.where("_few"), c.where("not _few"))
+    for name, window, most in ranks:
+        keep = F.col(name) <= most
+        c = c.withColumn(name, F.row_number().over(window)).where(F.col("_few") | keep if bounded else keep).drop(name)
+    c = c if few is None else c.unionByName(few)
+    order = [F.when(F.col("_few"), F.col("seq")).otherwise(F.lit(0)), F.col("lon"), F.col("lat"), F.col("seq")]
+    return c.withColumn("idx", (F.row_number().over(Window.partitionBy("route_id").orderBy(*order)) - 1).cast("int")).select(*candidates.columns, "idx")
 
 
 def expand(frontier: DataFrame, cfg: Config) -> DataFrame:

@@ -70,7 +70,7 @@ select route_id, seq, cast(row_number() over (partition by route_id order by lon
 
 
 def _pruned(spark: SparkSession, sf: str, strategy: str) -> DataFrame:
-    return search.prune(candidates(spark, sf), search.Config(strategy=strategy, max_nodes=60)).select("route_id", "seq", "idx")
+    return search.prune(candidates(spark, sf), search.Config(strategy=strategy, max_nodes=60), bounded=False).select("route_id", "seq", "idx")
 
 
 @query(_prune_sql("least(greatest(floor((rel - lo) / greatest(hi - lo, 0.1e0) * 60), 0), 59)", more="(select *, min(rel) over (partition by route_id) as lo, max(rel) over (partition by route_id) as hi from cand)"))
