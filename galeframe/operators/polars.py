@@ -121,3 +121,9 @@ def long_line() -> Column:
 def short_line(tws: Column, twa: Column, speed: Column, vmg: Column) -> Column:
     """A cell of a table of speeds as a line of 9 fields; the trim isn't known."""
     return F.concat_ws(",", F.format_string("%.1f", tws), F.format_string("%.1f", twa), F.format_string("%.3f", speed), F.format_string("%.3f", vmg), F.lit("0.00,0.00,Main+Jib,1.00,1.00"))
+
+
+def from_matrix(given: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, tws, twa, speed) of tables given as tws_list, twa_list and rows of speeds; what such a table has isn't solved."""
+    rows = given.select(*keys, "tws_list", "twa_list", F.posexplode("speeds").alias("_i", "_row")).select(*keys, F.get("tws_list", F.col("_i")).alias("tws"), "twa_list", F.posexplode("_row").alias("_j", "speed"))
+    return rows.select(*keys, "tws", F.get("twa_list", F.col("_j")).alias("twa"), "speed")

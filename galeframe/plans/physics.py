@@ -90,8 +90,12 @@ def I23_I27_aero_forces(spark: SparkSession, sf: str) -> DataFrame:
     name = F.element_at(F.array(*map(F.lit, boats.PRESETS)), (c("event_id") % 4 + 1).cast("int"))
     o = o.withColumn("boat", name).join(F.broadcast(boats.presets(spark)), "boat")  # four rows
     e = c("event_id")
-    a = forces.aero(M, _fields(), c("tws") * 1852.0 / 3600, F.radians("twa"), F.lit(1.0) + (e % 50) * 0.1, F.radians(e % 25), F.radians(e % 8), F.lit(1.0) - (e % 4) * 0.15, F.lit(1.0) - (e % 3) * 0.1, e % 2 == 0)
-    return o.select("event_id", *[r6(a[k]).alias(k) for k in ("aws", "awa", "z_ce")], *[round_to(a[k], 3).alias(k) for k in ("f_x", "f_y", "m_x")])
+    trim = {"heel": F.radians(e % 25), "leeway": F.radians(e % 8), "flat": F.lit(1.0) - (e % 4) * 0.15, "reef": F.lit(1.0) - (e % 3) * 0.1, "down": e % 2 == 0}
+    o = o.withColumns(trim).withColumn("z_ce", forces.rig(M, _fields(), c("down"), c("reef"))[1])
+    wind = forces.apparent_wind(M, c("tws") * 1852.0 / 3600, F.radians("twa"), F.lit(1.0) + (e % 50) * 0.1, c("heel"), c("leeway"), c("z_ce"))
+    o = o.withColumns(dict(zip(("aws", "awa", "aws_eff", "awa_eff"), wind, strict=True)))  # computed once, read by all that follows
+    a = forces.sail_forces(M, _fields(), *[c(k) for k in ("aws", "aws_eff", "awa_eff", "z_ce", "heel", "flat", "reef", "down")])
+    return o.select("event_id", *[r6(c(k)).alias(k) for k in ("aws", "awa", "z_ce")], *[round_to(a[k], 3).alias(k) for k in ("f_x", "f_y", "m_x")])
 
 
 @query(f"""with {_boats_sql()} select boat, {d.r6("lwl / pow(vol, 1e0/3)")} as length_displacement, {d.r6("b_wl / greatest(draft_canoe, 0.1e0)")} as beam_draft, {d.r6("(main_p * main_e + fore_i * fore_j) / 2 / pow(vol, 2e0/3)")} as sail_displacement from boats""")
@@ -224,3 +228,26 @@ def solver_version(spark: SparkSession) -> DataFrame:
     h = forces.hydro(M, _fields(), c("k") * 0.6, F.radians(c("k") * 3), c("mass") * 0.3)
     line = F.format_string("%s|%d|%.3f|%.3f", "boat", "k", round_to(h["r_total"], 3), round_to(h["righting"], 3))
     return k.select(line.alias("line")).agg(F.substring(F.sha2(F.concat_ws("|", F.sort_array(F.collect_list("line"))), 256), 1, 12).alias("version"))
+
+
+@query(f"""with {_boats_sql()}, k as (select boats.*, range as k, radians(range * 3) as heel from boats, range(0, 21))
+select boat, k, {d.r6("mass * 9.80665e0 * 0.6e0 * sin(2 * heel) + crew_mass * crew_fraction * 9.80665e0 * crew_distance * cos(heel) * tanh(heel / radians(12))")} as righting from k""")
+def K03_own_righting_arm(spark: SparkSession, sf: str) -> DataFrame:
+    """Righting moments with a user's curve in place of the hull's."""
+    k = boats.presets(spark).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(20).cast("long"))))
+    own = forces.righting_moment(M, _fields(), F.radians(c("k") * 3), lambda m, heel: 0.6 * m.sin(2.0 * heel))
+    return k.select("boat", "k", r6(own).alias("righting"))
+
+
+@query("""with g as (select s_suppkey as id, [6e0, 10e0] as tws_list, [40e0, 90e0, 140e0] as twa_list, s_suppkey % 5 * 0.1e0 as x from supplier),
+t as (select id, tws_list[i] as tws, twa_list[j] as twa, 3e0 + i + j * 0.5e0 + x as speed from g, range(1, 3) a(i), range(1, 4) b(j)),
+v as (select *, round(speed * cos(radians(twa)) * 1e9) / 1e9 as vmg from t)
+select id, tws, max(speed) as fastest, arg_max(twa, vmg) filter (twa between 30 and 70) as up_twa, arg_min(twa, vmg) filter (twa between 120 and 180) as down_twa from v group by id, tws""")
+def I38_given_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    """Tables of speeds as a request gives them, with their targets."""
+    s = tables.read(spark, sf, "supplier")
+    speed = F.transform(F.array(F.lit(1), F.lit(2)), lambda i: F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda j: F.lit(3.0) + i + j * 0.5 + c("s_suppkey") % 5 * 0.1))
+    num = lambda *v: F.array(*map(F.lit, v))
+    t = polars.from_matrix(s.select(c("s_suppkey").alias("id"), num(6.0, 10.0).alias("tws_list"), num(40.0, 90.0, 140.0).alias("twa_list"), speed.alias("speeds")), ["id"])
+    best = polars.vmg_targets(t, keys=["id"]).select("id", "tws", "up_twa", "down_twa")
+    return t.groupBy("id", "tws").agg(F.max("speed").alias("fastest")).join(best, ["id", "tws"])

@@ -257,3 +257,14 @@ def E13_recorded_steps(spark: SparkSession, sf: str) -> DataFrame:
     """Fronts of about every hour of searches with steps of a quarter of an hour."""
     nodes = tables.track(spark, sf).select("route_id", c("idx").alias("step"), "lat", "lon")
     return search.waves(search.Found(nodes, nodes, search.Config(step_hours=0.25))).select("route_id", c("step").alias("idx"))
+
+
+@query("select case when event_id % 3 = 0 then 'a' when event_id % 3 = 1 then 'b' else 'c' end as model, cast(count(*) as integer) as n from events group by 1")
+def J01_J08_polled_progress(spark: SparkSession, sf: str) -> DataFrame:
+    """Deliveries of three models polled one after the other: the rows of each, as the query's progress tells them."""
+    e = tables.read(spark, sf, "events")
+    parts = [e.where(c("event_id") % 3 == k).coalesce(1) for k in range(3)]
+    q = ingest.polled(ingest.stream_of(spark, ingest.landing(spark, parts), "*.parquet"), lambda batch, _: batch.write.format("noop").mode("overwrite").save())
+    q.awaitTermination()
+    rows = [n for _, n in ingest.progress(q) if n]
+    return spark.createDataFrame(list(zip("abc", rows, strict=True)), "model string, n int")

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from galeframe.operators.common import shared_folder
@@ -103,3 +104,15 @@ def newer_cycles(stream: DataFrame, done: str, write: Callable[[DataFrame], None
             new.unpersist()
 
     return each
+
+
+def polled(stream: DataFrame, each: Callable[[DataFrame, int], None], every: str | None = None) -> StreamingQuery:
+    """Starts a poll: at once and then ``every`` (such as "10 minutes") a batch of what is new; without it, all that is there and no more."""
+    base = f"{shared_folder(stream.sparkSession)}/poll-{uuid.uuid4().hex}"
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    return stream.writeStream.foreachBatch(each).option("checkpointLocation", base).trigger(**trigger).start()
+
+
+def progress(query: StreamingQuery) -> list[tuple[int, int]]:
+    """(batch, rows read) of the batches that a query remembers."""
+    return [(p["batchId"], p["numInputRows"]) for p in query.recentProgress]
