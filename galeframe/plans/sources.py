@@ -268,3 +268,28 @@ def J01_J08_polled_progress(spark: SparkSession, sf: str) -> DataFrame:
     q.awaitTermination()
     rows = [n for _, n in ingest.progress(q) if n]
     return spark.createDataFrame(list(zip("abc", rows, strict=True)), "model string, n int")
+
+
+@query(f"""with {d.GRID} select i, j, list(round((value + 0.5e0 * s) * 1e6) / 1e6 order by s) as series from grid, unnest([0, 3, 6]) t(s) group by i, j""")
+def A23_A32_open_store(spark: SparkSession, sf: str) -> DataFrame:
+    """Two cycles written and published one after the other; the series of the newer one, read from the opened store."""
+    root = ingest.landing(spark, []) + "-store"
+    g = tables.grid(spark, sf).withColumn("step", F.explode(F.array(F.lit(0), F.lit(3), F.lit(6))))
+    for cycle, rise in (("20260601_00Z", 9.0), ("20260601_06Z", 0.5)):
+        cells = g.select(F.lit("gfs_0p25").alias("model"), F.lit(cycle).alias("cycle"), F.lit("mslp").alias("variable"), "step", "i", "j", (c("value") + c("step") * rise).alias("value"))
+        catalogue.write_cycle(cells, f"{root}/cells")
+        catalogue.publish(spark, root, "gfs_0p25", cycle)
+    opened = catalogue.open_latest(spark, root, f"{root}/cells", "gfs_0p25")
+    s = opened.groupBy("i", "j").agg(F.sort_array(F.collect_list(F.struct("step", "value"))).alias("l"))
+    return s.select("i", "j", F.transform("l", lambda x: r6(x["value"])).alias("series"))
+
+
+@query("""select p_partkey // 100 as id, any_value(['wind_u_10m', 'mslp'][cast(p_partkey // 100 % 2 + 1 as integer)]) as variable, 0 as member, cast(10 as integer) as nlons, round(avg(round(p_retailprice * 10) / 10) * 1e3) / 1e3 as mean from part group by 1""")
+def A09_canonical_slices(spark: SparkSession, sf: str) -> DataFrame:
+    """Messages as slices of named variables, and the mean of each one's data."""
+    p = tables.read(spark, sf, "part").select(F.floor(c("p_partkey") / 100).alias("id"), "p_partkey", c("p_retailprice").alias("v"))
+    g = p.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("p_partkey", "v"))), lambda s: s["v"]).alias("values"))  # a hundred values
+    decoded = grib2.decode(grib2.encode_rows(g.withColumn("packing", F.lit(0)), "id", "values", 10, "packing"), "id", "content")
+    s = grib2.canonical(decoded, F.get(F.array(F.lit("wind_u_10m"), F.lit("mslp")), (c("id") % 2).cast("int")))
+    mean = F.aggregate("data", F.lit(0.0), lambda a, x: a + round_to(x.cast("double"), 1)) / F.size("data")
+    return s.select("id", "variable", "member", c("nlons").cast("int").alias("nlons"), round_to(mean, 3).alias("mean"))

@@ -40,3 +40,9 @@ def sizes(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """(folder, files, bytes) below a path, from the listing alone: contents aren't read."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path).select("path", "length")
     return f.groupBy(F.regexp_replace("path", "/[^/]*$", "").alias("folder")).agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
+
+
+def open_latest(spark: SparkSession, root: str, path: str, model: str) -> DataFrame:
+    """The cells of a model's newest published cycle; the scan is of its folder alone. Without one, no cells."""
+    cycles = [r["cycle"] for r in latest(spark, root).where(F.col("model") == model).collect()]  # one at most
+    return spark.read.parquet(path).where((F.col("model") == model) & F.col("cycle").isin(cycles))

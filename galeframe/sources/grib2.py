@@ -8,7 +8,7 @@ from datetime import datetime
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SCHEMA = (
@@ -228,3 +228,12 @@ def encode_rows(grids: DataFrame, key: str, values: str, ni: int, packing: str)
 
     kind = grids.schema[key].dataType.simpleString()
     return grids.select(F.col(key).alias("_key"), F.col(values), F.col(packing)).mapInArrow(run, f"_key {kind}, content binary").withColumnRenamed("_key", key)
+
+
+def canonical(decoded: DataFrame, variable: Column) -> DataFrame:
+    """Messages as slices of a named variable: their time, member, lattice and the degrees between its neighbours."""
+    step = lambda a, b, n: F.when(F.col(n) > 1, F.abs(F.col(b) - F.col(a)) / (F.col(n) - 1)).otherwise(0.0)
+    return decoded.select(
+        "id", variable.alias("variable"), (F.col("reference") + F.make_dt_interval(F.lit(0), F.col("step"))).alias("valid_time"), F.col("step").alias("step_hours"), F.col("member").cast("int").alias("member"), F.col("nj").alias("nlats"), F.col("ni").alias("nlons"),
+        F.col("lat1").alias("lat_start"), F.col("lat2").alias("lat_end"), step("lat1", "lat2", "nj").alias("lat_step"), F.col("lon1").alias("lon_start"), F.col("lon2").alias("lon_end"), step("lon1", "lon2", "ni").alias("lon_step"), F.col("values").alias("data"),
+    )
