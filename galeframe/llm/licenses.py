@@ -34,9 +34,23 @@ TEMPLATES: dict[str, str] = {
 
 _MIT = TEMPLATES["MIT-notice"] + """, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
 THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_REDISTRIBUTION = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+_KEEP = """Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+"""
+_NO_NAMES = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n"
+_AS_IS = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_ISC = TEMPLATES["ISC"] + """, provided that the above copyright notice and this permission notice appear in all copies.
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+_UNLICENSE = TEMPLATES["Unlicense"] + """
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
 _TEXTS = Path(__file__).parent / "texts"
 #: Whole licences, read with the package on the driver. ``TEMPLATES`` stays as the SQL has it.
-FULL_TEXTS: dict[str, str] = {"MIT-text": _MIT} | {f"{k}-text": (_TEXTS / f"{v}.txt").read_text() for k, v in (("Apache-2.0", "Apache-2.0"), ("GPL-3.0", "GPL-3"), ("LGPL-3.0", "LGPL-3"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0"))}
+FULL_TEXTS: dict[str, str] = {
+    "MIT-text": _MIT, "BSD-2-Clause-text": _REDISTRIBUTION + _KEEP + _AS_IS, "BSD-3-Clause-text": _REDISTRIBUTION + _KEEP + _NO_NAMES + _AS_IS, "ISC-text": _ISC, "Unlicense-text": _UNLICENSE,
+} | {f"{k}-text": (_TEXTS / f"{v}.txt").read_text() for k, v in (("Apache-2.0", "Apache-2.0"), ("GPL-3.0", "GPL-3"), ("LGPL-3.0", "LGPL-3"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0"))}
 
 
 def words(col: Column) -> Column:
@@ -95,7 +109,8 @@ def license_spans(docs: DataFrame, templates: dict[str, str] | None = None, leas
 
     A run that reaches ``least`` holds least / (2 - least) of the template's
     bigrams, thus one of any third of them: rows without a word of those with
-    the longest words are dropped first, rows with too few of the bigrams next.
+    the longest words are dropped first, rows with too few of the bigrams next;
+    only the bigrams of what is left are written.
     """
     templates = TEMPLATES | FULL_TEXTS if templates is None else templates
     spark, share, table, wanted = docs.sparkSession, least / (2 - least), [], set()
@@ -107,13 +122,16 @@ def license_spans(docs: DataFrame, templates: dict[str, str] | None = None, leas
             table += [(name, " ".join(g), len(grams), len(ws) - 1, 1 if len(ws) <= 80 else (len(ws) - 1) // 40) for g in grams]
     table = spark.createDataFrame(table, "license string, gram string, t long, span int, stride int")
     found = license_scan(docs, templates, least, id_col, text_col).select(column(id_col).alias("_id"), "license", "unit", F.lit(None).cast("int").alias("start"), "dice")
-    rows = docs.select(column(id_col).alias("_id"), words(text(text_col)).alias("_words"))
+    key = ["_none", "_sid", "_key"]
+    rows = docs.select(column(id_col).alias("_id"), column(id_col).isNull().alias("_none"), F.coalesce(column(id_col).cast("string"), F.lit("")).alias("_sid"), F.xxhash64(text(text_col)).alias("_key"), words(text(text_col)).alias("_words"))
     rows = rows.where(F.arrays_overlap("_words", F.array(*map(F.lit, sorted(wanted))))).where(F.size("_words") > 1)
     after = F.slice("_words", 2, F.size("_words") - 1)
-    rows = durable(rows.select(F.monotonically_increasing_id().alias("_row"), "_id", F.zip_with(F.slice("_words", 1, F.size("_words") - 1), after, lambda a, b: F.concat_ws(" ", a, b)).alias("_grams")))
-    hits = rows.select("_row", F.posexplode("_grams").alias("p", "gram")).join(F.broadcast(table), "gram")
-    enough = hits.groupBy("_row", "license", "t").agg(F.count_distinct("gram").alias("both")).where(F.col("both") >= F.col("t") * share - 1e-9)
-    hits = hits.join(enough.select("_row", "license"), ["_row", "license"])
+    rows = rows.withColumn("_grams", F.zip_with(F.slice("_words", 1, F.size("_words") - 1), after, lambda a, b: F.concat_ws(" ", a, b))).drop("_words")
+    held = rows.select(*key, F.explode(F.array_distinct("_grams")).alias("gram")).join(F.broadcast(table), "gram").groupBy(*key, "license", "t").agg(F.count_distinct("gram").alias("both"))
+    enough = durable(held.where(F.col("both") >= F.col("t") * share - 1e-9).select(*key, "license"))
+    rows = rows.join(enough.select(*key).distinct(), key, "left_semi").dropDuplicates(key)
+    rows = durable(rows.withColumn("_row", F.monotonically_increasing_id()))  # of the few texts that hold enough of a licence
+    hits = rows.select("_row", *key, F.posexplode("_grams").alias("p", "gram")).join(F.broadcast(table), "gram").join(enough, [*key, "license"])
     first = F.greatest(F.ceil((F.col("p") - F.col("span") + 1) / F.col("stride")), F.lit(0)).cast("int")
     runs = hits.withColumn("k", F.explode(F.sequence(first, F.floor(F.col("p") / F.col("stride")).cast("int"))))
     runs = runs.groupBy("_row", "license", "t", "span", (F.col("k") * F.col("stride")).alias("start")).agg(F.count_distinct("gram").alias("both"))
