@@ -166,7 +166,16 @@ def _masked(spark: SparkSession) -> DataFrame:
     return tables.polar(spark).withColumn("converged", (c("tws") + c("twa")).cast("int") % 5 != 0)
 
 
-@query()
+def _filled(src: str, key: str, x: str, done: str) -> str:
+    """Unconverged cells of ``src`` between two anchors of a line take the straight line."""
+    near = lambda f, rows: f"{f}_value(anchor ignore nulls) over (partition by {key} order by {x} rows between {rows})"
+    fill = f"not converged and a is not null and b is not null and n >= 2 and not {done}"
+    return f"""(select tws, twa, converged, {done} or ({fill}) as done, case when {fill} then a.y + (b.y - a.y) * ({x} - a.x) / (b.x - a.x) else speed end as speed
+ from (select *, {near("last", "unbounded preceding and 1 preceding")} as a, {near("first", "1 following and unbounded following")} as b, count(anchor) over (partition by {key}) as n
+ from (select *, case when converged and speed > 0 then {{'x': {x}, 'y': speed}} end as anchor from {src})))"""
+
+
+@query(f"""with {d.polar()}, m as (select *, cast(tws + twa as integer) % 5 <> 0 as converged, false as done from polar), f as {_filled("m", "tws", "twa", "done")}, g as {_filled("f", "twa", "tws", "done")} select tws, twa, {d.r6("speed")} as speed, converged from g""")
 def E10_repair_polar(spark: SparkSession, sf: str) -> DataFrame:
     """Unconverged cells filled along the angle, then along the wind speed; compared with plain Python in the tests."""
     return polars.repair(_masked(spark)).select("tws", "twa", r6(c("speed")).alias("speed"), "converged")

@@ -207,7 +207,17 @@ def B02_member_columns(spark: SparkSession, sf: str) -> DataFrame:
     return m.select("cell", "step", *[r6(c(x)).alias(x) for x in m.columns[2:]])
 
 
-@query()
+def _lattice_sql() -> str:
+    """That of the synthetic field, over the lattice of the data source."""
+    from galeframe.plans import relational
+
+    whole = relational.SQL["A38_synthetic_wind"]
+    k = "(1852e0 / 3600)"
+    whole = whole.replace("range(-180, 180, 30) b, range(0, 97, 24) h", "range(-180, 180, 20) b, range(0, 25, 3) h")
+    return whole.replace("select lat, lon, hour, round(", f"select lat, lon, hour, round(sqrt(pow((bu + du) * {k}, 2) + pow((bv + dv) * {k}, 2)) / {k} * 1e6) / 1e6 as tws, round(")
+
+
+@query(_lattice_sql())
 def I06_K01_wind_lattice(spark: SparkSession, sf: str) -> DataFrame:
     """The synthetic field sampled by the engine's own data source, as a table."""
     from galeframe.sources.wind import SyntheticWind, with_wind
