@@ -212,7 +212,11 @@ def A44_solved_lines(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("user_id", "event_type", F.lit(polars.LONG_HEADER).alias("header"), polars.long_line().alias("line"))
 
 
-@query()
+_TARGETS = _targets_sql((30.0, 70.0), (120.0, 180.0), 0.0, "45e0,5e0", "150e0,6e0")
+
+
+@query(f"""with {d.polar()}, r as (select tws, list({{'twa': twa, 'speed': speed}} order by twa) as cells from polar group by tws), t as (from ({_TARGETS}))
+select to_json({{'tws_list': list(tws order by tws), 'rows': list(cells order by tws), 'targets': map_from_entries(list({{'k': tws::varchar, 'v': {{'up_twa': up_twa, 'up_kts': up_kts, 'down_twa': down_twa, 'down_kts': down_kts}}}} order by tws))}})::varchar as json from r join t using (tws)""")
 def A45_polar_json(spark: SparkSession, sf: str) -> DataFrame:
     return polars.as_json(tables.polar(spark))
 
