@@ -6,6 +6,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -19,13 +20,35 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage: ``df`` is computed once, written as Parquet to the cluster's shared folder, and read again."""
+_SCRATCH: list[list[str]] = []
+
+
+def durable(df: DataFrame, keep: bool = False) -> DataFrame:
+    """Cut the lineage: ``df`` is computed once, written as Parquet to the cluster's shared folder, and read again.
+
+    Inside ``scratch`` the table goes with the others at its end, unless it is
+    to ``keep``.
+    """
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _SCRATCH and not keep:
+        _SCRATCH[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``durable`` writes meanwhile are deleted at the end: what is still needed then is in tables that are kept, and no plan that lives on may read others."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in _SCRATCH.pop():
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A folder of this session under ``spark.checkpoint.dir``, which driver and executors share.
 

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from galeframe.llm.common import by_bytes, column, durable, one_thread, partitions, text
+from galeframe.llm.common import by_bytes, column, durable, one_thread, partitions, scratch, text
 
 _WORD = re.compile(r"\w+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -468,15 +468,21 @@ def near_duplicates(
     return rows, links
 
 
+def classes(docs: DataFrame, **more) -> DataFrame:
+    """The rows of ``near_duplicates`` as a table of their own; what led to them is deleted."""
+    with scratch(docs.sparkSession):
+        return durable(near_duplicates(docs, **more)[0], keep=True)
+
+
 def similarity_join(docs: DataFrame, id_col: str = "doc_id", **more) -> DataFrame:
     """(id, class_id, copies, n_links) for every row; see ``near_duplicates``."""
-    rows, _ = near_duplicates(docs, id_col=id_col, **more)
+    rows = classes(docs, id_col=id_col, **more)
     return rows.select(F.col("id").alias(id_col), "class_id", "copies", "n_links")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
     """``docs`` with one row of each class, the one with the least id (null last); of rows with one id and text, the one whose other columns hash lowest."""
-    rows, _ = near_duplicates(docs, id_col=id_col, text_col=text_col, count=False, **more)
+    rows = classes(docs, id_col=id_col, text_col=text_col, count=False, **more)
     key = ["_id", "_key", "_rest"]
     stay = rows.groupBy("class_row").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", *key)).alias("r")).select(*[F.col(f"r.{k}") for k in key])
     whole = docs.select(F.struct(*[column(c) for c in docs.columns]).alias("doc"), *text_key(text_col, id_col), rest_key(docs, id_col, text_col))

@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from galeframe.llm.common import buckets_for, by_bytes, column, durable, salted_prefix, text
+from galeframe.llm.common import buckets_for, by_bytes, column, durable, salted_prefix, scratch, text
 from galeframe.llm.tokens import ODD_SPACE, encoder, visible_units
 
 #: Ranks of a length are looked up in blocks of so many.
@@ -197,9 +197,10 @@ def pack(pieces: DataFrame, capacity: int = 4096, id_col: str = "_id") -> DataFr
     task; a piece finds its run by length and by its block of ranks.
     """
     pieces = durable(pieces)
-    lengths = durable(pieces.groupBy("length").agg(F.count("*").alias("n")))
-    most = lengths.agg(F.max("n")).first()[0] or 0
-    runs = durable(best_fit(lengths, capacity))
+    with scratch(pieces.sparkSession):
+        lengths = durable(pieces.groupBy("length").agg(F.count("*").alias("n")))
+        most = lengths.agg(F.max("n")).first()[0] or 0
+        runs = durable(best_fit(lengths, capacity), keep=True)
     ranked = salted_prefix(pieces, ["length"], [F.col(id_col), F.col("piece"), F.col("ids_crc32")], F.lit(1), F.xxhash64(id_col, "piece"), "_rank", buckets_for(most))
     names = [c for c in ranked.columns if c != "_rank"]
     last = F.col("rank") + F.col("n") * F.col("each") - 1

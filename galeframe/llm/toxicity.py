@@ -109,8 +109,11 @@ def fit(
 
     sample = known.select("_text", "_y", F.xxhash64("_id", "_text", F.lit(seed)).alias("_h")).mapInArrow(terms, "terms array<int>, y int, h long")
     sample = durable(sample.withColumn("row", F.monotonically_increasing_id()))
-    sample = sample.join(sample.select("row").orderBy("h", "y", "row").limit(sample_rows), "row", "left_semi")  # all of them, unless ids repeat
-    total = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("p")).first()
+    told = lambda: sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("p")).first()
+    total = told()
+    if total["n"] > sample_rows:  # ids repeat
+        sample = durable(sample.orderBy("h", "y", "row").limit(sample_rows))
+        total = told()
     n, p = float(total["n"]), float(total["p"])
     # 2x2 table of a bucket against the label, with a of its df rows positive
     a, df = F.col("a").cast("double"), F.col("df").cast("double")
