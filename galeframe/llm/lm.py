@@ -284,7 +284,7 @@ def inputs(y: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x, start
 
 
-def train_shard(p: dict, texts: list[np.ndarray], rate: float, epochs: int = 1, window: int = 32, width: int = 256, longest: int = 1024) -> dict:
+def train_shard(p: dict, texts: list[np.ndarray], rate: float, epochs: int = 1, window: int = 32, width: int = 128, longest: int = 1024) -> dict:
     """Adam over the shard's texts in ``width`` lanes, ``window`` steps at a time, the state carried on; lanes that have ended are dropped.
 
     Texts of over ``longest`` words are cut, so that the lanes end together;
