@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galeframe.llm import fingerprints, jaccard, licenses, lm, media, mixing, packing, sharding, tokens, toxicity
+from galeframe.llm import fingerprints, jaccard, licenses, lm, media, mixing, packing, sharding, tokens, toxicity, urls
 from galeframe.llm.common import fold, read
 
 
@@ -67,6 +67,20 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.select("key.doc_id", "key.n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", F.size("clips").alias("n_clips"))
 
 
+#: Rules of op11 (host and path, verdict): fixed values.
+URL_RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
+#: Patterns that decide where no rule fits: names of hosts that sell or spam.
+URL_PATTERNS = ("||spam-farm.", "||cheap-pills.", "||casino-win.", "||free-bets.")
+
+
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest rule decides, else a pattern (block), else the url is allowed; ``pattern`` is the one that fits, if any."""
+    rules = urls.rules_table(spark, [*[(r, f"||{r}", v, 1) for r, v in URL_RULES], *[(p, p, "block", 2) for p in URL_PATTERNS]])
+    fit = urls.url_verdicts(read(spark, sf_dir, "pages").select("page_id", "url"), rules)
+    rule, verdict = F.when(F.col("fit.tier") == 1, F.col("fit.rule_id")), F.coalesce("fit.verdict", F.lit("allow"))
+    return fit.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"), F.col("fit.pattern").alias("pattern"))
+
+
 def _templates() -> str:
     return ", ".join(f"('{k}', '{v.replace(chr(39), chr(39) * 2)}')" for k, v in licenses.TEMPLATES.items())
 
@@ -89,5 +103,18 @@ select doc_id, license, cast(arg_max(unit, {{'a': dice, 'b': -unit}}) as integer
 from m where dice >= 0.8 group by doc_id, license
 """
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_fingerprints, op3_mixing, op4_jaccard_join, op5_packing, op6_sharding, op7_toxicity, op8_licenses, op8_license_spans, op9_token_counts, op10_media)}
-SQL = {"op8_licenses": LICENSES_SQL}
+_URL_RULES = ", ".join(f"('{r}', '{r.split('/', 1)[0]}', '/{r.split('/', 1)[1]}', '{v}')" for r, v in URL_RULES)
+_URL_PATTERNS = ", ".join(f"('{p}', '.{p[2:]}')" for p in URL_PATTERNS)
+URLS_SQL = f"""
+with u as (select page_id, coalesce(url, '') as url from pages),
+p as (select page_id, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '{urls.UPPER}', '{urls.LOWER}') as host, regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) as path from u),
+f as (select distinct host, path, {{'t': 1, 'n': -length(rule), 'k': rule}} as place, rule, v.verdict, '||' || rule as pattern from p, (values {_URL_RULES}) v(rule, rh, rp, verdict)
+      where (host = rh or ends_with(host, '.' || rh)) and starts_with(path, rp)
+      union all
+      select distinct host, path, {{'t': 2, 'n': -length(v.pattern), 'k': v.pattern}}, null, 'block', v.pattern from p, (values {_URL_PATTERNS}) v(pattern, label) where contains('.' || host, label)),
+b as (select host, path, arg_min({{'rule': rule, 'verdict': verdict, 'pattern': pattern}}, place) as b from f group by host, path)
+select page_id, p.host, p.path, b.rule as rule, coalesce(b.verdict, 'allow') as verdict, b.pattern as pattern from p left join b on p.host = b.host and p.path = b.path
+"""
+
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_fingerprints, op3_mixing, op4_jaccard_join, op5_packing, op6_sharding, op7_toxicity, op8_licenses, op8_license_spans, op9_token_counts, op10_media, op11_url_filters)}
+SQL = {"op8_licenses": LICENSES_SQL, "op11_url_filters": URLS_SQL}
