@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from galeframe.functions.geo import fold180, norm360, signed
-from galeframe.functions.units import clamp, round_to
+from galeframe.functions.units import clamp, let, round_to
 
 # The test polar, knots of boat speed by true wind speed and angle.
 TWS = (6.0, 8.0, 10.0, 12.0, 14.0, 16.0, 20.0, 25.0)
@@ -32,22 +32,32 @@ def _bracket(axis: tuple[float, ...], x: Column) -> tuple[Column, Column]:
     """(0-based place of the lower neighbour, fraction), clamped at both ends."""
     a = F.array(*[F.lit(v) for v in axis])
     at = clamp(F.size(F.filter(a, lambda v: v <= x)) - 1, 0, len(axis) - 2)
-    low, high = F.get(a, at), F.get(a, at + 1)
-    return at, clamp((x - low) / (high - low), 0.0, 1.0)
+    return at, let(at, lambda k: clamp((x - F.get(a, k)) / (F.get(a, k + 1) - F.get(a, k)), 0.0, 1.0))
 
 
 def polar_speed(tws: Column, twa: Column) -> Column:
-    """Boat speed in knots: none in calm or head to wind, scaled under the lightest column, rolled off near the stall."""
-    angle = fold180(F.abs(twa % F.lit(360.0)))
+    """Boat speed in knots: none in calm or head to wind, scaled under the lightest column, rolled off near the stall.
+
+    Both arguments are bound once, however often the lookup names them.
+    """
+    angle = let(F.abs(twa % F.lit(360.0)), fold180)
+    return let(F.struct(tws.alias("tws"), angle.alias("angle")), lambda x: _looked_up(x["tws"], x["angle"]))
+
+
+def _looked_up(tws: Column, angle: Column) -> Column:
     scale = F.when(tws < TWS[0], (tws - CALM_KTS) / (TWS[0] - CALM_KTS)).otherwise(F.lit(1.0))
     flat = F.array(*[F.lit(x) for row in SPEEDS for x in row])
     i, f = _bracket(TWS, F.greatest(tws, F.lit(TWS[0])))
     j, g = _bracket(TWA, angle)
-    cell = lambda di, dj: F.get(flat, (i + di) * len(TWA) + j + dj)
-    s0, s1 = cell(0, 0) * (1 - g) + cell(0, 1) * g, cell(1, 0) * (1 - g) + cell(1, 1) * g
-    s = (s0 * (1 - f) + s1 * f) * scale
-    s = F.when(angle < NO_GO_DEG, s * F.pow((angle - STALL_DEG) / 6.0, F.lit(2.0))).otherwise(s)
-    return F.when((tws <= CALM_KTS) | (angle <= STALL_DEG) | (s < 0.05), F.lit(0.0)).otherwise(s)
+
+    def between(x: Column) -> Column:
+        cell = lambda di, dj: F.get(flat, (x["i"] + di) * len(TWA) + x["j"] + dj)
+        low, high = (cell(d, 0) * (1 - x["g"]) + cell(d, 1) * x["g"] for d in (0, 1))
+        return (low * (1 - x["f"]) + high * x["f"]) * scale
+
+    s = let(F.struct(i.alias("i"), f.alias("f"), j.alias("j"), g.alias("g")), between)
+    stall = F.when(angle < NO_GO_DEG, F.pow((angle - STALL_DEG) / 6.0, F.lit(2.0))).otherwise(F.lit(1.0))
+    return F.when((tws <= CALM_KTS) | (angle <= STALL_DEG), F.lit(0.0)).otherwise(let(s * stall, lambda v: F.when(v < 0.05, F.lit(0.0)).otherwise(v)))
 
 
 def polar_speed_extrapolated(tws: Column, twa: Column) -> Column:

@@ -20,6 +20,11 @@ def clamp(x: Column, low, high) -> Column:
     return F.least(F.greatest(x, F.lit(low)), F.lit(high))
 
 
+def let(x: Column, f) -> Column:
+    """f of x, which is computed once however often f names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def speed(ms: Column, unit: Column) -> Column:
     return F.when(unit == "kn", ms * KNOTS).when(unit == "kmh", ms * KMH).when(unit == "mph", ms * MPH).otherwise(ms)
 

@@ -38,7 +38,8 @@ def interpolate_in_time(points: DataFrame, grid: DataFrame, spec: dict, keys: li
 
     ``grid``: (i, j, step, values), steps ``every`` hours from 0 to ``last``.
     A point meets its four corners at two steps, each with its weight, in one
-    equi-join and one aggregation. A value is null where no corner is there.
+    equi-join and one aggregation. Corners that are null or NaN have no
+    weight; a value is null where the weights left don't reach 1e-6.
     """
     at = F.least(F.greatest(F.col(hour), F.lit(0.0)), F.lit(last))
     low = F.least(F.floor(at / every) * every, F.lit(max(last - every, 0.0)))
@@ -46,14 +47,17 @@ def interpolate_in_time(points: DataFrame, grid: DataFrame, spec: dict, keys: li
     steps = F.explode(F.array(F.struct(low.alias("step"), (1 - part).alias("p")), F.struct((low + every).alias("step"), part.alias("p")))).alias("_t")
     p = corner_weights(points, spec).select(*keys, "i", "j", "w", steps).select(*keys, "i", "j", F.col("_t.step").cast("int").alias("step"), (F.col("w") * F.col("_t.p")).alias("w"))
     hit = p.join(grid.select("i", "j", F.col("step").cast("int").alias("step"), *values), ["i", "j", "step"])
-    some = hit.groupBy(*keys).agg(*[(F.sum(F.col("w") * F.col(v)) / F.nullif(F.sum("w"), F.lit(0.0))).alias(v) for v in values])
+    good = lambda v: F.col(v).isNotNull() & ~F.isnan(v)
+    sums = [x for v in values for x in (F.sum(F.when(good(v), F.col("w"))).alias(f"_w_{v}"), F.sum(F.when(good(v), F.col("w") * F.col(v))).alias(f"_s_{v}"))]
+    some = hit.groupBy(*keys).agg(*sums).select(*keys, *[F.when(F.col(f"_w_{v}") >= 1e-6, F.col(f"_s_{v}") / F.col(f"_w_{v}")).alias(v) for v in values])
     return points.select(*keys).join(some, keys, "left")
 
 
 def bracket(left: DataFrame, right: DataFrame, at: Column, axis: str, width: float, cols: list[str]) -> DataFrame:
     """The rows of ``right`` before and after a place on a numeric axis, as prev_<col> and next_<col>, clamped at its ends.
 
-    ``right`` is a table of axis values, such as a cycle's time steps. The axis
+    ``right`` is a short table of axis values, such as a cycle's time steps: it
+    is sorted in one task, and its ends come to the driver. The axis
     is cut into buckets of ``width``; an interval of ``right`` is listed under
     each bucket it touches, so that Spark hashes buckets and checks the range
     within them.

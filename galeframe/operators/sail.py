@@ -58,7 +58,7 @@ def turns(heading, new_heading, twd):
     return sides & bow, sides & ~bow
 
 
-def fan(node: dict[str, np.ndarray], offsets: np.ndarray, step_hours: float, tack_minutes: float, gybe_minutes: float, no_go: float, least_kts: float) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+def fan(node: dict[str, np.ndarray], offsets: np.ndarray, step_hours: float, tack_minutes: float, gybe_minutes: float, no_go: float, least_kts: float, seq_bits: int) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     """(parents' places, columns of the candidates) by node, then heading; those in the no-go zone or too slow are left out."""
     heads = ((bearing(node["lat"], node["lon"], node["dest_lat"], node["dest_lon"]) % 360.0)[:, None] + offsets) % 360.0
     twa = fold(heads - node["wind_twd"][:, None])
@@ -72,5 +72,5 @@ def fan(node: dict[str, np.ndarray], offsets: np.ndarray, step_hours: float, tac
     return at, {
         "step": p["step"] + 1, "lat": lat, "lon": lon, "dist_m": distance_m(lat, lon, p["dest_lat"], p["dest_lon"]), "heading": heading, "tws": p["wind_tws"], "twd": p["wind_twd"], "twa": twa, "speed": speed,
         "traveled_nm": p["traveled_nm"] + metres / NM_M, "maneuver": np.where(tack, "tack", np.where(gybe, "gybe", "none")), "tacks": p["tacks"] + tack, "gybes": p["gybes"] + gybe,
-        "seq": p["idx"].astype(np.int64) * 1024 + k, "from_lat": p["lat"], "from_lon": p["lon"],
+        "seq": (p["idx"].astype(np.int64) << seq_bits) + k, "from_lat": p["lat"], "from_lon": p["lon"],
     }

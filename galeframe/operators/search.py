@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
@@ -18,9 +18,11 @@ from galeframe.functions.units import clamp
 from galeframe.operators import sail
 from galeframe.operators.common import durable, shared_folder
 from galeframe.operators.joins import points_in_polygons
+from galeframe.operators.weather import Field, Lattice, StoredWinds, Wind
 
-Wind = Callable[[Column, Column, Column], tuple[Column, Column]]
 NO_GO_DEG, LEAST_KTS, UNPRUNED, CRUISE_KTS = 28.0, 0.3, 20, 6.5
+#: A candidate's ``seq`` is its parent's idx, shifted by so many bits, plus the heading's place in the fan.
+SEQ_BITS = 10
 
 
 @dataclass(frozen=True)
@@ -137,14 +139,14 @@ def expand(frontier: DataFrame, cfg: Config) -> DataFrame:
     """
     read = ("lat", "lon", "dest_lat", "dest_lon", "wind_tws", "wind_twd", "step", "heading", "traveled_nm", "tacks", "gybes", "idx")
     new = {"seq": "long", "from_lat": "double", "from_lon": "double"}
-    fields = [f for f in frontier.schema.fields if f.name not in ("idx", "stop", "wind_tws", "wind_twd")]
+    fields = [f for f in frontier.schema.fields if f.name not in ("idx", "parent", "stop", "wind_tws", "wind_twd")]
     schema = StructType([*fields, *[StructField(n, LongType() if t == "long" else DoubleType()) for n, t in new.items()]])
     offsets = np.arange(-cfg.spread_deg, cfg.spread_deg + 1, cfg.fan_deg, dtype=float)
 
     def sail_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in read}
-            at, made = sail.fan(node, offsets, cfg.step_hours, cfg.tack_minutes, cfg.gybe_minutes, NO_GO_DEG, LEAST_KTS)
+            node = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in read}  # a null wind is NaN, in which no heading can be sailed
+            at, made = sail.fan(node, offsets, cfg.step_hours, cfg.tack_minutes, cfg.gybe_minutes, NO_GO_DEG, LEAST_KTS, SEQ_BITS)
             taken = batch.take(pa.array(at))
             own = [pa.array(made[f.name], to_arrow_type(f.dataType)) if f.name in made else taken.column(f.name) for f in schema.fields]
             yield pa.RecordBatch.from_arrays(own, schema.names)
@@ -160,63 +162,97 @@ def off_land(candidates: DataFrame, edges: DataFrame) -> DataFrame:
     return candidates.join(hit, ["route_id", "seq"], "left_anti")
 
 
-def start_nodes(routes: DataFrame, wind: Wind) -> DataFrame:
-    """Step 0 of every route."""
-    tws, twd = wind(F.col("start_lat"), F.col("start_lon"), F.col("dep_h"))
+def start_nodes(routes: DataFrame, wind: Field | StoredWinds) -> DataFrame:
+    """Step 0 of every route; a start has no parent."""
+    r = wind.over("start_lat", "start_lon", F.col("dep_h"))(routes)
     b = geo.bearing(F.col("start_lat"), F.col("start_lon"), F.col("dest_lat"), F.col("dest_lon"))
-    r = routes.withColumns({"tws": tws, "twd": twd, "heading": b, "dist_m": geo.distance_m(F.col("start_lat"), F.col("start_lon"), F.col("dest_lat"), F.col("dest_lon"))})
+    r = r.withColumns({"tws": F.col("wind_tws"), "twd": F.col("wind_twd"), "heading": b, "dist_m": geo.distance_m(F.col("start_lat"), F.col("start_lon"), F.col("dest_lat"), F.col("dest_lon"))})
     zero = {"speed": 0.0, "traveled_nm": 0.0, "maneuver": "none", "tacks": 0, "gybes": 0, "step": 0, "idx": 0, "stop": False}
-    r = r.withColumns({"wind_tws": F.col("tws"), "wind_twd": F.col("twd"), "lat": F.col("start_lat"), "lon": F.col("start_lon"), "twa": geo.angle_between(F.col("heading"), F.col("twd")), **{k: F.lit(v) for k, v in zero.items()}})
-    return r.withColumn("path", F.array(F.lit(0)))
+    r = r.withColumns({"lat": F.col("start_lat"), "lon": F.col("start_lon"), "twa": geo.angle_between(F.col("heading"), F.col("twd")), **{k: F.lit(v) for k, v in zero.items()}})
+    return r.withColumn("parent", F.lit(None).cast("int"))
 
 
 @dataclass
 class Found:
-    """nodes: every kept node of every step; best: the end of each route, with ``reached``."""
+    """nodes: every kept node of every step, with ``parent``, its idx in the step before; best: the end of each route, with ``reached``; steps: how many were written."""
 
     nodes: DataFrame
     best: DataFrame
     cfg: Config
+    steps: int
 
 
-def route_search(routes: DataFrame, wind: Wind, cfg: Config = Config(), land: DataFrame | None = None) -> Found:
+def route_search(routes: DataFrame, wind: Wind | Field | StoredWinds, cfg: Config = Config(), land: DataFrame | None = None) -> Found:
     """Searches all ``routes`` (route_id, start_lat, start_lon, dest_lat, dest_lon, dep_h, more columns) together, step by step.
 
-    A step expands, prunes and writes all frontiers, with the wind where they are, so that the number of
-    jobs depends on the longest route and not on the number of routes. A route
-    ends at the first step with a node inside the arrival radius, or at its
-    time limit; then its nearest node is the result, ``reached`` false. Routes
-    of under half a mile are left out. The parents of a node are numbers in
-    ``path``; the winner's are joined with the written steps at the end.
+    A step expands and prunes all frontiers, asks for the wind where they are
+    (an expression, or a join with the stored forecast's tiles) and writes
+    them, one job each, so that the number of jobs depends on the longest
+    route and not on the number of routes. A route ends at the first step with
+    a node inside the arrival radius, or at its time limit; then its nearest
+    node is the result, ``reached`` false. Where the wind is null a node can't
+    go on. Routes of under half a mile are left out. A node knows its parent's
+    idx alone; ``ancestors`` finds the winners' ways.
     """
+    wind = wind if hasattr(wind, "over") else Field(wind)
     routes = routes.where(geo.distance_nm(F.col("start_lat"), F.col("start_lon"), F.col("dest_lat"), F.col("dest_lon")) >= 0.5)
     spark = routes.sparkSession
     folder = f"{shared_folder(spark)}/search-{uuid.uuid4().hex}"
+    first, last = routes.agg(F.min("dep_h"), F.max("dep_h")).first()
     front = start_nodes(routes, wind)
     cols = front.columns
     front = durable(front, f"{folder}/0")
     limit = F.least(F.lit(cfg.max_hours), F.greatest(F.lit(36.0), geo.distance_nm(F.col("start_lat"), F.col("start_lon"), F.col("dest_lat"), F.col("dest_lon")) / 4.0 * 3.0))
+    # the hour by the column step, not by a number, so that every step's code is the same and compiled once
+    blow = wind.over("lat", "lon", F.col("dep_h") + F.col("step") * F.lit(cfg.step_hours))
+    near, parent = F.max(F.col("dist_m") <= cfg.arrival_m).over(Window.partitionBy("route_id")), F.shiftright("seq", SEQ_BITS).cast("int")
     done = 0
     while True:
         c = expand(front.where(~F.col("stop") & (F.col("step") * F.lit(cfg.step_hours) < limit)), cfg)
         c = prune(off_land(c, land) if land is not None else c, cfg)
-        near = F.max(F.col("dist_m") <= cfg.arrival_m).over(Window.partitionBy("route_id"))
-        tws, twd = wind(F.col("lat"), F.col("lon"), F.col("dep_h") + F.col("step") * F.lit(cfg.step_hours))
-        c = c.withColumns({"stop": near, "path": F.concat("path", F.array("idx")), "wind_tws": tws, "wind_twd": twd}).select(*cols)
-        front = durable(c, f"{folder}/{done + 1}")
-        if front.isEmpty():
+        c = c.withColumns({"stop": near, "parent": parent})
+        sailed = (done + 1) * cfg.step_hours
+        c = blow(c, None if first is None else (first + sailed, last + sailed))
+        written = Observation()
+        front = durable(c.select(*cols).observe(written, F.count(F.lit(1)).alias("n")), f"{folder}/{done + 1}")
+        if not written.get["n"]:
             break
         done += 1
     nodes = spark.read.schema(front.schema).parquet(*[f"{folder}/{k}" for k in range(done + 1)])
     reached = F.col("dist_m") <= cfg.arrival_m
     best = nodes.withColumn("reached", reached).groupBy("route_id").agg(F.min_by(F.struct(*cols, "reached"), F.struct(~reached, "dist_m", "step", "idx")).alias("n")).select("n.*")
-    return Found(nodes, durable(best), cfg)
+    return Found(nodes, durable(best), cfg, done)
+
+
+def ancestors(nodes: DataFrame, ends: DataFrame, steps: int) -> DataFrame:
+    """(route_id, step, idx) of ``ends`` and of all nodes before them, by pointer doubling.
+
+    ``nodes`` (route_id, step, idx, parent), ``ends`` (route_id, step, idx),
+    ``steps`` the greatest step. Table d holds each node's ancestor 2^d steps
+    before it and is the join of table d-1 with itself; then, from the
+    greatest d, every node of a way adds the ancestor that table d has for it.
+    That is about 2 log2(steps) joins for all ways together, and a node keeps
+    one number whatever its step.
+    """
+    up = nodes.where("step > 0").select("route_id", "step", "idx", F.col("parent").alias("up"))
+    tables, reach = [up], 1
+    while 2 * reach <= steps:
+        near = tables[-1]
+        far = near.select("route_id", (F.col("step") + reach).alias("step"), F.col("idx").alias("up"), F.col("up").alias("_far"))
+        tables.append(durable(near.join(far, ["route_id", "step", "up"]).select("route_id", "step", "idx", F.col("_far").alias("up"))))
+        reach *= 2
+    way = ends.select("route_id", "step", "idx")
+    for d in reversed(range(len(tables))):
+        met = way.join(tables[d], ["route_id", "step", "idx"], "left")
+        pair = F.array(F.struct("step", "idx"), F.when(F.col("up").isNotNull(), F.struct((F.col("step") - (1 << d)).alias("step"), F.col("up").alias("idx"))))
+        way = met.select("route_id", F.explode(F.array_compact(pair)).alias("n")).select("route_id", "n.step", "n.idx")
+    return way
 
 
 def waypoints(found: Found) -> DataFrame:
     """The route of each winner, from its start: one row for each step, with the sea and heel that its wind implies."""
-    way = found.best.select("route_id", F.posexplode("path").alias("step", "idx"))
-    w = way.join(found.nodes.drop("path", "stop"), ["route_id", "step", "idx"])
+    way = ancestors(found.nodes, found.best, found.steps)
+    w = way.join(found.nodes.drop("parent", "stop"), ["route_id", "step", "idx"])
     tws, twa = F.col("tws"), F.col("twa")
     return w.select(
         "route_id", F.col("step").alias("wp"), (F.col("dep_h") + F.col("step") * F.lit(found.cfg.step_hours)).alias("hour"), "lat", "lon", "heading", "speed", "tws", "twd", "twa", F.col("traveled_nm").alias("distance_nm"),
@@ -234,6 +270,27 @@ def outcomes(found: Found) -> DataFrame:
     )
 
 
+def with_provider(routes: DataFrame, lattice: Lattice, buffer_deg: float = 6.0, stored: str = "stored", other: str = "synthetic") -> DataFrame:
+    """``routes`` with ``provider``: the stored forecast where its lattice covers the box of a route and ``buffer_deg`` around it, else the other."""
+    inside = lambda a, b, low, step, n: (F.least(a, b) - buffer_deg >= low) & (F.greatest(a, b) + buffer_deg <= low + step * (n - 1))
+    covered = inside("start_lat", "dest_lat", lattice.lat, lattice.lat_step, lattice.n_lat) & inside("start_lon", "dest_lon", lattice.lon, lattice.lon_step, lattice.n_lon)
+    return routes.withColumn("provider", F.when(covered, stored).otherwise(other))
+
+
+def weather_grid(boxes: DataFrame, wind: Wind | Field | StoredWinds, key: str, default_step: float = 1.5) -> DataFrame:
+    """(key, gi, gj, lat, lon, wind_tws, wind_twd): the winds of each box (key, min_lat, min_lon, lat_span, lon_span, step, hour) on its own lattice.
+
+    A box has round(span / step) + 1 rows and columns; a null or non-positive
+    step is ``default_step``.
+    """
+    wind = wind if hasattr(wind, "over") else Field(wind)
+    b = boxes.withColumn("_s", F.when(F.col("step") > 0, F.col("step")).otherwise(F.lit(default_step)))
+    axis = lambda span: F.explode(F.sequence(F.lit(0), F.round(F.col(span) / F.col("_s")).cast("int")))
+    nodes = b.withColumn("gi", axis("lat_span")).withColumn("gj", axis("lon_span"))
+    nodes = nodes.select(key, "gi", "gj", (F.col("min_lat") + F.col("gi") * F.col("_s")).alias("lat"), (F.col("min_lon") + F.col("gj") * F.col("_s")).alias("lon"), "hour")
+    return wind.over("lat", "lon", F.col("hour"))(nodes).drop("hour")
+
+
 def waves(found: Found) -> DataFrame:
     """The frontiers of about every hour (every step, where a step is longer)."""
     every = max(1, round(1.0 / found.cfg.step_hours)) if found.cfg.step_hours < 1 else 1

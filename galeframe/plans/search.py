@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from galeframe import tables
 from galeframe.functions import geo, sailing, wind
-from galeframe.functions.units import round_to
+from galeframe.functions.units import let, round_to
 from galeframe.operators import aggregates, passage, search
 from galeframe.plans import duck as d
 from galeframe.plans.scalar import r6, whole
@@ -40,9 +40,10 @@ a as (select event_id, tws, twd, off, {d.norm("b + off")} as heading from h), w
 select id // 1000 + case when id % 1000 > 500 then 1 else 0 end as event_id, cast(count(*) as integer) as headings, {d.r6("max(speed)")} as best from sped where speed > 0.3 group by 1""")
 def C12_B06_heading_fan(spark: SparkSession, sf: str) -> DataFrame:
     """Headings of each observation's fan that can be sailed, and the best speed among them."""
-    o = tables.obs(spark, sf).withColumn("off", F.explode(F.sequence(F.lit(-165), F.lit(165), F.lit(10))))
-    h = geo.norm360(geo.bearing(c("lat"), c("lon"), F.lit(DEST[0]), F.lit(DEST[1])) + c("off"))
-    o = o.withColumn("twa", geo.angle_between(h, c("twd"))).where("twa >= 28.000001").withColumn("speed", sailing.polar_speed(c("tws"), c("twa"))).where("speed > 0.3")
+    o = tables.obs(spark, sf).withColumn("toward", geo.bearing(c("lat"), c("lon"), F.lit(DEST[0]), F.lit(DEST[1])))
+    o = o.withColumn("off", F.explode(F.sequence(F.lit(-165), F.lit(165), F.lit(10))))  # a bearing is computed once for its fan
+    twa = let(let(c("toward") + c("off"), geo.norm360) - c("twd"), lambda x: let(geo.norm360(x), geo.fold180))
+    o = o.withColumn("twa", twa).where("twa >= 28.000001").withColumn("speed", sailing.polar_speed(c("tws"), c("twa"))).where("speed > 0.3")
     return o.groupBy("event_id").agg(F.count("*").cast("int").alias("headings"), r6(F.max("speed")).alias("best"))
 
 

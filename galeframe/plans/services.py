@@ -31,17 +31,21 @@ def query(sql: str | None = None):
     return add
 
 
-_STEPPED = "stepped as (select i, j, s as step, value - 899.95e0 + s * 0.1e0 as u, (value - 899.93e0) * 0.5e0 - s * 0.2e0 as v from grid, unnest(range(0, 25, 3)) t(s))"
+_STEPPED = """stepped as (select i, j, s as step, case when (i * 7 + j * 3 + s) % 11 <> 0 then value - 899.95e0 + s * 0.1e0 end as u,
+ case when (i + j + s) % 13 = 0 then 'nan'::double else (value - 899.93e0) * 0.5173e0 - s * 0.2e0 end as v from grid, unnest(range(0, 25, 3)) t(s))"""
+_GOOD = lambda v: f"case when sum(w) filter ({v} is not null and not isnan({v})) >= 1e-6 then sum(w * {v}) filter ({v} is not null and not isnan({v})) / sum(w) filter ({v} is not null and not isnan({v})) end as {v}"
 
 
 def stepped(spark: SparkSession, sf: str) -> DataFrame:
     g = tables.grid(spark, sf).withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(24), F.lit(3))))
-    return g.select("i", "j", "step", (c("value") - 899.95 + c("step") * 0.1).alias("u"), ((c("value") - 899.93) * 0.5 - c("step") * 0.2).alias("v"))
+    u, v = c("value") - 899.95 + c("step") * 0.1, (c("value") - 899.93) * 0.5173 - c("step") * 0.2
+    u = F.when((c("i") * 7 + c("j") * 3 + c("step")) % 11 != 0, u)  # gaps: null in one component, NaN in the other
+    return g.select("i", "j", "step", u.alias("u"), F.when((c("i") + c("j") + c("step")) % 13 == 0, F.lit(float("nan"))).otherwise(v).alias("v"))
 
 
 @query(f"""with {_POINTS}, {d.GRID}, {_CORNERS}, {_STEPPED}, h as (select *, least(event_id % 30, 24)::double as hr from corners), b as (select *, least(floor(hr / 3) * 3, 21) as lo from h),
 w as (select event_id, i, j, cast(lo as integer) as step, w * (1 - (hr - lo) / 3) as w from b union all select event_id, i, j, cast(lo + 3 as integer), w * ((hr - lo) / 3) from b),
-f as (select event_id, sum(w * u) / nullif(sum(w), 0) as u, sum(w * v) / nullif(sum(w), 0) as v from w join stepped using (i, j, step) group by event_id), a as (select event_id, u, v from pts left join f using (event_id))
+f as (select event_id, {_GOOD('u')}, {_GOOD('v')} from w join stepped using (i, j, step) group by event_id), a as (select event_id, u, v from pts left join f using (event_id))
 select event_id, {d.r6("coalesce(sqrt(u * u + v * v) / (1852e0 / 3600), 12e0)")} as tws, coalesce({d.r6(d.norm("degrees(atan2(-u, -v))"))}, 45e0) as twd from a""")
 def H24_wind_in_time(spark: SparkSession, sf: str) -> DataFrame:
     """Wind of a stepped grid at places and times; beyond the grid a breeze of 12 knots from the north-east."""
@@ -222,7 +226,7 @@ def _synthetic_sql(places: str) -> str:
 
 @query(f"""with {_POINTS}, {d.GRID}, {_CORNERS}, {_STEPPED}, hh as (select *, (event_id % 24)::double as hr from corners), bb as (select *, least(floor(hr / 3) * 3, 21) as lo from hh),
 ww as (select event_id, i, j, cast(lo as integer) as step, w * (1 - (hr - lo) / 3) as w from bb union all select event_id, i, j, cast(lo + 3 as integer), w * ((hr - lo) / 3) from bb),
-ff as (select event_id, sum(w * u) / nullif(sum(w), 0) as u, sum(w * v) / nullif(sum(w), 0) as v from ww join stepped using (i, j, step) group by event_id), spots as (select event_id, lat, lon, event_id % 24 as hour from pts), {_synthetic_sql("spots")}
+ff as (select event_id, {_GOOD('u')}, {_GOOD('v')} from ww join stepped using (i, j, step) group by event_id), spots as (select event_id, lat, lon, event_id % 24 as hour from pts), {_synthetic_sql("spots")}
 select event_id, ff.u is not null as stored, {d.r6("coalesce(ff.u, field.u)")} as u, {d.r6("coalesce(ff.v, field.v)")} as v from field left join ff using (event_id)""")
 def I21_wind_or_synthetic(spark: SparkSession, sf: str) -> DataFrame:
     """The stored wind where the region has one, else the synthetic field."""
