@@ -37,6 +37,20 @@ def A01_grib_decode(spark: SparkSession, sf: str) -> DataFrame:
     return read.select("id", "i", "j", round_to(c("value").cast("double"), 1).alias("value"))
 
 
+@query("""with p as (select p_partkey // 400 as id, p_partkey % 400 as k, p_retailprice, p_size, p_partkey from part),
+v as (select id, k, case when id % 3 = 0 then round((250 + p_size / 10e0) * 10) / 10 when id % 3 = 1 then case when k % 50 < 35 then 101325e0 else p_retailprice end else case when (k * 7) % 13 > 0 then p_retailprice * (p_partkey % 5) end end as v from p)
+select id, cast(k // 20 as integer) as i, cast(k % 20 as integer) as j, round(v * 10) / 10 as value from v""")
+def A06_rice_packing(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts as fields that are smooth, flat in long runs, or rough with gaps, in messages of adaptive Rice codes, read back cell by cell."""
+    p = tables.read(spark, sf, "part").select(F.expr("p_partkey div 400").alias("id"), (c("p_partkey") % 400).alias("k"), "p_retailprice", "p_size", "p_partkey")
+    smooth, flat = round_to(F.lit(250.0) + c("p_size") / 10.0, 1), F.when(c("k") % 50 < 35, 101325.0).otherwise(c("p_retailprice"))
+    rough = F.when((c("k") * 7) % 13 > 0, c("p_retailprice") * (c("p_partkey") % 5)).otherwise(F.lit(float("nan")))
+    v = F.when(c("id") % 3 == 0, smooth).when(c("id") % 3 == 1, flat).otherwise(rough)
+    g = p.select("id", "k", v.alias("v")).groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "v"))), lambda s: s["v"]).alias("values"))  # four hundred values
+    read = grib2.cells(grib2.decode(grib2.encode_rows(g.withColumn("packing", F.lit(42)), "id", "values", 20, "packing"), "id", "content"))
+    return read.select("id", "i", "j", F.when(~F.isnan("value"), round_to(c("value").cast("double"), 1)).alias("value"))
+
+
 @query("""with l as (select p_partkey // 50 as file, p_partkey as ord, cast(sum(p_size * 1000) over (partition by p_partkey // 50 order by p_partkey rows unbounded preceding) as bigint) as first, p_brand || ':' || p_type as name from part),
 r as (select *, coalesce(lead(first) over (partition by file order by ord) - 1, 0) as last from l), m as (select file, min(ord) as ord from r where contains(name, 'Brand#1') group by file)
 select r.file, r.ord as "order", first, last, name from r join m using (file, ord)""")

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from galeframe.sources import rice
+
 SCHEMA = (
     "message int, reference timestamp_ntz, step int, category int, number int, member int, ni int, nj int, lat1 double, lon1 double, lat2 double, lon2 double, values array<float>"
 )
@@ -84,6 +86,10 @@ def field(s5: bytes, s6: bytes, s7: bytes, points: int) -> np.ndarray:
         got = _scaled(Bits(s7).take(n, bits), ref, binary, decimal) if bits else np.full(n, ref / 10.0**decimal)
     elif template in (2, 3):
         got = _scaled(_complex(s7, s5, n, s5[47] if template == 3 else 0), ref, binary, decimal)
+    elif template == 42:
+        interval = struct.unpack_from(">H", s5, 23)[0]
+        coding = rice.Coding(bits, s5[22] or 16, interval or 128, s5[21])
+        got = _scaled(rice.decode(s7, n, coding), ref, binary, decimal) if bits else np.full(n, ref)  # without bits, the reference value as it stands
     else:
         raise ValueError(f"packing {template} is not read")
     got = np.concatenate([got, np.zeros(max(0, n - len(got)))])[:n]
@@ -179,7 +185,7 @@ def _section(number: int, body: bytes) -> bytes:
 
 
 def encode(values: np.ndarray, ni: int, packing: int = 0, decimal: int = 1, step: int = 0, member: int = 0, reference: datetime = datetime(2026, 6, 1), corners=(10.0, 0.0, 0.0, 10.0), group: int = 16) -> bytes:
-    """One message on a regular grid; packing 0 simple, 2 by groups, 3 by groups of first differences, 4 as floats. NaN goes into a bitmap."""
+    """One message on a regular grid; packing 0 simple, 2 by groups, 3 by groups of first differences, 4 as floats, 42 by adaptive Rice codes. NaN goes into a bitmap."""
     there = ~np.isnan(values)
     v = values[there]
     x = np.round(v * 10.0**decimal).astype(np.int64)
@@ -205,6 +211,10 @@ def encode(values: np.ndarray, ni: int, packing: int = 0, decimal: int = 1, step
         bitstring = "".join(format(int(e), f"0{w}b") for p, r, w in zip(parts, refs, widths, strict=True) if w for e in p - r)
         body += int(bitstring.ljust(-(-len(bitstring) // 8) * 8, "0") or "0", 2).to_bytes(-(-len(bitstring) // 8), "big")
         extra = struct.pack(">BBIIIBBIBIB", 1, 0, 0, 0, len(parts), 0, wide, group, 0, len(parts[-1]) if parts else 0, 0) + (bytes([1, 4]) if packing == 3 else b"")
+    elif packing == 42:
+        bits = max(1, int(x.max()).bit_length()) if len(x) else 0
+        body = rice.encode(x, rice.Coding(bits)) if bits else b""
+        extra = struct.pack(">BBH", rice.PREDICTED, 16, 128)
     else:
         bits = 32
     s1 = struct.pack(">HHBBBHBBBBBBB", 7, 0, 2, 1, 1, *reference.timetuple()[:6], 0, 1)
