@@ -29,3 +29,48 @@ def durable(df: DataFrame, path: str | None = None) -> DataFrame:
     path = path or f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _path(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at, files = _path(spark, path)
+    return files.exists(at)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """A file or folder with all in it, on whatever file system Spark has for it; none there is no error."""
+    at, files = _path(spark, path)
+    files.delete(at, True)
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, in order; none for one that isn't there."""
+    at, files = _path(spark, path)
+    return sorted(s.getPath().getName() for s in files.listStatus(at)) if files.exists(at) else []
+
+
+def put_once(spark: SparkSession, path: str, text: str) -> bool:
+    """A small text file, whole or not at all: written beside and renamed; false, and nothing changed, where one of that name is there."""
+    beside = f"{path}.{uuid.uuid4().hex}"
+    at, files = _path(spark, beside)
+    to, _ = _path(spark, path)
+    out = files.create(at, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if not files.exists(to) and files.rename(at, to):
+        return True
+    files.delete(at, False)
+    return False
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    at, files = _path(spark, path)
+    stream = files.open(at)
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.hadoop.io.IOUtils.readFullyToByteArray(stream)).decode()
+    finally:
+        stream.close()

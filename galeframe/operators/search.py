@@ -179,7 +179,7 @@ class Found:
     nodes: DataFrame
     best: DataFrame
     cfg: Config
-    steps: int
+    steps: int = 0
 
 
 def route_search(routes: DataFrame, wind: Wind | Field | StoredWinds, cfg: Config = Config(), land: DataFrame | None = None) -> Found:

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from galeframe import tables
 from galeframe.functions.units import round_to
 from galeframe.operators import grids, search
+from galeframe.operators.common import durable
 from galeframe.plans import duck as d
 from galeframe.plans.scalar import r6
 from galeframe.sources import catalogue, grib2, index, land, models, requests
-from galeframe.streaming import ingest
+from galeframe.streaming import cycles, ingest, steps
 
 c = F.col
 QUERIES, SQL = {}, {}
@@ -253,6 +255,42 @@ def J03_J05_complete_steps(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("step", "n", r6(c("mean")).alias("mean"), "low", "high")
 
 
+@query("""select event_type as model, strftime(ts, '%Y-%m-%d') as cycle, cast(event_id % 3 as integer) as variable, count(*) as n, round(sum(value) * 1e4) / 1e4 as total, ts < timestamp '2024-01-10' as seen_after_failure from events group by all""")
+def J02_J06_whole_cycles(spark: SparkSession, sf: str) -> DataFrame:
+    """Three deliveries of daily cycles. One variable of the second fails the first time: what a reader sees then is of the first alone; the retry publishes the second, and old cycles that come again in the third are left out."""
+    e = tables.read(spark, sf, "events").select(c("event_type").alias("model"), F.date_format("ts", "yyyy-MM-dd").alias("cycle"), (c("event_id") % 3).cast("int").alias("variable"), "value")
+    cut = lambda low, high: e.where(c("cycle").between(low, high)).coalesce(1)
+    folder = ingest.landing(spark, [cut("2024-01-01", "2024-01-09"), cut("2024-01-10", "2024-01-19"), e.where((c("cycle") > "2024-01-19") | (c("cycle") < "2024-01-05")).coalesce(1)])
+    root = f"{folder}-store"
+    slices = ingest.stream_of(spark, folder, "*.parquet")
+    broken = F.when((c("variable") == 1) & (c("cycle") == "2024-01-15"), F.raise_error(F.lit("a slice can't be read"))).otherwise(c("value"))
+    failing = cycles.start(slices, root, lambda b: b.withColumn("value", broken))
+    try:
+        failing.awaitTermination()
+    except StreamingQueryException:
+        pass
+    schema = slices.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ")
+    early = cycles.visible(spark, root, schema).select("model", "cycle").distinct()
+    early = durable(early)
+    cycles.start(slices, root, lambda b: b).awaitTermination()
+    rows = cycles.visible(spark, root, schema).groupBy("model", "cycle", "variable").agg(F.count("*").alias("n"), round_to(F.sum("value"), 4).alias("total"))
+    return rows.join(early.withColumn("_seen", F.lit(True)), ["model", "cycle"], "left").select("model", "cycle", "variable", "n", "total", F.coalesce("_seen", F.lit(False)).alias("seen_after_failure"))
+
+
+@query(f"""with m as (select step, member, min(value) as v from ({_ARRIVALS}) group by 1, 2) select step, cast(count(*) as integer) as n, round(avg(v) * 1e6) / 1e6 as mean, min(v) as low, max(v) as high from m group by step having count(*) = 16""")
+def J05_expiring_steps(spark: SparkSession, sf: str) -> DataFrame:
+    """Arrivals, then copies of them with smaller values, then an arrival long after: each step is reduced once, and its state ends."""
+    e = tables.read(spark, sf, "events").select(c("user_id").cast("string").alias("step"), (c("event_id") % 16).cast("int").alias("member"), "value", c("ts").cast("timestamp").alias("t"))
+    complete = e.groupBy("step").agg(F.count_distinct("member").alias("n")).where("n = 16").select("step")
+    copies = e.join(complete, "step", "left_semi").withColumn("value", c("value") - 1.0)
+    later = e.limit(1).select(F.lit("later").alias("step"), "member", "value", F.expr("timestamp '2024-12-01'").alias("t"))
+    folder = ingest.landing(spark, [x.coalesce(1) for x in (e, copies, later)])
+    a = ingest.stream_of(spark, folder, "*.parquet").withWatermark("t", "60 days")
+    with steps.timed_state(spark):
+        out = ingest.to_table(steps.expiring_steps(a, 16, keep_hours=24.0))
+    return out.select("step", "n", r6(c("mean")).alias("mean"), "low", "high")
+
+
 @query("""select a.user_id as cell, a.ts::timestamptz::timestamp as t, round(sqrt(a.value * a.value + (a.value / 2) * (a.value / 2)) * 1e6) / 1e6 as speed from events a""")
 def J04_rendezvous(spark: SparkSession, sf: str) -> DataFrame:
     """Two streams of components joined on cell and time."""
