@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from galeframe import tables
 from galeframe.functions.units import round_to
-from galeframe.operators import grids, search
-from galeframe.operators.common import durable
+from galeframe.operators import grids, joins, search
+from galeframe.operators.common import durable, shared_folder
 from galeframe.plans import duck as d
 from galeframe.plans.scalar import r6
-from galeframe.sources import catalogue, grib2, index, land, models, requests
+from galeframe.sources import catalogue, grib2, index, land, models, requests, shore
 from galeframe.streaming import cycles, ingest, steps
 
 c = F.col
@@ -211,6 +213,60 @@ def A41_land_index(spark: SparkSession, sf: str) -> DataFrame:
     return land.cell_index(land.chunk_boxes(tables.edges(spark)))
 
 
+_STARS = """n0 as (select user_id as pid, event_id, row_number() over (partition by user_id order by event_id) - 1 as k, count(*) over (partition by user_id) as m from events),
+stars as (select pid, k, least(m, 24) as n, -55e0 + pid % 100 + (1 + k % 2 * 0.5e0) * sin(2 * pi() * k / least(m, 24)) as lat, 170e0 + pid * 7 % 20 + (1 + k % 2 * 0.5e0) * cos(2 * pi() * k / least(m, 24)) as lon from n0 where k < 24 and pid % 9 > 0),
+micro as (select pid, k, n, round(lat * 1e6) / 1e6 as lat, round(((lon % 360 + 360) % 360) * 1e6) / 1e6 as lon from stars where n >= 6 or pid <= 50),
+shore as (select pid, k, n, lat::float::double as lat, (case when lon > 180 then lon - 360 else lon end)::float::double as lon from micro)"""
+
+
+def stars(spark: SparkSession, sf: str) -> DataFrame:
+    """A star for each user, with as many points as the user has events, 24 at most, about the antimeridian; every ninth is a lake."""
+    e = tables.read(spark, sf, "events")
+    e = e.select(c("user_id").cast("int").alias("poly_id"), (F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1).alias("k"), F.least(F.count("*").over(Window.partitionBy("user_id")), F.lit(24)).alias("n")).where("k < 24")
+    turn, far = F.lit(2.0) * F.pi() * c("k") / c("n"), F.lit(1.0) + c("k") % 2 * 0.5
+    p = e.select("poly_id", F.when(c("poly_id") % 9 == 0, 2).otherwise(1).alias("level"), "k", (F.lit(170.0) + c("poly_id") * 7 % 20 + far * F.cos(turn)).alias("lon"), (F.lit(-55.0) + c("poly_id") % 100 + far * F.sin(turn)).alias("lat"))
+    return p.groupBy("poly_id", "level").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "lon", "lat"))), lambda x: F.struct(x["lon"].alias("lon"), x["lat"].alias("lat"))).alias("points"))  # 24 at most
+
+
+def _built(spark: SparkSession, sf: str) -> str:
+    """The stars as raw bytes, read, thinned and written as a compact shoreline."""
+    shore.register(spark)
+    path = f"{shared_folder(spark)}/shore-{uuid.uuid4().hex}"
+    points = land.thinned(land.shorelines(land.raw_rings(stars(spark, sf))))
+    shore.rings(points).write.format("shoreline").mode("append").save(path)
+    return path
+
+
+@query(f"""with {_STARS} select cast(pid as integer) as poly_id, 'Land #' || pid as name, count(*) as edges, cast((count(*) + 15) // 16 as integer) as chunks, round(min(lat) * 1e4) / 1e4 as min_lat, round(max(lat) * 1e4) / 1e4 as max_lat, round(min(lon) * 1e4) / 1e4 as min_lon, round(max(lon) * 1e4) / 1e4 as max_lon
+from shore group by pid having count(*) >= 3""")
+def A39_B09_shoreline_build(spark: SparkSession, sf: str) -> DataFrame:
+    """Raw rings to a compact shoreline and back: what each polygon has of edges, chunks and extent. Lakes and specks are left out."""
+    e = spark.read.format("shoreline").load(_built(spark, sf))
+    r4 = lambda x: round_to(x, 4)
+    return e.groupBy("poly_id", "name").agg(F.count("*").alias("edges"), F.count_distinct("chunk").cast("int").alias("chunks"), r4(F.min("y1")).alias("min_lat"), r4(F.max("y1")).alias("max_lat"), r4(F.min("x1")).alias("min_lon"), r4(F.max("x1")).alias("max_lon")).where("edges >= 3")
+
+
+@query(f"""with {d.OBS}, {_STARS}, jumps as (select pid, k, lat, lon, round((lon - coalesce(lag(lon) over w, lon)) / 360) as jump from shore window w as (partition by pid order by k)),
+turned as (select pid, k, lat, lon, sum(jump) over (partition by pid order by k rows unbounded preceding) as turns from jumps),
+whole as (select pid, k, lat, lon - 360 * turns as lon from turned), copies as (select pid, k, 0 as copy, lat, lon from whole union all select pid, k, 1, lat, lon - 360 from whole where pid in (select pid from whole group by pid having max(lon) > 180)
+ union all select pid, k, 1, lat, lon + 360 from whole where pid in (select pid from whole group by pid having max(lon) <= 180 and min(lon) < -180)),
+sides as (select pid, lat as y1, lon as x1, coalesce(lead(lat) over w, first_value(lat) over w) as y2, coalesce(lead(lon) over w, first_value(lon) over w) as x2 from copies window w as (partition by pid, copy order by k)),
+p as (select event_id, lat, case when lon > 0 then 150e0 + lon / 6 else -150e0 + lon / 6 end as lon from obs)
+select event_id, cast(pid as integer) as poly_id from p join sides on ((y1 > lat) <> (y2 > lat)) and lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1 group by all having count(*) % 2 = 1""")
+def A41_C10_shore_points(spark: SparkSession, sf: str) -> DataFrame:
+    """Observations near the antimeridian and the polygons that hold them; of the compact shoreline only chunks of the latitudes in question are read."""
+    p = tables.obs(spark, sf).select("event_id", "lat", F.when(c("lon") > 0, F.lit(150.0) + c("lon") / 6).otherwise(F.lit(-150.0) + c("lon") / 6).alias("lon"))
+    path = _built(spark, sf)
+    # rings are read whole: a chunk left out would leave a ring open
+    touched = shore.near(spark, path, -60.0, 60.0, -180.0, 180.0).select("poly_id").distinct()
+    e = spark.read.format("shoreline").load(path).join(touched, "poly_id", "left_semi")
+    ring = land.unwrapped(e.select("poly_id", "seq", c("x1").alias("lon"), c("y1").alias("lat")))
+    w = Window.partitionBy("poly_id", "copy").orderBy("seq")
+    nxt = lambda x: F.coalesce(F.lead(x).over(w), F.first(x).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    sides = ring.select("poly_id", "seq", c("lon").alias("x1"), c("lat").alias("y1"), nxt("lon").alias("x2"), nxt("lat").alias("y2"))
+    return joins.points_in_polygons(p, sides, ["event_id"])
+
+
 @query(f"""with {d.GRID} select i, cast((g.j + 25) % 50 as integer) as j, value, coalesce((select min(s) from unnest([0, 3, 6, 12]) t(s) where s >= g.j), 0) as step from grid g""")
 def H18_B11_rotation_and_step(spark: SparkSession, sf: str) -> DataFrame:
     g = tables.grid(spark, sf).withColumn("step", grids.step_at_least([0, 3, 6, 12], c("j")))
