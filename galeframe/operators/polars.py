@@ -57,17 +57,19 @@ def repair(polar: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return _lines(once, [*keys, "twa"], "tws", 2).drop("_done")
 
 
-def matrix_lines(polar: DataFrame) -> DataFrame:
-    """(twa, line): the speeds of an angle at all wind speeds, two decimals, tabs between."""
+def matrix_lines(polar: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(keys, twa, line): the speeds of an angle at all wind speeds, two decimals, tabs between."""
     cells = F.transform(F.sort_array(F.collect_list(F.struct("tws", "speed"))), lambda s: F.format_string("%.2f", round_to(s["speed"], 2)))
-    return polar.groupBy("twa").agg(F.array_join(cells, "\t").alias("line"))
+    return polar.groupBy(*(keys or []), "twa").agg(F.array_join(cells, "\t").alias("line"))
 
 
-def document(polar: DataFrame) -> DataFrame:
-    """One row: the whole table as text, a row for each angle under a head of wind speeds. A table has a few hundred cells."""
-    head = polar.agg(F.concat(F.lit("TWA\\TWS\t"), F.array_join(F.transform(F.sort_array(F.collect_set("tws")), lambda x: F.format_string("%.1f", x)), "\t")).alias("head"))
-    body = matrix_lines(polar).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("twa", F.concat(F.format_string("%.1f", "twa"), F.lit("\t"), "line").alias("l")))), lambda s: s["l"]), "\n").alias("body"))
-    return head.join(body).select(F.concat("head", F.lit("\n"), "body").alias("text"))  # one row on either side
+def document(polar: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(keys, text): each table as text, a row for each angle under a head of wind speeds. A table has a few hundred cells."""
+    polar, by = (polar, keys) if keys else (polar.withColumn("_one", F.lit(1)), ["_one"])
+    head = polar.groupBy(*by).agg(F.concat(F.lit("TWA\\TWS\t"), F.array_join(F.transform(F.sort_array(F.collect_set("tws")), lambda x: F.format_string("%.1f", x)), "\t")).alias("head"))
+    lines = F.struct("twa", F.concat(F.format_string("%.1f", "twa"), F.lit("\t"), "line").alias("l"))
+    body = matrix_lines(polar, by).groupBy(*by).agg(F.array_join(F.transform(F.sort_array(F.collect_list(lines)), lambda s: s["l"]), "\n").alias("body"))
+    return head.join(body, by).select(*(keys or []), F.concat("head", F.lit("\n"), "body").alias("text"))
 
 
 COMMENTS = r"^\s*(#|!|//|;)"
@@ -95,12 +97,15 @@ def parse(files: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return out.select(id_col, "tws", "twa", F.coalesce(number(F.get("_row", F.col("_k") + 1)), F.lit(0.0)).alias("speed"))
 
 
-def as_json(polar: DataFrame, rules: TargetRules = SOLVER_RULES) -> DataFrame:
-    """One row: the table and its targets, keyed by wind speed, as JSON."""
-    cell = polar.groupBy("tws").agg(F.sort_array(F.collect_list(F.struct("twa", "speed"))).alias("cells"))
-    each = cell.join(vmg_targets(polar, rules), "tws").agg(F.sort_array(F.collect_list(F.struct("tws", "cells", F.struct("up_twa", "up_kts", "down_twa", "down_kts").alias("targets")))).alias("e"))
+def as_json(polar: DataFrame, rules: TargetRules = SOLVER_RULES, keys: list[str] | None = None) -> DataFrame:
+    """(keys, json): each table and its targets, keyed by wind speed, as JSON."""
+    polar, by = (polar, keys) if keys else (polar.withColumn("_one", F.lit(1)), ["_one"])
+    cell = polar.groupBy(*by, "tws").agg(F.sort_array(F.collect_list(F.struct("twa", "speed"))).alias("cells"))
+    row = F.struct("tws", "cells", F.struct("up_twa", "up_kts", "down_twa", "down_kts").alias("targets"))
+    each = cell.join(vmg_targets(polar, rules, by), [*by, "tws"]).groupBy(*by).agg(F.sort_array(F.collect_list(row)).alias("e"))
     entries = F.transform("e", lambda s: F.struct(s["tws"].cast("string").alias("k"), s["targets"].alias("v")))
-    return each.select(F.to_json(F.struct(F.transform("e", lambda s: s["tws"]).alias("tws_list"), F.transform("e", lambda s: s["cells"]).alias("rows"), F.map_from_entries(entries).alias("targets"))).alias("json"))
+    whole = F.struct(F.transform("e", lambda s: s["tws"]).alias("tws_list"), F.transform("e", lambda s: s["cells"]).alias("rows"), F.map_from_entries(entries).alias("targets"))
+    return each.select(*(keys or []), F.to_json(whole).alias("json"))
 
 
 # The columns of the two layouts, and the digits of those of the long one that are numbers.

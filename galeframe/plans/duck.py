@@ -24,6 +24,11 @@ def polar() -> str:
     return "polar as (select * from " + values(sailing.polar_rows(), "p(tws, twa, speed)") + ")"
 
 
+def fleet_polars() -> str:
+    """CTEs that end in ``fleet``: a table of speeds for each supplier."""
+    return polar() + ", fleet as (select s_suppkey, tws, twa, speed * (0.8e0 + (s_acctbal + 1000e0) / 50000e0) as speed from supplier, polar)"
+
+
 def edges() -> str:
     rows = [(k, n, *p, *q) for k, _, v in tables.POLYGONS for n, (p, q) in enumerate(zip(v, [*v[1:], v[0]], strict=True))]
     return "edges as (select * from " + values(rows, "e(poly_id, seq, x1, y1, x2, y2)") + ")"

@@ -9,9 +9,9 @@ from galeframe import tables
 from galeframe.operators import passage, search
 from galeframe.operators.weather import Chosen, Field, Lattice, StoredWinds
 from galeframe.plans import duck as d
+from galeframe.plans.relational import field_sql
 from galeframe.plans.scalar import r6
 from galeframe.plans.search import COARSE, _track_of, passages, synthetic
-from galeframe.plans.services import _synthetic_sql
 
 c = F.col
 QUERIES, SQL = {}, {}
@@ -92,7 +92,7 @@ def H24_stored_wind(spark: SparkSession, sf: str) -> DataFrame:
     return _stored(stored_cells(spark, sf), STORED).over("lat", "lon", c("hour"))(p).select("id", r6(c("wind_tws")).alias("tws"), r6(c("wind_twd")).alias("twd"))
 
 
-@query(f"""with {_SPOTS}, {_blown_sql('stored', 'spots', STORED)}, {_blown_sql('live', 'spots', LIVE)}, drawn as (select id as event_id, lat, lon, hour from spots), {_synthetic_sql("drawn")},
+@query(f"""with {_SPOTS}, {_blown_sql('stored', 'spots', STORED)}, {_blown_sql('live', 'spots', LIVE)}, drawn as (select id as event_id, lat, lon, hour from spots), {field_sql("drawn")},
 synthetic_wind as (select event_id as id, {d.r6("sqrt(u * u + v * v) / (1852e0 / 3600)")} as tws, {d.r6(d.norm("degrees(atan2(-u, -v))"))} as twd from field)
 select id, provider, w.tws, w.twd from spots join (select *, 'stored' as provider from stored_wind union all select *, 'live' from live_wind union all select *, 'synthetic' from synthetic_wind) w using (id, provider)""")
 def I06_K02_three_providers(spark: SparkSession, sf: str) -> DataFrame:

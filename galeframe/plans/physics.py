@@ -32,6 +32,14 @@ def _boats_sql() -> str:
     return "boats as (select *, mass / 1025e0 as vol, keel_area + rudder_area as foil from " + d.values(rows, f"b(boat, {', '.join(boats.FIELDS)})") + ")"
 
 
+def _fleet_sql() -> str:
+    """As ``_boats_sql``, a boat for each supplier."""
+    rows = [(k, n, *v) for n, (k, (_, v)) in enumerate(boats.PRESETS.items())]
+    own = {"mass": "mass * (1 + s_suppkey % 7 / 50e0) as mass", "main_p": "main_p * (1 + s_suppkey % 5 / 40e0) as main_p"}
+    fields = ", ".join(own.get(f, f) for f in boats.FIELDS)
+    return f"presets as (select * from {d.values(rows, f'p(preset, n, {", ".join(boats.FIELDS)})')}), own as (select s_suppkey as boat, preset, {fields} from supplier join presets on n = s_suppkey % 4), boats as (select *, mass / 1025e0 as vol, keel_area + rudder_area as foil from own)"
+
+
 def _fields() -> dict:
     return {f: c(f) for f in boats.FIELDS}
 
@@ -53,11 +61,11 @@ h2 as (select *, (1 + form_factor) * {cf("v * 0.7e0 * lwl / 1.188e-6")} * q * sh
  mass * 9.80665e0 * gmt * sin(heel) * (1 + 0.35e0 * sin(heel) * sin(heel)) + crew_mass * crew_fraction * 9.80665e0 * crew_distance * cos(heel) * tanh(heel / radians(12)) as righting from h1)"""
 
 
-@query(f"""with {_boats_sql()}, k as (select boats.*, cast(range as integer) as k, 0.3e0 + range * 0.2e0 as v, radians(range % 30) as heel, radians(range % 37 - 18) as leeway, mass * 0.5e0 * (range % 7) as side from boats, range(0, 50)),
+@query(f"""with {_fleet_sql()}, k as (select boats.*, cast(range as integer) as k, 0.3e0 + range * 0.2e0 as v, radians(range % 30) as heel, radians(range % 37 - 18) as leeway, mass * 0.5e0 * (range % 7) as side from boats, range(0, 50)),
 {_hydro_ctes("k")} select boat, k, {", ".join(f"{d.r6(x)} as {x}" for x in ("r_viscous", "r_residuary", "r_induced", "r_heel", "wanted", "foil_force", "righting"))} from h2""")
 def I28_I33_I39_resistance_curves(spark: SparkSession, sf: str) -> DataFrame:
-    """Resistance and righting moment of the preset boats at fifty speeds."""
-    k = boats.presets(spark).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(49))))
+    """Resistance and righting moment of every supplier's boat at fifty speeds."""
+    k = tables.fleet(spark, sf).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(49))))
     k = k.withColumns({"v": c("k") * 0.2 + 0.3, "heel": F.radians(c("k") % 30), "leeway": F.radians(c("k") % 37 - 18), "side": c("mass") * 0.5 * (c("k") % 7)})
     h = forces.hydro(M, _fields(), c("v"), c("heel"), c("side"))
     cols = {k: h[k] for k in ("r_viscous", "r_residuary", "r_induced", "r_heel", "righting")} | {"wanted": h["leeway"], "foil_force": forces.side_force(M, _fields(), c("v"), c("leeway"))}
@@ -98,9 +106,9 @@ def I23_I27_aero_forces(spark: SparkSession, sf: str) -> DataFrame:
     return o.select("event_id", *[r6(c(k)).alias(k) for k in ("aws", "awa", "z_ce")], *[round_to(a[k], 3).alias(k) for k in ("f_x", "f_y", "m_x")])
 
 
-@query(f"""with {_boats_sql()} select boat, {d.r6("lwl / pow(vol, 1e0/3)")} as length_displacement, {d.r6("b_wl / greatest(draft_canoe, 0.1e0)")} as beam_draft, {d.r6("(main_p * main_e + fore_i * fore_j) / 2 / pow(vol, 2e0/3)")} as sail_displacement from boats""")
+@query(f"""with {_fleet_sql()} select boat, {d.r6("lwl / pow(vol, 1e0/3)")} as length_displacement, {d.r6("b_wl / greatest(draft_canoe, 0.1e0)")} as beam_draft, {d.r6("(main_p * main_e + fore_i * fore_j) / 2 / pow(vol, 2e0/3)")} as sail_displacement from boats""")
 def I40_I41_boat_ratios(spark: SparkSession, sf: str) -> DataFrame:
-    return boats.presets(spark).select("boat", *[r6(x).alias(k) for k, x in boats.ratios().items()])
+    return tables.fleet(spark, sf).select("boat", *[r6(x).alias(k) for k, x in boats.ratios().items()])
 
 
 @query("""with n as (select o_orderkey, case o_orderkey % 4 when 0 then ' 36FT-Sloop ' when 1 then '' when 2 then null else 'raft' end as typed from orders)
@@ -116,8 +124,11 @@ TWS, TWA = (6.0, 8.0, 10.0, 12.0, 14.0, 16.0, 20.0, 25.0), (0.0, 20.0, 25.0, 30.
 
 @query()
 def I37_polar_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    """The polar of every preset boat: 8 wind speeds by 18 angles, each at its best trim."""
-    p = boats.presets(spark).withColumn("tws", F.explode(F.array(*map(F.lit, TWS)))).withColumn("twa", F.explode(F.array(*map(F.lit, TWA))))
+    """The polar of a boat of each market segment, heavier where its customers have more on account: 8 wind speeds by 18 angles, each at its best trim."""
+    g = tables.read(spark, sf, "customer").groupBy("c_mktsegment").agg(F.round(F.avg("c_acctbal"), 2).alias("_mean"))
+    name = F.element_at(F.array(*map(F.lit, boats.PRESETS)), (F.pmod(F.crc32("c_mktsegment"), F.lit(4)) + 1).cast("int"))
+    p = g.select(c("c_mktsegment"), name.alias("boat"), "_mean").join(boats.presets(spark), "boat").withColumn("mass", c("mass") * (F.lit(1.0) + c("_mean") / 100000.0)).drop("boat", "_mean").withColumnRenamed("c_mktsegment", "boat")
+    p = p.withColumn("tws", F.explode(F.array(*map(F.lit, TWS)))).withColumn("twa", F.explode(F.array(*map(F.lit, TWA))))
     p = p.repartition(spark.sparkContext.defaultParallelism, "boat", "tws", "twa")
     return solver.speed_table(p.drop("name"), ["boat"])
 
@@ -132,23 +143,23 @@ def I34_I36_point_solve(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _targets_sql(up: tuple, down: tuple, fast: float, fall_up: str, fall_down: str) -> str:
-    def one(name: str, low: float, high: float, sign: int, fall: str) -> str:
-        return f"""{name} as (select tws, arg_max({{'a': twa, 's': speed}}, {{'v': round({sign} * speed * cos(radians(twa)) * 1e9) / 1e9, 'a': -twa}}) as b from polar where twa between {low} and {high} and speed > {fast} and {sign} * speed * cos(radians(twa)) > 1e-9 group by tws)"""
+    def one(name: str, low: float, high: float, sign: int) -> str:
+        return f"""{name} as (select s_suppkey, tws, arg_max({{'a': twa, 's': speed}}, {{'v': round({sign} * speed * cos(radians(twa)) * 1e9) / 1e9, 'a': -twa}}) as b from fleet where twa between {low} and {high} and speed > {fast} and {sign} * speed * cos(radians(twa)) > 1e-9 group by all)"""
 
-    return f"""with {d.polar()}, {one("u", *up, 1, fall_up)}, {one("w", *down, -1, fall_down)}, t as (select distinct tws from polar)
-select t.tws, coalesce(u.b.a, {fall_up.split(",")[0]}) as up_twa, {d.r6(f"coalesce(u.b.s, {fall_up.split(',')[1]})")} as up_kts, coalesce(w.b.a, {fall_down.split(",")[0]}) as down_twa, {d.r6(f"coalesce(w.b.s, {fall_down.split(',')[1]})")} as down_kts from t left join u using (tws) left join w using (tws)"""
+    return f"""with {d.fleet_polars()}, {one("u", *up, 1)}, {one("w", *down, -1)}, t as (select distinct s_suppkey, tws from fleet)
+select t.s_suppkey, t.tws, coalesce(u.b.a, {fall_up.split(",")[0]}) as up_twa, {d.r6(f"coalesce(u.b.s, {fall_up.split(',')[1]})")} as up_kts, coalesce(w.b.a, {fall_down.split(",")[0]}) as down_twa, {d.r6(f"coalesce(w.b.s, {fall_down.split(',')[1]})")} as down_kts from t left join u using (s_suppkey, tws) left join w using (s_suppkey, tws)"""
 
 
 @query(_targets_sql((30.0, 70.0), (120.0, 180.0), 0.0, "45e0,5e0", "150e0,6e0"))
 def H31_vmg_targets(spark: SparkSession, sf: str) -> DataFrame:
-    t = polars.vmg_targets(tables.polar(spark))
-    return t.select("tws", "up_twa", r6(c("up_kts")).alias("up_kts"), "down_twa", r6(c("down_kts")).alias("down_kts"))
+    t = polars.vmg_targets(tables.fleet_polars(spark, sf), keys=["s_suppkey"])
+    return t.select("s_suppkey", "tws", "up_twa", r6(c("up_kts")).alias("up_kts"), "down_twa", r6(c("down_kts")).alias("down_kts"))
 
 
 @query(_targets_sql((28.0, 75.0), (110.0, 180.0), 0.05, "40e0,0e0", "140e0,0e0"))
 def H32_vmg_targets_of_files(spark: SparkSession, sf: str) -> DataFrame:
-    t = polars.vmg_targets(tables.polar(spark), polars.FILE_RULES)
-    return t.select("tws", "up_twa", r6(c("up_kts")).alias("up_kts"), "down_twa", r6(c("down_kts")).alias("down_kts"))
+    t = polars.vmg_targets(tables.fleet_polars(spark, sf), polars.FILE_RULES, ["s_suppkey"])
+    return t.select("s_suppkey", "tws", "up_twa", r6(c("up_kts")).alias("up_kts"), "down_twa", r6(c("down_kts")).alias("down_kts"))
 
 
 @query(f"""with {d.OBS}, {d.polar()}, px as (select tws as s0, lead(tws) over (order by tws) as s1 from (select distinct tws from polar)), py as (select twa as a0, lead(twa) over (order by twa) as a1 from (select distinct twa from polar)),
@@ -162,47 +173,46 @@ def H30_polar_extrapolated(spark: SparkSession, sf: str) -> DataFrame:
     return tables.obs(spark, sf).select("event_id", r6(sailing.polar_speed_extrapolated(c("tws"), F.abs(c("twd") % 180))).alias("speed"))
 
 
-def _masked(spark: SparkSession) -> DataFrame:
-    return tables.polar(spark).withColumn("converged", (c("tws") + c("twa")).cast("int") % 5 != 0)
+def _masked(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.fleet_polars(spark, sf).withColumn("converged", (c("tws") + c("twa") + c("s_suppkey")).cast("int") % 5 != 0)
 
 
 def _filled(src: str, key: str, x: str, done: str) -> str:
     """Unconverged cells of ``src`` between two anchors of a line take the straight line."""
-    near = lambda f, rows: f"{f}_value(anchor ignore nulls) over (partition by {key} order by {x} rows between {rows})"
+    near = lambda f, rows: f"{f}_value(anchor ignore nulls) over (partition by s_suppkey, {key} order by {x} rows between {rows})"
     fill = f"not converged and a is not null and b is not null and n >= 2 and not {done}"
-    return f"""(select tws, twa, converged, {done} or ({fill}) as done, case when {fill} then a.y + (b.y - a.y) * ({x} - a.x) / (b.x - a.x) else speed end as speed
- from (select *, {near("last", "unbounded preceding and 1 preceding")} as a, {near("first", "1 following and unbounded following")} as b, count(anchor) over (partition by {key}) as n
+    return f"""(select s_suppkey, tws, twa, converged, {done} or ({fill}) as done, case when {fill} then a.y + (b.y - a.y) * ({x} - a.x) / (b.x - a.x) else speed end as speed
+ from (select *, {near("last", "unbounded preceding and 1 preceding")} as a, {near("first", "1 following and unbounded following")} as b, count(anchor) over (partition by s_suppkey, {key}) as n
  from (select *, case when converged and speed > 0 then {{'x': {x}, 'y': speed}} end as anchor from {src})))"""
 
 
-@query(f"""with {d.polar()}, m as (select *, cast(tws + twa as integer) % 5 <> 0 as converged, false as done from polar), f as {_filled("m", "tws", "twa", "done")}, g as {_filled("f", "twa", "tws", "done")} select tws, twa, {d.r6("speed")} as speed, converged from g""")
+@query(f"""with {d.fleet_polars()}, m as (select *, cast(tws + twa + s_suppkey as integer) % 5 <> 0 as converged, false as done from fleet), f as {_filled("m", "tws", "twa", "done")}, g as {_filled("f", "twa", "tws", "done")} select s_suppkey, tws, twa, {d.r6("speed")} as speed, converged from g""")
 def E10_repair_polar(spark: SparkSession, sf: str) -> DataFrame:
     """Unconverged cells filled along the angle, then along the wind speed; compared with plain Python in the tests."""
-    return polars.repair(_masked(spark)).select("tws", "twa", r6(c("speed")).alias("speed"), "converged")
+    return polars.repair(_masked(spark, sf), ["s_suppkey"]).select("s_suppkey", "tws", "twa", r6(c("speed")).alias("speed"), "converged")
 
 
-@query(f"""with {d.polar()} select twa, string_agg(case when tws is not null then printf('%.2f', round(speed * 100) / 100) end, chr(9) order by tws) as line from polar group by twa""")
+@query(f"""with {d.fleet_polars()} select s_suppkey, twa, string_agg(case when tws is not null then printf('%.2f', round(speed * 100) / 100) end, chr(9) order by tws) as line from fleet group by s_suppkey, twa""")
 def A43_polar_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return polars.matrix_lines(tables.polar(spark))
+    return polars.matrix_lines(tables.fleet_polars(spark, sf), ["s_suppkey"])
 
 
-@query(f"""with {d.polar()} select tws, twa, speed from polar""")
+@query(f"""with {d.fleet_polars()} select s_suppkey, tws, twa, round(speed * 100) / 100 as speed from fleet""")
 def A42_polar_round_trip(spark: SparkSession, sf: str) -> DataFrame:
-    """The test polar written as text and parsed again."""
-    whole = polars.document(tables.polar(spark))
-    return polars.parse(whole.select(F.lit(1).alias("id"), c("text")), "id", "text").select("tws", "twa", "speed")
+    """Every supplier's polar written as text, of two decimals, and parsed again."""
+    return polars.parse(polars.document(tables.fleet_polars(spark, sf), ["s_suppkey"]), "s_suppkey", "text").select("s_suppkey", "tws", "twa", "speed")
 
 
 _SHORT = "'tws_kts,twa_deg,v_boat_kts,vmg_kts,heel_deg,leeway_deg,sail_set_name,flat,reef'"
 
 
-@query(f"""with {d.polar()} select tws, twa, speed, {d.r6("speed * cos(radians(twa))")} as vmg_kts, {_SHORT} as header,
-printf('%.1f', tws) || ',' || printf('%.1f', twa) || ',' || printf('%.3f', speed) || ',' || printf('%.3f', round(speed * cos(radians(twa)) * 1e9) / 1e9) || ',0.00,0.00,Main+Jib,1.00,1.00' as line from polar""")
+@query(f"""with {d.fleet_polars()} select s_suppkey, tws, twa, {d.r6("speed")} as speed, {d.r6("speed * cos(radians(twa))")} as vmg_kts, {_SHORT} as header,
+printf('%.1f', tws) || ',' || printf('%.1f', twa) || ',' || printf('%.3f', round(speed * 1e3) / 1e3) || ',' || printf('%.3f', round(speed * cos(radians(twa)) * 1e3) / 1e3 + 0e0) || ',0.00,0.00,Main+Jib,1.00,1.00' as line from fleet""")
 def A44_polar_rows(spark: SparkSession, sf: str) -> DataFrame:
     """A table of speeds as lines of the short layout."""
-    p = tables.polar(spark).withColumn("vmg", c("speed") * F.cos(F.radians("twa")))
-    line = polars.short_line(c("tws"), c("twa"), c("speed"), round_to(c("vmg"), 9))
-    return p.select("tws", "twa", "speed", r6(c("vmg")).alias("vmg_kts"), F.lit(polars.SHORT_HEADER).alias("header"), line.alias("line"))
+    p = tables.fleet_polars(spark, sf).withColumn("vmg", c("speed") * F.cos(F.radians("twa")))
+    line = polars.short_line(c("tws"), c("twa"), round_to(c("speed"), 3), round_to(c("vmg"), 3) + 0.0)
+    return p.select("s_suppkey", "tws", "twa", r6(c("speed")).alias("speed"), r6(c("vmg")).alias("vmg_kts"), F.lit(polars.SHORT_HEADER).alias("header"), line.alias("line"))
 
 
 @query()
@@ -215,39 +225,40 @@ def A44_solved_lines(spark: SparkSession, sf: str) -> DataFrame:
 _TARGETS = _targets_sql((30.0, 70.0), (120.0, 180.0), 0.0, "45e0,5e0", "150e0,6e0")
 
 
-@query(f"""with {d.polar()}, r as (select tws, list({{'twa': twa, 'speed': speed}} order by twa) as cells from polar group by tws), t as (from ({_TARGETS}))
-select to_json({{'tws_list': list(tws order by tws), 'rows': list(cells order by tws), 'targets': map_from_entries(list({{'k': tws::varchar, 'v': {{'up_twa': up_twa, 'up_kts': up_kts, 'down_twa': down_twa, 'down_kts': down_kts}}}} order by tws))}})::varchar as json from r join t using (tws)""")
+@query(f"""with {d.fleet_polars()}, r as (select s_suppkey, tws, list({{'twa': twa, 'speed': {d.r6("speed")}}} order by twa) as cells from fleet group by all), t as (from ({_TARGETS}))
+select s_suppkey, to_json({{'tws_list': list(tws order by tws), 'rows': list(cells order by tws), 'targets': map_from_entries(list({{'k': tws::varchar, 'v': {{'up_twa': up_twa, 'up_kts': up_kts, 'down_twa': down_twa, 'down_kts': down_kts}}}} order by tws))}})::varchar as json from r join t using (s_suppkey, tws) group by s_suppkey""")
 def A45_polar_json(spark: SparkSession, sf: str) -> DataFrame:
-    return polars.as_json(tables.polar(spark))
+    return polars.as_json(tables.fleet_polars(spark, sf).withColumn("speed", r6(c("speed"))), keys=["s_suppkey"])
 
 
-@query(f"""with {_boats_sql()}, k as (select boats.*, range as k, range * 0.6e0 as v, radians(range * 3) as heel, 0e0 as leeway, mass * 0.3e0 as side from boats, range(1, 9)), {_hydro_ctes("k")},
-l as (select boat || '|' || k || '|' || printf('%.3f', round((r_viscous + r_residuary + r_induced + r_heel) * 1e3) / 1e3) || '|' || printf('%.3f', round(righting * 1e3) / 1e3) as line from h2)
-select substring(sha256(string_agg(line, '|' order by line)), 1, 12) as version from l""")
+@query(f"""with {_fleet_sql()}, k as (select boats.*, range as k, range * 0.6e0 as v, radians(range * 3) as heel, 0e0 as leeway, mass * 0.3e0 as side from boats, range(1, 9)), {_hydro_ctes("k")},
+l as (select boat, boat || '|' || k || '|' || printf('%.3f', round((r_viscous + r_residuary + r_induced + r_heel) * 1e3) / 1e3) || '|' || printf('%.3f', round(righting * 1e3) / 1e3) as line from h2)
+select boat, substring(sha256(string_agg(line, '|' order by line)), 1, 12) as version from l group by boat""")
 def D25_model_version(spark: SparkSession, sf: str) -> DataFrame:
-    """One row: twelve digits that change with the physics, from eight fixed states of each preset boat."""
-    return solver_version(spark)
+    """Twelve digits for each supplier's boat that change with the physics, from eight fixed states."""
+    return solver_version(tables.fleet(spark, sf))
 
 
 @query()
 def D25_model_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
-    """The same digits; compared with a plain loop over the same formulas in the tests."""
-    return solver_version(spark)
+    """Each supplier with the digits of the preset that its boat comes from; compared with a plain loop over the same formulas in the tests."""
+    presets = solver_version(boats.presets(spark)).withColumnRenamed("boat", "preset")
+    return tables.fleet(spark, sf).select(c("boat").alias("s_suppkey"), "preset").join(presets, "preset")
 
 
-def solver_version(spark: SparkSession) -> DataFrame:
-    """A fingerprint of resistances and moments at eight fixed states of each preset."""
-    k = boats.presets(spark).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(8))))
+def solver_version(given: DataFrame) -> DataFrame:
+    """(boat, version): a fingerprint of resistances and moments at eight fixed states of each boat."""
+    k = given.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(8))))
     h = forces.hydro(M, _fields(), c("k") * 0.6, F.radians(c("k") * 3), c("mass") * 0.3)
-    line = F.format_string("%s|%d|%.3f|%.3f", "boat", "k", round_to(h["r_total"], 3), round_to(h["righting"], 3))
-    return k.select(line.alias("line")).agg(F.substring(F.sha2(F.concat_ws("|", F.sort_array(F.collect_list("line"))), 256), 1, 12).alias("version"))
+    line = F.format_string("%s|%d|%.3f|%.3f", c("boat").cast("string"), "k", round_to(h["r_total"], 3), round_to(h["righting"], 3))
+    return k.select("boat", line.alias("line")).groupBy("boat").agg(F.substring(F.sha2(F.concat_ws("|", F.sort_array(F.collect_list("line"))), 256), 1, 12).alias("version"))
 
 
-@query(f"""with {_boats_sql()}, k as (select boats.*, range as k, radians(range * 3) as heel from boats, range(0, 21))
+@query(f"""with {_fleet_sql()}, k as (select boats.*, range as k, radians(range * 3) as heel from boats, range(0, 21))
 select boat, k, {d.r6("mass * 9.80665e0 * 0.6e0 * sin(2 * heel) + crew_mass * crew_fraction * 9.80665e0 * crew_distance * cos(heel) * tanh(heel / radians(12))")} as righting from k""")
 def K03_own_righting_arm(spark: SparkSession, sf: str) -> DataFrame:
     """Righting moments with a user's curve in place of the hull's."""
-    k = boats.presets(spark).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(20).cast("long"))))
+    k = tables.fleet(spark, sf).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(20).cast("long"))))
     own = forces.righting_moment(M, _fields(), F.radians(c("k") * 3), lambda m, heel: 0.6 * m.sin(2.0 * heel))
     return k.select("boat", "k", r6(own).alias("righting"))
 

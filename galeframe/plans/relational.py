@@ -299,13 +299,13 @@ def E09_resample(spark: SparkSession, sf: str) -> DataFrame:
     return r.select("route_id", "k", r6(c("lat")).alias("lat"), r6(c("tws")).alias("tws"), whole(c("twd")).alias("twd"))
 
 
-@query(f"""with {d.polar()}, m as (select *, cast(tws + twa as integer) % 7 <> 0 as ok from polar),
-f as (select *, last_value(case when ok then twa end ignore nulls) over (partition by tws order by twa rows between unbounded preceding and 1 preceding) as x0, last_value(case when ok then speed end ignore nulls) over (partition by tws order by twa rows between unbounded preceding and 1 preceding) as y0,
- first_value(case when ok then twa end ignore nulls) over (partition by tws order by twa rows between 1 following and unbounded following) as x1, first_value(case when ok then speed end ignore nulls) over (partition by tws order by twa rows between 1 following and unbounded following) as y1 from m)
-select tws, twa, {d.r6("case when not ok and x0 is not null and x1 is not null then y0 + (y1 - y0) * (twa - x0) / (x1 - x0) else speed end")} as speed from f""")
+@query(f"""with {d.fleet_polars()}, m as (select *, cast(tws + twa + s_suppkey as integer) % 7 <> 0 as ok from fleet),
+f as (select *, last_value(case when ok then twa end ignore nulls) over (partition by s_suppkey, tws order by twa rows between unbounded preceding and 1 preceding) as x0, last_value(case when ok then speed end ignore nulls) over (partition by s_suppkey, tws order by twa rows between unbounded preceding and 1 preceding) as y0,
+ first_value(case when ok then twa end ignore nulls) over (partition by s_suppkey, tws order by twa rows between 1 following and unbounded following) as x1, first_value(case when ok then speed end ignore nulls) over (partition by s_suppkey, tws order by twa rows between 1 following and unbounded following) as y1 from m)
+select s_suppkey, tws, twa, {d.r6("case when not ok and x0 is not null and x1 is not null then y0 + (y1 - y0) * (twa - x0) / (x1 - x0) else speed end")} as speed from f""")
 def E10_fill_unconverged(spark: SparkSession, sf: str) -> DataFrame:
-    m = tables.polar(spark).withColumn("ok", (c("tws") + c("twa")).cast("int") % 7 != 0)
-    return windows.linear_fill(m, ["tws"], "twa", "speed", c("ok"), "filled").select("tws", "twa", r6(c("filled")).alias("speed"))
+    m = tables.fleet_polars(spark, sf).withColumn("ok", (c("tws") + c("twa") + c("s_suppkey")).cast("int") % 7 != 0)
+    return windows.linear_fill(m, ["s_suppkey", "tws"], "twa", "speed", c("ok"), "filled").select("s_suppkey", "tws", "twa", r6(c("filled")).alias("speed"))
 
 
 @query(f"""with {d.TRACK}, n as (select route_id, idx, count(*) over (partition by route_id) as n from track) select route_id, idx from n where idx % cast(ceil(n / 30) as bigint) = 0 or idx = n - 1""")
@@ -349,7 +349,8 @@ def G04_closed_ring(spark: SparkSession, sf: str) -> DataFrame:
     p = tables.track(spark, sf).groupBy("route_id").agg(F.sort_array(F.collect_list("idx")).alias("l"))
     return p.select("route_id", F.concat("l", F.reverse("l")).alias("ring"))
 
-@query("""with l as (select cast(a.range as integer) as lat, cast(b.range as integer) as lon, cast(h.range as integer) as hour from range(-80, 81, 20) a, range(-180, 180, 30) b, range(0, 97, 24) h),
+#: The field over a lattice, a piece of other SQL.
+FIELD_SQL = """with l as (select cast(a.range as integer) as lat, cast(b.range as integer) as lon, cast(h.range as integer) as hour from range(-80, 81, 20) a, range(-180, 180, 30) b, range(0, 97, 24) h),
 s as (select lat, lon, hour, unnest([{'y': 50 + 3 * sin(hour * pi() / 48), 'x': -55 + hour / 24e0 * 7.5e0, 't': 1, 'k': 14e0, 'w': 80e0, 'r': 25}, {'y': 52 + 2.5e0 * cos(hour * pi() / 60), 'x': -155 + hour / 24e0 * 6.5e0, 't': 1, 'k': 14e0, 'w': 80e0, 'r': 25},
  {'y': 32 + sin(hour * pi() / 96), 'x': -42 + 1.5e0 * cos(hour * pi() / 72), 't': -1, 'k': 7.5e0, 'w': 140e0, 'r': 30}, {'y': 36 + 1.2e0 * cos(hour * pi() / 96), 'x': -140 + 2 * sin(hour * pi() / 80), 't': -1, 'k': 8.5e0, 'w': 160e0, 'r': 35}]) as p from l),
 e as (select lat, lon, hour, p.t * case when sqrt(pow(lat - p.y, 2) + pow(lon - p.x, 2)) < p.r then p.k * exp(-(pow(lat - p.y, 2) + pow(lon - p.x, 2)) / p.w) else 0 end as s, atan2(lat - p.y, lon - p.x) as a from s),
@@ -358,9 +359,18 @@ b as (select lat, lon, hour, du, dv, case when lat between 0 and 30 then -(9.5e0
  when lat >= -30 and lat < 0 then -(8 + 2 * sin(abs(lat) * pi() / 30)) * sin(radians(60)) else 12 + 5 * sin(abs(lat) * pi() / 30) end as bu,
  case when lat between 0 and 30 then -(9.5e0 + 2 * sin(lat * pi() / 30)) * cos(radians(65)) when lat > 30 and lat <= 38 then 3.5e0 + 2.5e0 * sin((lon + hour * 1.5e0) * pi() / 45) when lat > 38 and lat <= 65 then 3 + 2.5e0 * sin((lon + hour * 1.5e0) * pi() / 45)
  when lat >= -30 and lat < 0 then (8 + 2 * sin(abs(lat) * pi() / 30)) * cos(radians(60)) else -2e0 end as bv from t)
-select lat, lon, hour, round((bu + du) * (1852e0 / 3600) * 1e6) / 1e6 + 0e0 as u, round((bv + dv) * (1852e0 / 3600) * 1e6) / 1e6 + 0e0 as v from b""")
+select lat, lon, hour, round((bu + du) * (1852e0 / 3600) * 1e6) / 1e6 + 0e0 as u, round((bv + dv) * (1852e0 / 3600) * 1e6) / 1e6 + 0e0 as v from b"""
+
+
+def field_sql(places: str) -> str:
+    """CTEs from ``places`` (event_id, lat, lon, hour) to ``field`` (event_id, u, v), by the SQL of the synthetic field."""
+    chain, _ = FIELD_SQL.split("s as (select", 1)[1].rsplit("\nselect ", 1)
+    chain = ("s as (select" + chain).replace("select lat, lon, hour", "select event_id, lat, lon, hour").replace("group by 1, 2, 3", "group by 1, 2, 3, 4")
+    return f"l as (select event_id, lat, lon, hour from {places}), {chain}, field as (select event_id, (bu + du) * (1852e0 / 3600) as u, (bv + dv) * (1852e0 / 3600) as v from b)"
+
+
+@query(f"""with {d.OBS}, places as (select event_id, lat, lon, event_id % 100 as hour from obs), {field_sql("places")} select event_id, {d.r6("u")} as u, {d.r6("v")} as v from field""")
 def A38_synthetic_wind(spark: SparkSession, sf: str) -> DataFrame:
-    lattice = spark.range(9).select((c("id") * 20 - 80).cast("int").alias("lat"), F.explode(F.sequence(F.lit(-180), F.lit(150), F.lit(30))).alias("lon"))
-    lattice = lattice.withColumn("hour", F.explode(F.sequence(F.lit(0), F.lit(96), F.lit(24))))
-    u, v = wind.synthetic_uv(c("lat").cast("double"), c("lon").cast("double"), c("hour").cast("double"))
-    return lattice.select("lat", "lon", "hour", r6(u).alias("u"), r6(v).alias("v"))
+    """The synthetic field at every observation."""
+    u, v = wind.synthetic_uv(c("lat"), c("lon"), (c("event_id") % 100).cast("double"))
+    return tables.obs(spark, sf).select("event_id", r6(u).alias("u"), r6(v).alias("v"))

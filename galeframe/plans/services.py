@@ -18,7 +18,6 @@ from galeframe.sources import models
 
 c = F.col
 QUERIES, SQL = {}, {}
-A38 = relational.SQL["A38_synthetic_wind"]
 
 
 def query(sql: str | None = None):
@@ -217,16 +216,9 @@ def I20_route_by_model(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(F.floor(c("route_id") / 8).alias("passage"), "model", passage.ensemble_of(c("model")).alias("e"), "reached", r6(c("duration_hours")).alias("duration_hours"), r6(c("distance_nm")).alias("distance_nm")).select("*", "e.*").drop("e")
 
 
-def _synthetic_sql(places: str) -> str:
-    """CTEs from ``places`` (event_id, lat, lon, hour) to ``field`` (event_id, u, v), by the SQL of the synthetic field."""
-    chain, last = A38.split("s as (select", 1)[1].rsplit("\nselect ", 1)
-    chain = ("s as (select" + chain).replace("select lat, lon, hour", "select event_id, lat, lon, hour").replace("group by 1, 2, 3", "group by 1, 2, 3, 4")
-    return f"l as (select event_id, lat, lon, hour from {places}), {chain}, field as (select event_id, (bu + du) * (1852e0 / 3600) as u, (bv + dv) * (1852e0 / 3600) as v from b)"
-
-
 @query(f"""with {_POINTS}, {d.GRID}, {_CORNERS}, {_STEPPED}, hh as (select *, (event_id % 24)::double as hr from corners), bb as (select *, least(floor(hr / 3) * 3, 21) as lo from hh),
 ww as (select event_id, i, j, cast(lo as integer) as step, w * (1 - (hr - lo) / 3) as w from bb union all select event_id, i, j, cast(lo + 3 as integer), w * ((hr - lo) / 3) from bb),
-ff as (select event_id, {_GOOD('u')}, {_GOOD('v')} from ww join stepped using (i, j, step) group by event_id), spots as (select event_id, lat, lon, event_id % 24 as hour from pts), {_synthetic_sql("spots")}
+ff as (select event_id, {_GOOD('u')}, {_GOOD('v')} from ww join stepped using (i, j, step) group by event_id), spots as (select event_id, lat, lon, event_id % 24 as hour from pts), {relational.field_sql("spots")}
 select event_id, ff.u is not null as stored, {d.r6("coalesce(ff.u, field.u)")} as u, {d.r6("coalesce(ff.v, field.v)")} as v from field left join ff using (event_id)""")
 def I21_wind_or_synthetic(spark: SparkSession, sf: str) -> DataFrame:
     """The stored wind where the region has one, else the synthetic field."""

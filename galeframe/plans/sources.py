@@ -206,13 +206,6 @@ def A40_simplified_lines(spark: SparkSession, sf: str) -> DataFrame:
     return land.simplify(t, ["route_id", "part"], "idx", 1.0).select("route_id", "idx")
 
 
-@query(f"""with {d.edges()}, b as (select poly_id, seq // 16 as chunk, min(least(x1, x2)) as a, max(greatest(x1, x2)) as b, min(least(y1, y2)) as c, max(greatest(y1, y2)) as d from edges group by 1, 2),
-i as (select *, unnest(range(cast(floor(c + 90) as integer), cast(floor(d + 90) as integer) + 1)) as i from b), j as (select *, unnest(range(cast(floor(a + 180) as integer), cast(floor(b + 180) as integer) + 1)) as j from i)
-select cast(i * 360 + j as integer) as cell, poly_id, cast(chunk as integer) as chunk from j""")
-def A41_land_index(spark: SparkSession, sf: str) -> DataFrame:
-    return land.cell_index(land.chunk_boxes(tables.edges(spark)))
-
-
 _STARS = """n0 as (select user_id as pid, event_id, row_number() over (partition by user_id order by event_id) - 1 as k, count(*) over (partition by user_id) as m from events),
 stars as (select pid, k, least(m, 24) as n, -55e0 + pid % 100 + (1 + k % 2 * 0.5e0) * sin(2 * pi() * k / least(m, 24)) as lat, 170e0 + pid * 7 % 20 + (1 + k % 2 * 0.5e0) * cos(2 * pi() * k / least(m, 24)) as lon from n0 where k < 24 and pid % 9 > 0),
 micro as (select pid, k, n, round(lat * 1e6) / 1e6 as lat, round(((lon % 360 + 360) % 360) * 1e6) / 1e6 as lon from stars where n >= 6 or pid <= 50),
@@ -246,6 +239,15 @@ def A39_B09_shoreline_build(spark: SparkSession, sf: str) -> DataFrame:
     return e.groupBy("poly_id", "name").agg(F.count("*").alias("edges"), F.count_distinct("chunk").cast("int").alias("chunks"), r4(F.min("y1")).alias("min_lat"), r4(F.max("y1")).alias("max_lat"), r4(F.min("x1")).alias("min_lon"), r4(F.max("x1")).alias("max_lon")).where("edges >= 3")
 
 
+@query(f"""with {_STARS}, sides as (select pid as poly_id, k as seq, lon as x1, lat as y1, coalesce(lead(lon) over w, first_value(lon) over w) as x2, coalesce(lead(lat) over w, first_value(lat) over w) as y2 from shore window w as (partition by pid order by k)), b as (select poly_id, seq // 16 as chunk, min(least(x1, x2)) as a, max(greatest(x1, x2)) as b, min(least(y1, y2)) as c, max(greatest(y1, y2)) as d from sides group by 1, 2),
+i as (select *, unnest(range(cast(floor(c + 90) as integer), cast(floor(d + 90) as integer) + 1)) as i from b), j as (select *, unnest(range(cast(floor(a + 180) as integer), cast(floor(b + 180) as integer) + 1)) as j from i)
+select cast(i * 360 + j as integer) as cell, cast(poly_id as integer) as poly_id, cast(chunk as integer) as chunk from j""")
+def A41_land_index(spark: SparkSession, sf: str) -> DataFrame:
+    """The one-degree cells that the chunks of the built shoreline touch."""
+    e = spark.read.format("shoreline").load(_built(spark, sf))
+    return land.cell_index(e.select("poly_id", "chunk", "min_lat", "max_lat", "min_lon", "max_lon").distinct())
+
+
 @query(f"""with {d.OBS}, {_STARS}, jumps as (select pid, k, lat, lon, round((lon - coalesce(lag(lon) over w, lon)) / 360) as jump from shore window w as (partition by pid order by k)),
 turned as (select pid, k, lat, lon, sum(jump) over (partition by pid order by k rows unbounded preceding) as turns from jumps),
 whole as (select pid, k, lat, lon - 360 * turns as lon from turned), copies as (select pid, k, 0 as copy, lat, lon from whole union all select pid, k, 1, lat, lon - 360 from whole where pid in (select pid from whole group by pid having max(lon) > 180)
@@ -283,20 +285,23 @@ def _lattice_sql() -> str:
     """That of the synthetic field, over the lattice of the data source."""
     from galeframe.plans import relational
 
-    whole = relational.SQL["A38_synthetic_wind"]
+    whole = relational.FIELD_SQL
     k = "(1852e0 / 3600)"
     whole = whole.replace("range(-180, 180, 30) b, range(0, 97, 24) h", "range(-180, 180, 20) b, range(0, 25, 3) h")
+    asked = "with asked as (select cast(o_orderkey % 9 * 3 as integer) as hour, count(*) as asked from orders group by 1), "
+    whole = whole.replace("with l as", asked + "l as", 1).replace(" from b", " , asked from b join asked using (hour)") if whole.endswith(" as v from b") else whole
     return whole.replace("select lat, lon, hour, round(", f"select lat, lon, hour, round(sqrt(pow((bu + du) * {k}, 2) + pow((bv + dv) * {k}, 2)) / {k} * 1e6) / 1e6 as tws, round(")
 
 
 @query(_lattice_sql())
 def I06_K01_wind_lattice(spark: SparkSession, sf: str) -> DataFrame:
-    """The synthetic field sampled by the engine's own data source, as a table."""
+    """The synthetic field sampled by the engine's own data source, as a table, at the hours that orders ask for, and how many do."""
     from galeframe.sources.wind import SyntheticWind, with_wind
 
     spark.dataSource.register(SyntheticWind)
     w = with_wind(spark.read.format("synthetic_wind_lattice").option("step", 20).option("hours", 24).load())
-    return w.select("hour", "lat", "lon", *[r6(c(k)).alias(k) for k in ("u", "v", "tws")])
+    asked = tables.read(spark, sf, "orders").groupBy((c("o_orderkey") % 9 * 3).cast("int").alias("hour")).agg(F.count("*").alias("asked"))
+    return w.join(asked, "hour").select("hour", "lat", "lon", *[r6(c(k)).alias(k) for k in ("u", "v", "tws")], "asked")
 
 
 _ARRIVALS = "select cast(user_id as varchar) as step, cast(event_id % 16 as integer) as member, value from events"

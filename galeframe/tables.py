@@ -51,6 +51,23 @@ def polar(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(sailing.polar_rows(), "tws double, twa double, speed double")
 
 
+def fleet_polars(spark: SparkSession, sf: str) -> DataFrame:
+    """A table of speeds for each supplier: the test polar, faster for those with more on account."""
+    s = read(spark, sf, "supplier").select("s_suppkey", (F.lit(0.8) + (F.col("s_acctbal") + 1000.0) / 50000.0).alias("_share"))
+    cells = F.array(*[F.struct(F.lit(w).alias("tws"), F.lit(a).alias("twa"), F.lit(x).alias("x")) for w, a, x in sailing.polar_rows()])
+    return s.withColumn("c", F.explode(cells)).select("s_suppkey", "c.tws", "c.twa", (F.col("c.x") * F.col("_share")).alias("speed"))
+
+
+def fleet(spark: SparkSession, sf: str) -> DataFrame:
+    """A boat for each supplier, by number: a preset with another mass and mainsail."""
+    from galeframe.physics import boats
+
+    k = F.col("s_suppkey")
+    s = read(spark, sf, "supplier").select(k, F.element_at(F.array(*map(F.lit, boats.PRESETS)), (k % 4 + 1).cast("int")).alias("boat"))
+    b = s.join(boats.presets(spark).drop("name"), "boat").withColumns({"mass": F.col("mass") * (F.lit(1.0) + k % 7 / 50.0), "main_p": F.col("main_p") * (F.lit(1.0) + k % 5 / 40.0)})
+    return b.withColumnsRenamed({"boat": "preset", "s_suppkey": "boat"})
+
+
 #: Four test polygons: (id, name, vertices as (lon, lat)).
 POLYGONS = (
     (1, "west", ((-120.0, -20.0), (-90.0, -25.0), (-80.0, 10.0), (-100.0, 25.0), (-125.0, 5.0))),
