@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from galeframe.llm import jaccard, mixing, packing, queries, toxicity
-from galeframe.llm.common import read, shared_folder
+from galeframe.llm.common import delete, read, shared_folder
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,13 +46,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result but the last is written as Parquet in the shared folder and read again."""
+    """All stages over documents; each result but the last is written as Parquet in the shared folder and read again, and goes when the next one is written."""
     docs = read(spark, sf_dir, "documents")
-    shared = shared_folder(spark)
+    shared, before = shared_folder(spark), None
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             path = f"{shared}/pipeline-{uuid.uuid4().hex}"
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
+            if before is not None:
+                delete(spark, before)
+            before = path
     return docs

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -20,7 +21,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-_SCRATCH: list[list[str]] = []
+class _Scratch(threading.local):
+    """Tables of the open ``scratch`` blocks of a thread."""
+
+    def __init__(self) -> None:
+        self.open: list[list[str]] = []
+
+
+_SCRATCH = _Scratch()
 
 
 def durable(df: DataFrame, keep: bool = False) -> DataFrame:
@@ -31,22 +39,26 @@ def durable(df: DataFrame, keep: bool = False) -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if _SCRATCH and not keep:
-        _SCRATCH[-1].append(path)
+    if _SCRATCH.open and not keep:
+        _SCRATCH.open[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables that ``durable`` writes meanwhile are deleted at the end: what is still needed then is in tables that are kept, and no plan that lives on may read others."""
-    _SCRATCH.append([])
+    _SCRATCH.open.append([])
     try:
         yield
     finally:
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        for path in _SCRATCH.pop():
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(conf).delete(at, True)
+        for path in _SCRATCH.open.pop():
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """A folder with all in it, on whatever file system Spark has for it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def shared_folder(spark: SparkSession) -> str:

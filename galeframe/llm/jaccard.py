@@ -348,8 +348,8 @@ def class_blocks(named: DataFrame, sets: DataFrame) -> DataFrame:
     sizes = named.groupBy("label").agg(F.count("*").alias("m"), F.sum("size").alias("total"), F.sum("n_links").alias("ends"))
     k = F.greatest(F.ceil(F.col("total") / BLOCK_SHINGLES), F.least(F.ceil(F.col("m") / BLOCK_NODES), F.lit(BLOCKS)))
     sizes = sizes.withColumn("k", F.least(k, F.col("m")).cast("int"))
-    large = sizes.where("k > 1").select("label", "k")  # at most one for each BLOCK_NODES nodes or BLOCK_SHINGLES hashes
-    dealt = named.select("node", "label").join(F.broadcast(large), "label", "left")
+    large = sizes.where("k > 1").select("label", "k")  # grows with the corpus: Spark broadcasts it by its size or doesn't
+    dealt = named.select("node", "label").join(large, "label", "left")
     small = dealt.where("k is null").drop("k").join(sizes.where("k = 1 and ends < m * (m - 1)").select("label", "k"), "label")
     dealt = dealt.where("k is not null").select("node", "label", "k").unionByName(small.select("node", "label", "k"))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("k")).cast("int")).join(sets.select("node", "shingles"), "node")
