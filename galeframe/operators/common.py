@@ -55,7 +55,7 @@ def listed(spark: SparkSession, path: str) -> list[str]:
 
 def put_once(spark: SparkSession, path: str, text: str) -> bool:
     """A small text file, whole or not at all: written beside and renamed; false, and nothing changed, where one of that name is there."""
-    beside = f"{path}.{uuid.uuid4().hex}"
+    beside = f"{path.rsplit('/', 1)[0]}/_{uuid.uuid4().hex}"
     at, files = _path(spark, beside)
     to, _ = _path(spark, path)
     out = files.create(at, False)

@@ -14,7 +14,7 @@ from galeframe.operators import grids, joins, search
 from galeframe.operators.common import durable, shared_folder
 from galeframe.plans import duck as d
 from galeframe.plans.scalar import r6
-from galeframe.sources import catalogue, grib2, index, land, models, requests, shore
+from galeframe.sources import catalogue, grib2, index, land, models, requests, shore, versions
 from galeframe.streaming import cycles, ingest, steps
 
 c = F.col
@@ -269,6 +269,24 @@ def A41_C10_shore_points(spark: SparkSession, sf: str) -> DataFrame:
     return joins.points_in_polygons(p, sides, ["event_id"])
 
 
+@query("""with one as (select c_custkey as id, c_name as name, c_acctbal as x from customer), last as (select o_custkey as id, arg_max({'t': o_totalprice, 's': o_orderstatus}, {'k': o_orderkey}) as o from orders group by 1),
+two as (select id, coalesce(name, 'order') as name, coalesce(o.t, x) as x from one full join last using (id)), three as (select two.* from two left join last using (id) where o.s is distinct from 'F'),
+v as (select 1 as version, * from one union all select 2, * from two union all select 3, * from three)
+select version, id % 10 as part, count(*) as n, round(sum(x) * 100) / 100 as total, count(*) filter (name = 'order') as unnamed from v group by all""")
+def A48_stored_upserts(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers in a table of versions: loaded, upserted by the last order of each, and without those whose last order is finished; every version is read back."""
+    t = versions.Versioned(spark, f"{shared_folder(spark)}/upserts-{uuid.uuid4().hex}", "id long, name string, x double", ("id",))
+    own = tables.read(spark, sf, "customer").select(c("c_custkey").alias("id"), c("c_name").alias("name"), c("c_acctbal").alias("x"))
+    o = tables.read(spark, sf, "orders").select(c("o_custkey").alias("id"), "o_orderkey", c("o_totalprice").alias("x"), "o_orderstatus")
+    t.upsert(own)
+    t.upsert(o.join(own.select("id", "name"), "id", "left").withColumn("name", F.coalesce("name", F.lit("order"))), order="o_orderkey")
+    last = o.groupBy("id").agg(F.max_by("o_orderstatus", "o_orderkey").alias("s")).where("s = 'F'")
+    t.upsert(last.select("id", F.lit(None).cast("string").alias("name"), F.lit(None).cast("double").alias("x"), F.lit(True).alias("gone")), deleted="gone")
+    parts = [t.read(v).withColumn("version", F.lit(v)) for v in (1, 2, 3)]
+    v = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return v.groupBy("version", (c("id") % 10).alias("part")).agg(F.count("*").alias("n"), round_to(F.sum("x"), 2).alias("total"), F.count_if(c("name") == "order").alias("unnamed"))
+
+
 @query(f"""with {d.GRID} select i, cast((g.j + 25) % 50 as integer) as j, value, coalesce((select min(s) from unnest([0, 3, 6, 12]) t(s) where s >= g.j), 0) as step from grid g""")
 def H18_B11_rotation_and_step(spark: SparkSession, sf: str) -> DataFrame:
     g = tables.grid(spark, sf).withColumn("step", grids.step_at_least([0, 3, 6, 12], c("j")))
