@@ -26,6 +26,25 @@ def series(cells: DataFrame, keys: list[str], steps: list[int], value: str = "va
     return g.select(*keys, F.transform(F.array(*map(F.lit, steps)), lambda s: F.coalesce(F.element_at("_m", s), F.lit(float("nan")))).alias("values"))
 
 
+def member_requests(requests: DataFrame, members: DataFrame, means: DataFrame, steps: list[int], cells: DataFrame) -> DataFrame:
+    """``requests`` (cell, member, stored, ..) with ``values``, a value for each step or NaN, or with ``error``.
+
+    ``members``: (cell, step, member, value), ``means``: (cell, step, value),
+    ``cells``: those of the grid. Where members aren't stored, member 0 is the
+    mean and others are refused; where they are, a member that isn't there is
+    the mean if it is member 0, else NaN at every step. A cell beyond the grid
+    is refused.
+    """
+    own = series(members, ["cell", "member"], steps).withColumnRenamed("values", "_own")
+    mean = series(means, ["cell"], steps).withColumnRenamed("values", "_mean")
+    q = requests.join(cells.select("cell").distinct().withColumn("_there", F.lit(True)), "cell", "left").join(own, ["cell", "member"], "left").join(mean, "cell", "left")
+    none = F.array(*[F.lit(float("nan")) for _ in steps])
+    error = F.when(F.col("_there").isNull(), F.lit("beyond the grid")).when(~F.col("stored") & (F.col("member") != 0), F.lit("members are not stored"))
+    first = F.coalesce("_mean", none)
+    values = F.when(F.col("stored"), F.coalesce("_own", F.when(F.col("member") == 0, first), none)).otherwise(first)
+    return q.select(*requests.columns, error.alias("error"), F.when(error.isNull(), values).alias("values"))
+
+
 def rotate_half(j: Column, nlons: int) -> Column:
     """Columns of a grid that starts at 180 degrees as those of one that starts at 0."""
     return ((j + nlons // 2) % nlons).cast("int")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from galeframe import tables
-from galeframe.operators import passage, search
+from galeframe.operators import passage, regions, search
 from galeframe.operators.weather import Chosen, Field, Lattice, StoredWinds
 from galeframe.plans import duck as d
 from galeframe.plans.relational import field_sql
@@ -132,3 +132,26 @@ def I15_I21_windows_with_fallback(spark: SparkSession, sf: str) -> DataFrame:
     scored = o.select("route_id", "batch", c("dep_h").alias("lead_hours"), "dest_lon", "tacks", "gybes")
     ranked = passage.window_scores(_track_of(found).join(scored.select("route_id"), "route_id", "left_semi"), scored)
     return ranked.join(routes.select("route_id", "provider"), "route_id")
+
+
+_REGION = """boxes as (select user_id * 10 + case event_type when 'click' then 1 when 'view' then 2 when 'error' then 3 when 'purchase' then 4 else 5 end as region_id, arg_min({'e': event_id, 'v': value, 't': ts}, event_id) as x from events group by user_id, event_type, 1),
+regions as (select region_id, x.t as fetched_at, -60e0 + x.e % 110 as min_lat, -60e0 + x.e % 110 + 10 + x.v % 40 as max_lat, -175e0 + x.e * 7 % 300 as min_lon, -175e0 + x.e * 7 % 300 + 12 + x.v % 50 as max_lon from boxes),
+q as (select event_id, ts as at, -55e0 + event_id % 110 as min_lat, -55e0 + event_id % 110 + 1 + value % 25 as max_lat, -170e0 + event_id * 13 % 320 as min_lon, -170e0 + event_id * 13 % 320 + 2 + value % 30 as max_lon, case when event_id % 4 = 0 then 0e0 else 1.5e0 end as lat_step, 1.5e0 as lon_step from events)"""
+
+
+@query(f"""with {_REGION}, hit as (select event_id, arg_min(region_id, {{'t': -epoch_us(fetched_at), 'r': region_id}}) as region from q join regions r on q.min_lat >= r.min_lat - 0.5 and q.max_lat <= r.max_lat + 0.5 and q.min_lon >= r.min_lon - 0.5 and q.max_lon <= r.max_lon + 0.5
+ and fetched_at <= q.at and epoch_us(q.at) - epoch_us(fetched_at) < 6 * 3600000000 group by event_id),
+f as (select event_id, max_lat - min_lat as a, max_lon - min_lon as b, case when max_lat - min_lat > 15 then greatest(lat_step, 2e0) else lat_step end as sa, case when max_lon - min_lon > 20 then greatest(lon_step, 2.5e0) else lon_step end as sb from q),
+g as (select event_id, a, b, case when sa <= 0 then 2e0 else sa end as sa, sb from f), k as (select event_id, min(x) as x from g, range(0, 61) r(x) where (round(a / (sa * pow(1.2e0, x))) + 1) * (round(b / (sb * pow(1.2e0, x))) + 1) <= 120 group by event_id)
+select event_id, region, {d.r6("sa * pow(1.2e0, x)")} as lat_step, {d.r6("sb * pow(1.2e0, x)")} as lon_step, cast(round(a / (sa * pow(1.2e0, x))) as integer) + 1 as n_lat, cast(round(b / (sb * pow(1.2e0, x))) as integer) + 1 as n_lon from g join k using (event_id) left join hit using (event_id)""")
+def I04_B05_region_fetch(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests met with regions fetched up to six hours before, and the grid to fetch where there is none."""
+    e = tables.read(spark, sf, "events")
+    kind = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for n, k in enumerate(("click", "view", "error", "purchase")) for x in (k, n + 1)]), c("event_type")), F.lit(5))
+    first = e.groupBy((c("user_id") * 10 + kind).alias("region_id"), "event_type").agg(F.min_by(F.struct("event_id", "value", "ts"), "event_id").alias("x"))
+    low, west = F.lit(-60.0) + c("x.event_id") % 110, F.lit(-175.0) + c("x.event_id") * 7 % 300
+    held = first.select("region_id", c("x.ts").alias("fetched_at"), low.alias("min_lat"), (low + 10 + c("x.value") % 40).alias("max_lat"), west.alias("min_lon"), (west + 12 + c("x.value") % 50).alias("max_lon"))
+    low, west = F.lit(-55.0) + c("event_id") % 110, F.lit(-170.0) + c("event_id") * 13 % 320
+    q = e.select("event_id", c("ts").alias("at"), low.alias("min_lat"), (low + 1 + c("value") % 25).alias("max_lat"), west.alias("min_lon"), (west + 2 + c("value") % 30).alias("max_lon"), F.when(c("event_id") % 4 == 0, 0.0).otherwise(1.5).alias("lat_step"), F.lit(1.5).alias("lon_step"))
+    found = regions.fetch_steps(regions.cached(q, held, "event_id"))
+    return found.select("event_id", "region", r6(c("lat_step")).alias("lat_step"), r6(c("lon_step")).alias("lon_step"), "n_lat", "n_lon")

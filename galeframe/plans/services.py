@@ -78,19 +78,20 @@ def I02_C02_member_and_statistic(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _NAMED = d.values([(m, v, p, e, n[at] if at < 3 else None, n[2 if at == 3 else 4], n[at]) for m, (p, e, at) in models.FILES.items() for v, n in models.NAMES.items() if n[at] is not None], "k(model, variable, p, e, index_name, folder, part)")
-_TASKS = d.values([(m, v) for m in models.FILES for v in models.NAMES], "t(model, variable)")
+_TASKS = d.values([(m, v, n) for n, (m, v) in enumerate((m, v) for m in models.FILES for v in models.NAMES)], "t(model, variable, place)")
 
 
-@query(f"""with t as (select model, variable, timestamp '2024-01-01' + to_hours(cast(o_orderkey % 4 * 6 as integer)) as cycle, cast(o_orderkey % 40 * 3 as integer) as step, cast(o_orderkey % 31 as integer) as member, o_orderkey from orders, (select * from {_TASKS}) where o_orderkey % 50 = 0),
+@query(f"""with t as (select model, variable, timestamp '2024-01-01' + to_hours(cast(o_orderkey % 4 * 6 as integer)) as cycle, cast(o_orderkey % 40 * 3 as integer) as step, cast(o_orderkey % 31 as integer) as member, o_orderkey from orders join (select * from {_TASKS}) on place = o_orderkey % {len(models.FILES) * len(models.NAMES)}),
 n as (select t.*, k.p, k.e, k.index_name, k.folder, k.part from t left join (select * from {_NAMED}) k using (model, variable)),
 r as (select *, replace(replace(replace(replace(replace(replace(replace(replace(p, '{{day}}', strftime(cycle, '%Y%m%d')), '{{hour}}', strftime(cycle, '%H')), '{{step3}}', printf('%03d', step)), '{{step}}', step::varchar),
  '{{member}}', case when member = 0 then 'gec00' else printf('gep%02d', member) end), '{{set}}', case when variable = 'wind_gust_10m' then 'b' else 'a' end), '{{folder}}', coalesce(folder, '')), '{{part}}', coalesce(part, '')) as path from n)
 select o_orderkey, model, variable, member, path, path || e as index_path, index_name from r""")
 def H62_H63_file_names(spark: SparkSession, sf: str) -> DataFrame:
-    """Files, indexes and variable names of tasks of all models."""
-    o = tables.read(spark, sf, "orders").where("o_orderkey % 50 = 0")
+    """Files, indexes and variable names of a task for each order, of all models and variables in turn."""
+    o = tables.read(spark, sf, "orders")
     cycle = F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), (c("o_orderkey") % 4 * 6).cast("int"))
-    pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.lit(v).alias("variable")) for m in models.FILES for v in models.NAMES])).alias("t")
+    every = [(m, v) for m in models.FILES for v in models.NAMES]
+    pairs = F.get(F.array(*[F.struct(F.lit(m).alias("model"), F.lit(v).alias("variable")) for m, v in every]), (c("o_orderkey") % len(every)).cast("int")).alias("t")
     t = o.select("o_orderkey", cycle.alias("cycle"), (c("o_orderkey") % 40 * 3).cast("int").alias("step"), (c("o_orderkey") % 31).cast("int").alias("member"), pairs).select("*", "t.*")
     return models.named(t).select("o_orderkey", "model", "variable", "member", "path", "index_path", "index_name")
 

@@ -104,6 +104,32 @@ def A13_A20_fetch_tasks(spark: SparkSession, sf: str) -> DataFrame:
     return t.groupBy("r_regionkey", "model", "cycle", "variable").agg(F.count("*").alias("tasks"), F.min("step").alias("first"), F.max("step").alias("last"), F.count_distinct("step").alias("steps"), F.count_if("zero").alias("zeros"))
 
 
+@query("""with now as (select o_orderkey, o_orderdate + to_minutes(cast(o_orderkey * 37 % 1440 as integer)) - to_minutes(210) as t from orders), n as (select o_orderkey, date_trunc('day', t) + to_hours(cast(hour(t) // 6 * 6 as integer)) as newest from now),
+listing as (select distinct o_orderdate + to_hours(cast(o_custkey % 4 * 6 as integer)) as cycle from orders where o_orderkey % 5 > 0), k as (select o_orderkey, newest, newest - to_hours(cast(6 * x as integer)) as cycle from n, range(4) r(x))
+select o_orderkey, coalesce(max(listing.cycle), any_value(newest)) as cycle, max(listing.cycle) is not null as found from k left join listing using (cycle) group by o_orderkey""")
+def A14_uploaded_cycles(spark: SparkSession, sf: str) -> DataFrame:
+    """For a time of each order the newest cycle whose last step is in a listing with gaps, at most three cycles back."""
+    o = tables.read(spark, sf, "orders")
+    listing = o.select((c("o_orderdate") + F.make_dt_interval(F.lit(0), (c("o_custkey") % 4 * 6).cast("int"))).alias("cycle"), F.when(c("o_orderkey") % 5 > 0, 240).otherwise(237).alias("step"))
+    now = o.select("o_orderkey", (c("o_orderdate") + F.make_dt_interval(F.lit(0), F.lit(0), (c("o_orderkey") * 37 % 1440).cast("int"))).alias("now"))
+    return models.uploaded_cycles(now, "now", listing).select("o_orderkey", "cycle", "found")
+
+
+@query(f"""with {d.ENS}, steps as (select unnest(range(1, 8)) as step), q as (select o_orderkey, o_custkey % 2500 as cell, cast(o_orderkey % 40 as integer) as member, o_orderkey % 3 > 0 as stored from orders),
+m as (select cell, step, member, round(avg(u) * 1e6) / 1e6 as value from ens where member < 31 group by all), a as (select cell, step, round(avg(u) * 1e6) / 1e6 as value from ens group by all), have as (select distinct cell, member from m), known as (select p_partkey as cell from part),
+e as (select q.*, case when cell not in (select cell from known) then 'beyond the grid' when not stored and member <> 0 then 'members are not stored' end as error, case when stored then (cell, member) in (select (cell, member) from have) else false end as own, member = 0 as first from q),
+v as (select o_orderkey, list(case when own then coalesce(m.value, 'nan'::double) when first then coalesce(a.value, 'nan'::double) else 'nan'::double end order by steps.step) as values from e cross join steps left join m on e.cell = m.cell and e.member = m.member and steps.step = m.step left join a on e.cell = a.cell and steps.step = a.step group by o_orderkey)
+select o_orderkey, e.cell, e.member, e.stored, error, case when error is null then v.values end as values from e join v using (o_orderkey)""")
+def A25_member_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """Series of single members as requests ask for them: given, replaced by the mean, empty, or refused."""
+    o = tables.read(spark, sf, "orders")
+    q = o.select("o_orderkey", (c("o_custkey") % 2500).alias("cell"), (c("o_orderkey") % 40).cast("int").alias("member"), (c("o_orderkey") % 3 > 0).alias("stored"))
+    ens = tables.ens(spark, sf)
+    members = ens.groupBy("cell", "step", "member").agg(r6(F.avg("u")).alias("value"))
+    means = ens.groupBy("cell", "step").agg(r6(F.avg("u")).alias("value"))
+    return grids.member_requests(q, members, means, list(range(1, 8)), tables.read(spark, sf, "part").select(c("p_partkey").alias("cell")))
+
+
 _CELLS = f"{d.ENS}, cl as (select cell, step, avg(u) as value from ens group by cell, step)"
 
 
@@ -402,13 +428,12 @@ def E13_recorded_steps(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("select case when event_id % 3 = 0 then 'a' when event_id % 3 = 1 then 'b' else 'c' end as model, cast(count(*) as integer) as n from events group by 1")
 def J01_J08_polled_progress(spark: SparkSession, sf: str) -> DataFrame:
-    """Deliveries of three models polled one after the other: the rows of each, as the query's progress tells them."""
-    e = tables.read(spark, sf, "events")
-    parts = [e.where(c("event_id") % 3 == k).coalesce(1) for k in range(3)]
-    q = ingest.polled(ingest.stream_of(spark, ingest.landing(spark, parts), "*.parquet"), lambda batch, _: batch.write.format("noop").mode("overwrite").save())
-    q.awaitTermination()
-    rows = [n for _, n in ingest.progress(q) if n]
-    return spark.createDataFrame(list(zip("abc", rows, strict=True)), "model string, n int")
+    """Deliveries of three models, polled one after the other: the rows of each, from the table of progress that the poll keeps."""
+    model = F.element_at(F.array(*map(F.lit, "abc")), (c("event_id") % 3 + 1).cast("int"))
+    e = tables.read(spark, sf, "events").withColumn("model", model)
+    folder = ingest.landing(spark, [e.where(c("model") == m).coalesce(1) for m in "abc"])
+    ingest.polled(ingest.stream_of(spark, folder, "*.parquet"), ingest.tracked(f"{folder}-progress", "model")).awaitTermination()
+    return spark.read.parquet(f"{folder}-progress").groupBy("model").agg(F.sum("rows").cast("int").alias("n"))
 
 
 @query(f"""with {d.GRID} select i, j, list(round((value + 0.5e0 * s) * 1e6) / 1e6 order by s) as series from grid, unnest([0, 3, 6]) t(s) group by i, j""")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 VARIABLES = ("wind_u_10m", "wind_v_10m", "wind_gust", "pressure_msl", "temp_2m", "precip_accum")
@@ -31,6 +31,34 @@ def latest_cycles(now: DataFrame, at: str) -> DataFrame:
     return now.join(F.broadcast(models(now.sparkSession))).withColumn("cycle", floor)  # six rows
 
 
+def uploaded_cycles(now: DataFrame, at: str, listing: DataFrame, last_step: int = 240, every: int = 6, lag_minutes: int = 210, tries: int = 4) -> DataFrame:
+    """``now`` with ``cycle``, the newest of the last ``tries`` whose last step is in the ``listing`` (cycle, step), and ``found``; where none is, the one that should be out.
+
+    Each row has ``tries`` candidates, which meet the listing by cycle: one
+    equi-join, whatever the listing holds.
+    """
+    there = listing.where(F.col("step") == last_step).select(F.col("cycle").cast("timestamp_ntz").alias("_try")).distinct()
+    out = F.col(at).cast("timestamp_ntz") - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(lag_minutes))
+    newest = F.date_trunc("day", out).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), (F.floor(F.hour(out) / every) * every).cast("int"))
+    q = now.withColumn("_row", F.monotonically_increasing_id()).withColumn("_newest", newest)
+    each = q.select("_row", "_newest", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("_k")).withColumn("_try", F.col("_newest") - F.make_dt_interval(F.lit(0), F.col("_k") * every))
+    best = each.join(there, "_try").groupBy("_row").agg(F.max("_try").alias("_best"))
+    q = q.join(best, "_row", "left")
+    return q.withColumns({"cycle": F.coalesce("_best", "_newest"), "found": F.col("_best").isNotNull()}).drop("_row", "_newest", "_best")
+
+
+#: Fixed values of the public code tables: (discipline 0's category, number) of the variables.
+CODES = {(2, 2): "wind_u_10m", (2, 3): "wind_v_10m", (2, 22): "wind_gust_10m", (3, 1): "mslp", (3, 0): "mslp", (0, 0): "temp_2m", (1, 8): "precip_accum"}
+
+
+def variable(category: Column, number: Column) -> Column:
+    """The variable of a message by its category and number; null for others."""
+    out = F.lit(None).cast("string")
+    for (a, b), name in CODES.items():
+        out = F.when((category == a) & (number == b), F.lit(name)).otherwise(out)
+    return out
+
+
 def tasks(cycles: DataFrame, variables: tuple[str, ...] = VARIABLES) -> DataFrame:
     """A row for each step, variable and member of (model, cycle, steps, members, ...).
 

@@ -106,6 +106,15 @@ def newer_cycles(stream: DataFrame, done: str, write: Callable[[DataFrame], None
     return each
 
 
+def tracked(root: str, by: str) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that keeps a table of progress at ``root``: how many rows of each ``by`` a batch had. A batch that comes again replaces what it wrote."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        batch.groupBy(by).agg(F.count("*").alias("rows"), F.current_timestamp().alias("at")).write.mode("overwrite").parquet(f"{root}/batch={number}")
+
+    return each
+
+
 def polled(stream: DataFrame, each: Callable[[DataFrame, int], None], every: str | None = None) -> StreamingQuery:
     """Starts a poll: at once and then ``every`` (such as "10 minutes") a batch of what is new; without it, all that is there and no more."""
     base = f"{shared_folder(stream.sparkSession)}/poll-{uuid.uuid4().hex}"
