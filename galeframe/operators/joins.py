@@ -93,6 +93,22 @@ def nearest(left: DataFrame, right: DataFrame, keys: list[str], at: str, right_a
     return both.where(F.col("_left").isNotNull()).withColumn("_n", F.least(far("_before"), far("_after"))).select("_left.*", "_n.r.*")
 
 
+def within_tolerance(left: DataFrame, right: DataFrame, keys: list[str], name: str, axes: list[str], within: float) -> DataFrame:
+    """(keys, name): the least ``name`` of ``right`` whose values on all ``axes`` are nearer than ``within`` to a left row's, or null.
+
+    Rows meet by cell of the first two axes, of the size of ``within``; each
+    right row is listed under its own cell and the eight about it.
+    """
+    cell = lambda c: F.floor(F.col(c) / within).cast("long")
+    near = lambda c: F.explode(F.sequence(cell(c) - 1, cell(c) + 1))
+    r = right.select(name, *[F.col(a).alias(f"_r_{a}") for a in axes], *[F.col(a) for a in axes[:2]])
+    r = r.withColumn("_i", near(axes[0])).withColumn("_j", near(axes[1])).drop(*axes[:2])
+    met = left.withColumns({"_i": cell(axes[0]), "_j": cell(axes[1])}).join(r, ["_i", "_j"])
+    for a in axes:
+        met = met.where(F.abs(F.col(a) - F.col(f"_r_{a}")) < within)
+    return left.select(*keys).join(met.groupBy(*keys).agg(F.min(name).alias(name)), keys, "left")
+
+
 #: Cells begin off round numbers, so that vertices and points don't lie on their borders.
 CELL_SHIFT = 0.0137004137
 

@@ -59,3 +59,18 @@ def fetch_steps(box: DataFrame, most: int = MOST_POINTS) -> DataFrame:
     s = F.aggregate(F.sequence(F.lit(1), F.lit(60)), F.struct(F.col("lat_step").alias("a"), F.col("lon_step").alias("b")), wider)
     b = b.withColumn("_s", s).withColumns({"lat_step": F.col("_s.a"), "lon_step": F.col("_s.b")}).drop("_s")
     return b.withColumns({"n_lat": n(lat_span, F.col("lat_step")), "n_lon": n(lon_span, F.col("lon_step"))})
+
+
+def touched(boxes: DataFrame, key: str, chunks: DataFrame) -> DataFrame:
+    """(key, poly_id), each once: polygons that a box (key, box) touches, by one-degree cell.
+
+    ``chunks``: (poly_id, chunk, box), the boxes of runs of edges. A polygon
+    counts where a chunk of it is in a cell of the box and its own box meets it.
+    """
+    whole = chunks.groupBy("poly_id").agg(*[(F.min(c) if c.startswith("min") else F.max(c)).alias(f"p_{c}") for c in BOX])
+    span = lambda a, b: F.explode(F.sequence(F.floor(F.col(a)).cast("int"), F.floor(F.col(b)).cast("int")))
+    cells = lambda df: df.withColumn("_i", span("min_lat", "max_lat")).withColumn("_j", span("min_lon", "max_lon"))
+    listed = cells(chunks).select("_i", "_j", "poly_id").distinct()
+    met = cells(boxes.select(key, *BOX)).join(listed, ["_i", "_j"]).select(key, *BOX, "poly_id").distinct().join(whole, "poly_id")
+    meets = (F.col("p_max_lat") >= F.col("min_lat")) & (F.col("p_min_lat") <= F.col("max_lat")) & (F.col("p_max_lon") >= F.col("min_lon")) & (F.col("p_min_lon") <= F.col("max_lon"))
+    return met.where(meets).select(key, "poly_id")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from galeframe.plans import display, forecast, physics, relational, scalar, search, services, sources
+from galeframe.plans import display, forecast, physics, relational, rules, scalar, search, services, sources
 
-MODULES = (scalar, relational, search, physics, sources, display, services, forecast)
+MODULES = (scalar, relational, search, physics, sources, display, services, forecast, rules)
 
 
 def queries() -> dict:
