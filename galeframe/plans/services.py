@@ -204,16 +204,15 @@ def H68_H69_nested_fields(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def I20_route_by_model(spark: SparkSession, sf: str) -> DataFrame:
-    """Every region's passage by three models' winds, all searched together: the outcome of each model and the ensemble that goes with it."""
-    share = {"gfs_0p25": 1.0, "ifs_0p25": 1.08, "icon_global": 0.94}
-    r = passages(spark, sf).where("dep_h < 30").withColumn("m", F.explode(F.array(*[F.struct(F.lit(k).alias("model"), F.lit(v).alias("share"), F.lit(n).alias("n")) for n, (k, v) in enumerate(share.items())])))
-    r = r.select((c("route_id") * 8 + c("m.n")).alias("route_id"), "start_lat", "start_lon", "dest_lat", "dest_lon", "dep_h", "m.model", "m.share")
-
-    def blown(lat, lon, hour):
-        tws, twd = synthetic(lat, lon, hour)
-        return tws * c("share"), twd
-
-    out = search.outcomes(search.route_search(r, blown, search.Config(step_hours=6.0, max_nodes=40, arrival_nm=30.0))).join(r.select("route_id", "model"), "route_id")
+    """Every passage by three models' winds, all searched together: two stored forecasts and the synthetic field; the outcome of each model and the ensemble that goes with it."""
+    from galeframe.operators.weather import Chosen, Field
+    from galeframe.plans import forecast
+
+    cells = forecast.stored_cells(spark, sf)
+    winds = Chosen({"gfs_0p25": forecast._stored(cells, forecast.STORED), "ifs_0p25": forecast._stored(cells.withColumns({"u": c("u") * 1.08, "v": c("v") * 0.9}), forecast.STORED), "icon_global": Field(synthetic)}, "model")
+    names = F.posexplode(F.array(*map(F.lit, winds.providers))).alias("n", "model")
+    r = passages(spark, sf).select("*", names).withColumn("route_id", c("route_id") * 8 + c("n")).drop("n", "batch")
+    out = search.outcomes(search.route_search(r, winds, search.Config(step_hours=6.0, max_nodes=40, arrival_nm=30.0))).join(r.select("route_id", "model"), "route_id")
     return out.select(F.floor(c("route_id") / 8).alias("passage"), "model", passage.ensemble_of(c("model")).alias("e"), "reached", r6(c("duration_hours")).alias("duration_hours"), r6(c("distance_nm")).alias("distance_nm")).select("*", "e.*").drop("e")
 
 

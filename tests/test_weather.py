@@ -149,6 +149,22 @@ def test_windows_fall_back_to_the_synthetic_field(spark, sf):
     assert ranked and all(x["provider"] in ("stored", "synthetic") for x in ranked)
 
 
+def test_models_are_sailed_apart(spark, sf):
+    """A model's passage alone, in plain Python on the same cells, is that of the query."""
+    from galeframe.plans import services
+
+    got = {(r["passage"], r["model"]): r for r in services.I20_route_by_model(spark, sf).collect()}
+    assert len(got) == 75
+    rows = [(r["i"], r["j"], r["hour"], r["u"], r["v"]) for r in forecast.stored_cells(spark, sf).collect()]
+    lattice = Lattice.of(spark.createDataFrame(rows, CELLS), *forecast.STORED)
+    cells, cfg = cells_of(rows), search.Config(step_hours=6.0, max_nodes=40, arrival_nm=30.0)
+    p = next(r for r in plans.passages(spark, sf).collect() if r["route_id"] == 1)
+    best, reached = plain((p["start_lat"], p["start_lon"]), (p["dest_lat"], p["dest_lon"]), None, None, cfg, lambda at, hour: look(cells, lattice, *at, p["dep_h"] + hour))
+    r = got[1, "gfs_0p25"]
+    assert r["reached"] == reached and r["duration_hours"] == best["step"] * 6.0 and math.isclose(r["distance_nm"], best["nm"], abs_tol=1e-5)
+    assert r["ensemble"] == "gefs_0p50" and len({got[1, m]["distance_nm"] for m in ("gfs_0p25", "ifs_0p25", "icon_global")}) == 3
+
+
 def test_plans_of_the_polar_stay_short(spark, sf):
     plan = lambda df: len(df._jdf.queryExecution().optimizedPlan().toString())
     assert plan(plans.C12_B06_heading_fan(spark, sf)) < 60_000
