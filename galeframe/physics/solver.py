@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from galeframe.operators.common import durable
 from galeframe.physics.boats import FIELDS
 from galeframe.physics.forces import Arrays, G, aero, hydro
 
@@ -115,7 +116,8 @@ def speed_table(points: DataFrame, keys: list[str]) -> DataFrame:
     a lattice of flatness and reef, and the best score stands. Off the wind
     the spinnaker is tried as well. Points in the no-go zone have speed 0.
     """
-    points = points.withColumn("_point", F.monotonically_increasing_id())
+    # written once: numbers given after a shuffle may differ where a plan is computed twice
+    points = durable(points.withColumn("_point", F.monotonically_increasing_id()))
     sets = F.explode(F.when(F.col("twa") >= SPINNAKER_FROM, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False))))
     wide = points.where(F.col("twa") >= NO_GO).withColumns({"down": sets, "flat": F.lit(1.0), "reef": F.lit(1.0)})
     full = solved(wide)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from galeframe import tables
 from galeframe.functions.units import round_to
 from galeframe.operators import polars
-from galeframe.physics import boats, forces, solver
+from galeframe.operators.common import shared_folder
+from galeframe.physics import boats, cache, forces, solver
 from galeframe.plans import duck as d
 from galeframe.plans.scalar import r6
 
@@ -275,3 +278,20 @@ def I38_given_matrix(spark: SparkSession, sf: str) -> DataFrame:
     t = polars.from_matrix(s.select(c("s_suppkey").alias("id"), num(6.0, 10.0).alias("tws_list"), num(40.0, 90.0, 140.0).alias("twa_list"), speed.alias("speeds")), ["id"])
     best = polars.vmg_targets(t, keys=["id"]).select("id", "tws", "up_twa", "down_twa")
     return t.groupBy("id", "tws").agg(F.max("speed").alias("fastest")).join(best, ["id", "tws"])
+
+
+def asked_points(spark: SparkSession, sf: str) -> DataFrame:
+    """A point for each supplier: a preset, a wind speed and an angle, with the version of the model."""
+    k = c("s_suppkey")
+    at = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (k % n + 1).cast("int"))
+    s = tables.read(spark, sf, "supplier").select("s_suppkey", "s_nationkey", at(boats.PRESETS, 4).alias("boat"), at(TWS, 8).alias("tws"), at(TWA, 18).alias("twa"))
+    return s.join(boats.presets(spark).drop("name"), "boat").join(solver_version(boats.presets(spark)).withColumnRenamed("version", "model"), "boat")
+
+
+@query()
+def I38_cached_presets(spark: SparkSession, sf: str) -> DataFrame:
+    """Points of preset polars, asked for by the suppliers of some nations and then by all: the second time only those that nobody asked for are solved."""
+    store = cache.SolvedPoints(spark, f"{shared_folder(spark)}/polars-{uuid.uuid4().hex}")
+    p = asked_points(spark, sf)
+    store.solve(p.where("s_nationkey < 12"))
+    return store.solve(p).select("s_suppkey", "boat", "tws", "twa", "v_boat_kts", "heel_deg", "sail_set_name", "converged", "cached")

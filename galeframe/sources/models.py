@@ -34,17 +34,17 @@ def latest_cycles(now: DataFrame, at: str) -> DataFrame:
 def uploaded_cycles(now: DataFrame, at: str, listing: DataFrame, last_step: int = 240, every: int = 6, lag_minutes: int = 210, tries: int = 4) -> DataFrame:
     """``now`` with ``cycle``, the newest of the last ``tries`` whose last step is in the ``listing`` (cycle, step), and ``found``; where none is, the one that should be out.
 
-    Each row has ``tries`` candidates, which meet the listing by cycle: one
-    equi-join, whatever the listing holds.
+    Each newest cycle, one in ``every`` hours, has ``tries`` candidates, which
+    meet the listing by cycle in one equi-join, and rows join it by cycle.
     """
     there = listing.where(F.col("step") == last_step).select(F.col("cycle").cast("timestamp_ntz").alias("_try")).distinct()
     out = F.col(at).cast("timestamp_ntz") - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(lag_minutes))
     newest = F.date_trunc("day", out).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), (F.floor(F.hour(out) / every) * every).cast("int"))
-    q = now.withColumn("_row", F.monotonically_increasing_id()).withColumn("_newest", newest)
-    each = q.select("_row", "_newest", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("_k")).withColumn("_try", F.col("_newest") - F.make_dt_interval(F.lit(0), F.col("_k") * every))
-    best = each.join(there, "_try").groupBy("_row").agg(F.max("_try").alias("_best"))
-    q = q.join(best, "_row", "left")
-    return q.withColumns({"cycle": F.coalesce("_best", "_newest"), "found": F.col("_best").isNotNull()}).drop("_row", "_newest", "_best")
+    q = now.withColumn("_newest", newest)
+    each = q.select("_newest").distinct().withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(tries - 1)))).withColumn("_try", F.col("_newest") - F.make_dt_interval(F.lit(0), F.col("_k") * every))
+    best = each.join(there, "_try").groupBy("_newest").agg(F.max("_try").alias("_best"))
+    q = q.join(best, "_newest", "left")
+    return q.withColumns({"cycle": F.coalesce("_best", "_newest"), "found": F.col("_best").isNotNull()}).drop("_newest", "_best")
 
 
 #: Fixed values of the public code tables: (discipline 0's category, number) of the variables.

@@ -2,10 +2,12 @@
 
 import hashlib
 import math
+import uuid
 
 import numpy as np
 from galeframe.operators import polars
-from galeframe.physics import boats, forces, solver
+from galeframe.operators.common import shared_folder
+from galeframe.physics import boats, cache, forces, solver
 from galeframe.plans import physics
 from pyspark.sql import functions as F
 
@@ -93,3 +95,20 @@ def test_json_has_targets_by_wind_speed(spark, sf):
 
     row = json.loads(physics.A45_polar_json(spark, sf).first()["json"])
     assert row["tws_list"] == sorted(row["tws_list"]) and set(row["targets"]) == {str(x) for x in row["tws_list"]}
+
+
+def test_points_are_solved_once_for_each_model(spark, sf):
+    """The cached answers are those of the solver; what is solved the second time is what nobody had asked for."""
+    p = physics.asked_points(spark, sf)
+    got = {r["s_suppkey"]: r for r in physics.I38_cached_presets(spark, sf).collect()}
+    asked = {(r["boat"], r["tws"], r["twa"]) for r in p.where("s_nationkey < 12").collect()}
+    want = {(r["boat"], r["tws"], r["twa"]): r["v_boat_kts"] for r in solver.speed_table(p.dropDuplicates(["boat", "tws", "twa"]), ["boat"]).collect()}
+    rows = p.select("s_suppkey", "boat", "tws", "twa").collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        k = (r["boat"], r["tws"], r["twa"])
+        assert got[r["s_suppkey"]]["cached"] == (k in asked) and math.isclose(got[r["s_suppkey"]]["v_boat_kts"], want[k], abs_tol=1e-6)
+    store = cache.SolvedPoints(spark, f"{shared_folder(spark)}/solved-{uuid.uuid4().hex}")
+    one = p.limit(1)
+    first, again, other = (store.solve(x).collect() for x in (one, one.unionByName(one), one.withColumn("model", F.lit("next"))))
+    assert [r["cached"] for r in first + again + other] == [False, True, True, False] and store.store.read().count() == 2
