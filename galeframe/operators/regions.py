@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from galeframe.functions.units import let
+from galeframe.operators.common import durable
 
 #: Degrees a request may stick out, hours that a region stays fresh, points of a fetched grid: fixed values.
 SLACK_DEG, FRESH_HOURS, MOST_POINTS = 0.5, 6.0, 120
+#: Ages of regions, microseconds, from one of which to the next requests look for one at a time.
+AGES = tuple(round(h * 3.6e9) for h in (0.0, 0.1, 0.5, 2.0, FRESH_HOURS))
 #: Sizes of cells, degrees, from coarse to fine.
 SIZES = tuple(360.0 / 2**k for k in range(10))
 BOX = ("min_lat", "max_lat", "min_lon", "max_lon")
@@ -33,20 +36,29 @@ def cached(requests: DataFrame, regions: DataFrame, key: str) -> DataFrame:
     ``regions``: (region_id, box, fetched_at). A region holds a box that sticks
     out by half a degree at most, from when it was fetched until six hours
     after. A region is listed under the cells of its size that it touches with
-    its slack, a request under the cell of its middle at every size; so each
-    pair of them that can fit meets once, in an equi-join.
+    its slack, a request under the cell of its middle at every size that is as
+    long as itself; so each pair of them that can fit meets once, in an
+    equi-join. Ages are taken from young to old: rows meet by bucket of time
+    too, and only requests that no younger region holds go on to older ones.
     """
-    wide = regions.select("region_id", "fetched_at", *[(F.col(c) - SLACK_DEG if c.startswith("min") else F.col(c) + SLACK_DEG).alias(c) for c in BOX])
-    held = cover(wide).select("level", "i", "j", "region_id", "fetched_at", *[F.col(c).alias(f"r_{c}") for c in BOX])
-    levels = F.posexplode(F.array(*map(F.lit, SIZES))).alias("level", "_size")
-    q = requests.select(key, "at", *BOX, levels)
+    micros = lambda t: F.unix_micros(F.col(t).cast("timestamp"))
+    wide = regions.select("region_id", micros("fetched_at").alias("_t"), *[(F.col(c) - SLACK_DEG if c.startswith("min") else F.col(c) + SLACK_DEG).alias(c) for c in BOX])
+    held = cover(wide).select("level", "i", "j", "region_id", "_t", *[F.col(c).alias(f"r_{c}") for c in BOX])
+    side = F.greatest(F.col("max_lat") - F.col("min_lat"), F.col("max_lon") - F.col("min_lon"))
     middle = lambda a, b: _cell((F.col(a) + F.col(b)) / 2, F.col("_size"))
-    q = q.withColumns({"i": middle("min_lat", "max_lat"), "j": middle("min_lon", "max_lon")})
     inside = (F.col("min_lat") >= F.col("r_min_lat")) & (F.col("max_lat") <= F.col("r_max_lat")) & (F.col("min_lon") >= F.col("r_min_lon")) & (F.col("max_lon") <= F.col("r_max_lon"))
-    age = (F.unix_micros(F.col("at").cast("timestamp")) - F.unix_micros(F.col("fetched_at").cast("timestamp"))) / 3.6e9
-    met = q.join(held, ["level", "i", "j"]).where(inside & (age >= 0) & (age < FRESH_HOURS))
-    best = met.groupBy(key).agg(F.min_by("region_id", F.struct((-F.unix_micros(F.col("fetched_at").cast("timestamp"))).alias("t"), "region_id")).alias("region"))
-    return requests.join(best, key, "left")
+    asked, found = requests.select(key, micros("at").alias("_at"), *BOX), None
+    for youngest, oldest in zip(AGES[:-1], AGES[1:], strict=True):
+        bucket = lambda t, width=oldest - youngest: F.floor(t / width)
+        seen = F.explode(F.sequence(bucket(F.col("_t") + youngest), bucket(F.col("_t") + oldest)))
+        q = asked.select("*", F.posexplode(F.array(*map(F.lit, SIZES))).alias("level", "_size")).where((F.col("level") == 0) | (F.col("_size") >= side))
+        q = q.withColumns({"i": middle("min_lat", "max_lat"), "j": middle("min_lon", "max_lon"), "_b": bucket(F.col("_at"))})
+        age = F.col("_at") - F.col("_t")
+        met = q.join(held.withColumn("_b", seen), ["level", "i", "j", "_b"]).where(inside & (age >= youngest) & (age < oldest))
+        best = durable(met.groupBy(key).agg(F.min_by("region_id", F.struct((-F.col("_t")).alias("t"), "region_id")).alias("region")))
+        found = best if found is None else found.unionByName(best)
+        asked = asked.join(best, key, "left_anti")
+    return requests.join(found, key, "left")
 
 
 def fetch_steps(box: DataFrame, most: int = MOST_POINTS) -> DataFrame:

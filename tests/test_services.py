@@ -40,6 +40,22 @@ def test_requests_meet_the_newest_region_that_holds_them(spark):
     assert regions.cover(r).groupBy("region_id").count().agg(F.max("count")).first()[0] <= 9
 
 
+def test_requests_go_on_to_older_regions_only_where_no_younger_one_holds_them(spark, monkeypatch):
+    left = []
+    kept = lambda df: left.append(df := df.sparkSession.createDataFrame(df.collect(), df.schema)) or df
+    monkeypatch.setattr(regions, "durable", kept)
+    ages = [e + d for e in regions.AGES for d in (-1, 0, 1) if e + d >= 0] + [0, 0]
+    at = T0 + dt.timedelta(hours=7)
+    held = [(n, 0.0, 10.0, 20.0 * n, 20.0 * n + 10, at - dt.timedelta(microseconds=a)) for n, a in enumerate(ages)]
+    held += [(100 + n, *h[1:5], at - dt.timedelta(hours=5, minutes=59)) for n, h in enumerate(held)]  # an older one for each
+    asked = [(n, h[1] + 1, h[2] - 1, h[3] + 1, h[4] - 1, at) for n, h in enumerate(held[: len(ages)])]
+    r, q = spark.createDataFrame(held, f"region_id int, {BOX}, fetched_at timestamp_ntz"), spark.createDataFrame(asked, f"id int, {BOX}, at timestamp_ntz")
+    got = {x["id"]: x["region"] for x in regions.cached(q, r, "id").collect()}
+    assert got == {n: n if a < min(regions.AGES[-1], (5 * 60 + 59) * 60_000_000) else n + 100 for n, a in enumerate(ages)}
+    by_round = [sum(a < b for a in ages if a >= c) for c, b in zip(regions.AGES[:-1], regions.AGES[1:], strict=True)]
+    assert [x.count() for x in left[:3]] == by_round[:3] and len(left) == 4
+
+
 def test_steps_widen_until_few_points_are_left(spark):
     rng = random.Random(4)
     rows = [(k, 0.0, rng.uniform(0, 60), 0.0, rng.uniform(0, 120), rng.choice([0.0, 1.5, -1.0, 0.25]), rng.choice([0.0, 1.5])) for k in range(200)]
