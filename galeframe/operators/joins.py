@@ -144,11 +144,13 @@ def points_in_polygons(points: DataFrame, edges: DataFrame, keys: list[str], cel
     cell's border and along it to the north-east corner; each edge on the way
     changes sides, and whether the corner is inside is known. So a point is
     compared with the edges of its own cell only, and one in a cell without
-    edges with none.
+    edges with none. A table whose rows an explosion made is larger than the
+    planner's estimate from its file, and would be broadcast by it; so all of
+    them meet in sorted order.
     """
     listed, held = polygon_index(edges, cell)
     x, y = F.col(lon), F.col(lat)
-    p = points.withColumns({"_i": _cell(y, cell), "_j": _cell(x, cell)})
+    p = points.withColumns({"_i": _cell(y, cell), "_j": _cell(x, cell)}).hint("merge")
     right, top = (F.col("_j") + 1) * F.lit(cell) + CELL_SHIFT, (F.col("_i") + 1) * F.lit(cell) + CELL_SHIFT
     met = (F.col("x2") - F.col("x1")) * (y - F.col("y1")) / F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0)) + F.col("x1")
     east = ((F.col("y1") > y) != (F.col("y2") > y)) & (x < met) & (met <= right)

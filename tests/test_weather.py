@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from galeframe.functions import sailing
 from galeframe.operators import joins, search
 from galeframe.operators.weather import Chosen, Field, Lattice, StoredWinds
-from galeframe.plans import forecast
+from galeframe.plans import forecast, registry, relational
 from galeframe.plans import search as plans
 from tests.test_search import plain, routes
 
@@ -170,3 +170,40 @@ def test_plans_of_the_polar_stay_short(spark, sf):
     assert plan(plans.C12_B06_heading_fan(spark, sf)) < 60_000
     x = spark.range(3).select(sailing.polar_speed(F.col("id") * 3.0, F.col("id") * 40.0).alias("s")).select(sailing.polar_speed(F.col("s"), F.col("s") + 30.0))
     assert plan(x) < 60_000
+
+
+def broadcasts(df):
+    """The broadcasts of a plan, as text; none of them may hold rows that grow."""
+    return [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "BroadcastExchange" in line]
+
+
+def test_no_points_are_broadcast_to_polygons(spark, sf):
+    """An exploded table is estimated from its file, and is far larger."""
+    assert registry.queries()["I18_G04_envelope"](spark, sf)._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin") >= 3
+    assert broadcasts(registry.queries()["I18_G04_envelope"](spark, sf)) == []
+
+
+@pytest.mark.parametrize("of", ["place", "time"])
+def test_no_more_of_a_grid_is_joined_than_its_lattice_has(spark, of):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    spec = {**relational.SPEC, "nlats": 4, "nlons": 5}
+    grid = spark.range(4000).selectExpr("cast(id div 50 - 2 as int) as i", "cast(id % 50 as int) as j", "0 as step", "double(id) as x").withColumn("value", counted("x"))
+    points = spark.createDataFrame([(1, 9.75, -11.75, 0.0), (2, 9.0, -10.5, 0.0)], "id int, lat double, lon double, hour double")
+    if of == "place":
+        got = joins.interpolate(points, grid, spec, ["id"])
+    else:
+        got = joins.interpolate_in_time(points, grid, spec, ["id"], "hour", 3.0, 3.0, ["value"])
+    assert sorted((r["id"], r["value"]) for r in got.select("id", "value").collect()) == [(1, 125.5), (2, 203.0)]
+    assert 0 < seen.value <= 20 * 2  # the plan may read the grid twice, not the rest of it
+
+
+@pytest.mark.parametrize("name", ["I01_point_forecast", "A51_store_dump", "H24_wind_in_time", "I21_wind_or_synthetic"])
+def test_broadcasts_of_stepped_grids_are_bounded_by_the_lattice(spark, sf, name):
+    plan = registry.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "<= 40" in plan and "<= 49" in plan
