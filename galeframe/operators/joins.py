@@ -18,6 +18,11 @@ def corner_weights(points: DataFrame, spec: dict, lat: str = "lat", lon: str = "
     return p.withColumn("_c", F.explode(corners)).select(*points.columns, "_c.i", "_c.j", "_c.w")
 
 
+def on_lattice(grid: DataFrame, spec: dict) -> DataFrame:
+    """The cells that the lattice has: no more of a grid is joined, or broadcast, however large it is."""
+    return grid.where(F.col("i").between(0, spec["nlats"] - 1) & F.col("j").between(0, spec["nlons"] - 1))
+
+
 def interpolate(points: DataFrame, grid: DataFrame, spec: dict, keys: list[str], value: str = "value", by: list[str] | None = None) -> DataFrame:
     """Bilinear values at points: the mean of the corners that have one, by weight; null where their weights don't reach 1e-6.
 
@@ -26,7 +31,7 @@ def interpolate(points: DataFrame, grid: DataFrame, spec: dict, keys: list[str],
     none for the grid where it is small enough to be broadcast by the planner.
     """
     by = by or []
-    hit = corner_weights(points, spec).join(grid.select("i", "j", *by, F.col(value).alias("_v")), ["i", "j"])
+    hit = corner_weights(points, spec).join(on_lattice(grid, spec).select("i", "j", *by, F.col(value).alias("_v")), ["i", "j"])
     some = ~F.isnan("_v") & F.col("_v").isNotNull()
     w = F.sum(F.when(some, F.col("w")))
     out = hit.groupBy(*keys, *by).agg(w.alias("_w"), F.sum(F.when(some, F.col("w") * F.col("_v"))).alias("_s"))
@@ -46,7 +51,7 @@ def interpolate_in_time(points: DataFrame, grid: DataFrame, spec: dict, keys: li
     part = (at - low) / every
     steps = F.explode(F.array(F.struct(low.alias("step"), (1 - part).alias("p")), F.struct((low + every).alias("step"), part.alias("p")))).alias("_t")
     p = corner_weights(points, spec).select(*keys, "i", "j", "w", steps).select(*keys, "i", "j", F.col("_t.step").cast("int").alias("step"), (F.col("w") * F.col("_t.p")).alias("w"))
-    hit = p.join(grid.select("i", "j", F.col("step").cast("int").alias("step"), *values), ["i", "j", "step"])
+    hit = p.join(on_lattice(grid, spec).select("i", "j", F.col("step").cast("int").alias("step"), *values), ["i", "j", "step"])
     good = lambda v: F.col(v).isNotNull() & ~F.isnan(v)
     sums = [x for v in values for x in (F.sum(F.when(good(v), F.col("w"))).alias(f"_w_{v}"), F.sum(F.when(good(v), F.col("w") * F.col(v))).alias(f"_s_{v}"))]
     some = hit.groupBy(*keys).agg(*sums).select(*keys, *[F.when(F.col(f"_w_{v}") >= 1e-6, F.col(f"_s_{v}") / F.col(f"_w_{v}")).alias(v) for v in values])

@@ -187,7 +187,7 @@ select event_id, i, j, count(*) as n, {d.r6("arg_min(u, step)")} as first, list(
 def A51_store_dump(spark: SparkSession, sf: str) -> DataFrame:
     """The series of the nearest lower cell of each point: its length, the first value there is, and the first five steps, gaps as NULL."""
     p = points(spark, sf).select("event_id", F.floor((F.lit(10.0) - c("lat")) / 0.5).cast("int").alias("i"), F.floor((c("lon") + 12.0) / 0.5).cast("int").alias("j"))
-    s = p.join(stepped(spark, sf).select("i", "j", "step", r6(c("u")).alias("u")), ["i", "j"]).groupBy("event_id", "i", "j").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("step", "u"))).alias("l"))
+    s = p.join(joins.on_lattice(stepped(spark, sf), SPEC).select("i", "j", "step", r6(c("u")).alias("u")), ["i", "j"]).groupBy("event_id", "i", "j").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("step", "u"))).alias("l"))
     first = F.transform(F.slice("l", 1, 5), lambda x: x["u"].cast("string"))
     return s.select("event_id", "i", "j", "n", F.get(F.filter("l", lambda x: x["u"].isNotNull()), F.lit(0))["u"].alias("first"), F.concat(F.lit("["), F.array_join(first, ", ", "NULL"), F.lit("]")).alias("head"))
 
