@@ -223,6 +223,6 @@ select event_id, ff.u is not null as stored, {d.r6("coalesce(ff.u, field.u)")} a
 def I21_wind_or_synthetic(spark: SparkSession, sf: str) -> DataFrame:
     """The stored wind where the region has one, else the synthetic field."""
     p = points(spark, sf).select("event_id", "lat", "lon", (c("event_id") % 24).cast("double").alias("hour"))
-    uv = joins.interpolate_in_time(p, stepped(spark, sf), SPEC, ["event_id"], "hour", 3.0, 24.0, ["u", "v"]).join(p, "event_id")
+    uv = joins.interpolate_in_time(p, stepped(spark, sf), SPEC, ["event_id", "lat", "lon", "hour"], "hour", 3.0, 24.0, ["u", "v"])
     su, sv = wind.synthetic_uv(c("lat"), c("lon"), c("hour"))
     return uv.select("event_id", c("u").isNotNull().alias("stored"), r6(F.coalesce("u", su)).alias("u"), r6(F.coalesce("v", sv)).alias("v"))
