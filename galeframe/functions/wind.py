@@ -22,9 +22,15 @@ def to_uv(s: Column, d: Column) -> tuple[Column, Column]:
     return -s * F.sin(F.radians(d)), -s * F.cos(F.radians(d))
 
 
+def coming_from(u: Column, v: Column) -> Column:
+    """Where a wind comes from; signs of zeros count, as IEEE's arc tangent has it (Spark's takes -0.0 for 0.0)."""
+    turned = (u == 0) & (v == 0) & (v.cast("string") == "0.0")
+    return norm360(F.when(turned, F.lit(180.0)).otherwise(F.degrees(F.atan2(-u, -v))))
+
+
 def condition(u: Column, v: Column) -> tuple[Column, Column]:
     """(true wind speed in knots, direction); no guard for calm."""
-    return F.hypot(u, v) / F.lit(KNOTS_TO_MS), norm360(F.degrees(F.atan2(-u, -v)))
+    return F.hypot(u, v) / F.lit(KNOTS_TO_MS), coming_from(u, v)
 
 
 def grid_coords(lat: Column, lon: Column, lat_start: float, lat_step: float, nlats: int, lon_start: float, lon_step: float, nlons: int, descending: bool = True) -> dict[str, Column]:

@@ -1,10 +1,12 @@
 """Cached regions, fetch steps, uploaded cycles, member requests, names of messages and progress against plain Python."""
 
 import datetime as dt
+import math
 import random
 
 from pyspark.sql import functions as F
 
+from galeframe.functions import text, wind
 from galeframe.operators import grids, regions
 from galeframe.plans import forecast
 from galeframe.sources import models
@@ -108,3 +110,17 @@ def test_progress_is_kept_once_for_each_batch(spark):
     each(batch.where("model = 'b'"), 1)
     got = sorted((r["batch"], r["model"], r["rows"]) for r in spark.read.parquet(root).collect())
     assert got == [(0, "a", 2), (0, "b", 1), (1, "b", 1)]
+
+
+def test_night_arrivals_show_no_sixtieth_minute(spark):
+    """Hours as sums of minutes and longitudes fall short of a whole one by rounding."""
+    rows = [(19, 28, -157.0), (9, 44, -41.0), (9, 40, -115.0), (23, 60 - 1, 0.0), (12, 30, 45.25), (0, 0, 0.0)]
+    at = [(T0 + dt.timedelta(hours=h, minutes=m), (h + m / 60 + lon / 15) % 24) for h, m, lon in rows]
+    got = [r[0].split("~")[1][:5] for r in spark.createDataFrame([*at, (T0, 24 - 1e-14), (T0, 9 - 1e-14)], "t timestamp_ntz, h double").select(text.night_warning(F.col("t"), F.col("h"))).collect()]
+    assert got == ["09:00", "07:00", "02:00", "23:59", "15:31", "00:00", "00:00", "09:00"]
+
+
+def test_calm_winds_come_from_where_the_signs_of_their_zeros_say(spark):
+    rows = [(0.0, 0.0), (0.0, -0.0), (-0.0, 0.0), (-0.0, -0.0), (3.0, 0.0), (0.0, 3.0), (0.0, -3.0)]
+    got = [r[0] for r in spark.createDataFrame(rows, "u double, v double").select(wind.condition(F.col("u"), F.col("v"))[1]).collect()]
+    assert got == [math.degrees(math.atan2(-u, -v)) % 360 for u, v in rows] == [180.0, 0.0, 180.0, 0.0, 270.0, 180.0, 0.0]
