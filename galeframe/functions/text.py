@@ -84,8 +84,9 @@ def calm_warning(hours: Column, mean: Column) -> Column:
 
 
 def night_warning(arrives: Column, local_hour: Column) -> Column:
-    minutes = F.floor(F.round((local_hour - F.floor(local_hour)) * 6000.0) / 100.0)
-    return F.format_string(NIGHT, F.date_format(arrives, "HH:mm"), F.floor(local_hour), minutes)
+    """An hour that is short of a whole minute by rounding alone has that minute; none is shown as :60."""
+    minutes = F.floor(F.round(local_hour * 6000.0) / 100.0).cast("int")
+    return F.format_string(NIGHT, F.date_format(arrives, "HH:mm"), F.floor(minutes / 60) % 24, minutes % 60)
 
 
 def peak_event(tws: Column, twd: Column) -> Column:
