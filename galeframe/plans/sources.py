@@ -414,8 +414,7 @@ def J10_event_windows(spark: SparkSession, sf: str) -> DataFrame:
     e = tables.read(spark, sf, "events").select("event_type", "event_id", c("ts").cast("timestamp").alias("t"), "value")
     late = F.expr(_LATE.replace("ts <", "cast(t as timestamp_ntz) <").replace("timestamp '", "timestamp_ntz '"))
     first = c("t") < F.lit("2024-01-20").cast("timestamp")
-    folder = ingest.landing(spark, [e.where(~late & first), e.where(~late & ~first), e.where(late)])
-    w = ingest.to_table(ingest.windows(ingest.stream_of(spark, folder, "*.parquet"), "event_type"))
+    w = ingest.in_turn(spark, [e.where(~late & first), e.where(~late & ~first), e.where(late)], lambda s: ingest.windows(s, "event_type"))
     return w.select("event_type", c("start").cast("timestamp_ntz").alias("start"), "n", round_to(c("total"), 4).alias("total"))
 
 

@@ -14,15 +14,16 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from galeframe.operators.common import shared_folder
 
 
-def stream_of(spark: SparkSession, folder: str, pattern: str, per_trigger: int = 1) -> DataFrame:
-    """Parquet files of a landing folder as a stream, with the schema of those that are there."""
+def stream_of(spark: SparkSession, folder: str, pattern: str, per_trigger: int | None = 1) -> DataFrame:
+    """Parquet files of a landing folder as a stream, with the schema of those that are there; without ``per_trigger`` a batch has all that are new."""
     schema = spark.read.option("pathGlobFilter", pattern).parquet(folder).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", per_trigger).parquet(folder)
+    s = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
+    return (s.option("maxFilesPerTrigger", per_trigger) if per_trigger else s).parquet(folder)
 
 
-def landing(spark: SparkSession, deliveries: list[DataFrame]) -> str:
-    """A landing folder that got one delivery after the other."""
-    folder = f"{shared_folder(spark)}/landing-{uuid.uuid4().hex}"
+def landing(spark: SparkSession, deliveries: list[DataFrame], folder: str | None = None) -> str:
+    """A landing folder that got one delivery after the other. A delivery has as many files as its tasks write."""
+    folder = folder or f"{shared_folder(spark)}/landing-{uuid.uuid4().hex}"
     for d in deliveries:
         d.write.mode("append").parquet(folder)
     return folder
@@ -70,15 +71,24 @@ def windows(events: DataFrame, key: str, length: str = "6 hours", delay: str = "
     return events.withWatermark("t", delay).groupBy(F.window("t", length), key).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(key, F.col("window.start").alias("start"), "n", "total")
 
 
-def to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that is there, exactly once, into files of the shared folder, and returns them as a table."""
+def to_table(stream: DataFrame, mode: str = "append", base: str | None = None) -> DataFrame:
+    """Runs a stream over all that is there, exactly once, into files of the shared folder, and returns them as a table. One of the same ``base`` goes on where it was."""
     spark = stream.sparkSession
-    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    base = base or f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     q = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{base}/state").option("path", f"{base}/out").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
+def in_turn(spark: SparkSession, deliveries: list[DataFrame], made: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The table of a stream that runs after each delivery: a delivery is one batch, however many files it has, so that its rows are late by those of earlier ones alone."""
+    folder, base = landing(spark, []), f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    for d in deliveries:
+        landing(spark, [d], folder)
+        out = to_table(made(stream_of(spark, folder, "*.parquet", None)), base=base)
+    return out
+
+
 def newer_cycles(stream: DataFrame, done: str, write: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function: of each batch only rows of cycles newer than any published of their model are written.
 
@@ -115,9 +125,9 @@ def tracked(root: str, by: str) -> Callable[[DataFrame, int], None]:
     return each
 
 
-def polled(stream: DataFrame, each: Callable[[DataFrame, int], None], every: str | None = None) -> StreamingQuery:
-    """Starts a poll: at once and then ``every`` (such as "10 minutes") a batch of what is new; without it, all that is there and no more."""
-    base = f"{shared_folder(stream.sparkSession)}/poll-{uuid.uuid4().hex}"
+def polled(stream: DataFrame, each: Callable[[DataFrame, int], None], every: str | None = None, base: str | None = None) -> StreamingQuery:
+    """Starts a poll: at once and then ``every`` (such as "10 minutes") a batch of what is new; without it, all that is there and no more. One of the same ``base`` goes on where it was."""
+    base = base or f"{shared_folder(stream.sparkSession)}/poll-{uuid.uuid4().hex}"
     trigger = {"processingTime": every} if every else {"availableNow": True}
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", base).trigger(**trigger).start()
 

@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from galeframe.operators.common import listed, put_once, read_text, shared_folder
+from galeframe.plans import registry
 from galeframe.streaming import cycles, ingest, steps
+from tests.compare import difference
 
 SCHEMA = "model string, cycle string, variable string, value double"
 
@@ -93,3 +95,25 @@ def test_state_of_steps_ends(spark):
     assert out == [("a", 2, 3.5, 3.0, 4.0), ("z", 2, 0.0, 0.0, 0.0)]
     assert max(rows_kept) >= 4 and rows_kept[-1] <= 2  # x alone: a value and its limit
     assert spark.conf.get(steps.STORE) != steps.ROCKS
+
+
+def test_rows_of_one_delivery_are_not_late_by_each_other(spark):
+    """A delivery of several files, the last hours in the first of them."""
+    hour = lambda h: f"2026-06-01 {h:02d}:30"
+    delivery = lambda hours: spark.createDataFrame([("a", 1.0, hour(h)) for h in hours], "k string, value double, t string").withColumn("t", F.to_timestamp("t")).repartitionByRange(4, F.desc("t"))
+    w = ingest.in_turn(spark, [delivery(range(23, -1, -1)), delivery([0, 1, 23])], lambda s: ingest.windows(s, "k"))
+    assert sorted((r["start"].hour, r["n"], r["total"]) for r in w.collect()) == [(0, 6, 6.0), (6, 6, 6.0), (12, 6, 6.0)]
+
+
+def test_streams_read_deliveries_of_many_files(spark, sf, monkeypatch):
+    """Nothing whole goes through one task on its way into a landing folder, and no row is lost for it."""
+    landed, whole = [], ingest.landing
+
+    def cut(spark, deliveries, folder=None):
+        landed.extend(d._jdf.queryExecution().optimizedPlan().toString().count("Repartition 1, false") for d in deliveries)
+        return whole(spark, [d.repartition(3) for d in deliveries], folder)
+
+    monkeypatch.setattr(ingest, "landing", cut)
+    for name in ("J10_event_windows", "J05_expiring_steps", "J02_J06_whole_cycles", "J01_J08_polled_progress"):
+        assert difference(registry.queries()[name](spark, sf), registry.oracle_sql()[name], sf) == "", name
+    assert len(landed) == 12 and not any(landed)
