@@ -364,19 +364,22 @@ def J03_J05_complete_steps(spark: SparkSession, sf: str) -> DataFrame:
 def J02_J06_whole_cycles(spark: SparkSession, sf: str) -> DataFrame:
     """Three deliveries of daily cycles. One variable of the second fails the first time: what a reader sees then is of the first alone; the retry publishes the second, and old cycles that come again in the third are left out."""
     e = tables.read(spark, sf, "events").select(c("event_type").alias("model"), F.date_format("ts", "yyyy-MM-dd").alias("cycle"), (c("event_id") % 3).cast("int").alias("variable"), "value")
-    cut = lambda low, high: e.where(c("cycle").between(low, high)).coalesce(1)
-    folder = ingest.landing(spark, [cut("2024-01-01", "2024-01-09"), cut("2024-01-10", "2024-01-19"), e.where((c("cycle") > "2024-01-19") | (c("cycle") < "2024-01-05")).coalesce(1)])
+    cut = lambda low, high: e.where(c("cycle").between(low, high))
+    folder = ingest.landing(spark, [cut("2024-01-01", "2024-01-09")])
     root = f"{folder}-store"
-    slices = ingest.stream_of(spark, folder, "*.parquet")
+    slices = ingest.stream_of(spark, folder, "*.parquet", None)  # a delivery is a batch: the next one lands when it is read
     broken = F.when((c("variable") == 1) & (c("cycle") == "2024-01-15"), F.raise_error(F.lit("a slice can't be read"))).otherwise(c("value"))
-    failing = cycles.start(slices, root, lambda b: b.withColumn("value", broken))
+    unsteady = lambda b: b.withColumn("value", broken)
+    cycles.start(slices, root, unsteady).awaitTermination()
+    ingest.landing(spark, [cut("2024-01-10", "2024-01-19")], folder)
     try:
-        failing.awaitTermination()
+        cycles.start(slices, root, unsteady).awaitTermination()
     except StreamingQueryException:
         pass
     schema = slices.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ")
     early = cycles.visible(spark, root, schema).select("model", "cycle").distinct()
     early = durable(early)
+    ingest.landing(spark, [e.where((c("cycle") > "2024-01-19") | (c("cycle") < "2024-01-05"))], folder)
     cycles.start(slices, root, lambda b: b).awaitTermination()
     rows = cycles.visible(spark, root, schema).groupBy("model", "cycle", "variable").agg(F.count("*").alias("n"), round_to(F.sum("value"), 4).alias("total"))
     return rows.join(early.withColumn("_seen", F.lit(True)), ["model", "cycle"], "left").select("model", "cycle", "variable", "n", "total", F.coalesce("_seen", F.lit(False)).alias("seen_after_failure"))
@@ -389,10 +392,8 @@ def J05_expiring_steps(spark: SparkSession, sf: str) -> DataFrame:
     complete = e.groupBy("step").agg(F.count_distinct("member").alias("n")).where("n = 16").select("step")
     copies = e.join(complete, "step", "left_semi").withColumn("value", c("value") - 1.0)
     later = e.limit(1).select(F.lit("later").alias("step"), "member", "value", F.expr("timestamp '2024-12-01'").alias("t"))
-    folder = ingest.landing(spark, [x.coalesce(1) for x in (e, copies, later)])
-    a = ingest.stream_of(spark, folder, "*.parquet").withWatermark("t", "60 days")
     with steps.timed_state(spark):
-        out = ingest.to_table(steps.expiring_steps(a, 16, keep_hours=24.0))
+        out = ingest.in_turn(spark, [e, copies, later], lambda s: steps.expiring_steps(s.withWatermark("t", "60 days"), 16, keep_hours=24.0))
     return out.select("step", "n", r6(c("mean")).alias("mean"), "low", "high")
 
 
@@ -430,8 +431,10 @@ def J01_J08_polled_progress(spark: SparkSession, sf: str) -> DataFrame:
     """Deliveries of three models, polled one after the other: the rows of each, from the table of progress that the poll keeps."""
     model = F.element_at(F.array(*map(F.lit, "abc")), (c("event_id") % 3 + 1).cast("int"))
     e = tables.read(spark, sf, "events").withColumn("model", model)
-    folder = ingest.landing(spark, [e.where(c("model") == m).coalesce(1) for m in "abc"])
-    ingest.polled(ingest.stream_of(spark, folder, "*.parquet"), ingest.tracked(f"{folder}-progress", "model")).awaitTermination()
+    folder = ingest.landing(spark, [])
+    for m in "abc":
+        ingest.landing(spark, [e.where(c("model") == m)], folder)
+        ingest.polled(ingest.stream_of(spark, folder, "*.parquet", None), ingest.tracked(f"{folder}-progress", "model"), base=f"{folder}-poll").awaitTermination()
     return spark.read.parquet(f"{folder}-progress").groupBy("model").agg(F.sum("rows").cast("int").alias("n"))
 
 
