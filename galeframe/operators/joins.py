@@ -149,21 +149,30 @@ def points_in_polygons(points: DataFrame, edges: DataFrame, keys: list[str], cel
     cell's border and along it to the north-east corner; each edge on the way
     changes sides, and whether the corner is inside is known. So a point is
     compared with the edges of its own cell only, and one in a cell without
-    edges with none. A table whose rows an explosion made is larger than the
+    edges with none. A polygon is one row of a cell, with its edges there: what
+    a point and a polygon are to each other is known where they meet, and only
+    points and edges are shuffled, never their pairs. A table whose rows an explosion made is larger than the
     planner's estimate from its file, and would be broadcast by it; so all of
     them meet in sorted order.
     """
     listed, held = polygon_index(edges, cell)
+    sides = listed.select("_i", "_j", "poly_id", F.struct("x1", "y1", "x2", "y2").alias("_e"))
+    index = sides.unionByName(held.withColumn("_e", F.lit(None).cast(sides.schema["_e"].dataType)))
+    index = index.groupBy("_i", "_j", "poly_id").agg(F.collect_list("_e").alias("_edges"), F.count_if(F.col("_e").isNull()).cast("int").alias("_held"))
     x, y = F.col(lon), F.col(lat)
     p = points.withColumns({"_i": _cell(y, cell), "_j": _cell(x, cell)}).hint("merge")
     right, top = (F.col("_j") + 1) * F.lit(cell) + CELL_SHIFT, (F.col("_i") + 1) * F.lit(cell) + CELL_SHIFT
-    met = (F.col("x2") - F.col("x1")) * (y - F.col("y1")) / F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0)) + F.col("x1")
-    east = ((F.col("y1") > y) != (F.col("y2") > y)) & (x < met) & (met <= right)
-    level = (F.col("y2") - F.col("y1")) * (right - F.col("x1")) / F.nullif(F.col("x2") - F.col("x1"), F.lit(0.0)) + F.col("y1")
-    north = ((F.col("x1") > right) != (F.col("x2") > right)) & (y < level) & (level <= top)
-    passed = p.join(listed, ["_i", "_j"]).select(*keys, "poly_id", (F.when(east, 1).otherwise(0) + F.when(north, 1).otherwise(0)).alias("_n"))
-    corner = p.join(held, ["_i", "_j"]).select(*keys, "poly_id", F.lit(1).alias("_n"))
-    return passed.unionByName(corner).groupBy(*keys, "poly_id").agg(F.sum("_n").alias("_n")).where("_n % 2 = 1").drop("_n")
+
+    def passed(e: Column) -> Column:
+        met = (e["x2"] - e["x1"]) * (y - e["y1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0)) + e["x1"]
+        east = ((e["y1"] > y) != (e["y2"] > y)) & (x < met) & (met <= F.col("_right"))
+        level = (e["y2"] - e["y1"]) * (F.col("_right") - e["x1"]) / F.nullif(e["x2"] - e["x1"], F.lit(0.0)) + e["y1"]
+        north = ((e["x1"] > F.col("_right")) != (e["x2"] > F.col("_right"))) & (y < level) & (level <= F.col("_top"))
+        return F.when(east, 1).otherwise(0) + F.when(north, 1).otherwise(0)
+
+    met = p.withColumns({"_right": right, "_top": top}).join(index, ["_i", "_j"])
+    odd = F.when(F.size("_edges") == 0, F.col("_held")).otherwise(F.aggregate("_edges", F.col("_held"), lambda n, e: n + passed(e))) % 2 == 1
+    return met.where(odd).select(*keys, "poly_id")
 
 
 def nearest_on_sphere(queries: DataFrame, sources: DataFrame, cell: float = 1.0) -> DataFrame:

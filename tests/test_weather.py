@@ -207,3 +207,11 @@ def test_no_more_of_a_grid_is_joined_than_its_lattice_has(spark, of):
 def test_broadcasts_of_stepped_grids_are_bounded_by_the_lattice(spark, sf, name):
     plan = registry.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "<= 40" in plan and "<= 49" in plan
+
+
+def test_pairs_of_points_and_polygons_are_not_shuffled(spark):
+    sides = spark.createDataFrame([(1, 0.0, 0.0, 2.5, 0.0), (1, 2.5, 0.0, 2.5, 2.5), (1, 2.5, 2.5, 0.0, 2.5), (1, 0.0, 2.5, 0.0, 0.0)], "poly_id int, x1 double, y1 double, x2 double, y2 double")
+    points = spark.createDataFrame([(1, 0.1, 0.1), (2, 1.5, 1.5), (2, 1.5, 1.5), (3, 2.6, 1.0), (4, 2.4, 2.4)], "id int, lat double, lon double")
+    got = joins.points_in_polygons(points, sides, ["id"])
+    assert "hashpartitioning(id" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == [(1, 1), (2, 1), (2, 1), (4, 1)]  # repeated points stay
