@@ -52,8 +52,13 @@ def polar(spark: SparkSession) -> DataFrame:
 
 
 def fleet_polars(spark: SparkSession, sf: str) -> DataFrame:
-    """A table of speeds for each supplier: the test polar, faster for those with more on account."""
-    s = read(spark, sf, "supplier").select("s_suppkey", (F.lit(0.8) + (F.col("s_acctbal") + 1000.0) / 50000.0).alias("_share"))
+    """A table of speeds for each supplier: the test polar, faster for those with more on account.
+
+    Suppliers are dealt before each has its 144 cells: their file is small, and
+    one task would have all tables of it.
+    """
+    deal = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    s = read(spark, sf, "supplier").repartition(deal, "s_suppkey").select("s_suppkey", (F.lit(0.8) + (F.col("s_acctbal") + 1000.0) / 50000.0).alias("_share"))
     cells = F.array(*[F.struct(F.lit(w).alias("tws"), F.lit(a).alias("twa"), F.lit(x).alias("x")) for w, a, x in sailing.polar_rows()])
     return s.withColumn("c", F.explode(cells)).select("s_suppkey", "c.tws", "c.twa", (F.col("c.x") * F.col("_share")).alias("speed"))
 

@@ -5,10 +5,11 @@ import math
 import uuid
 
 import numpy as np
+import pytest
 from galeframe.operators import polars
 from galeframe.operators.common import shared_folder
 from galeframe.physics import boats, cache, forces, solver
-from galeframe.plans import physics
+from galeframe.plans import physics, registry
 from pyspark.sql import functions as F
 
 
@@ -112,3 +113,10 @@ def test_points_are_solved_once_for_each_model(spark, sf):
     one = p.limit(1)
     first, again, other = (store.solve(x).collect() for x in (one, one.unionByName(one), one.withColumn("model", F.lit("next"))))
     assert [r["cached"] for r in first + again + other] == [False, True, True, False] and store.store.read().count() == 2
+
+
+@pytest.mark.parametrize("name", ["H31_vmg_targets", "H32_vmg_targets_of_files", "A45_polar_json"])
+def test_tables_of_speeds_are_dealt_by_supplier_before_they_have_cells(spark, sf, name):
+    plan = registry.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    exchanges = [x for x in plan.splitlines() if "Exchange" in x]
+    assert exchanges and all("REPARTITION_BY_NUM" in x and "tws" not in x for x in exchanges)
