@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from galeframe import tables
 from galeframe.functions import geo, sailing, wind
-from galeframe.functions.units import let, round_to
-from galeframe.operators import aggregates, passage, search
+from galeframe.functions.units import round_to
+from galeframe.operators import aggregates, passage, sail, search
 from galeframe.plans import duck as d
 from galeframe.plans.scalar import r6, whole
 
@@ -40,11 +44,25 @@ a as (select event_id, tws, twd, off, {d.norm("b + off")} as heading from h), w
 select id // 1000 + case when id % 1000 > 500 then 1 else 0 end as event_id, cast(count(*) as integer) as headings, {d.r6("max(speed)")} as best from sped where speed > 0.3 group by 1""")
 def C12_B06_heading_fan(spark: SparkSession, sf: str) -> DataFrame:
     """Headings of each observation's fan that can be sailed, and the best speed among them."""
-    o = tables.obs(spark, sf).withColumn("toward", geo.bearing(c("lat"), c("lon"), F.lit(DEST[0]), F.lit(DEST[1])))
-    o = o.withColumn("off", F.explode(F.sequence(F.lit(-165), F.lit(165), F.lit(10))))  # a bearing is computed once for its fan
-    twa = let(let(c("toward") + c("off"), geo.norm360) - c("twd"), lambda x: let(geo.norm360(x), geo.fold180))
-    o = o.withColumn("twa", twa).where("twa >= 28.000001").withColumn("speed", sailing.polar_speed(c("tws"), c("twa"))).where("speed > 0.3")
-    return o.groupBy("event_id").agg(F.count("*").cast("int").alias("headings"), r6(F.max("speed")).alias("best"))
+    o = tables.obs(spark, sf).select("event_id", "tws", "twd", geo.bearing(c("lat"), c("lon"), F.lit(DEST[0]), F.lit(DEST[1])).alias("toward"))
+    fans = o.mapInArrow(_fans(np.arange(-165.0, 166.0, 10.0), 28.000001, 0.3), "event_id long, headings int, best double")
+    return fans.groupBy("event_id").agg(F.sum("headings").cast("int").alias("headings"), r6(F.max("best")).alias("best"))
+
+
+def _fans(offsets: np.ndarray, no_go: float, least_kts: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(event_id, headings, best) of rows with a wind and a bearing; rows without a heading that can be sailed are left out."""
+
+    def fans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            tws, twd, toward = (b.column(n).to_numpy(zero_copy_only=False).astype(float)[:, None] for n in ("tws", "twd", "toward"))
+            twa = sail.fold((toward + offsets) % 360.0 - twd)
+            speed = sail.polar_speed(np.broadcast_to(tws, twa.shape), twa)
+            good = (twa >= no_go) & (speed > least_kts)
+            n = good.sum(1)
+            best = np.where(good, speed, 0.0).max(1, initial=0.0)
+            yield pa.RecordBatch.from_arrays([b.column("event_id"), pa.array(n.astype(np.int32)), pa.array(best)], ["event_id", "headings", "best"]).filter(pa.array(n > 0))
+
+    return fans
 
 
 def candidates(spark: SparkSession, sf: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from galeframe.functions import sailing
 from galeframe.operators import passage, search
+from galeframe.plans import registry
 from galeframe.plans import search as plans
 
 R, NM, MS = 6371000.0, 1852.0, 1852.0 / 3600.0
@@ -190,3 +191,8 @@ def test_members_where_none_arrived(spark):
     got = {r["k"]: r for r in passage.member_confidence(m, ["k"]).collect()}
     assert (got[1]["mean_hours"], got[1]["fastest"]) == (11.0, 0)
     assert (got[2]["mean_hours"], got[2]["max_hours"], got[2]["members"]) == (10.0, 10.0, 2)
+
+
+def test_fans_are_looked_up_on_arrays_and_nothing_is_exploded(spark, sf):
+    plan = registry.queries()["C12_B06_heading_fan"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan
