@@ -25,8 +25,8 @@ SOLVER_RULES = TargetRules()
 FILE_RULES = TargetRules((28.0, 75.0), (110.0, 180.0), 0.05, (40.0, 0.0), (140.0, 0.0))
 
 
-def vmg_targets(polar: DataFrame, rules: TargetRules = SOLVER_RULES, keys: list[str] | None = None) -> DataFrame:
-    """Best speed made good up and down the wind for each wind speed, as one hash aggregation; the smaller angle wins a tie."""
+def vmg_targets(polar: DataFrame, rules: TargetRules = SOLVER_RULES, keys: list[str] | None = None, more: tuple[Column, ...] = ()) -> DataFrame:
+    """Best speed made good up and down the wind for each wind speed, as one aggregation, and ``more`` aggregates beside; the smaller angle wins a tie."""
     keys = keys or []
     made = round_to(F.col("speed") * F.cos(F.radians("twa")), 9)
 
@@ -35,7 +35,7 @@ def vmg_targets(polar: DataFrame, rules: TargetRules = SOLVER_RULES, keys: list[
         found = F.max_by(F.struct("twa", "speed"), F.when(F.col("twa").between(*span) & (F.col("speed") > rules.faster_than) & (vmg > 1e-9), F.struct(vmg.alias("v"), (-F.col("twa")).alias("a"))))
         return [F.coalesce(found["twa"], F.lit(none[0])).alias(f"{name}_twa"), F.coalesce(found["speed"], F.lit(none[1])).alias(f"{name}_kts")]
 
-    return polar.groupBy(*keys, "tws").agg(*best(rules.up, 1, rules.no_up, "up"), *best(rules.down, -1, rules.no_down, "down"))
+    return polar.groupBy(*keys, "tws").agg(*best(rules.up, 1, rules.no_up, "up"), *best(rules.down, -1, rules.no_down, "down"), *more)
 
 
 def _lines(df: DataFrame, keys: list[str], x: str, least: int) -> DataFrame:
@@ -100,9 +100,9 @@ def parse(files: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def as_json(polar: DataFrame, rules: TargetRules = SOLVER_RULES, keys: list[str] | None = None) -> DataFrame:
     """(keys, json): each table and its targets, keyed by wind speed, as JSON."""
     polar, by = (polar, keys) if keys else (polar.withColumn("_one", F.lit(1)), ["_one"])
-    cell = polar.groupBy(*by, "tws").agg(F.sort_array(F.collect_list(F.struct("twa", "speed"))).alias("cells"))
+    cells = F.sort_array(F.collect_list(F.struct("twa", "speed"))).alias("cells")
     row = F.struct("tws", "cells", F.struct("up_twa", "up_kts", "down_twa", "down_kts").alias("targets"))
-    each = cell.join(vmg_targets(polar, rules, by), [*by, "tws"]).groupBy(*by).agg(F.sort_array(F.collect_list(row)).alias("e"))
+    each = vmg_targets(polar, rules, by, (cells,)).groupBy(*by).agg(F.sort_array(F.collect_list(row)).alias("e"))
     entries = F.transform("e", lambda s: F.struct(s["tws"].cast("string").alias("k"), s["targets"].alias("v")))
     whole = F.struct(F.transform("e", lambda s: s["tws"]).alias("tws_list"), F.transform("e", lambda s: s["cells"]).alias("rows"), F.map_from_entries(entries).alias("targets"))
     return each.select(*(keys or []), F.to_json(whole).alias("json"))
