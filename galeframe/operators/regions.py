@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from galeframe.functions.units import let
@@ -14,6 +14,8 @@ SLACK_DEG, FRESH_HOURS, MOST_POINTS = 0.5, 6.0, 120
 AGES = tuple(round(h * 3.6e9) for h in (0.0, 0.1, 0.5, 2.0, FRESH_HOURS))
 #: Sizes of cells, degrees, from coarse to fine.
 SIZES = tuple(360.0 / 2**k for k in range(10))
+#: Sizes of the tiles in which boxes meet polygons, cells of a degree, and tasks that share a tile.
+SPANS, DEALT = (4, 8, 16, 64, 1 << 20), 16
 BOX = ("min_lat", "max_lat", "min_lon", "max_lon")
 
 
@@ -74,15 +76,32 @@ def fetch_steps(box: DataFrame, most: int = MOST_POINTS) -> DataFrame:
 
 
 def touched(boxes: DataFrame, key: str, chunks: DataFrame) -> DataFrame:
-    """(key, poly_id), each once: polygons that a box (key, box) touches, by one-degree cell.
+    """(key, poly_id), each once: polygons that a box (key, box) touches, by one-degree cell; a key has one box, however often it is there.
 
     ``chunks``: (poly_id, chunk, box), the boxes of runs of edges. A polygon
     counts where a chunk of it is in a cell of the box and its own box meets it.
+    A box is in the tile of its lower corner, of the least size of SPANS that
+    is as long as the box, so that it ends in the next tile at the latest; a
+    polygon is one row of a tile, with its chunks in that tile and the next.
+    So a pair meets once and is decided there, and pairs aren't shuffled.
+    Boxes of a tile meet its polygons in DEALT tasks.
     """
-    whole = chunks.groupBy("poly_id").agg(*[(F.min(c) if c.startswith("min") else F.max(c)).alias(f"p_{c}") for c in BOX])
-    span = lambda a, b: F.explode(F.sequence(F.floor(F.col(a)).cast("int"), F.floor(F.col(b)).cast("int")))
-    cells = lambda df: df.withColumn("_i", span("min_lat", "max_lat")).withColumn("_j", span("min_lon", "max_lon"))
-    listed = cells(chunks).select("_i", "_j", "poly_id").distinct()
-    met = cells(boxes.select(key, *BOX)).join(listed, ["_i", "_j"]).select(key, *BOX, "poly_id").distinct().join(whole, "poly_id")
+    deal = int(boxes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cell = lambda x: F.floor(F.col(x)).cast("int")
+    tile = lambda x, size: F.floor(x / size).cast("int")
+    whole = Window.partitionBy("poly_id")
+    p = chunks.select("poly_id", *[(F.min(x) if x.startswith("min") else F.max(x)).over(whole).alias(f"p_{x}") for x in BOX], *[cell(x).alias(f"c_{x}") for x in BOX])
+    p = p.withColumn("_size", F.explode(F.array(*map(F.lit, SPANS))))
+    for at, side in (("_i", "lat"), ("_j", "lon")):
+        p = p.withColumn(at, F.explode(F.sequence(tile(F.col(f"c_min_{side}"), F.col("_size")) - 1, tile(F.col(f"c_max_{side}"), F.col("_size")))))
+    own = [f"p_{x}" for x in BOX]
+    p = p.groupBy("poly_id", "_size", "_i", "_j").agg(*[F.first(x).alias(x) for x in own], F.collect_list(F.struct(*[F.col(f"c_{x}").alias(x) for x in BOX])).alias("_chunks"))
+    p = p.withColumn("_deal", F.pmod(F.xxhash64("poly_id"), F.lit(DEALT)).cast("int")).repartition(deal, "_size", "_i", "_j", "_deal")
+    b = boxes.select(key, *BOX).distinct().withColumns({f"b_{x}": cell(x) for x in BOX})
+    longest = F.greatest(F.col("b_max_lat") - F.col("b_min_lat"), F.col("b_max_lon") - F.col("b_min_lon"))
+    b = b.withColumn("_size", F.get(F.filter(F.array(*map(F.lit, SPANS)), lambda x: x >= longest), F.lit(0)))
+    b = b.withColumns({"_i": tile(F.col("b_min_lat"), F.col("_size")), "_j": tile(F.col("b_min_lon"), F.col("_size")), "_deal": F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1)))})
     meets = (F.col("p_max_lat") >= F.col("min_lat")) & (F.col("p_min_lat") <= F.col("max_lat")) & (F.col("p_max_lon") >= F.col("min_lon")) & (F.col("p_min_lon") <= F.col("max_lon"))
-    return met.where(meets).select(key, "poly_id")
+    shared = lambda x: (x["min_lat"] <= F.col("b_max_lat")) & (x["max_lat"] >= F.col("b_min_lat")) & (x["min_lon"] <= F.col("b_max_lon")) & (x["max_lon"] >= F.col("b_min_lon"))
+    met = p.hint("merge").join(b.repartition(deal, "_size", "_i", "_j", "_deal"), ["_size", "_i", "_j", "_deal"])
+    return met.where(meets & F.exists("_chunks", shared)).select(key, "poly_id")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import GreaterThanOrEqual, LessThanOrEqual
 
-from galeframe.operators import joins
+from galeframe.operators import joins, regions
 from galeframe.operators.common import listed, shared_folder
 from galeframe.sources import land, shore
 
@@ -114,3 +114,25 @@ def test_thinning_closes_rings_and_keeps_three(spark):
         got.setdefault(r["poly_id"], []).append((r["lon"], r["lat"]))
     assert len(got[9]) == 4 and got[9][0] == got[9][-1]
     assert got[1] == [(0.0, 0.0), (2.0, 0.0), (3.0, 2.0), (4.0, 0.0), (6.0, 0.0), (0.0, 0.0)]
+
+
+def test_boxes_of_any_size_meet_polygons_once(spark):
+    """Against plain Python; pairs are decided where they meet: nothing is exchanged after the join."""
+    rng = random.Random(7)
+    corner = lambda low, high, most: (a := rng.uniform(low, high), a + rng.choice((0.0, 0.3, 1.0, most)) * rng.random())
+    boxes = [(k, *corner(-90, 80, 100.0), *corner(-180, 170, 360.0)) for k in range(300)] + [(300, -3.0, -3.0, 5.0, 5.0), (301, -90.0, 90.0, -180.0, 180.0)]
+    chunks = [(pid, n, *(x + d for x, d in zip(at, (0, n, 0, n), strict=True))) for pid in range(120) for at in [(*corner(-90, 80, 20.0), *corner(-180, 170, 40.0))] for n in range(3)]
+    want = set()
+    for pid in range(120):
+        own = [c[2:] for c in chunks if c[0] == pid]
+        low_lat, high_lat, west, east = (f(c[k] for c in own) for k, f in enumerate((min, max, min, max)))
+        for key, a, b, w, e in boxes:
+            meets = high_lat >= a and low_lat <= b and east >= w and west <= e
+            if meets and any(np.floor(c[0]) <= np.floor(b) and np.floor(c[1]) >= np.floor(a) and np.floor(c[2]) <= np.floor(e) and np.floor(c[3]) >= np.floor(w) for c in own):
+                want.add((key, pid))
+    sides = ", ".join(f"{x} double" for x in regions.BOX)
+    df = regions.touched(spark.createDataFrame(boxes + boxes[:9], f"k int, {sides}"), "k", spark.createDataFrame(chunks, f"poly_id int, chunk int, {sides}"))
+    got = [tuple(r) for r in df.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan.split("SortMergeJoin")[0] and "BroadcastExchange" not in plan
