@@ -17,6 +17,7 @@ KTS = 1852.0 / 3600.0
 NO_GO, SPINNAKER_FROM, MOST_HEEL = 28.0, 45.0, np.deg2rad(28.0)
 LOW, HIGH = np.array([0.05, 0.0, np.deg2rad(-5.0)]), np.array([20.0, np.deg2rad(60.0), np.deg2rad(20.0)])
 FLATS, REEFS = (1.0, 0.85, 0.70, 0.55, 0.40), (1.0, 0.90, 0.80, 0.70, 0.60)
+HELD = 1 << 15
 OUT = ("v", "heel", "leeway", "aws", "awa", "f_x", "r_total", "r_viscous", "r_residuary", "r_induced", "r_heel", "m_x", "righting")
 
 
@@ -41,17 +42,22 @@ def start(row: dict) -> np.ndarray:
     return np.stack([v, np.zeros_like(v), np.zeros_like(v)], 1)
 
 
-def solve(b: dict, row: dict, steps: int = 200) -> tuple[np.ndarray, np.ndarray]:
-    """(states, norms of what is left) by bounded Levenberg-Marquardt, all rows at once.
+def solve(b: dict, row: dict, steps: int = 200, width: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """(states, norms of what is left) by bounded Levenberg-Marquardt, up to ``width`` rows at once.
 
     A row's damping rises where a step doesn't help and falls where it does;
-    rows whose steps or gains become tiny are left alone.
+    rows whose steps or gains become tiny are left alone, and others take
+    their place, so that work arrays are no longer than ``width``.
     """
     x = np.clip(start(row), LOW, HIGH)
-    r = residuals(b, row, x)
-    damp, busy = np.full(len(x), 1e-2), np.arange(len(x))
+    r, damp, taken = np.empty_like(x), np.full(len(x), 1e-2), np.zeros(len(x), int)
     pick = lambda d, i: {k: v[i] for k, v in d.items()}
-    for _ in range(steps):
+    busy, after = np.arange(0), 0
+    while True:
+        if after < len(x) and len(busy) <= width // 2:
+            more = np.arange(after, min(len(x), after + width - len(busy)))
+            r[more] = residuals(pick(b, more), pick(row, more), x[more])
+            busy, after = np.concatenate([busy, more]), after + len(more)
         if not len(busy):
             break
         bb, rr, xx, fx = pick(b, busy), pick(row, busy), x[busy], r[busy]
@@ -77,23 +83,36 @@ def solve(b: dict, row: dict, steps: int = 200) -> tuple[np.ndarray, np.ndarray]
         damp[busy] = np.clip(np.where(better, damp[busy] * 0.3, damp[busy] * 4.0), 1e-12, 1e12)
         small = np.abs(to - xx).max(1) < 1e-8
         done = (better & ((was - now < 1e-12 * was) | (now < 1e-20))) | small | (damp[busy] >= 1e12)
-        busy = busy[~done]
+        taken[busy] += 1
+        busy = busy[~done & (taken[busy] < steps)]
     return x, np.sqrt((r * r).sum(1))
 
 
+def gathered(batches: Iterator[pa.RecordBatch], rows: int = HELD) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``rows``, none of them empty: a search ends with few rows at work, however many began."""
+    parts, n = [], 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            parts.append(batch.slice(at, rows))
+            n += parts[-1].num_rows
+            if n >= rows:
+                yield pa.concat_batches(parts)
+                parts, n = [], 0
+    if parts:
+        yield pa.concat_batches(parts)
+
+
 def solved(trims: DataFrame) -> DataFrame:
     """Solves every row: a boat's fields, tws (knots), twa (degrees), flat, reef, down; adds OUT and converged.
 
     A root doesn't depend on where the search starts, so rows are solved apart
     and no row waits for its neighbour's answer. Angles are in radians,
-    speeds in metres a second.
+    speeds in metres a second. A task takes up to HELD rows at a time.
     """
     names = trims.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in gathered(batches):
             col = lambda c: batch.column(names.index(c)).to_numpy(zero_copy_only=False)
             b, row = {f: col(f) for f in FIELDS}, {c: col(c) for c in ("tws", "twa", "flat", "reef", "down")}
             x, left = solve(b, row)
@@ -115,12 +134,15 @@ def speed_table(points: DataFrame, keys: list[str]) -> DataFrame:
     Full sail is kept where it converges upright enough; the other points try
     a lattice of flatness and reef, and the best score stands. Off the wind
     the spinnaker is tried as well. Points in the no-go zone have speed 0.
+    Full sails are solved and written once, so that a task has one Python
+    worker at a time; points are dealt by number, since few files may hold many.
     """
+    deal = 2 * points.sparkSession.sparkContext.defaultParallelism
     # written once: numbers given after a shuffle may differ where a plan is computed twice
     points = durable(points.withColumn("_point", F.monotonically_increasing_id()))
     sets = F.explode(F.when(F.col("twa") >= SPINNAKER_FROM, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False))))
-    wide = points.where(F.col("twa") >= NO_GO).withColumns({"down": sets, "flat": F.lit(1.0), "reef": F.lit(1.0)})
-    full = solved(wide)
+    wide = points.where(F.col("twa") >= NO_GO).repartition(deal, "_point").withColumns({"down": sets, "flat": F.lit(1.0), "reef": F.lit(1.0)})
+    full = durable(solved(wide))
     good = F.col("converged") & (F.col("heel") <= float(MOST_HEEL))
     lattice = F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.lit(r).alias("r")) for r in REEFS for f in FLATS]))
     tried = solved(full.where(~good).drop(*OUT, "converged").withColumn("_t", lattice).withColumns({"flat": F.col("_t.f"), "reef": F.col("_t.r")}).drop("_t"))

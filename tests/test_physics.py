@@ -120,3 +120,22 @@ def test_tables_of_speeds_are_dealt_by_supplier_before_they_have_cells(spark, sf
     plan = registry.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
     exchanges = [x for x in plan.splitlines() if "Exchange" in x]
     assert exchanges and all("REPARTITION_BY_NUM" in x and "tws" not in x for x in exchanges)
+
+
+def test_full_sails_are_solved_once_on_short_arrays(spark, monkeypatch):
+    """One Python step in the plan of a table of points; work arrays have a bounded length, whatever a batch has, and rows the answers they have alone."""
+    p = boats.presets(spark).drop("name").withColumn("tws", F.lit(16.0)).withColumn("twa", F.lit(90.0))
+    assert solver.speed_table(p, ["boat"])._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    n, rng = 300, np.random.default_rng(3)
+    values = np.array([v for _, v in boats.PRESETS.values()])[rng.integers(0, 4, n)]
+    b = {f: values[:, k].copy() for k, f in enumerate(boats.FIELDS)}
+    row = {"tws": rng.uniform(4, 24, n), "twa": rng.uniform(30, 180, n), "flat": np.ones(n), "reef": np.ones(n), "down": rng.random(n) < 0.5}
+    whole, sizes, plain = solver.solve(b, row), [], solver.residuals
+    monkeypatch.setattr(solver, "residuals", lambda b, row, x: (sizes.append(len(x)), plain(b, row, x))[1])
+    parts = solver.solve(b, row, width=64)
+    assert max(sizes) <= 64 and np.array_equal(parts[0], whole[0]) and np.array_equal(parts[1], whole[1])
+    import pyarrow as pa
+
+    given = [pa.record_batch({"k": list(range(at, at + size))}) for at, size in ((0, 0), (0, 3), (3, 20), (23, 1))]
+    got = list(solver.gathered(iter(given), 8))
+    assert [k for x in got for k in x.column(0).to_pylist()] == list(range(24)) and all(0 < x.num_rows < 16 for x in got)
