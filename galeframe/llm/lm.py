@@ -19,6 +19,7 @@ END = b""  # no word is empty
 CLASSES, EACH, TAILS = 64, 64, 64
 WORDS = CLASSES * EACH
 HIDDEN = 32
+MODERATE = 60.0  # exp of it and of its negative, and their products with counts, are far within the range of float32
 LONGEST = 64  # bytes of a word of the broadcast head
 LOG10 = float(np.log(10))
 
@@ -152,102 +153,150 @@ def fresh(lex: Lexicon, seed: int) -> dict[str, np.ndarray]:
     return p
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
-
-
 def run_window(p: dict, x: np.ndarray, start: np.ndarray, h: np.ndarray, keep: bool = False):
-    """States (T, B, HIDDEN) after each input, from state h; ``start`` marks first inputs of texts, where the state is 0."""
+    """States (T, B, HIDDEN) after each input, from state h; ``start`` marks first inputs of texts, where the state is 0.
+
+    With ``keep`` also (products with U, both gates, new values) of every step.
+    A sigmoid is 1 / (1 + exp(-a)); the signs are in U and E.
+    """
     steps, lanes = x.shape
-    gates = p["E"][x]
-    out, parts = np.empty((steps, lanes, HIDDEN), np.float32), []
+    sign = np.repeat(np.array([-1, -1, 1], p["U"].dtype), HIDDEN)
+    weights, gates, begins = p["U"] * sign, p["E"].take(x, 0), start.any(1).tolist()
+    gates *= sign
+    out, kept = np.empty((steps, lanes, HIDDEN), gates.dtype), steps if keep else 1
+    us, rzs, news = (np.empty((kept, lanes, n * HIDDEN), gates.dtype) for n in (3, 2, 1))
     for t in range(steps):
-        if start[t].any():
-            h = np.where(start[t][:, None], np.float32(0), h)
-        u = h @ p["U"]
-        rz = _sigmoid(gates[t, :, : 2 * HIDDEN] + u[:, : 2 * HIDDEN])
-        r, z = rz[:, :HIDDEN], rz[:, HIDDEN:]
-        n = np.tanh(gates[t, :, 2 * HIDDEN :] + r * u[:, 2 * HIDDEN :])
-        if keep:
-            parts.append((h, u[:, 2 * HIDDEN :], r, z, n))
-        h = n + z * (h - n)
-        out[t] = h
-    return (out, h, parts) if keep else (out, h)
+        u, rz, n, g, o = us[t % kept], rzs[t % kept], news[t % kept], gates[t], out[t]
+        if begins[t]:
+            h = np.where(start[t][:, None], h.dtype.type(0), h)
+        np.dot(h, weights, out=u)
+        np.add(g[:, : 2 * HIDDEN], u[:, : 2 * HIDDEN], out=rz)
+        np.minimum(rz, 80.0, out=rz)
+        np.exp(rz, out=rz)
+        rz += 1.0
+        np.reciprocal(rz, out=rz)
+        np.multiply(rz[:, :HIDDEN], u[:, 2 * HIDDEN :], out=n)
+        n += g[:, 2 * HIDDEN :]
+        np.tanh(n, out=n)
+        np.subtract(h, n, out=o)
+        o *= rz[:, HIDDEN:]
+        o += n
+        h = o
+    return (out, h, (us, rzs, news)) if keep else (out, h)
 
 
 def by_class(y: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
     """(order of the targets by class, (class, from, to) in that order for the classes whose words have outputs)."""
     cls = np.where(y < WORDS, y // EACH, CLASSES)
-    order = np.argsort(cls, kind="stable")
+    order = np.argsort(cls.astype(np.int16), kind="stable")
     ends = np.searchsorted(cls[order], np.arange(CLASSES + 1)).tolist()
     return order, [(k, ends[k], ends[k + 1]) for k in range(CLASSES) if ends[k] < ends[k + 1]]
 
 
+def shifted(a: np.ndarray, bias: np.ndarray, small: bool | None = None) -> np.ndarray:
+    """The factors by which exp(a) is to be multiplied for exp(a + bias): those of the bias, or, where that might leave the range of numbers, ones, and ``a`` has the bias and its largest value is 0."""
+    if (max(a.max(), -a.min()) + np.abs(bias).max() < MODERATE) if small is None else small:
+        return np.exp(bias)
+    a += bias
+    a -= a.max(1, keepdims=True)
+    return np.ones_like(bias)
+
+
+def moderate(p: dict) -> list[bool]:
+    """For which classes no state, which is within -1 and 1, gives outputs of MODERATE size or more."""
+    return (np.abs(p["Wi"]).sum(1).max(1) + np.abs(p["bi"]).max(1) < MODERATE).tolist()
+
+
 def target_logs(p: dict, h: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Natural log probability of each target: of its class, and of the word within the class where it has an output of its own."""
-    cls = np.where(y < WORDS, y // EACH, CLASSES + y - WORDS)
+    cls, every = np.where(y < WORDS, y // EACH, CLASSES + y - WORDS), np.arange(len(y))
+    if not len(y):
+        return np.zeros(0, h.dtype)
     a = h @ p["Wc"]
-    a += p["bc"]
-    a -= a.max(1, keepdims=True)
-    out = a[np.arange(len(y)), cls] - np.log(np.exp(a, out=a.copy()).sum(1))
+    factor = shifted(a, p["bc"])
+    out = a[every, cls] + np.log(factor)[cls]
+    out -= np.log(np.exp(a, out=a) @ factor)
     order, parts = by_class(y)
-    hs, ys, inner = h[order], y[order], np.zeros(len(y), out.dtype)
+    n, small = parts[-1][2] if parts else 0, moderate(p)
+    hs, ys, inner, total = h[order[:n]], y[order[:n]], np.zeros(n, out.dtype), np.ones(n, out.dtype)
     for k, i, j in parts:
         b = hs[i:j] @ p["Wi"][k]
-        b += p["bi"][k]
-        b -= b.max(1, keepdims=True)
-        inner[i:j] = b[np.arange(j - i), ys[i:j] - k * EACH]
-        inner[i:j] -= np.log(np.exp(b, out=b).sum(1))
-    out[order] += inner
+        factor = shifted(b, p["bi"][k], small[k])
+        at = ys[i:j] - k * EACH
+        inner[i:j] = b[every[: j - i], at]
+        if small[k]:
+            inner[i:j] += p["bi"][k][at]
+        np.dot(np.exp(b, out=b), factor, out=total[i:j])
+    out[order[:n]] += inner - np.log(total)
     return out
 
 
 def gradients(p: dict, x: np.ndarray, y: np.ndarray, start: np.ndarray, h: np.ndarray):
-    """Mean loss gradients of a window, backpropagated to its first input and no further, and the state after it; that of E as (rows, values)."""
-    states, last, parts = run_window(p, x, start, h, keep=True)
+    """Mean loss gradients of a window, backpropagated to its first input and no further, and the state after it; that of E as (rows, values).
+
+    A softmax is exp(a) times the factors of its bias over their sum; factors
+    and sums are multiplied into the small sides of the products. Where a is
+    exp(a), that of a target is reduced by sum / factor, which takes 1 from
+    its probability.
+    """
+    states, last, (us, rzs, new) = run_window(p, x, start, h, keep=True)
     flat, yy = states.reshape(-1, HIDDEN), y.ravel()
     n = len(yy)
     scale, every = flat.dtype.type(1 / n), np.arange(n)
-    a = flat @ p["Wc"]
-    a += p["bc"]
-    a -= a.max(1, keepdims=True)
-    np.exp(a, out=a)
-    a *= scale / a.sum(1, keepdims=True)
-    a[every, np.where(yy < WORDS, yy // EACH, CLASSES + yy - WORDS)] -= scale
-    g = {"Wc": flat.T @ a, "bc": a.sum(0), "Wi": np.zeros_like(p["Wi"]), "bi": np.zeros_like(p["bi"]), "U": np.zeros_like(p["U"])}
-    d = a @ p["Wc"].T
+    a, cls = flat @ p["Wc"], np.where(yy < WORDS, yy // EACH, CLASSES + yy - WORDS)
+    factor = shifted(a, p["bc"])
+    total = np.exp(a, out=a) @ factor
+    a[every, cls] -= total / factor[cls]
+    share = scale / total
+    g = {"Wc": ((flat * share[:, None]).T @ a) * factor, "bc": (share @ a) * factor, "Wi": np.zeros_like(p["Wi"]), "bi": np.zeros_like(p["bi"])}
+    d = a @ (p["Wc"] * factor).T
+    d *= share[:, None]
     order, classes = by_class(yy)
-    fs, ys, ds = flat[order], yy[order], np.zeros_like(flat)
+    m, small = classes[-1][2] if classes else 0, moderate(p)
+    order = order[:m]
+    fs, ats, ds = flat[order], yy[order] % EACH, np.empty((m, HIDDEN), flat.dtype)
+    shares, totals, factors = np.empty(m, flat.dtype), np.empty(m, flat.dtype), np.exp(p["bi"])
+    back = np.ascontiguousarray((p["Wi"] * factors[:, None]).transpose(0, 2, 1))
     for k, i, j in classes:
-        b = fs[i:j] @ p["Wi"][k]
-        b += p["bi"][k]
-        b -= b.max(1, keepdims=True)
-        np.exp(b, out=b)
-        b *= scale / b.sum(1, keepdims=True)
-        b[np.arange(j - i), ys[i:j] - k * EACH] -= scale
-        g["Wi"][k], g["bi"][k] = fs[i:j].T @ b, b.sum(0)
-        ds[i:j] = b @ p["Wi"][k].T
+        f, w, factor, at, total = fs[i:j], back[k], factors[k], ats[i:j], totals[i:j]
+        b = f @ p["Wi"][k]
+        if not small[k]:
+            factors[k] = shifted(b, p["bi"][k])
+            w = (p["Wi"][k] * factor).T
+        np.dot(np.exp(b, out=b), factor, out=total)
+        b[every[: j - i], at] -= total / factor[at]
+        share = np.divide(scale, total, out=shares[i:j])
+        np.dot(b, w, out=ds[i:j])
+        np.dot((f * share[:, None]).T, b, out=g["Wi"][k])
+        np.dot(share, b, out=g["bi"][k])
+    g["Wi"] *= factors[:, None]
+    g["bi"] *= factors
+    ds *= shares[:, None]
     d[order] += ds
-    d, dh = d.reshape(states.shape), np.zeros_like(h)
-    gates = np.empty((*x.shape, 3 * HIDDEN), flat.dtype)
+    d, z, r, un = d.reshape(states.shape), rzs[:, :, HIDDEN:], rzs[:, :, :HIDDEN], us[:, :, 2 * HIDDEN :]
+    before = np.concatenate([h[None], states[:-1]])
+    before[start] = 0
+    # what a step's state has of the gradients of its three gates' sums; each is multiplied by the state's own on the way back
+    gates, rest = np.empty((*x.shape, 3, HIDDEN), flat.dtype), 1 - z
+    np.multiply(before - new, z * rest, out=gates[:, :, 1])
+    rest *= 1 - new * new
+    np.multiply(rest, r, out=gates[:, :, 2])
+    np.multiply(gates[:, :, 2], un * (1 - r), out=gates[:, :, 0])
+    back, begins, dh = np.ascontiguousarray(p["U"].T), start.any(1).tolist(), np.zeros_like(h)
     for t in reversed(range(len(x))):
-        before, un, r, z, new = parts[t]
-        dh += d[t]
-        dn = dh * (1 - z)
-        dn *= 1 - new * new
-        gate = gates[t]
-        gate[:, :HIDDEN] = dn * un * r * (1 - r)
-        gate[:, HIDDEN : 2 * HIDDEN] = dh * (before - new) * z * (1 - z)
-        gate[:, 2 * HIDDEN :] = dn
-        du = gate.copy()
-        du[:, 2 * HIDDEN :] *= r
-        g["U"] += before.T @ du
-        dh = dh * z + du @ p["U"].T
-        if start[t].any():
+        dt = d[t]
+        dt += dh
+        np.multiply(dt[:, None, :], gates[t], out=gates[t])
+        dh = gates[t].reshape(-1, 3 * HIDDEN) @ back
+        dh += dt * z[t]
+        if begins[t]:
             dh[start[t]] = 0
-    order = np.argsort(x.ravel(), kind="stable")
-    rows, first = np.unique(x.ravel()[order], return_index=True)
-    g["E"] = (rows, np.add.reduceat(gates.reshape(-1, 3 * HIDDEN)[order], first, axis=0))
+    g["U"] = before.reshape(-1, HIDDEN).T @ gates.reshape(-1, 3 * HIDDEN)
+    np.multiply(d, rest, out=gates[:, :, 2])
+    ids = x.ravel().astype(np.int16)  # which numpy sorts by digits
+    order = np.argsort(ids, kind="stable")
+    rows, first = np.unique(ids[order], return_index=True)
+    g["E"] = (rows.astype(np.int64), np.add.reduceat(gates.reshape(-1, 3 * HIDDEN)[order], first, axis=0))
     return g, last
 
 
@@ -310,11 +359,16 @@ def train_shard(p: dict, texts: list[np.ndarray], rate: float, epochs: int = 1,
             lr = np.float32(rate * (1 - 0.9 * step / total) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step))
             for k, a in g.items():
                 at_rows, a = a if k == "E" else (slice(None), a)
-                a = a * shrink
+                a *= shrink  # a window's own arrays
                 mk, vk = m[k][at_rows], v[k][at_rows]
-                mk += np.float32(0.1) * (a - mk)
-                vk += np.float32(0.001) * (a * a - vk)
-                move = np.sqrt(vk)
+                mk *= np.float32(0.9)
+                vk *= np.float32(0.999)
+                move = a * a
+                move *= np.float32(0.001)
+                vk += move
+                a *= np.float32(0.1)
+                mk += a
+                np.sqrt(vk, out=move)
                 move += np.float32(1e-7)
                 np.divide(mk, move, out=move)
                 move *= lr
@@ -407,14 +461,15 @@ def fit(docs: DataFrame, lex: Lexicon, shared, learn: Column, id_col: str, text_
 
 
 def score_texts(p: dict, texts: list[np.ndarray], width: int = 256, window: int = 64) -> np.ndarray:
-    """Sum of the natural logs of each text's targets; lanes that have ended are dropped."""
+    """Sum of the natural logs of each text's targets; lanes that have ended are dropped, and where few are left more steps are taken at a time."""
     y, doc, size = grid(texts, width)
     x, start = inputs(y, doc)
     total = np.zeros(len(texts))
     h = np.zeros((y.shape[1], HIDDEN), np.float32)
-    for at in range(0, len(y), window):
+    at = 0
+    while at < len(y):
         n = int((size > at).sum())  # lanes are sorted by length
-        part = slice(at, at + window)
+        part = slice(at, at := at + min(max(window, width * window // 2 // n), 16 * window))
         states, h = run_window(p, x[part, :n], start[part, :n], h[:n])
         real = doc[part, :n] >= 0
         logs = target_logs(p, states[real], y[part, :n][real])

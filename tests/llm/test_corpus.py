@@ -294,6 +294,37 @@ def test_state_is_carried_across_windows(spark):
         assert lm.score_texts(p, texts, width=width, window=16) == pytest.approx(whole, rel=1e-4)
 
 
+def test_few_lanes_take_long_windows(spark, monkeypatch):
+    """A long text is scored in few windows, with the same result as in short ones."""
+    p = lm.fresh(filled(spark), 3)
+    texts, sizes, plain = [np.random.default_rng(k).integers(0, lm.WORDS + lm.TAILS, n).astype(np.int32) for k, n in enumerate((4000, 30, 5))], [], lm.target_logs
+    short = [lm.score_texts(p, [t], width=1, window=16)[0] for t in texts]
+    monkeypatch.setattr(lm, "target_logs", lambda p, h, y: (sizes.append(len(y)), plain(p, h, y))[1])
+    assert lm.score_texts(p, texts) == pytest.approx(short, rel=1e-4) and len(sizes) <= 4 and sum(sizes) == 4035
+
+
+@pytest.mark.parametrize("size", [1.0, 100.0])
+def test_softmax_of_large_outputs(spark, size):
+    """Outputs whose exponentials leave the range of float32 have the same logs and gradients as in double."""
+    p, rng = lm.fresh(filled(spark), 3), np.random.default_rng(5)
+    for k in ("Wc", "Wi"):
+        p[k] = rng.normal(0, size, p[k].shape).astype(np.float32)
+    wide = {k: v.astype(np.float64) for k, v in p.items()}
+    y = rng.integers(0, lm.WORDS + lm.TAILS, (16, 8)).astype(np.int32)
+    x, start = lm.inputs(y, np.zeros_like(y))
+    h = rng.uniform(-1, 1, (128, lm.HIDDEN)).astype(np.float32)
+    a = h.astype(np.float64) @ wide["Wc"] + wide["bc"]
+    want = a[np.arange(128), np.where(y.ravel() < lm.WORDS, y.ravel() // lm.EACH, lm.CLASSES + y.ravel() - lm.WORDS)] - np.logaddexp.reduce(a, 1)
+    for i, w in enumerate(y.ravel()):
+        if w < lm.WORDS:
+            b = h[i].astype(np.float64) @ wide["Wi"][w // lm.EACH] + wide["bi"][w // lm.EACH]
+            want[i] += b[w % lm.EACH] - np.logaddexp.reduce(b)
+    assert np.allclose(lm.target_logs(p, h, y.ravel()), want, rtol=1e-3, atol=1e-3)
+    (g, _), (double, _) = (lm.gradients(q, x, y, start, np.zeros((8, lm.HIDDEN), q["U"].dtype)) for q in (p, wide))
+    for k in ("Wc", "bc", "Wi", "bi"):
+        assert np.isfinite(g[k]).all() and np.allclose(g[k], double[k], rtol=0.02, atol=0.02 * np.abs(double[k]).max())
+
+
 def test_training_lowers_the_loss(spark):
     lex = filled(spark)
     rng = np.random.default_rng(7)
