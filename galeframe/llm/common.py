@@ -110,6 +110,22 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes of rows that Spark sends to Python at once, about, and what it sends by default.
+SENT_BYTES, SENT_BY_DEFAULT = 8 << 20, "67108864b"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on this session's Arrow batches end at about ``SENT_BYTES``, unless it has a limit of its own.
+
+    By default a batch ends at 10,000 rows or 64 MB. Whole texts reach that, and
+    then each task holds it several times: in the JVM (outside its heap, in
+    buffers that double as they grow), in Python, and on the way back.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == SENT_BY_DEFAULT:
+        spark.conf.set(key, str(SENT_BYTES))
+
+
 def by_bytes(batches: Iterator[pa.RecordBatch], col: str, limit: int) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into slices of at most ``limit`` bytes of ``col`` (one row at least)."""
     for batch in batches:

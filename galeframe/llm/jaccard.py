@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from galeframe.llm.common import by_bytes, column, durable, one_thread, partitions, scratch, text
+from galeframe.llm.common import by_bytes, column, durable, one_thread, partitions, scratch, small_batches, text
 
 _WORD = re.compile(r"\w+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -427,6 +427,7 @@ def near_duplicates(
     copies; a null id takes part, a class of null ids only has a null
     class_id; an empty table gives empty results; other columns are not read.
     """
+    small_batches(docs.sparkSession)
     found = nodes(docs, id_col, text_col, width)
     met = durable(buckets(found.nodes))
 

@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from galeframe.llm.common import buckets_for, by_bytes, column, durable, salted_prefix, scratch, text
+from galeframe.llm.common import buckets_for, by_bytes, column, durable, salted_prefix, scratch, small_batches, text
 from galeframe.llm.tokens import ODD_SPACE, encoder, visible_units
 
 #: Ranks of a length are looked up in blocks of so many.
@@ -54,6 +54,7 @@ def token_pieces(
     The vocabulary is one that lower-cases, drops white space and marks ends of words. A null or empty text is ``end_id`` alone. Repeated rows are packed as often as they come.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     with open(tokenizer_json, encoding="utf-8") as f:
         vocabulary = spark.sparkContext.broadcast(f.read())
     end = np.array([end_id], "<u4").tobytes()

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from galeframe.llm.common import column, durable, fold, text
+from galeframe.llm.common import column, durable, fold, small_batches, text
 
 _WORD = re.compile(r"\w+")
 STEMS = (4, 5)
@@ -97,6 +97,7 @@ def fit(
     all, those whose texts hash lowest. Without usable rows the model is its
     bias alone, below one half.
     """
+    small_batches(docs.sparkSession)
     y = column(label_col).cast("int")
     chosen = labels.where(y.isNotNull() & column(id_col).isNotNull()).select(column(id_col).alias("_l"), (y > 0).cast("int").alias("_y"))
     chosen = chosen.orderBy(F.xxhash64("_l", F.lit(seed)), "_l", "_y").limit(sample_rows)
@@ -134,6 +135,7 @@ def toxicity_scores(docs: DataFrame, model: FactorizationMachine, id_col: str =
     null or empty text, or one without a kept term, scores the model's bias;
     repeated rows give repeated results, an empty table an empty one.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     keep = keep or [id_col]
 

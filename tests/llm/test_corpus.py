@@ -8,12 +8,13 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from galeframe.llm import fingerprints, jaccard, lm, mixing, queries
+from galeframe.llm import common, fingerprints, jaccard, lm, mixing, packing, queries, toxicity
 from tests.llm.helpers import empty, odd
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -363,6 +364,23 @@ def test_pipeline_stages(spark, sf):
     assert seqs.where("n != end or n > 4096").count() == 0
 
 
+@pytest.mark.parametrize("operator", [jaccard.one_of_each, toxicity.held_out_fit, packing.token_pieces])
+def test_texts_are_sent_in_small_batches(spark, sf, operator):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs, more = spark.read.parquet(f"{sf}/documents.parquet"), {toxicity.held_out_fit: [spark.read.parquet(f"{sf}/labels.parquet")], packing.token_pieces: [queries.vocabulary("word_bpe_49k.json")]}
+    spark.conf.unset(key)
+    try:
+        operator(docs, *more.get(operator, []))
+        long = spark.range(0, 300, 1, 1).selectExpr("repeat('ab ', 40000) as text")
+        sizes = [r[0] for r in long.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long").collect()]
+        assert sum(sizes) > 300 * 120_000 and max(sizes) < 1.1 * common.SENT_BYTES
+        spark.conf.set(key, "33m")
+        operator(docs, *more.get(operator, []))
+        assert spark.conf.get(key) == "33m"
+    finally:
+        spark.conf.unset(key)
+
+
 def test_pipeline_of_clashing_names(spark, sf, tmp_path):
     """Columns named like the stages' own, and names with dots."""
     rows = odd(spark).limit(8)
