@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from galeframe.llm.common import buckets_for, by_bytes, column, durable, salted_prefix, scratch, small_batches, text
-from galeframe.llm.tokens import ODD_SPACE, encoder, visible_units
+from galeframe.llm.tokens import LETTERS, MARKS, ODD_SPACE, encoder, visible_units
 
 #: Ranks of a length are looked up in blocks of so many.
 RANK_BLOCK = 1 << 12
@@ -33,14 +33,36 @@ def words_of(texts: pa.Array) -> pa.ListArray:
     return pc.ascii_split_whitespace(texts)
 
 
+def parts_of(words: pa.Array) -> tuple[pa.DictionaryArray, pa.DictionaryArray]:
+    """Each word as what ends in a plain letter, which is in lower case where it has no other letters, and the closing marks behind it; a word that ends otherwise is whole."""
+    words = words.cast(pa.string())
+    body = pc.utf8_rtrim(words, characters=MARKS)
+    body = pc.if_else(pc.match_substring_regex(body, f"[{LETTERS}]$"), body, words)
+    n = (pc.binary_length(words).to_numpy() - pc.binary_length(body).to_numpy()).astype(np.int32)
+    ends, chars = np.frombuffer(words.buffers()[1], np.int32)[words.offset + 1 :][: len(words)], words.buffers()[2] or b""
+    to = np.cumsum(n, dtype=np.int32)
+    marks = np.frombuffer(chars, np.uint8)[np.repeat(ends - to, n) + np.arange(n.sum())]
+    marks = pa.StringArray.from_buffers(len(words), pa.py_buffer(np.concatenate([[0], to]).astype(np.int32)), pa.py_buffer(marks))
+    body = pc.if_else(pc.match_substring_regex(body, f"^[{LETTERS}]+$"), pc.utf8_lower(body), body)
+    return body.dictionary_encode(), marks.dictionary_encode()
+
+
+def laid(ids: np.ndarray, size: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of the units ``at``, one unit after the other, where each ends, 0 first); ``ids`` has ``size`` of each unit."""
+    first, n = np.cumsum(size) - size, size[at]
+    ends = np.concatenate([[0], np.cumsum(n)])
+    return ids[np.repeat(first[at] - ends[:-1], n) + np.arange(ends[-1])], ends
+
+
 def ids_of(words: pa.ListArray, encode) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of all texts, where each text's ids end); each distinct word is looked up once."""
+    """(ids of all texts, where each text's ids end); of the distinct words each distinct part is looked up once."""
     coded = words.flatten().dictionary_encode()
-    known, at = encode(coded.dictionary.to_numpy(zero_copy_only=False).tolist()), coded.indices.to_numpy()
+    body, marks = parts_of(coded.dictionary)
+    known = encode(body.dictionary.to_pylist() + marks.dictionary.to_pylist())
     size = np.fromiter(map(len, known), np.int64, len(known)) // 4
-    first, n = np.cumsum(size) - size, size[at]
-    ends = np.concatenate([[0], np.cumsum(n)])
-    ids = np.frombuffer(b"".join(known), "<u4")[np.repeat(first[at] - ends[:-1], n) + np.arange(ends[-1])]
+    both = np.stack([body.indices.to_numpy(), len(body.dictionary) + marks.indices.to_numpy()], axis=1)
+    ids, ends = laid(np.frombuffer(b"".join(known), "<u4"), size, both.ravel())
+    ids, ends = laid(ids, np.diff(ends[::2]), coded.indices.to_numpy())
     places = words.offsets.to_numpy()
     return ids, ends[places[1:] - places[0]]
 

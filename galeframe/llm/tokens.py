@@ -38,9 +38,10 @@ def visible_units(whole: str) -> list[str]:
 
 
 #: Letters that every vocabulary's pre-tokenizer keeps together, that NFC leaves alone and that have one lower-case letter: Latin up to Extended-B without the capital dotted I.
-_PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
+_PLAIN = re.compile(f"[{LETTERS}]+")
 #: Marks that end a unit: between a plain letter and these every pre-tokenizer cuts. Not among them: apostrophes, which begin contractions, and the characters of special tokens.
-_MARKS = ".,;:!?&#*%$)]}+=-_/@~^\""
+MARKS = ".,;:!?&#*%$)]}+=-_/@~^\""
 
 
 class UnitEncoder:
@@ -50,7 +51,7 @@ class UnitEncoder:
     up to the letter and the marks. ``lower``: the vocabulary lower-cases and
     drops white space, so words of plain letters are looked up in lower case
     and many are encoded as one text, whose ids are cut after the tokens that
-    end words.
+    end words; then ``of`` gives a sequence with as many elements for each id.
     """
 
     def __init__(self, vocabulary: str, of, entries: int, batch_bytes: int, lower: bool = False) -> None:
@@ -67,7 +68,10 @@ class UnitEncoder:
     def _learn(self, fresh: set[str]) -> None:
         parts, need, words = [], set(), set()
         for u in fresh:
-            body = u.rstrip(_MARKS)
+            if self.lower and len(u) <= 48 and u == u.lower() and _PLAIN.fullmatch(u):
+                words.add(u)
+                continue
+            body = u.rstrip(MARKS)
             if not body or not _PLAIN.fullmatch(body[-1]):
                 body = u
             if self.lower and _PLAIN.fullmatch(body):
@@ -98,14 +102,16 @@ class UnitEncoder:
                 total += len(u)
         return out
 
-    def _encode_words(self, words: list[str], each: int = 500) -> dict:
+    def _encode_words(self, words: list[str], each: int = 2000) -> dict:
         out = {}
         for at in range(0, len(words), each):
             some = words[at : at + each]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, np.int64)
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.int64)
             cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
             if len(cuts) == len(some) and cuts[-1] == len(ids):
-                out.update((w, self.of(ids[i:j])) for w, i, j in zip(some, [0, *cuts], cuts, strict=False))
+                whole = self.of(ids)
+                wide = len(whole) // len(ids)
+                out.update((w, whole[wide * i : wide * j]) for w, i, j in zip(some, [0, *cuts], cuts, strict=False))
             else:
                 out.update(self._encode(some))
         return out

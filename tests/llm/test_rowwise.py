@@ -144,6 +144,16 @@ def test_ids_of_all_latin_letters():
                 assert [sum(encode(tokens.safe_units(t))) for t in some] == list(map(len, want))
 
 
+def test_each_part_of_words_is_looked_up_once():
+    """Words that differ in case and closing marks share what is encoded; a word that ends otherwise is looked up whole."""
+    encode, seen = tokens.UnitEncoder(open(pub.path("word_bpe_49k.json")).read(), packing.id_bytes, 1 << 20, 1 << 16, True), []
+    texts = ["Word, word; WORD word", "", "don't. Don't!! \u00c9t\u00e9, \u00e9t\u00e9 x1, ,,"]
+    ids, ends = packing.ids_of(packing.words_of(pa.array(["zzz", *texts])[1:]), lambda units: (seen.extend(units), encode(units))[1])
+    assert sorted(seen) == sorted(["word", "don't", "Don't", "\u00e9t\u00e9", "x1,", ",,", "", ",", ";", ".", "!!", ""])  # the empty text is a word, and words without marks have empty ones
+    assert [p.tolist() for p in np.split(ids, ends)[:-1]] == [e.ids for e in whole("word_bpe_49k.json").encode_batch(texts, add_special_tokens=False)]
+    assert [a.tolist() for a in packing.ids_of(packing.words_of(pa.array([], pa.string())), encode)] == [[], []]
+
+
 def test_media_round_trip(spark, sf, docs):
     rows = queries.op10_media(spark, sf).collect()
     assert len(rows) == len(docs)
