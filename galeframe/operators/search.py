@@ -18,7 +18,7 @@ from galeframe.functions.units import clamp
 from galeframe.operators import sail
 from galeframe.operators.common import durable, shared_folder
 from galeframe.operators.joins import points_in_polygons
-from galeframe.operators.weather import Field, Lattice, StoredWinds, Wind
+from galeframe.operators.weather import Field, Lattice, Staged, StoredWinds, Wind
 
 NO_GO_DEG, LEAST_KTS, UNPRUNED, CRUISE_KTS = 28.0, 0.3, 20, 6.5
 #: A candidate's ``seq`` is its parent's idx, shifted by so many bits, plus the heading's place in the fan.
@@ -162,7 +162,7 @@ def off_land(candidates: DataFrame, edges: DataFrame) -> DataFrame:
     return candidates.join(hit, ["route_id", "seq"], "left_anti")
 
 
-def start_nodes(routes: DataFrame, wind: Field | StoredWinds) -> DataFrame:
+def start_nodes(routes: DataFrame, wind: Field | Staged | StoredWinds) -> DataFrame:
     """Step 0 of every route; a start has no parent."""
     r = wind.over("start_lat", "start_lon", F.col("dep_h"))(routes)
     b = geo.bearing(F.col("start_lat"), F.col("start_lon"), F.col("dest_lat"), F.col("dest_lon"))
@@ -182,7 +182,7 @@ class Found:
     steps: int = 0
 
 
-def route_search(routes: DataFrame, wind: Wind | Field | StoredWinds, cfg: Config = Config(), land: DataFrame | None = None) -> Found:
+def route_search(routes: DataFrame, wind: Wind | Field | Staged | StoredWinds, cfg: Config = Config(), land: DataFrame | None = None) -> Found:
     """Searches all ``routes`` (route_id, start_lat, start_lon, dest_lat, dest_lon, dep_h, more columns) together, step by step.
 
     A step expands and prunes all frontiers, asks for the wind where they are

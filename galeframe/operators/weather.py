@@ -42,6 +42,29 @@ class Field:
         return lambda nodes, hours=None: nodes.withColumns({"wind_tws": tws, "wind_twd": twd})
 
 
+@dataclass(frozen=True)
+class Staged:
+    """A wind that is worked out in stages: the first has the place, each other the two columns of the one before, and all the hour.
+
+    A stage's columns are computed once for a row. In one expression they would
+    be written out again wherever they are used, which multiplies from stage to
+    stage until planning and compiling take longer than the rows.
+    """
+
+    stages: tuple[Wind, ...]
+
+    def over(self, lat: str, lon: str, hour: Column) -> Blow:
+        names = [*((f"_a{k}", f"_b{k}") for k in range(len(self.stages) - 1)), ("wind_tws", "wind_twd")]
+        pairs = [f(F.col(a), F.col(b), hour) for f, (a, b) in zip(self.stages, [(lat, lon), *names], strict=False)]
+
+        def blow(nodes: DataFrame, hours: tuple[float, float] | None = None) -> DataFrame:
+            for name, pair in zip(names, pairs, strict=True):
+                nodes = nodes.withColumns(dict(zip(name, pair, strict=True)))
+            return nodes.drop(*sum(names[:-1], ()))
+
+        return blow
+
+
 @dataclass(frozen=True)
 class Lattice:
     """Rows i from ``lat`` northwards and columns j from ``lon`` eastwards, and the hours of the steps in order."""

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from galeframe import tables
 from galeframe.functions import geo, sailing, wind
 from galeframe.functions.units import round_to
-from galeframe.operators import aggregates, passage, sail, search
+from galeframe.operators import aggregates, passage, sail, search, weather
 from galeframe.plans import duck as d
 from galeframe.plans.scalar import r6, whole
 
@@ -151,6 +151,12 @@ def I15_departure_windows(spark: SparkSession, sf: str) -> DataFrame:
     return passage.window_scores(_track_of(found).join(routes.select("route_id"), "route_id", "left_semi"), routes)
 
 
+def perturbed(members: int) -> weather.Staged:
+    """The closed-form field as each of ``members`` has it; a node's own is in the column member."""
+    of_member = lambda u, v, hour: passage.member_wind(u, v, c("member"), F.lit(members), hour)
+    return weather.Staged((wind.synthetic_uv, of_member, lambda u, v, hour: wind.condition(u, v)))
+
+
 @query()
 def I19_ensemble_confidence(spark: SparkSession, sf: str) -> DataFrame:
     """Every region's passage solved for 31 members, and the score of their spread beside that of the wind statistics."""
@@ -160,11 +166,7 @@ def I19_ensemble_confidence(spark: SparkSession, sf: str) -> DataFrame:
         (c("batch") * 100 + c("member")).alias("route_id"), lat.alias("start_lat"), lon.alias("start_lon"), (lat + 2.0).alias("dest_lat"), (lon - 2.5).alias("dest_lon"), F.lit(0.0).alias("dep_h"), "batch", "member",
     )
 
-    def perturbed(lat, lon, hour):
-        u, v = wind.synthetic_uv(lat, lon, hour)
-        return wind.condition(*passage.member_wind(u, v, c("member"), F.lit(31), hour))
-
-    found = search.route_search(routes, perturbed, search.Config(step_hours=6.0, max_nodes=40, arrival_nm=30.0))
+    found = search.route_search(routes, perturbed(31), search.Config(step_hours=6.0, max_nodes=40, arrival_nm=30.0))
     out = search.outcomes(found).join(routes.select("route_id", "batch", "member"), "route_id")
     b = passage.member_confidence(out, ["batch"])
     middle = _track_of(found).where("route_id % 100 = 15")

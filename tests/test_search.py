@@ -2,6 +2,7 @@
 
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from galeframe.functions import sailing
@@ -132,6 +133,22 @@ def test_search_in_a_wind_of_place_and_time(spark):
         assert math.isclose(g["distance_nm"], best["nm"], rel_tol=1e-9)
 
 
+def test_a_staged_wind_is_the_field_and_stays_small(spark):
+    """Stages give the same wind as one expression, and a stage's columns are not written out again in the next."""
+    from galeframe.functions import wind
+    from galeframe.operators.weather import Field, Staged
+
+    nodes = spark.range(60).selectExpr("id % 31 as member", "id * 1.7d - 20 as y", "-id * 2.9d as x", "id * 1.5d as hour")
+    one, two = (f.over("y", "x", F.col("hour"))(nodes) for f in (Field(plans.synthetic), Staged((wind.synthetic_uv, lambda u, v, hour: wind.condition(u, v)))))
+    assert one.columns == two.columns and one.collect() == two.collect()
+    members = plans.perturbed(31).over("y", "x", F.col("hour"))(nodes)
+    assert members._jdf.queryExecution().optimizedPlan().toString().lower().count("atan2") < 40
+    rows = {r["member"]: r for r in members.collect() if r["hour"] <= 45}
+    plain = {r["member"]: r for r in one.collect() if r["hour"] <= 45}
+    assert rows[15]["wind_tws"] == pytest.approx(max(plain[15]["wind_tws"], 1.0)) and rows[15]["wind_twd"] == pytest.approx(plain[15]["wind_twd"])
+    assert rows[30]["wind_tws"] > plain[30]["wind_tws"]
+
+
 def test_registered_searches(spark, sf):
     way = plans.I07_route_search(spark, sf).collect()
     assert {r["route_id"] for r in way} == set(range(25)) and all(r["twa"] >= 28 for r in way if r["wp"])
