@@ -22,6 +22,7 @@ HIDDEN = 32
 MODERATE = 60.0  # exp of it and of its negative, and their products with counts, are far within the range of float32
 LONGEST = 64  # bytes of a word of the broadcast head
 LOG10 = float(np.log(10))
+BLOCK = 512  # rows whose class outputs fit a core's cache
 
 
 def coded(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
@@ -156,35 +157,43 @@ def fresh(lex: Lexicon, seed: int) -> dict[str, np.ndarray]:
 def run_window(p: dict, x: np.ndarray, start: np.ndarray, h: np.ndarray, keep: bool = False):
     """States (T, B, HIDDEN) after each input, from state h; ``start`` marks first inputs of texts, where the state is 0.
 
-    With ``keep`` also (products with U, both gates, new values) of every step.
-    A sigmoid is 1 / (1 + exp(-a)); the signs are in U and E.
+    With ``keep`` also (products with U, both gates, new values) of every step,
+    a gate after the other, so that all sums run over whole blocks. A sigmoid
+    is 1 / (1 + exp(-a)), which is 0 where the exponential is beyond all
+    numbers; its sign is in U. Rows of E are fetched for a step at a time.
     """
     steps, lanes = x.shape
-    sign = np.repeat(np.array([-1, -1, 1], p["U"].dtype), HIDDEN)
-    weights, gates, begins = p["U"] * sign, p["E"].take(x, 0), start.any(1).tolist()
-    gates *= sign
-    out, kept = np.empty((steps, lanes, HIDDEN), gates.dtype), steps if keep else 1
-    us, rzs, news = (np.empty((kept, lanes, n * HIDDEN), gates.dtype) for n in (3, 2, 1))
-    for t in range(steps):
-        u, rz, n, g, o = us[t % kept], rzs[t % kept], news[t % kept], gates[t], out[t]
-        if begins[t]:
-            h = np.where(start[t][:, None], h.dtype.type(0), h)
-        np.dot(h, weights, out=u)
-        np.add(g[:, : 2 * HIDDEN], u[:, : 2 * HIDDEN], out=rz)
-        np.minimum(rz, 80.0, out=rz)
-        np.exp(rz, out=rz)
-        rz += 1.0
-        np.reciprocal(rz, out=rz)
-        np.multiply(rz[:, :HIDDEN], u[:, 2 * HIDDEN :], out=n)
-        n += g[:, 2 * HIDDEN :]
-        np.tanh(n, out=n)
-        np.subtract(h, n, out=o)
-        o *= rz[:, HIDDEN:]
-        o += n
-        h = o
+    kind = p["U"].dtype
+    weights = by_gate(p["U"]) * np.array([-1, -1, 1], kind)[:, None, None]
+    table, at, begins = p["E"].reshape(-1, HIDDEN), 3 * x[:, None].astype(np.int64) + np.arange(3)[:, None], start.any(1).tolist()
+    out, kept, g = np.empty((steps, lanes, HIDDEN), kind), steps if keep else 1, np.empty((3, lanes, HIDDEN), kind)
+    us, rzs, news = np.empty((3, kept, lanes, HIDDEN), kind), np.empty((2, kept, lanes, HIDDEN), kind), np.empty((kept, lanes, HIDDEN), kind)
+    with np.errstate(over="ignore"):
+        for t in range(steps):
+            u, rz, n, o = us[:, t % kept], rzs[:, t % kept], news[t % kept], out[t]
+            if begins[t]:
+                h = np.where(start[t][:, None], h.dtype.type(0), h)
+            table.take(at[t], 0, out=g, mode="clip")
+            np.matmul(h, weights, out=u)
+            np.subtract(u[:2], g[:2], out=rz)
+            np.exp(rz, out=rz)
+            rz += 1.0
+            np.reciprocal(rz, out=rz)
+            np.multiply(rz[0], u[2], out=n)
+            n += g[2]
+            np.tanh(n, out=n)
+            np.subtract(h, n, out=o)
+            o *= rz[1]
+            o += n
+            h = o
     return (out, h, (us, rzs, news)) if keep else (out, h)
 
 
+def by_gate(a: np.ndarray) -> np.ndarray:
+    """(3, HIDDEN, HIDDEN): the weights of each gate."""
+    return np.ascontiguousarray(a.reshape(HIDDEN, 3, HIDDEN).transpose(1, 0, 2))
+
+
 def by_class(y: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
     """(order of the targets by class, (class, from, to) in that order for the classes whose words have outputs)."""
     cls = np.where(y < WORDS, y // EACH, CLASSES)
@@ -212,10 +221,12 @@ def target_logs(p: dict, h: np.ndarray, y: np.ndarray) -> np.ndarray:
     cls, every = np.where(y < WORDS, y // EACH, CLASSES + y - WORDS), np.arange(len(y))
     if not len(y):
         return np.zeros(0, h.dtype)
-    a = h @ p["Wc"]
-    factor = shifted(a, p["bc"])
-    out = a[every, cls] + np.log(factor)[cls]
-    out -= np.log(np.exp(a, out=a) @ factor)
+    out = np.empty(len(y), h.dtype)
+    for i in range(0, len(y), BLOCK):
+        a, k, o = h[i : i + BLOCK] @ p["Wc"], cls[i : i + BLOCK], out[i : i + BLOCK]
+        factor = shifted(a, p["bc"])
+        np.add(a[every[: len(k)], k], np.log(factor)[k], out=o)
+        o -= np.log(np.exp(a, out=a) @ factor)
     order, parts = by_class(y)
     n, small = parts[-1][2] if parts else 0, moderate(p)
     hs, ys, inner, total = h[order[:n]], y[order[:n]], np.zeros(n, out.dtype), np.ones(n, out.dtype)
@@ -243,14 +254,19 @@ def gradients(p: dict, x: np.ndarray, y: np.ndarray, start: np.ndarray, h: np.nd
     flat, yy = states.reshape(-1, HIDDEN), y.ravel()
     n = len(yy)
     scale, every = flat.dtype.type(1 / n), np.arange(n)
-    a, cls = flat @ p["Wc"], np.where(yy < WORDS, yy // EACH, CLASSES + yy - WORDS)
-    factor = shifted(a, p["bc"])
-    total = np.exp(a, out=a) @ factor
-    a[every, cls] -= total / factor[cls]
-    share = scale / total
-    g = {"Wc": ((flat * share[:, None]).T @ a) * factor, "bc": (share @ a) * factor, "Wi": np.zeros_like(p["Wi"]), "bi": np.zeros_like(p["bi"])}
-    d = a @ (p["Wc"] * factor).T
-    d *= share[:, None]
+    cls, d, some = np.where(yy < WORDS, yy // EACH, CLASSES + yy - WORDS), np.empty_like(flat), np.empty((BLOCK, CLASSES + TAILS), flat.dtype)
+    g = {k: np.zeros_like(p[k]) for k in ("Wc", "bc", "Wi", "bi")}
+    for i in range(0, n, BLOCK):
+        f, at, ds = flat[i : i + BLOCK], cls[i : i + BLOCK], d[i : i + BLOCK]
+        a = np.dot(f, p["Wc"], out=some[: len(f)])
+        factor = shifted(a, p["bc"])
+        total = np.exp(a, out=a) @ factor
+        a[every[: len(f)], at] -= total / factor[at]
+        share = scale / total
+        g["Wc"] += ((f * share[:, None]).T @ a) * factor
+        g["bc"] += (share @ a) * factor
+        np.dot(a, (p["Wc"] * factor).T, out=ds)
+        ds *= share[:, None]
     order, classes = by_class(yy)
     m, small = classes[-1][2] if classes else 0, moderate(p)
     order = order[:m]
@@ -273,33 +289,58 @@ def gradients(p: dict, x: np.ndarray, y: np.ndarray, start: np.ndarray, h: np.nd
     g["bi"] *= factors
     ds *= shares[:, None]
     d[order] += ds
-    d, z, r, un = d.reshape(states.shape), rzs[:, :, HIDDEN:], rzs[:, :, :HIDDEN], us[:, :, 2 * HIDDEN :]
+    d, (r, z), un = d.reshape(states.shape), rzs, us[2]
     before = np.concatenate([h[None], states[:-1]])
     before[start] = 0
     # what a step's state has of the gradients of its three gates' sums; each is multiplied by the state's own on the way back
-    gates, rest = np.empty((*x.shape, 3, HIDDEN), flat.dtype), 1 - z
-    np.multiply(before - new, z * rest, out=gates[:, :, 1])
-    rest *= 1 - new * new
-    np.multiply(rest, r, out=gates[:, :, 2])
-    np.multiply(gates[:, :, 2], un * (1 - r), out=gates[:, :, 0])
-    back, begins, dh = np.ascontiguousarray(p["U"].T), start.any(1).tolist(), np.zeros_like(h)
+    gates, rest = np.empty((3, *states.shape), flat.dtype), 1 - z
+    np.subtract(before, new, out=gates[1])
+    gates[1] *= z
+    gates[1] *= rest
+    new *= new
+    rest *= np.subtract(1, new, out=new)
+    np.multiply(rest, r, out=gates[2])
+    np.multiply(gates[2], un, out=gates[0])
+    gates[0] *= np.subtract(1, r, out=r)
+    back, begins, dh = np.ascontiguousarray(by_gate(p["U"]).transpose(0, 2, 1)), start.any(1).tolist(), np.zeros_like(h)
+    three = np.empty((3, *h.shape), flat.dtype)
     for t in reversed(range(len(x))):
-        dt = d[t]
+        dt, own = d[t], gates[:, t]
         dt += dh
-        np.multiply(dt[:, None, :], gates[t], out=gates[t])
-        dh = gates[t].reshape(-1, 3 * HIDDEN) @ back
-        dh += dt * z[t]
+        own *= dt
+        np.matmul(own, back, out=three)
+        np.multiply(dt, z[t], out=dh)
+        for a in three:
+            dh += a
         if begins[t]:
             dh[start[t]] = 0
-    g["U"] = before.reshape(-1, HIDDEN).T @ gates.reshape(-1, 3 * HIDDEN)
-    np.multiply(d, rest, out=gates[:, :, 2])
-    ids = x.ravel().astype(np.int16)  # which numpy sorts by digits
-    order = np.argsort(ids, kind="stable")
-    rows, first = np.unique(ids[order], return_index=True)
-    g["E"] = (rows.astype(np.int64), np.add.reduceat(gates.reshape(-1, 3 * HIDDEN)[order], first, axis=0))
+    flat, each = before.reshape(-1, HIDDEN).T, gates.reshape(3, -1, HIDDEN)
+    g["U"] = np.concatenate([flat @ a for a in each], axis=1)
+    np.multiply(d, rest, out=gates[2])
+    g["E"] = sums_by_id(x.ravel(), each)
     return g, last
 
 
+def sums_by_id(ids: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct ids, sums of values (3, n, HIDDEN) by id, side by side): ids that come equally often are summed together, as one block."""
+    count = np.bincount(ids)
+    rows = np.flatnonzero(count)
+    rows = rows[np.argsort(count[rows], kind="stable")]
+    rank = np.empty(len(count), np.int16)  # which numpy sorts by digits
+    rank[rows] = np.arange(len(rows))
+    order = np.argsort(rank[ids], kind="stable")
+    ordered = np.empty((len(ids), 3, HIDDEN), values.dtype)
+    for k, a in enumerate(values):
+        ordered[:, k] = a.take(order, 0)
+    ordered, out, at = ordered.reshape(len(ids), -1), np.empty((len(rows), 3 * HIDDEN), values.dtype), 0
+    often, first = np.unique(count[rows], return_index=True)
+    for c, i, j in zip(often.tolist(), first.tolist(), [*first[1:].tolist(), len(rows)], strict=True):
+        to = at + c * (j - i)
+        np.add.reduce(ordered[at:to].reshape(j - i, c, -1), axis=1, out=out[i:j])
+        at = to
+    return rows, out
+
+
 def lanes(lengths: list[int], n: int) -> list[list[int]]:
     """Texts dealt to n lanes, the longest first to the shortest lane; the longest lane comes first."""
     import heapq
@@ -358,9 +399,9 @@ def train_shard(p: dict, texts: list[np.ndarray], rate: float, epochs: int = 1,
             shrink = np.float32(min(1.0, 1.0 / (norm + 1e-9)))
             lr = np.float32(rate * (1 - 0.9 * step / total) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step))
             for k, a in g.items():
-                at_rows, a = a if k == "E" else (slice(None), a)
+                rows, a = a if k == "E" else (None, a)
                 a *= shrink  # a window's own arrays
-                mk, vk = m[k][at_rows], v[k][at_rows]
+                mk, vk = (b[k] if rows is None else b[k].take(rows, 0) for b in (m, v))
                 mk *= np.float32(0.9)
                 vk *= np.float32(0.999)
                 move = a * a
@@ -372,9 +413,10 @@ def train_shard(p: dict, texts: list[np.ndarray], rate: float, epochs: int = 1,
                 move += np.float32(1e-7)
                 np.divide(mk, move, out=move)
                 move *= lr
-                p[k][at_rows] -= move
-                if k == "E":
-                    m[k][at_rows], v[k][at_rows] = mk, vk
+                if rows is None:
+                    p[k] -= move
+                else:
+                    m[k][rows], v[k][rows], p[k][rows] = mk, vk, np.subtract(p[k].take(rows, 0), move, out=move)
     return p
 
 

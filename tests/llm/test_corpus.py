@@ -326,6 +326,18 @@ def test_softmax_of_large_outputs(spark, size):
         assert np.isfinite(g[k]).all() and np.allclose(g[k], double[k], rtol=0.02, atol=0.02 * np.abs(double[k]).max())
 
 
+def test_sums_by_id():
+    """Gradients of input words, those that come equally often in one block, are the plain sums."""
+    rng = np.random.default_rng(9)
+    for ids in (rng.zipf(1.3, 700) % 500, np.zeros(40, np.int64), np.arange(30)[::-1], np.array([7])):
+        values = rng.normal(0, 1, (3, len(ids), lm.HIDDEN)).astype(np.float32)
+        want = np.zeros((500, 3 * lm.HIDDEN))
+        np.add.at(want, ids, values.transpose(1, 0, 2).reshape(len(ids), -1).astype(float))
+        rows, sums = lm.sums_by_id(ids, values)
+        assert sorted(rows.tolist()) == sorted(set(ids.tolist()))
+        assert np.allclose(sums, want[rows], rtol=1e-4, atol=1e-4)
+
+
 def test_training_lowers_the_loss(spark):
     lex = filled(spark)
     rng = np.random.default_rng(7)
