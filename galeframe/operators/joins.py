@@ -175,6 +175,20 @@ def points_in_polygons(points: DataFrame, edges: DataFrame, keys: list[str], cel
     return met.where(odd).select(*keys, "poly_id")
 
 
+def places_in_polygons(points: DataFrame, edges: DataFrame, keys: list[str], cell: float = 1.0, lat: str = "lat", lon: str = "lon", each: int = 1024) -> DataFrame:
+    """As ``points_in_polygons``, for points of which many share a place.
+
+    A place is one row with the keys of its points, ``each`` of them at most,
+    so that it is compared with a polygon once and not once for each point;
+    the keys are dealt out again where a polygon holds the place. Points are
+    shuffled by place and then, as places, by cell; pairs are not.
+    """
+    turn = F.row_number().over(Window.partitionBy(lat, lon).orderBy(lat)) - 1
+    p = points.select(F.struct(*keys).alias("_key"), lat, lon).withColumn("_part", F.floor(turn / each))
+    p = p.groupBy(lat, lon, "_part").agg(F.collect_list("_key").alias("_keys"))
+    return points_in_polygons(p, edges, ["_keys"], cell, lat, lon).select(F.explode("_keys").alias("_key"), "poly_id").select("_key.*", "poly_id")
+
+
 def nearest_on_sphere(queries: DataFrame, sources: DataFrame, cell: float = 1.0) -> DataFrame:
     """Regridding: for each target (id, lat, lon) the source of the bins around its own with the least chord; source 0 where there is none."""
     xyz = lambda: (F.cos(F.radians("lat")) * F.cos(F.radians("lon")), F.cos(F.radians("lat")) * F.sin(F.radians("lon")), F.sin(F.radians("lat")))

@@ -292,7 +292,7 @@ def A41_C10_shore_points(spark: SparkSession, sf: str) -> DataFrame:
     w = Window.partitionBy("poly_id", "copy").orderBy("seq")
     nxt = lambda x: F.coalesce(F.lead(x).over(w), F.first(x).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     sides = ring.select("poly_id", "seq", c("lon").alias("x1"), c("lat").alias("y1"), nxt("lon").alias("x2"), nxt("lat").alias("y2"))
-    return joins.points_in_polygons(p, sides, ["event_id"])
+    return joins.places_in_polygons(p, durable(sides), ["event_id"])  # the index reads them twice
 
 
 @query("""with one as (select c_custkey as id, c_name as name, c_acctbal as x from customer), last as (select o_custkey as id, arg_max({'t': o_totalprice, 's': o_orderstatus}, {'k': o_orderkey}) as o from orders group by 1),
